@@ -322,3 +322,89 @@ def q_sample(spark, sf):
 @register("stratified_kfold")
 def q_kfold(spark, sf):
     return splits.stratified_kfold(V.cleaned(spark, sf), k=5).select("row_id", "label", "fold")
+
+
+# ---- 2.9 text features -----------------------------------------------------
+from newsprism.operators import terms as tm  # noqa: E402
+
+
+@register("tokenize")
+def q_tokenize(spark, sf):
+    c = V.cleaned(spark, sf).select("row_id", tm.tokenize("content").alias("t"))
+    return c.select("row_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@register("remove_stop_words")
+def q_stop_words(spark, sf):
+    c = V.cleaned(spark, sf).select("row_id", tm.remove_stop_words(tm.tokenize("content")).alias("t"))
+    return c.select("row_id", F.size("t").cast("bigint").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+@register("ngrams")
+def q_ngrams(spark, sf):
+    c = V.cleaned(spark, sf).select("row_id", tm.analyzed_terms("content", (2, 2)).alias("t"))
+    return c.select("row_id", F.size("t").cast("bigint").alias("n_bigrams"), F.array_join("t", "|").alias("bigrams"))
+
+
+@register("term_counts")
+def q_term_counts(spark, sf):
+    return tm.term_stats(tm.term_frequencies(V.cleaned(spark, sf), "content"))
+
+
+def _train_vocab(spark, sf, min_df=2, max_features=20000):
+    s = V.split_articles(spark, sf)
+    tf = tm.term_frequencies(s, "content", keep=("split",))
+    vocab = tm.vocabulary(tf.filter(F.col("split") == "train"), min_df, max_features)
+    return s, tf, vocab
+
+
+@register("vocabulary")
+def q_vocabulary(spark, sf):
+    return _train_vocab(spark, sf)[2]
+
+
+@register("tfidf")
+def q_tfidf(spark, sf):
+    s, tf, vocab = _train_vocab(spark, sf)
+    n_train = s.filter(F.col("split") == "train").count()
+    x = tm.tfidf_long(tf, vocab, n_train)
+    return x.select("row_id", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
+@register("feature_matrix_shape")
+def q_feature_matrix_shape(spark, sf):
+    s, _, vocab = _train_vocab(spark, sf)
+    n_terms = vocab.count()
+    return explore.split_sizes(s).select("split", "rows", F.lit(n_terms).cast("bigint").alias("terms"))
+
+
+@register("top_words")
+def q_top_words(spark, sf):
+    return tm.top_terms_per_class(V.cleaned(spark, sf), "text", 20)
+
+
+@register("top_bigrams")
+def q_top_bigrams(spark, sf):
+    return tm.top_terms_per_class(V.cleaned(spark, sf), "text", 20, (2, 2))
+
+
+@register("top_title_words")
+def q_top_title_words(spark, sf):
+    return tm.top_terms_per_class(V.cleaned(spark, sf), "title", 20)
+
+
+@register("fisher_terms_text")
+def q_fisher_text(spark, sf):
+    return tm.fisher_terms(V.cleaned(spark, sf), "text", min_df=5, max_features=20000, top_n=30)
+
+
+@register("fisher_terms_title")
+def q_fisher_title(spark, sf):
+    return tm.fisher_terms(V.cleaned(spark, sf), "title", min_df=5, max_features=10000, top_n=30)
+
+
+@register("sorted_topk")
+def q_sorted_topk(spark, sf):
+    styled = explore.add_style_features(V.cleaned(spark, sf))
+    scores = fisher.fisher_numeric(styled, list(explore.STYLE_FEATURES) + ["text_words"])
+    return scores.orderBy(F.desc("fisher_score"), F.asc("feature")).limit(3)

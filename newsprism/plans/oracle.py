@@ -200,3 +200,79 @@ sql("stratified_split", with_("splitted") + "SELECT row_id, label, split FROM sp
 sql("shuffle_rows", with_("cleaned") + "SELECT row_id, md5(CAST(row_id AS VARCHAR) || ':42') AS shuffle_key FROM cleaned")
 sql("stratified_sample", with_("ranked") + "SELECT row_id, label FROM ranked WHERE label IN (0, 1) AND _r <= 50")
 sql("stratified_kfold", with_("ranked") + "SELECT row_id, label, CAST((_r - 1) % 5 AS INTEGER) AS fold FROM ranked")
+
+# ---- 2.9 text features -----------------------------------------------------
+from newsprism.plans.sqlparts import TOKEN_RE, ngrams, tokens  # noqa: E402
+
+
+def _tf(source: str, col: str, n: int = 1, keep: str = "") -> str:
+    k = f"{keep}, " if keep else ""
+    return (f"SELECT row_id, {k}term, count(*) AS tf FROM (SELECT row_id, {k}unnest({ngrams(tokens(col), n)}) AS term "
+            f"FROM {source}) GROUP BY ALL")
+
+
+sql("tokenize", with_("cleaned") + f"""
+SELECT row_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT row_id, regexp_extract_all(lower(content), '{TOKEN_RE}') AS t FROM cleaned)""")
+sql("remove_stop_words", with_("cleaned") + f"""
+SELECT row_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS terms
+FROM (SELECT row_id, {tokens('content')} AS t FROM cleaned)""")
+sql("ngrams", with_("cleaned") + f"""
+SELECT row_id, CAST(len(t) AS BIGINT) AS n_bigrams, array_to_string(t, '|') AS bigrams
+FROM (SELECT row_id, {ngrams(tokens('content'), 2)} AS t FROM cleaned)""")
+sql("term_counts", with_("cleaned") + f"""
+SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_count FROM ({_tf('cleaned', 'content')}) GROUP BY term""")
+_TRAIN_VOCAB = with_("splitted") + f""", tf AS ({_tf('splitted', 'content', 1, 'split')}),
+vocab AS (
+  SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS feature_index, doc_freq, total_count FROM (
+    SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_count FROM tf WHERE split = 'train'
+    GROUP BY term HAVING count(*) >= 2 ORDER BY total_count DESC, term LIMIT 20000))
+"""
+sql("vocabulary", _TRAIN_VOCAB + "SELECT * FROM vocab")
+sql("tfidf", _TRAIN_VOCAB + """, w AS (
+  SELECT tf.row_id, tf.term, tf.tf * (ln(CAST(1 + n AS DOUBLE) / (doc_freq + 1.0)) + 1.0) AS w
+  FROM tf JOIN vocab USING (term), (SELECT count(*) AS n FROM splitted WHERE split = 'train'))
+SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS tfidf FROM w""")
+sql("feature_matrix_shape", _TRAIN_VOCAB + """
+SELECT split, count(*) AS rows, (SELECT count(*) FROM vocab) AS terms FROM splitted GROUP BY split""")
+
+
+def _top(col: str, n: int) -> str:
+    return with_("cleaned") + f"""
+SELECT label, term, frequency FROM (
+  SELECT label, term, frequency, row_number() OVER (PARTITION BY label ORDER BY frequency DESC, term) AS r FROM (
+    SELECT label, term, count(*) AS frequency FROM (
+      SELECT label, unnest({ngrams(tokens(col), n)}) AS term FROM cleaned WHERE label IN (0, 1))
+    GROUP BY label, term))
+WHERE r <= 20"""
+
+
+sql("top_words", _top("text", 1))
+sql("top_bigrams", _top("text", 2))
+sql("top_title_words", _top("title", 1))
+
+
+def _fisher_terms(col: str, min_df: int, max_features: int, top_n: int) -> str:
+    return with_("cleaned") + f""", tf AS ({_tf('cleaned', col, 1, 'label')}),
+vocab AS (SELECT term, count(*) AS doc_freq, sum(tf) AS total_count FROM tf GROUP BY term
+          HAVING count(*) >= {min_df} ORDER BY total_count DESC, term LIMIT {max_features}),
+sizes AS (SELECT CAST(count(*) AS DOUBLE) AS n,
+                 CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS n0,
+                 CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1 FROM cleaned),
+w AS (SELECT tf.row_id, tf.label, tf.term, tf.tf * (ln((1 + n) / (doc_freq + 1.0)) + 1.0) AS w
+      FROM tf JOIN vocab USING (term), sizes),
+x AS (SELECT row_id, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS v FROM w),
+per AS (SELECT term,
+               coalesce(sum(CASE WHEN label = 0 THEN v END), 0.0) / n0 AS m0,
+               coalesce(sum(CASE WHEN label = 1 THEN v END), 0.0) / n1 AS m1,
+               coalesce(sum(CASE WHEN label = 0 THEN v * v END), 0.0) / n0 AS e0,
+               coalesce(sum(CASE WHEN label = 1 THEN v * v END), 0.0) / n1 AS e1
+        FROM x, sizes GROUP BY term, n0, n1),
+scored AS (SELECT term, (m0 - m1) * (m0 - m1) / ((e0 - m0 * m0) + (e1 - m1 * m1) + 1e-10) AS s, m0, m1 FROM per)
+SELECT term, round(s, 6) AS fisher_score, round(m0, 6) AS mean_fake, round(m1, 6) AS mean_real
+FROM scored ORDER BY s DESC, term LIMIT {top_n}"""
+
+
+sql("fisher_terms_text", _fisher_terms("text", 5, 20000, 30))
+sql("fisher_terms_title", _fisher_terms("title", 5, 10000, 30))
+sql("sorted_topk", "SELECT * FROM (" + ORACLE["fisher_numeric"] + ") ORDER BY fisher_score DESC, feature LIMIT 3")
