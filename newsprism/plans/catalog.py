@@ -408,3 +408,87 @@ def q_sorted_topk(spark, sf):
     styled = explore.add_style_features(V.cleaned(spark, sf))
     scores = fisher.fisher_numeric(styled, list(explore.STYLE_FEATURES) + ["text_words"])
     return scores.orderBy(F.desc("fisher_score"), F.asc("feature")).limit(3)
+
+
+# ---- 2.5 metrics -----------------------------------------------------------
+from newsprism.functions import vectors as _vx  # noqa: E402
+from newsprism.operators import metrics as mt  # noqa: E402
+
+
+@register("confusion")
+def q_confusion(spark, sf):
+    return mt.confusion(V.predictions(spark, sf).filter(F.col("split") == "test"))
+
+
+@register("classification_metrics")
+def q_classification_metrics(spark, sf):
+    return mt.classification_metrics(V.predictions(spark, sf), group_cols=("split",))
+
+
+@register("metrics_weighted")
+def q_metrics_weighted(spark, sf):
+    return mt.classification_metrics(V.predictions(spark, sf), group_cols=("split",), weighted=True)
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return mt.roc_auc(V.predictions(spark, sf), "label", "p", group_cols=("split",))
+
+
+@register("log_loss")
+def q_log_loss(spark, sf):
+    return mt.log_loss(V.predictions(spark, sf), "label", "p", group_cols=("split",))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    return mt.classification_report(V.predictions(spark, sf).filter(F.col("split") == "test"))
+
+
+@register("error_rates")
+def q_error_rates(spark, sf):
+    return mt.error_rates(V.predictions(spark, sf))
+
+
+@register("train_val_gap")
+def q_train_val_gap(spark, sf):
+    return mt.train_val_gap(V.predictions(spark, sf))
+
+
+@register("latency_stats")
+def q_latency_stats(spark, sf):
+    return mt.latency_stats(read_table(spark, sf, "events"), "value")
+
+
+@register("latency_histogram")
+def q_latency_histogram(spark, sf):
+    return mt.latency_histogram(read_table(spark, sf, "events"), "value", 20)
+
+
+@register("valid_invalid_counts")
+def q_valid_invalid(spark, sf):
+    a = V.answers(spark, sf).withColumn("prediction", tx.parse_binary_answer("answer"))
+    return mt.valid_invalid_counts(a)
+
+
+@register("smoothed_cross_entropy")
+def q_smoothed_ce(spark, sf):
+    lg = _binary_logits(spark, sf)
+    return lg.agg(F.round(F.avg(_vx.smoothed_cross_entropy("logits", "label", 0.05)), 6)
+                  .alias("smoothed_cross_entropy"))
+
+
+@register("evaluate_zero_shot")
+def q_evaluate_zero_shot(spark, sf):
+    a = V.answers(spark, sf).withColumn("prediction", tx.parse_binary_answer("answer"))
+    return mt.evaluate_zero_shot(a)
+
+
+@register("ms_per_article")
+def q_ms_per_article(spark, sf):
+    return mt.ms_per_article(V.answers(spark, sf), "latency_seconds")
+
+
+@register("select_best_run")
+def q_select_best_run(spark, sf):
+    return mt.select_best_run(V.run_history(spark, sf))

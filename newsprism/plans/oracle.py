@@ -276,3 +276,119 @@ FROM scored ORDER BY s DESC, term LIMIT {top_n}"""
 sql("fisher_terms_text", _fisher_terms("text", 5, 20000, 30))
 sql("fisher_terms_title", _fisher_terms("title", 5, 10000, 30))
 sql("sorted_topk", "SELECT * FROM (" + ORACLE["fisher_numeric"] + ") ORDER BY fisher_score DESC, feature LIMIT 3")
+
+# ---- 2.5 metrics -----------------------------------------------------------
+_COUNTS = """SELECT {g} count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+       count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+       count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+       count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+       sum(-ln(greatest(least(CASE WHEN label = 1 THEN p ELSE 1.0 - p END, 1.0 - 2.220446049250313e-16),
+                        2.220446049250313e-16))) / count(*) AS log_loss
+FROM {src} {where} {groupby}"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END)"
+
+
+_P1, _P0 = _div("tp", "tp + fp"), _div("tn", "tn + fn")
+_R1, _R0 = _div("tp", "tp + fn"), _div("tn", "tn + fp")
+_F1, _F0 = _div("2 * tp", "2 * tp + fp + fn"), _div("2 * tn", "2 * tn + fn + fp")
+_N = "(tp + tn + fp + fn)"
+_BAL = _div("(CASE WHEN tp + fn > 0 THEN " + _R1 + " ELSE 0.0 END) + (CASE WHEN tn + fp > 0 THEN " + _R0
+            + " ELSE 0.0 END)", "CAST(tp + fn > 0 AS INTEGER) + CAST(tn + fp > 0 AS INTEGER)")
+_MCC = ("(CASE WHEN sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) = 0 THEN 0.0 ELSE "
+        "(CAST(tp * tn AS DOUBLE) - CAST(fp * fn AS DOUBLE)) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) END)")
+_BASE = {"accuracy": _div("tp + tn", _N), "balanced_accuracy": _BAL,
+         "precision_macro": f"({_P0} + {_P1}) / 2.0", "recall_macro": f"({_R0} + {_R1}) / 2.0",
+         "f1_macro": f"({_F0} + {_F1}) / 2.0", "mcc": _MCC}
+_WEIGHTED = {"precision_weighted": _div(f"{_P0} * (tn + fp) + {_P1} * (tp + fn)", _N),
+             "recall_weighted": _div(f"{_R0} * (tn + fp) + {_R1} * (tp + fn)", _N),
+             "f1_weighted": _div(f"{_F0} * (tn + fp) + {_F1} * (tp + fn)", _N)}
+_AUC = """SELECT split, round(CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN NULL
+         ELSE sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END, 6) AS roc_auc
+FROM (SELECT split, p, pos, neg,
+             coalesce(sum(neg) OVER (PARTITION BY split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT split, p, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+            FROM predictions GROUP BY split, p))
+GROUP BY split"""
+
+
+def _metrics_sql(metrics: dict) -> str:
+    c = _COUNTS.format(g="split,", src="predictions", where="", groupby="GROUP BY split")
+    rows = "\nUNION ALL\n".join(f"SELECT split, '{k}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value FROM counts"
+                                for k, v in metrics.items())
+    return (with_("predictions") + f", counts AS ({c}), auc AS ({_AUC})\n" + rows
+            + "\nUNION ALL SELECT split, 'roc_auc', roc_auc FROM auc")
+
+
+sql("confusion", with_("predictions") + """
+SELECT l.label, q.prediction, count(t.row_id) AS count
+FROM (VALUES (0), (1)) l(label) CROSS JOIN (VALUES (0), (1)) q(prediction)
+LEFT JOIN (SELECT * FROM predictions WHERE split = 'test') t ON t.label = l.label AND t.prediction = q.prediction
+GROUP BY l.label, q.prediction""")
+sql("classification_metrics", _metrics_sql({**_BASE, "log_loss": "log_loss"}))
+sql("metrics_weighted", _metrics_sql({**_BASE, **_WEIGHTED, "log_loss": "log_loss"}))
+sql("roc_auc", with_("predictions") + _AUC)
+sql("log_loss", with_("predictions") + "SELECT split, round(log_loss, 6) AS log_loss FROM ("
+    + _COUNTS.format(g="split,", src="predictions", where="", groupby="GROUP BY split") + ")")
+_REPORT_ROW = "SELECT '{name}' AS row, round({p}, 6) AS precision, round({r}, 6) AS recall, round({f}, 6) AS f1_score, CAST({s} AS BIGINT) AS support FROM counts"
+sql("classification_report", with_("predictions") + ", counts AS ("
+    + _COUNTS.format(g="", src="predictions", where="WHERE split = 'test'", groupby="") + ")\n" + "\nUNION ALL\n".join([
+        _REPORT_ROW.format(name="0", p=_P0, r=_R0, f=_F0, s="tn + fp"),
+        _REPORT_ROW.format(name="1", p=_P1, r=_R1, f=_F1, s="tp + fn"),
+        _REPORT_ROW.format(name="accuracy", p="CAST(NULL AS DOUBLE)", r="CAST(NULL AS DOUBLE)", f=_div("tp + tn", _N), s=_N),
+        _REPORT_ROW.format(name="macro avg", p=f"({_P0} + {_P1}) / 2", r=f"({_R0} + {_R1}) / 2", f=f"({_F0} + {_F1}) / 2", s=_N),
+        _REPORT_ROW.format(name="weighted avg", p=_WEIGHTED["precision_weighted"], r=_WEIGHTED["recall_weighted"],
+                           f=_WEIGHTED["f1_weighted"], s=_N)]))
+sql("error_rates", with_("predictions") + """
+SELECT split, round(1.0 - avg(CAST(coalesce(prediction = label, false) AS DOUBLE)), 6) AS error_rate
+FROM predictions GROUP BY split""")
+sql("train_val_gap", with_("predictions") + """
+SELECT round(tr, 6) AS train_accuracy, round(va, 6) AS validation_accuracy, round(tr - va, 6) AS gap FROM (
+  SELECT avg(CASE WHEN split = 'train' THEN CAST(coalesce(prediction = label, false) AS DOUBLE) END) AS tr,
+         avg(CASE WHEN split = 'validation' THEN CAST(coalesce(prediction = label, false) AS DOUBLE) END) AS va
+  FROM predictions)""")
+sql("latency_stats", """
+SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max
+FROM events WHERE value IS NOT NULL""")
+sql("latency_histogram", """
+WITH r AS (SELECT CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+                  CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
+           FROM events WHERE value IS NOT NULL),
+c AS (SELECT CAST(least(floor((value - lo) * 20.0 / (hi - lo)), 19) AS INTEGER) AS bin, count(*) AS count
+      FROM events, r WHERE value IS NOT NULL GROUP BY 1)
+SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * ((hi - lo) / 20), 6) AS lower,
+       round(lo + (b.bin + 1) * ((hi - lo) / 20), 6) AS upper, coalesce(c.count, 0) AS count
+FROM range(20) b(bin) CROSS JOIN r LEFT JOIN c ON c.bin = b.bin""")
+sql("valid_invalid_counts", with_("answers") + f"""
+SELECT count(prediction) AS valid_predictions, count(*) - count(prediction) AS invalid_predictions
+FROM (SELECT {_parse_answer('answer')} AS prediction FROM answers)""")
+sql("smoothed_cross_entropy", """
+SELECT round(avg(-((CASE WHEN y = 0 THEN 0.975 ELSE 0.025 END) * (a - lse)
+                 + (CASE WHEN y = 1 THEN 0.975 ELSE 0.025 END) * (b - lse))), 6) AS smoothed_cross_entropy
+FROM (SELECT a, b, y, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS lse
+      FROM (SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
+                   CAST(label >= 5 AS INTEGER) AS y FROM embeddings))""")
+sql("evaluate_zero_shot", with_("answers") + f""", parsed AS (
+  SELECT true_label AS label, {_parse_answer('answer')} AS prediction, latency_seconds FROM answers),
+counts AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+                  count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+                  count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+                  count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn FROM parsed WHERE prediction IS NOT NULL)
+""" + "\nUNION ALL\n".join(f"SELECT '{k}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value FROM counts"
+                           for k, v in _BASE.items()) + """
+UNION ALL SELECT 'average_latency_seconds', round(avg(latency_seconds) FILTER (WHERE prediction IS NOT NULL), 6) FROM parsed
+UNION ALL SELECT 'valid_predictions', CAST(count(prediction) AS DOUBLE) FROM parsed
+UNION ALL SELECT 'invalid_predictions', CAST(count(*) - count(prediction) AS DOUBLE) FROM parsed""")
+sql("ms_per_article", with_("answers") + "SELECT round(1000.0 * sum(latency_seconds) / count(*), 6) AS ms_per_article FROM answers")
+sql("select_best_run", """
+WITH history AS (
+  SELECT CAST((event_id - event_id % 5) / 5 AS BIGINT) AS run_id, CAST(event_id % 5 + 1 AS BIGINT) AS epoch,
+         CAST(floor(value) AS DOUBLE) / 500.0 AS f1, CAST(event_id * 7 % 11 AS DOUBLE) / 10.0 AS loss
+  FROM events)
+SELECT run_id, b.epoch AS best_epoch, b.f1 AS best_f1, b.loss AS best_loss FROM (
+  SELECT run_id, list_reduce(list(struct_pack(epoch := epoch, f1 := f1, loss := loss) ORDER BY epoch),
+         lambda acc, x: CASE WHEN x.f1 > acc.f1 OR (abs(x.f1 - acc.f1) <= 1e-8 + 1e-5 * abs(acc.f1) AND x.loss < acc.loss)
+                             THEN x ELSE acc END) AS b
+  FROM history GROUP BY run_id)""")

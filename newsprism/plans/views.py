@@ -54,3 +54,14 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings")
+
+
+def run_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-epoch validation history derived from ``events``: five epochs per run
+    (run_id = event_id div 5, epoch = event_id % 5 + 1), f1 = floor(value) / 500
+    (ties on purpose), loss = (event_id * 7 % 11) / 10."""
+    e = read_table(spark, sf, "events").select("event_id", "value")
+    return e.select(((F.col("event_id") - F.col("event_id") % 5) / 5).cast("bigint").alias("run_id"),
+                    (F.col("event_id") % 5 + 1).cast("bigint").alias("epoch"),
+                    (F.floor("value").cast("double") / F.lit(500.0)).alias("f1"),
+                    ((F.col("event_id") * 7 % 11).cast("double") / F.lit(10.0)).alias("loss"))
