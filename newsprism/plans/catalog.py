@@ -492,3 +492,142 @@ def q_ms_per_article(spark, sf):
 @register("select_best_run")
 def q_select_best_run(spark, sf):
     return mt.select_best_run(V.run_history(spark, sf))
+
+
+# ---- 2.10 models, evaluation, explanation ------------------------------------
+from newsprism.operators import explain as ex  # noqa: E402
+from newsprism.operators import inference as inf  # noqa: E402
+from newsprism.operators import models as md  # noqa: E402
+from newsprism.session import checkpoint_dir  # noqa: E402
+
+
+def _r6(*cols):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+@register("feature_coef_join")
+def q_feature_coef_join(spark, sf):
+    coefs, _, x = V.log_odds_coefficients(spark, sf)
+    j = ex.feature_coef_join(x.filter(F.col("split") == "test"), coefs)
+    return j.select("row_id", "term", *_r6("tfidf", "coefficient", "contribution"))
+
+
+@register("prediction_contributions")
+def q_prediction_contributions(spark, sf):
+    coefs, _, x = V.log_odds_coefficients(spark, sf)
+    c = ex.prediction_contributions(x.filter(F.col("split") == "test"), coefs, top_n=15)
+    return c.select("row_id", F.col("rank").cast("bigint").alias("rank"), "term", *_r6("contribution"))
+
+
+@register("explain_decision")
+def q_explain_decision(spark, sf):
+    coefs, intercept, x = V.log_odds_coefficients(spark, sf)
+    e = ex.explain_decision(x.filter(F.col("split") == "test"), coefs, top_n=15)
+    return e.select("row_id", "direction", F.col("rank").cast("bigint").alias("rank"), "term", *_r6("contribution"))
+
+
+@register("top_terms_global")
+def q_top_terms_global(spark, sf):
+    coefs, _, _ = V.log_odds_coefficients(spark, sf)
+    return ex.top_terms_global(coefs, 15).select("direction", "term", *_r6("coefficient"))
+
+
+def _fitted(spark, sf, text_column="content", ngram_range=(1, 1)):
+    s = V.split_articles(spark, sf)
+    model = md.build_pipeline(ngram_range, text_col=text_column).fit(s.filter(F.col("split") == "train"))
+    return s, model
+
+
+@register("logistic_regression")
+def q_logistic_regression(spark, sf):
+    _, model = _fitted(spark, sf)
+    coefs, intercept = ex.coefficient_table(spark, model)
+    return coefs.withColumn("intercept", F.lit(intercept))
+
+
+@register("build_pipeline")
+def q_build_pipeline(spark, sf):
+    s, model = _fitted(spark, sf)
+    return md.predict(model, s.filter(F.col("split") == "test"), keep=("row_id", "label"))
+
+
+@register("predict")
+def q_predict(spark, sf):
+    s, model = _fitted(spark, sf)
+    return md.predict(model, s, keep=("row_id", "split", "label"))
+
+
+@register("fit_experiment")
+def q_fit_experiment(spark, sf):
+    r = md.fit_experiment("content_unigram", V.split_articles(spark, sf), text_column="content", ngram_range=(1, 1))
+    return r.metrics
+
+
+@register("compare_experiments")
+def q_compare_experiments(spark, sf):
+    s = V.split_articles(spark, sf).persist()
+    results = [md.fit_experiment(name, s, text_column=col, ngram_range=rng) for name, col, rng in md.EXPERIMENT_GRID]
+    return md.compare_experiments(results)
+
+
+@register("summary_table")
+def q_summary_table(spark, sf):
+    r = md.fit_experiment("content_unigram", V.split_articles(spark, sf), text_column="content", ngram_range=(1, 1))
+    return md.summary_table(r)
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf):
+    train = V.split_articles(spark, sf).filter(F.col("split") == "train")
+    return md.learning_curve(train, text_column="content", ngram_range=(1, 1))
+
+
+@register("embedding_classifier")
+def q_embedding_classifier(spark, sf):
+    e = V.embeddings(spark, sf).select(F.col("vec_id").alias("row_id"), "embedding",
+                                       (F.col("label") >= 5).cast("int").alias("label"))
+    data = splits.stratified_split(e)
+    _, preds = md.embedding_classifier(data)
+    return mt.classification_metrics(preds, group_cols=("split",))
+
+
+@register("score_new_articles")
+def q_score_new_articles(spark, sf):
+    _, model = _fitted(spark, sf)
+    new = clean.add_derived_columns(clean.normalize_text_fields(src.unlabeled_articles(spark, sf)))
+    return md.predict(model, new, keep=("row_id",))
+
+
+@register("save_model")
+def q_save_model(spark, sf):
+    import uuid
+    s, model = _fitted(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    md.save_model(model, path)
+    loaded = md.load_model(path)
+    return md.predict(loaded, s.filter(F.col("split") == "test"), keep=("row_id", "label"))
+
+
+@register("mean_pooling")
+def q_mean_pooling(spark, sf):
+    e = V.embeddings(spark, sf)
+    grouped = (e.select(((F.col("vec_id") - F.col("vec_id") % 8) / 8).cast("bigint").alias("group_id"),
+                        F.struct("vec_id", F.col("embedding").cast("array<double>").alias("h"),
+                                 (F.col("vec_id") % 3 != 0).cast("int").alias("m")).alias("tok"))
+               .groupBy("group_id").agg(F.sort_array(F.collect_list("tok")).alias("toks")))
+    pooled = grouped.select("group_id", _vx.mean_pool(F.col("toks.h"), F.col("toks.m")).alias("v"))
+    return pooled.select("group_id", F.posexplode("v").alias("dim", "value")).select(
+        "group_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@register("batch_encode")
+def q_batch_encode(spark, sf):
+    c = V.cleaned(spark, sf)
+    return inf.batch_encode(c, inf.hashing_encoder_factory(64), text_col="content").select("row_id", "embedding")
+
+
+@register("batch_zero_shot")
+def q_batch_zero_shot(spark, sf):
+    sample = splits.stratified_sample(V.cleaned(spark, sf), per_class=50)
+    return inf.batch_zero_shot(sample, inf.keyword_generator_factory("reuters")).select(
+        "row_id", "true_label", "answer", "prediction", "correct", "error")

@@ -392,3 +392,42 @@ SELECT run_id, b.epoch AS best_epoch, b.f1 AS best_f1, b.loss AS best_loss FROM
          lambda acc, x: CASE WHEN x.f1 > acc.f1 OR (abs(x.f1 - acc.f1) <= 1e-8 + 1e-5 * abs(acc.f1) AND x.loss < acc.loss)
                              THEN x ELSE acc END) AS b
   FROM history GROUP BY run_id)""")
+
+# ---- 2.10 explanations over closed-form coefficients ------------------------
+_SPLIT_TFIDF = with_("splitted") + f""", tf AS ({_tf('splitted', 'content', 1, 'split, label')}),
+vocab AS (
+  SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS feature_index, doc_freq FROM (
+    SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_count FROM tf WHERE split = 'train'
+    GROUP BY term HAVING count(*) >= 2 ORDER BY total_count DESC, term LIMIT 20000)),
+w AS (SELECT tf.row_id, tf.split, tf.label, tf.term, tf.tf * (ln(CAST(1 + n AS DOUBLE) / (doc_freq + 1.0)) + 1.0) AS w
+      FROM tf JOIN vocab USING (term), (SELECT count(*) AS n FROM splitted WHERE split = 'train')),
+x AS (SELECT row_id, split, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS tfidf FROM w),
+sizes AS (SELECT CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS n0,
+                 CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1 FROM splitted WHERE split = 'train'),
+coefs AS (SELECT term, ln((df1 + 1.0) / (n1 + 2.0)) - ln((df0 + 1.0) / (n0 + 2.0)) AS coefficient
+          FROM (SELECT term, count(*) FILTER (WHERE label = 0) AS df0, count(*) FILTER (WHERE label = 1) AS df1
+                FROM tf JOIN vocab USING (term) WHERE split = 'train' GROUP BY term), sizes),
+j AS (SELECT row_id, term, tfidf, coefficient, tfidf * coefficient AS contribution
+      FROM x JOIN coefs USING (term) WHERE split = 'test')
+"""
+sql("feature_coef_join", _SPLIT_TFIDF + """
+SELECT row_id, term, round(tfidf, 6) AS tfidf, round(coefficient, 6) AS coefficient, round(contribution, 6) AS contribution FROM j""")
+sql("prediction_contributions", _SPLIT_TFIDF + """
+SELECT row_id, rank, term, round(contribution, 6) AS contribution FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, term) AS rank FROM j)
+WHERE rank <= 15""")
+sql("explain_decision", _SPLIT_TFIDF + """
+SELECT row_id, direction, rank, term, round(contribution, 6) AS contribution FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_id, direction ORDER BY abs(contribution) DESC, term) AS rank
+  FROM (SELECT *, CASE WHEN contribution > 0 THEN 'real' ELSE 'fake' END AS direction FROM j WHERE contribution <> 0))
+WHERE rank <= 15""")
+sql("top_terms_global", _SPLIT_TFIDF + """
+SELECT * FROM (SELECT 'fake' AS direction, term, round(coefficient, 6) AS coefficient FROM coefs ORDER BY coefs.coefficient, term LIMIT 15)
+UNION ALL
+SELECT * FROM (SELECT 'real' AS direction, term, round(coefficient, 6) AS coefficient FROM coefs ORDER BY coefs.coefficient DESC, term LIMIT 15)""")
+sql("mean_pooling", """
+SELECT group_id, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS value FROM (
+  SELECT CAST((vec_id - vec_id % 8) / 8 AS BIGINT) AS group_id, CAST(vec_id % 3 <> 0 AS INTEGER) AS m,
+         CAST(u.i - 1 AS BIGINT) AS dim, CAST(embedding[u.i] AS DOUBLE) AS x
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u)
+GROUP BY group_id, dim""")

@@ -65,3 +65,33 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
                     (F.col("event_id") % 5 + 1).cast("bigint").alias("epoch"),
                     (F.floor("value").cast("double") / F.lit(500.0)).alias("f1"),
                     ((F.col("event_id") * 7 % 11).cast("double") / F.lit(10.0)).alias("loss"))
+
+
+def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int = 20000):
+    """Split articles, their long-form TF (with split and label), the train
+    vocabulary and the long-form TF-IDF of every row (fitted on train)."""
+    from newsprism.operators import terms as tm
+    s = split_articles(spark, sf)
+    tf = tm.term_frequencies(s, "content", keep=("split", "label"))
+    vocab = tm.vocabulary(tf.filter(F.col("split") == "train"), min_df, max_features)
+    n_train = s.filter(F.col("split") == "train").count()
+    x = tm.tfidf_long(tf, vocab, n_train, keep=("split", "label"))
+    return s, tf, vocab, x
+
+
+def log_odds_coefficients(spark: SparkSession, sf: str):
+    """Closed-form linear coefficients over the train vocabulary, so explanation
+    operators have a SQL oracle: coef = ln((df1+1)/(n1+2)) - ln((df0+1)/(n0+2))
+    with df_k the class-k train documents containing the term; intercept =
+    ln(n1/n0). Returns (coefficients, intercept, tfidf_long)."""
+    s, tf, vocab, x = train_tfidf(spark, sf)
+    sizes = {r["label"]: r["count"] for r in
+             s.filter(F.col("split") == "train").groupBy("label").count().collect()}
+    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
+    per = (tf.filter(F.col("split") == "train").join(F.broadcast(vocab.select("term", "feature_index")), "term")
+           .groupBy("term", "feature_index")
+           .agg(F.count_if(F.col("label") == 0).alias("df0"), F.count_if(F.col("label") == 1).alias("df1")))
+    coef = (F.log((F.col("df1") + 1.0) / F.lit(n1 + 2.0)) - F.log((F.col("df0") + 1.0) / F.lit(n0 + 2.0)))
+    import math
+    intercept = math.log(n1 / n0) if n0 > 0 and n1 > 0 else 0.0
+    return per.select("term", "feature_index", coef.alias("coefficient")), intercept, x
