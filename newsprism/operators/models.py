@@ -13,7 +13,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -30,6 +30,7 @@ from newsprism.operators import metrics as mt
 from newsprism.operators import terms as tm
 from newsprism.operators.ranks import hash_rank
 from newsprism.operators.splits import stratified_kfold
+from newsprism.session import cut_lineage
 
 TERMS_COL = "_terms"
 FEATURES_COL = "features"
@@ -101,10 +102,33 @@ class TextClassifier:
         lr = LogisticRegression(featuresCol=FEATURES_COL, labelCol="label", maxIter=self.max_iter,
                                 regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
                                 fitIntercept=True, family="binomial", tol=self.tol)
-        lr_model = lr.fit(feats.select(FEATURES_COL, "label"))
+        frame = training_frame(feats.select(FEATURES_COL, "label"), n)
+        try:
+            lr_model = lr.fit(frame)
+        finally:
+            frame.unpersist()
         return PipelineModel(vec.stages + [lr_model])
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def training_frame(feats: DataFrame, n_rows: int) -> DataFrame:
+    """Features for an iterative fit: sized partitions, lineage cut, cached.
+
+    L-BFGS runs one Spark job per iteration. Partitions are sized by row count
+    (tiny training sets are not scattered over many tasks; large ones use the
+    whole cluster), the rows are written to the shared checkpoint folder so a
+    lost executor costs a re-read rather than re-tokenising the corpus, and the
+    checkpointed data is cached for the iterations.
+    """
+    parallelism = feats.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(4 * parallelism, math.ceil(n_rows / ROWS_PER_PARTITION)))
+    frame = cut_lineage(feats.repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK)
+    frame.count()
+    return frame
+
+
 def build_pipeline(ngram_range: tuple[int, int] = (1, 1), *, max_features: int = 20000, min_df: int = 2,
                    text_col: str = "content", max_iter: int = 1000) -> TextClassifier:
     return TextClassifier(ngram_range=ngram_range, text_col=text_col, min_df=min_df,
@@ -243,9 +267,13 @@ def embedding_classifier(df: DataFrame, *, vector_col: str = "embedding", label_
     data = df.withColumn(FEATURES_COL, array_to_vector(F.col(vector_col).cast("array<double>")))
     train = data.filter(F.col(split_col) == "train")
     n = train.count()
-    model = LogisticRegression(featuresCol=FEATURES_COL, labelCol=label_col, maxIter=max_iter,
-                               regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False).fit(
-        train.select(FEATURES_COL, F.col(label_col).cast("double").alias(label_col)))
+    frame = training_frame(train.select(FEATURES_COL, F.col(label_col).cast("double").alias(label_col)), n)
+    try:
+        model = LogisticRegression(featuresCol=FEATURES_COL, labelCol=label_col, maxIter=max_iter,
+                                   regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+                                   standardization=False).fit(frame)
+    finally:
+        frame.unpersist()
     scored = model.transform(data.withColumn(label_col, F.col(label_col).cast("double")))
     preds = scored.select("row_id", split_col, F.col(label_col).cast("int").alias("label"),
                           F.col("prediction").cast("int").alias("prediction"),
