@@ -39,11 +39,18 @@ def remove_stop_words(tokens, stop_words: Sequence[str] | None = ENGLISH_STOP_WO
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Space-joined n-grams of consecutive tokens."""
+    """Space-joined n-grams of consecutive tokens.
+
+    Built by zipping n shifted slices of the token array, so the array is
+    referenced only outside lambdas and each document costs O(tokens).
+    """
     t = _c(tokens)
     if n == 1:
         return t
-    grams = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+    length = F.size(t) - n + 1
+    grams = F.slice(t, 1, length)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(t, k + 1, length), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
