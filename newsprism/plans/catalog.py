@@ -631,3 +631,16 @@ def q_batch_zero_shot(spark, sf):
     sample = splits.stratified_sample(V.cleaned(spark, sf), per_class=50)
     return inf.batch_zero_shot(sample, inf.keyword_generator_factory("reuters")).select(
         "row_id", "true_label", "answer", "prediction", "correct", "error")
+
+
+@register("load_model")
+def q_load_model(spark, sf):
+    """Round trip: the reloaded pipeline scores exactly like the fitted one."""
+    import uuid
+    s, model = _fitted(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    md.save_model(model, path)
+    test = s.filter(F.col("split") == "test")
+    before = md.predict(model, test, keep=("row_id",)).select("row_id", F.col("p").alias("p_fitted"))
+    after = md.predict(md.load_model(path), test, keep=("row_id",)).select("row_id", F.col("p").alias("p_loaded"))
+    return before.join(after, "row_id")
