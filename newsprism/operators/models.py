@@ -70,9 +70,9 @@ class TextClassifier:
     text_col: str = "content"
     label_col: str = "label"
     min_df: int = 2
-    max_features: int | None = 20000
+    max_features: int = 20000
     max_iter: int = 1000
-    tol: float = 1e-6
+    tol: float = 1e-4          # the reference solver's default tolerance
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
     id_col: str = "row_id"
 

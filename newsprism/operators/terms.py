@@ -9,7 +9,6 @@ ln((1+n)/(1+df)) + 1, raw counts times IDF, rows L2-normalised.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -85,16 +84,17 @@ def term_stats(tf_long: DataFrame) -> DataFrame:
                                        F.sum("tf").alias("total_count"))
 
 
-def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int | None = 20000) -> DataFrame:
+def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int = 20000) -> DataFrame:
     """(term, feature_index, doc_freq, total_count) of at most ``max_features`` terms.
 
     The cut is one TakeOrderedAndProject (per-partition top-k, then a merge of
     k rows per partition); feature indices are alphabetical, so the final
     window only ever sees the bounded vocabulary.
     """
-    stats = term_stats(tf_long).filter(F.col("doc_freq") >= min_df)
-    if max_features is not None:
-        stats = stats.orderBy(F.desc("total_count"), F.asc("term")).limit(max_features)
+    if not max_features or max_features < 1:
+        raise ValueError("max_features must bound the vocabulary (it is broadcast and indexed)")
+    stats = (term_stats(tf_long).filter(F.col("doc_freq") >= min_df)
+             .orderBy(F.desc("total_count"), F.asc("term")).limit(max_features))
     idx = F.row_number().over(Window.orderBy("term")) - 1
     return stats.select("term", idx.cast("int").alias("feature_index"), "doc_freq", "total_count")
 
@@ -165,8 +165,3 @@ def _class_sizes(df: DataFrame) -> tuple[int, dict]:
     rows = df.groupBy("label").count().collect()
     sizes = {r["label"]: r["count"] for r in rows}
     return sum(sizes.values()), sizes
-
-
-def n_docs_idf_check(n_docs: int, doc_freq: int) -> float:
-    """Plain-Python smooth IDF (used by tests)."""
-    return math.log((1 + n_docs) / (1 + doc_freq)) + 1.0

@@ -316,7 +316,7 @@ def q_shuffle(spark, sf):
 
 @register("stratified_sample")
 def q_sample(spark, sf):
-    return splits.stratified_sample(V.cleaned(spark, sf), per_class=50).select("row_id", "label")
+    return splits.stratified_sample(V.cleaned(spark, sf, materialize=True), per_class=50).select("row_id", "label")
 
 
 @register("stratified_kfold")
@@ -352,7 +352,7 @@ def q_term_counts(spark, sf):
 
 
 def _train_vocab(spark, sf, min_df=2, max_features=20000):
-    s = V.split_articles(spark, sf)
+    s = V.split_articles(spark, sf, materialize=True)
     tf = tm.term_frequencies(s, "content", keep=("split",))
     vocab = tm.vocabulary(tf.filter(F.col("split") == "train"), min_df, max_features)
     return s, tf, vocab
@@ -395,12 +395,12 @@ def q_top_title_words(spark, sf):
 
 @register("fisher_terms_text")
 def q_fisher_text(spark, sf):
-    return tm.fisher_terms(V.cleaned(spark, sf), "text", min_df=5, max_features=20000, top_n=30)
+    return tm.fisher_terms(V.cleaned(spark, sf, materialize=True), "text", min_df=5, max_features=20000, top_n=30)
 
 
 @register("fisher_terms_title")
 def q_fisher_title(spark, sf):
-    return tm.fisher_terms(V.cleaned(spark, sf), "title", min_df=5, max_features=10000, top_n=30)
+    return tm.fisher_terms(V.cleaned(spark, sf, materialize=True), "title", min_df=5, max_features=10000, top_n=30)
 
 
 @register("sorted_topk")
@@ -533,7 +533,7 @@ def q_top_terms_global(spark, sf):
 
 
 def _fitted(spark, sf, text_column="content", ngram_range=(1, 1)):
-    s = V.split_articles(spark, sf)
+    s = V.split_articles(spark, sf, materialize=True)
     model = md.build_pipeline(ngram_range, text_col=text_column).fit(s.filter(F.col("split") == "train"))
     return s, model
 
@@ -559,26 +559,26 @@ def q_predict(spark, sf):
 
 @register("fit_experiment")
 def q_fit_experiment(spark, sf):
-    r = md.fit_experiment("content_unigram", V.split_articles(spark, sf), text_column="content", ngram_range=(1, 1))
+    r = md.fit_experiment("content_unigram", V.split_articles(spark, sf, materialize=True), text_column="content", ngram_range=(1, 1))
     return r.metrics
 
 
 @register("compare_experiments")
 def q_compare_experiments(spark, sf):
-    s = V.split_articles(spark, sf).persist()
+    s = V.split_articles(spark, sf, materialize=True)
     results = [md.fit_experiment(name, s, text_column=col, ngram_range=rng) for name, col, rng in md.EXPERIMENT_GRID]
     return md.compare_experiments(results)
 
 
 @register("summary_table")
 def q_summary_table(spark, sf):
-    r = md.fit_experiment("content_unigram", V.split_articles(spark, sf), text_column="content", ngram_range=(1, 1))
+    r = md.fit_experiment("content_unigram", V.split_articles(spark, sf, materialize=True), text_column="content", ngram_range=(1, 1))
     return md.summary_table(r)
 
 
 @register("learning_curve")
 def q_learning_curve(spark, sf):
-    train = V.split_articles(spark, sf).filter(F.col("split") == "train")
+    train = V.split_articles(spark, sf, materialize=True).filter(F.col("split") == "train")
     return md.learning_curve(train, text_column="content", ngram_range=(1, 1))
 
 
@@ -628,7 +628,7 @@ def q_batch_encode(spark, sf):
 
 @register("batch_zero_shot")
 def q_batch_zero_shot(spark, sf):
-    sample = splits.stratified_sample(V.cleaned(spark, sf), per_class=50)
+    sample = splits.stratified_sample(V.cleaned(spark, sf, materialize=True), per_class=50)
     return inf.batch_zero_shot(sample, inf.keyword_generator_factory("reuters")).select(
         "row_id", "true_label", "answer", "prediction", "correct", "error")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsprism.operators.clean import clean_articles
+from newsprism.session import cut_lineage
 from newsprism.operators.splits import stratified_split
 from newsprism.sources.articles import articles_from_tables, dated_from_orders
 from newsprism.sources.tables import read_table
@@ -15,12 +16,16 @@ def raw_articles(spark: SparkSession, sf: str) -> DataFrame:
     return articles_from_tables(spark, sf)
 
 
-def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_articles(articles_from_tables(spark, sf))
+def cleaned(spark: SparkSession, sf: str, materialize: bool = False) -> DataFrame:
+    """Cleaned, de-duplicated articles. ``materialize`` writes them once to the
+    shared checkpoint folder for queries that run several jobs over them."""
+    df = clean_articles(articles_from_tables(spark, sf))
+    return cut_lineage(df) if materialize else df
 
 
-def split_articles(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(cleaned(spark, sf))
+def split_articles(spark: SparkSession, sf: str, materialize: bool = False) -> DataFrame:
+    df = stratified_split(cleaned(spark, sf))
+    return cut_lineage(df) if materialize else df
 
 
 def dated(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +76,7 @@ def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int
     """Split articles, their long-form TF (with split and label), the train
     vocabulary and the long-form TF-IDF of every row (fitted on train)."""
     from newsprism.operators import terms as tm
-    s = split_articles(spark, sf)
+    s = split_articles(spark, sf, materialize=True)
     tf = tm.term_frequencies(s, "content", keep=("split", "label"))
     vocab = tm.vocabulary(tf.filter(F.col("split") == "train"), min_df, max_features)
     n_train = s.filter(F.col("split") == "train").count()
