@@ -170,7 +170,7 @@ sql("marker_prevalence", with_("cleaned") + "\nUNION ALL\n".join(
 FROM cleaned""" for m in MARKERS))
 sql("term_prevalence", with_("cleaned") + """
 SELECT label, matches, round(100.0 * matches / rows, 6) AS pct FROM (
-  SELECT label, sum(CAST(coalesce(regexp_matches(text, '(?i)reuters'), false) AS BIGINT)) AS matches,
+  SELECT label, CAST(sum(CAST(coalesce(regexp_matches(text, '(?i)reuters'), false) AS BIGINT)) AS BIGINT) AS matches,
          count(*) AS rows FROM cleaned GROUP BY label)""")
 sql("style_means", with_("cleaned") + f""", {STYLE_SQL}
 SELECT label, round(avg(exclamation_count), 6) AS exclamation_count, round(avg(question_count), 6) AS question_count,
