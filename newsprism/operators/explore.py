@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions import text as tx
+from newsprism.functions.reshape import rows_from
 from newsprism.sources.articles import LABEL_DOMAIN
 
 SPLITS = ("train", "validation", "test")
@@ -73,19 +74,16 @@ def describe_lengths(df: DataFrame, columns: Sequence[str] = ("title_words", "te
                  F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
                  F.max(c).cast("double").alias(f"{c}__max")]
     wide = df.agg(*aggs)
-    rows = [wide.select(F.lit(c).alias("feature"),
-                        F.col(f"{c}__count").alias("count"),
-                        F.round(f"{c}__mean", 6).alias("mean"),
-                        F.round(f"{c}__std", 6).alias("std"),
-                        F.col(f"{c}__min").alias("min"),
-                        F.round(F.col(f"{c}__q")[0], 6).alias("p25"),
-                        F.round(F.col(f"{c}__q")[1], 6).alias("p50"),
-                        F.round(F.col(f"{c}__q")[2], 6).alias("p75"),
-                        F.col(f"{c}__max").alias("max")) for c in columns]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    rows = [{"feature": F.lit(c),
+             "count": F.col(f"{c}__count"),
+             "mean": F.round(f"{c}__mean", 6),
+             "std": F.round(f"{c}__std", 6),
+             "min": F.col(f"{c}__min"),
+             "p25": F.round(F.col(f"{c}__q")[0], 6),
+             "p50": F.round(F.col(f"{c}__q")[1], 6),
+             "p75": F.round(F.col(f"{c}__q")[2], 6),
+             "max": F.col(f"{c}__max")} for c in columns]
+    return rows_from(wide, rows)
 
 
 def label_crosstab(df: DataFrame, key: str) -> DataFrame:
@@ -114,14 +112,10 @@ def marker_prevalence(df: DataFrame, markers: Sequence[str] = tx.MARKERS,
         for v in LABEL_DOMAIN:
             aggs.append(F.avg(F.when(F.col("label") == v, flag)).alias(f"m{i}_{v}"))
     wide = df.agg(*aggs)
-    rows = [wide.select(F.lit(m).alias("marker"),
-                        *[F.round(100.0 * F.col(f"m{i}_{v}"), 6).alias(f"{tx.LABEL_NAMES[v].lower()}_pct")
-                          for v in LABEL_DOMAIN])
+    rows = [{"marker": F.lit(m),
+             **{f"{tx.LABEL_NAMES[v].lower()}_pct": F.round(100.0 * F.col(f"m{i}_{v}"), 6) for v in LABEL_DOMAIN}}
             for i, m in enumerate(markers)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return rows_from(wide, rows)
 
 
 def term_prevalence(df: DataFrame, pattern: str = "reuters", column: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsprism.functions.reshape import rows_from
+
 
 def fisher_numeric(df: DataFrame, features: Sequence[str], label_col: str = "label") -> DataFrame:
     """One scan with conditional sums per class, then one row per feature.
@@ -31,8 +33,5 @@ def fisher_numeric(df: DataFrame, features: Sequence[str], label_col: str = "lab
         v1 = F.col(f"q{i}_1") / F.col("n_1") - m1 * m1
         den = v0 + v1
         score = F.when(den == 0, F.lit(0.0)).otherwise((m0 - m1) * (m0 - m1) / den)
-        rows.append(wide.select(F.lit(f).alias("feature"), F.round(score, 6).alias("fisher_score")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        rows.append({"feature": F.lit(f), "fisher_score": F.round(score, 6)})
+    return rows_from(wide, rows)

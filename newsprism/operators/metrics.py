@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions import text as tx
+from newsprism.functions.reshape import rows_from
 
 # Fixed value: float64 machine epsilon, the probability clip of the log loss.
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -153,18 +154,14 @@ def classification_report(df: DataFrame, label_col: str = "label", pred_col: str
     s1, s0 = tp + fn, tn + fp
 
     def row(name, p, r, f, s):
-        return c.select(F.lit(name).alias("row"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
-                        F.round(f, 6).alias("f1_score"), s.cast("bigint").alias("support"))
-
-    parts = [row("0", p0, r0, f0, s0), row("1", p1, r1, f1, s1),
-             row("accuracy", F.lit(None).cast("double"), F.lit(None).cast("double"), _safe_div(tp + tn, n), n),
-             row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
-             row("weighted avg", _safe_div(p0 * s0 + p1 * s1, n), _safe_div(r0 * s0 + r1 * s1, n),
-                 _safe_div(f0 * s0 + f1 * s1, n), n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return {"row": F.lit(name), "precision": F.round(p, 6), "recall": F.round(r, 6),
+                "f1_score": F.round(f, 6), "support": s.cast("bigint")}
+
+    return rows_from(c, [row("0", p0, r0, f0, s0), row("1", p1, r1, f1, s1),
+                         row("accuracy", F.lit(None).cast("double"), F.lit(None).cast("double"), _safe_div(tp + tn, n), n),
+                         row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+                         row("weighted avg", _safe_div(p0 * s0 + p1 * s1, n), _safe_div(r0 * s0 + r1 * s1, n),
+                             _safe_div(f0 * s0 + f1 * s1, n), n)])
 
 
 def error_rates(df: DataFrame, group_col: str = "split", label_col: str = "label",

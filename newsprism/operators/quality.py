@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions import text as tx
+from newsprism.functions.reshape import rows_from
 from newsprism.sources.articles import LABEL_DOMAIN
 
 
@@ -89,26 +90,47 @@ def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_counts(df: DataFrame, subsets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(subset, duplicates) for several key subsets from one scan.
+
+    Every row is emitted once per subset with its key digests (padded to the
+    widest subset), so one grouping serves all subsets; the partial
+    aggregation collapses repeated keys before the shuffle.
+    """
     subsets = subsets or {"title": ["title"], "text": ["text"], "title+text": ["title", "text"]}
-    parts = [duplicate_count(df, keys).select(F.lit(name).alias("subset"), "duplicates")
-             for name, keys in subsets.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    width = max(len(k) for k in subsets.values())
+
+    rows = []
+    for name, keys in subsets.items():
+        r = {"subset": F.lit(name)}
+        for i, k in enumerate(keys):
+            r[f"_h{i}"] = F.sha2(F.coalesce(F.col(k).cast("string"), F.lit("")), 256)
+            r[f"_n{i}"] = F.col(k).isNull()
+        for i in range(len(keys), width):
+            r[f"_h{i}"], r[f"_n{i}"] = F.lit(""), F.lit(False)
+        rows.append(r)
+    key_cols = [c for i in range(width) for c in (f"_h{i}", f"_n{i}")]
+    groups = rows_from(df, rows).groupBy("subset", *key_cols).count()
+    return groups.groupBy("subset").agg((F.sum("count") - F.count(F.lit(1))).cast("bigint").alias("duplicates"))
 
 
 def quality_report(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Null cells in total, blank texts, duplicate (title, text) rows: (metric, value)."""
-    nulls = df.agg(sum(F.sum(F.col(c).isNull().cast("bigint")) for c in df.columns).alias("value"),
-                   F.sum(F.coalesce(tx.strip(F.coalesce(F.col(text_col), F.lit(""))) == "", F.lit(False))
-                         .cast("bigint")).alias("blank"))
-    dups = duplicate_count(df, ["title", "text"])
-    return (nulls.select(F.lit("missing_values").alias("metric"), F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
-            .unionByName(nulls.select(F.lit("blank_texts").alias("metric"),
-                                      F.coalesce("blank", F.lit(0)).cast("bigint").alias("value")))
-            .unionByName(dups.select(F.lit("duplicate_title_text").alias("metric"),
-                                     F.col("duplicates").alias("value"))))
+    """Null cells in total, blank texts, duplicate (title, text) rows: (metric, value).
+
+    One scan and one grouping on the (title, text) digests; null and blank
+    counts ride along as sums, so the report needs no second pass.
+    """
+    null_cells = sum(F.col(c).isNull().cast("bigint") for c in df.columns)
+    blank = F.coalesce(tx.strip(F.coalesce(F.col(text_col), F.lit(""))) == "", F.lit(False)).cast("bigint")
+    keys = ["_h0", "_h1", "_n0", "_n1"]
+    groups = (df.select(*_key_digests(["title", "text"]), null_cells.alias("_nulls"), blank.alias("_blank"))
+              .groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_nulls").alias("_nulls"),
+                                  F.sum("_blank").alias("_blank")))
+    totals = groups.agg(F.coalesce(F.sum("_nulls"), F.lit(0)).cast("bigint").alias("nulls"),
+                        F.coalesce(F.sum("_blank"), F.lit(0)).cast("bigint").alias("blank"),
+                        (F.coalesce(F.sum("_rows"), F.lit(0)) - F.count(F.lit(1))).cast("bigint").alias("dups"))
+    return rows_from(totals, [{"metric": F.lit("missing_values"), "value": F.col("nulls")},
+                              {"metric": F.lit("blank_texts"), "value": F.col("blank")},
+                              {"metric": F.lit("duplicate_title_text"), "value": F.col("dups")}])
 
 
 def label_conflicts(df: DataFrame, keys: Sequence[str] = ("title", "text")) -> DataFrame:
