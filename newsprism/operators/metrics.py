@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from newsprism.functions import text as tx
 from newsprism.functions.reshape import rows_from
+from newsprism.session import cut_lineage
 
 # Fixed value: float64 machine epsilon, the probability clip of the log loss.
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -92,12 +93,15 @@ def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "p",
     quantiles (a bounded edge array per group), bucket totals are prefix-summed
     on a table of groups x buckets rows, and only the per-bucket remainder is
     a window. A score shared by a third of all rows is a single row after the
-    first aggregation.
+    first aggregation. That (group, score) table feeds three branches, so it
+    is written once to the shared checkpoint folder instead of re-deriving the
+    input three times.
     """
     g = list(group_cols) or ["_g"]
     base = df if group_cols else df.withColumn("_g", F.lit(0))
     y = F.col(label_col)
-    dist = base.groupBy(*g, score_col).agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
+    dist = cut_lineage(base.groupBy(*g, score_col).agg(F.count_if(y == 1).alias("_pos"),
+                                                       F.count_if(y == 0).alias("_neg")))
     probs = [i / buckets for i in range(1, buckets)]
     edges = dist.groupBy(*g).agg(F.percentile_approx(score_col, probs, 10 * buckets).alias("_edges"))
     sc = F.col(score_col)

@@ -78,22 +78,34 @@ def term_frequencies(df: DataFrame, text_col: str, id_col: str = "row_id",
             .groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def term_stats(tf_long: DataFrame) -> DataFrame:
-    """(term, doc_freq, total_count): partial aggregation before the shuffle."""
-    return tf_long.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"),
-                                       F.sum("tf").alias("total_count"))
+def term_stats(tf_long: DataFrame, rows: Column | None = None) -> DataFrame:
+    """(term, doc_freq, total_count): partial aggregation before the shuffle.
+
+    ``rows`` restricts the counts to matching rows (e.g. the train split) as
+    conditional aggregates, so a plan that also joins ``tf_long`` back keeps
+    one identical tf subtree and Spark reuses its exchange instead of
+    tokenising twice.
+    """
+    if rows is None:
+        return tf_long.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"),
+                                           F.sum("tf").alias("total_count"))
+    return tf_long.groupBy("term").agg(F.count_if(rows).alias("doc_freq"),
+                                       F.sum(F.when(rows, F.col("tf"))).alias("total_count"))
 
 
-def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int = 20000) -> DataFrame:
+def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int = 20000,
+               rows: Column | None = None) -> DataFrame:
     """(term, feature_index, doc_freq, total_count) of at most ``max_features`` terms.
 
     The cut is one TakeOrderedAndProject (per-partition top-k, then a merge of
     k rows per partition); feature indices are alphabetical, so the final
-    window only ever sees the bounded vocabulary.
+    window only ever sees the bounded vocabulary. ``rows`` fits the
+    vocabulary on matching rows only (see ``term_stats``).
     """
     if not max_features or max_features < 1:
         raise ValueError("max_features must bound the vocabulary (it is broadcast and indexed)")
-    stats = (term_stats(tf_long).filter(F.col("doc_freq") >= min_df)
+    floor = max(min_df, 1) if rows is not None else min_df
+    stats = (term_stats(tf_long, rows).filter(F.col("doc_freq") >= floor)
              .orderBy(F.desc("total_count"), F.asc("term")).limit(max_features))
     idx = F.row_number().over(Window.orderBy("term")) - 1
     return stats.select("term", idx.cast("int").alias("feature_index"), "doc_freq", "total_count")

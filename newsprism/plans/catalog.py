@@ -354,7 +354,7 @@ def q_term_counts(spark, sf):
 def _train_vocab(spark, sf, min_df=2, max_features=20000):
     s = V.split_articles(spark, sf, materialize=True)
     tf = tm.term_frequencies(s, "content", keep=("split",))
-    vocab = tm.vocabulary(tf.filter(F.col("split") == "train"), min_df, max_features)
+    vocab = tm.vocabulary(tf, min_df, max_features, rows=F.col("split") == "train")
     return s, tf, vocab
 
 

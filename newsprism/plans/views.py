@@ -34,8 +34,9 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Closed-form scores for metric checks: p = min(length(text), 9999) / 10000,
-    prediction = p >= 0.5; ties occur for equal lengths."""
-    s = split_articles(spark, sf)
+    prediction = p >= 0.5; ties occur for equal lengths. Built on the
+    materialised split, since metric queries read it several times."""
+    s = split_articles(spark, sf, materialize=True)
     p = F.least(F.length("text"), F.lit(9999)).cast("double") / F.lit(10000.0)
     return s.select("row_id", "split", "label", p.alias("p"),
                     (p >= 0.5).cast("int").alias("prediction"))
@@ -78,7 +79,7 @@ def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int
     from newsprism.operators import terms as tm
     s = split_articles(spark, sf, materialize=True)
     tf = tm.term_frequencies(s, "content", keep=("split", "label"))
-    vocab = tm.vocabulary(tf.filter(F.col("split") == "train"), min_df, max_features)
+    vocab = tm.vocabulary(tf, min_df, max_features, rows=F.col("split") == "train")
     n_train = s.filter(F.col("split") == "train").count()
     x = tm.tfidf_long(tf, vocab, n_train, keep=("split", "label"))
     return s, tf, vocab, x

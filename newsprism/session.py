@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably into the shared checkpoint folder.
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder.
 
-    Reliable checkpoints survive executor loss (unlike cached or locally
-    checkpointed blocks), which matters for iterative fits that re-read the
-    same features many times.
+    The table survives executor loss (unlike cached or locally checkpointed
+    blocks), is written by a single job (``checkpoint()`` re-runs the last
+    stage to write), and later reads get column pruning and pushed filters.
+    Iterative fits and multi-job queries re-read it instead of re-tokenising.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
