@@ -133,18 +133,17 @@ def top_terms_per_class(df: DataFrame, text_col: str, k: int = 20, ngram_range:
                         domain: Sequence[int] = LABEL_DOMAIN) -> DataFrame:
     """(label, term, frequency): the k most frequent terms of every class.
 
-    One ``orderBy(...).limit(k)`` per class (a bounded TakeOrderedAndProject)
-    instead of a window partitioned by label, which would put a whole class's
-    vocabulary into one task.
+    One count per (label, term), then ``row_number`` per label with a limit.
+    Spark plans a partial WindowGroupLimit before the shuffle by label, so
+    every map task sends at most k rows per label: no task ever receives a
+    class's whole vocabulary, and the corpus is scanned and de-duplicated once
+    for all classes.
     """
-    terms = df.select("label", F.explode(analyzed_terms(text_col, ngram_range, stop_words)).alias("term"))
+    terms = (df.filter(F.col("label").isin(*domain))
+             .select("label", F.explode(analyzed_terms(text_col, ngram_range, stop_words)).alias("term")))
     counts = terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("frequency"))
-    parts = [counts.filter(F.col("label") == v).orderBy(F.desc("frequency"), F.asc("term")).limit(k)
-             for v in domain]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    w = Window.partitionBy("label").orderBy(F.desc("frequency"), F.asc("term"))
+    return counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
 def fisher_terms(df: DataFrame, text_col: str, min_df: int = 5, max_features: int = 20000,
