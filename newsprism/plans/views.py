@@ -75,14 +75,16 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int = 20000):
     """Split articles, their long-form TF (with split and label), the train
-    vocabulary and the long-form TF-IDF of every row (fitted on train)."""
+    vocabulary, the long-form TF-IDF of every row (fitted on train) and the
+    train rows per label (one bounded collect)."""
     from newsprism.operators import terms as tm
     s = split_articles(spark, sf, materialize=True)
     tf = tm.term_frequencies(s, "content", keep=("split", "label"))
     vocab = tm.vocabulary(tf, min_df, max_features, rows=F.col("split") == "train")
-    n_train = s.filter(F.col("split") == "train").count()
-    x = tm.tfidf_long(tf, vocab, n_train, keep=("split", "label"))
-    return s, tf, vocab, x
+    sizes = {r["label"]: r["count"] for r in
+             s.filter(F.col("split") == "train").groupBy("label").count().collect()}
+    x = tm.tfidf_long(tf, vocab, sum(sizes.values()), keep=("split", "label"))
+    return s, tf, vocab, x, sizes
 
 
 def log_odds_coefficients(spark: SparkSession, sf: str):
@@ -90,13 +92,14 @@ def log_odds_coefficients(spark: SparkSession, sf: str):
     operators have a SQL oracle: coef = ln((df1+1)/(n1+2)) - ln((df0+1)/(n0+2))
     with df_k the class-k train documents containing the term; intercept =
     ln(n1/n0). Returns (coefficients, intercept, tfidf_long)."""
-    s, tf, vocab, x = train_tfidf(spark, sf)
-    sizes = {r["label"]: r["count"] for r in
-             s.filter(F.col("split") == "train").groupBy("label").count().collect()}
+    s, tf, vocab, x, sizes = train_tfidf(spark, sf)
     n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    per = (tf.filter(F.col("split") == "train").join(F.broadcast(vocab.select("term", "feature_index")), "term")
+    # conditional counts keep the tf subtree identical to the TF-IDF branch (one tokenisation)
+    train = F.col("split") == "train"
+    per = (tf.join(F.broadcast(vocab.select("term", "feature_index")), "term")
            .groupBy("term", "feature_index")
-           .agg(F.count_if(F.col("label") == 0).alias("df0"), F.count_if(F.col("label") == 1).alias("df1")))
+           .agg(F.count_if(train & (F.col("label") == 0)).alias("df0"),
+                F.count_if(train & (F.col("label") == 1)).alias("df1")))
     coef = (F.log((F.col("df1") + 1.0) / F.lit(n1 + 2.0)) - F.log((F.col("df0") + 1.0) / F.lit(n0 + 2.0)))
     import math
     intercept = math.log(n1 / n0) if n0 > 0 and n1 > 0 else 0.0
