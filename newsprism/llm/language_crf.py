@@ -278,7 +278,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             for lang, text in zip(batch["lang"], batch["text"]):
                 words = [w for w in map(letters, text.lower().split()) if w]
                 found += [(str(lang), w) for w in stretches(words, CHAIN, STRETCHES_PER_DOC)]
-            yield pd.DataFrame(found, columns=["lang", "words"])
+            yield pd.DataFrame(found, columns=["lang", "words"], dtype=object)
     sample = chosen.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     return train([(r["lang"], list(r["words"])) for r in sample.mapInPandas(cut, "lang string, words array<string>").collect()])
 
@@ -292,13 +292,13 @@ def predict_column(model: Model | None, df: DataFrame, text: Column) -> Column:
         learned = shared.value
         for batch in batches:
             if learned is None:
-                yield pd.DataFrame({"lang_pred": [UNDETERMINED] * len(batch), "score": 0.0})
+                yield pd.DataFrame({"lang_pred": np.full(len(batch), UNDETERMINED, dtype=object), "score": 0.0})
                 continue
             means = _tagger(learned).means(list(batch))
             best = means.argmax(axis=1)
             top = np.clip(means.max(axis=1), 0.0, 1.0)
-            yield pd.DataFrame({"lang_pred": [learned.langs[b] if s > 0 else UNDETERMINED for b, s in zip(best, top)],
-                                "score": top})
+            names = [learned.langs[b] if s > 0 else UNDETERMINED for b, s in zip(best, top)]
+            yield pd.DataFrame({"lang_pred": np.array(names, dtype=object), "score": top})
     return predict(text)
 
 

@@ -6,8 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.llm import byte_bpe, language_crf, packing, quality_embed, quality_rules, secret_scan, simhash_dedup
-from newsprism.llm.common import read_table
+from newsprism.llm import (byte_bpe, language_crf, lm_difference, packing, quality_embed, quality_rules, secret_scan,
+                           simhash_dedup, topk_threshold, warc_derivatives)
+from newsprism.llm.common import pick, read_table
+
+
+def op1_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_threshold.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +39,16 @@ def op5_quality_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_embed.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(read_table(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
+    responses = pages.select("page_id", "url", warc_derivatives.response_id(F.col("page_id"), F.col("url")).alias("id"),
+                             F.lit("1970-01-01T00:00:00Z").alias("date"),
+                             warc_derivatives.response_block(F.col("html")).alias("block"))
+    return warc_derivatives.derivatives(responses, "page_id", "id", "url", "date", "block").select(
+        F.col("key").cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri",
+        "content_length", "block_digest", "source_block_digest", "source_payload_digest", "block")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -46,17 +61,25 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op9_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = pick(read_table(spark, sf_dir, "labels"), id="doc_id", quality="quality").where("quality = 1")
+    return lm_difference.score(read_table(spark, sf_dir, "documents"), good)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 REGISTRY = {
+    "op1_topk_threshold": op1_topk_threshold,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_crf": op3_language_crf,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_embed": op5_quality_embed,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_quality_rules": op7_quality_rules,
     "op8_cost_packing": op8_cost_packing,
+    "op9_lm_difference": op9_lm_difference,
     "op10_simhash_dedup": op10_simhash_dedup,
 }

@@ -38,6 +38,8 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 GROUPS = 6
 BLOCK = 1024
+#: A fingerprint is hot beyond this many rows and beyond one row in this many of all.
+HOT_ROWS, HOT_SHARE = 100, 1000
 
 
 def _fingerprint(text: str | None, shingle_words: int) -> int:
@@ -152,17 +154,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(own.select("doc_id", F.xxhash64("text").alias("text_hash"),
                                   fingerprint_column(F.col("text"), shingle_words).alias("fp")))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
     tree = stars(links(nodes.select("fp"), max_bits, groups))
     linked = tree.unionByName(tree.select(F.col("root").alias("member"), "root").distinct())
     linked = linked.join(nodes, linked["member"] == nodes["fp"]).select("fp", "root", "least_id")
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = linked.join(ids, "root").select("fp", "root", "component_id")
     answer = (nodes.join(linked, "fp", "left")
-              .select("fp", F.coalesce("root", "fp").alias("root"),
+              .select("fp", "rows", F.coalesce("root", "fp").alias("root"),
                       F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id"))
                       .alias("component_id")))
-    return rows.join(answer, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return _by_fingerprint(rows, answer)
+
+
+def _by_fingerprint(rows: DataFrame, answer: DataFrame) -> DataFrame:
+    """``rows`` with what ``answer`` says of their fingerprints.
+
+    Fingerprints of more than a thousandth of all rows (under a thousand, so small
+    enough to broadcast) are answered where their rows lie; the others by a shuffle.
+    """
+    crowd = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    answer = cut_lineage(answer)
+    columns = ["doc_id", "text_hash", "fp", "root", "component_id"]
+    hot = F.broadcast(answer.where(F.col("rows") > crowd).drop("rows"))
+    calm = answer.where(F.col("rows") <= crowd).drop("rows")
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(calm, "fp")
+    return rows.join(hot, "fp").select(columns).unionByName(rest.select(columns))
 
 
 def hex_fingerprint(fp: Column) -> Column:
