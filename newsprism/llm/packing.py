@@ -17,6 +17,7 @@ in the same order when read again, as a table scan does.
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ END_ID = 1
 #: Tokens of rests that one buffer gathers before it is packed.
 BUFFER_TOKENS = 1 << 20
 #: Words whose ids one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -60,7 +61,7 @@ class WordTokens:
             for i in range(0, len(new), 50_000):
                 part = new[i:i + 50_000]
                 for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[word] = np.array(e.ids, dtype="<u4").tobytes()
+                    known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 if words is None else b"".join(map(known.__getitem__, words))
                 for t, words in zip(texts, split)]
