@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from newsprism.llm.common import pick
 
 #: Pre-tokens that one Python worker remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Rows whose results a worker holds at once.
+SLICE = 256
 #: Only pre-tokens up to this many bytes are remembered.
 REMEMBERED_BYTES = 64
 
@@ -151,10 +154,20 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     Special-token strings are ordinary text. Null and empty texts give no ids and
     empty bytes; ids may be null; repeated rows each return a row; an empty table
-    gives an empty result. Scan and projection only, no shuffle.
+    gives an empty result. Scan and one pass of the workers, no shuffle; results
+    leave a worker SLICE rows at a time.
     """
-    spark = df.sparkSession
-    rows = pick(df, doc_id=id_col, text=text_col)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       encode_column(spark, F.col("text").cast("string"), ranks_path, pattern).alias("ids"))
-    return rows.withColumn("decoded", decode_column(spark, F.col("ids"), ranks_path, pattern))
+    model = df.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(ranks_path)))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model.value, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                ids = [codec.encode(t or "") for t in rows.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())],
+                    names=["doc_id", "ids", "decoded"])
+
+    rows = pick(df, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return rows.mapInArrow(both, "doc_id long, ids binary, decoded binary")
