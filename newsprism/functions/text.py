@@ -37,8 +37,9 @@ SYSTEM_PROMPT = (
 )
 USER_PROMPT_PREFIX = "Classify the following news article.\n\nARTICLE:\n"
 LABEL_NAMES = {0: "Fake", 1: "Real"}
-# Accepted date layouts, tried in order (pandas "mixed" parsing of the corpus).
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d-MMM-yy")
+# Accepted date layouts, tried in order; numeric dates are month first.
+DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d-MMM-yy", "yyyy-MM-dd", "M/d/yyyy", "d MMMM yyyy", "d MMM yyyy",
+                "d-MMM-yyyy", "yyyy/M/d", "yyyy-MM-dd HH:mm:ss")
 
 
 def _c(col) -> Column:
@@ -101,11 +102,13 @@ def parse_date(col) -> Column:
     Two-digit years follow the POSIX pivot: 69-99 -> 19xx, 00-68 -> 20xx.
     """
     s = strip(_c(col))
-    full = F.to_date(F.try_to_timestamp(s, F.lit(DATE_FORMATS[0])))
-    short = F.to_date(F.try_to_timestamp(s, F.lit(DATE_FORMATS[1])))
-    two = F.to_date(F.try_to_timestamp(s, F.lit(DATE_FORMATS[2])))
-    two = F.when(F.year(two) >= 2069, F.make_date(F.year(two) - 100, F.month(two), F.dayofmonth(two))).otherwise(two)
-    return F.coalesce(full, short, two)
+    tried = []
+    for layout in DATE_FORMATS:
+        day = F.to_date(F.try_to_timestamp(s, F.lit(layout)))
+        if "yyyy" not in layout:
+            day = F.when(F.year(day) >= 2069, F.make_date(F.year(day) - 100, F.month(day), F.dayofmonth(day))).otherwise(day)
+        tried.append(day)
+    return F.coalesce(*tried)
 
 
 def decode_label(col) -> Column:

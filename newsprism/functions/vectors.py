@@ -45,11 +45,12 @@ def smoothed_cross_entropy(logits, label, epsilon: float = 0.05) -> Column:
 
 
 def mean_pool(hidden, mask) -> Column:
-    """sum_t(hidden[t] * mask[t]) / max(sum_t mask[t], 1e-9), per dimension."""
+    """sum_t(hidden[t] * mask[t]) / max(sum_t mask[t], 1e-9), per dimension; no tokens give an empty vector."""
     h = _c(hidden)
     m = _c(mask)
     denom = F.greatest(F.aggregate(m, F.lit(0.0), lambda a, v: a + v.cast("double")), F.lit(1e-9))
-    dims = F.sequence(F.lit(0), F.size(F.element_at(h, 1)) - 1)
+    width = F.coalesce(F.size(F.get(h, F.lit(0))), F.lit(0))
+    dims = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(
         dims,
         lambda d: F.aggregate(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsprism.functions import text as tx
 
+# The text columns of an article.
 TEXT_FIELDS = ("title", "text", "subject", "date")
 
 
@@ -20,20 +21,20 @@ def normalize_text_fields(df: DataFrame, columns: Sequence[str] = TEXT_FIELDS) -
 
 def dedup_articles(df: DataFrame, keys: Sequence[str] = ("title", "text"),
                    order_col: str = "row_id") -> DataFrame:
-    """Keep the first row (lowest ``order_col``) of every distinct key tuple.
+    """Keep the first row (lowest ``order_col``, which names a row) of every distinct key tuple.
 
-    Grouping is on SHA-256 digests of the (possibly very long) key strings, and
-    ``min_by`` is a partial aggregate: a key holding a third of all rows is
-    collapsed map-side before the shuffle, so no task receives the hot group.
+    Only digests of the (possibly very long) keys and row ids are grouped, with
+    partial counts and minima, so a key holding a third of all rows collapses before
+    the shuffle. The ids of the later copies are then anti joined: with few copies
+    the planner broadcasts them and no text is shuffled.
     """
-    digest_cols = [F.sha2(F.coalesce(F.col(k).cast("string"), F.lit("")), 256).alias(f"_h{i}")
-                   for i, k in enumerate(keys)]
-    null_flags = [F.col(k).isNull().alias(f"_n{i}") for i, k in enumerate(keys)]
-    columns = df.columns
-    grouped = (df.select(*digest_cols, *null_flags, F.struct(*columns).alias("_row"))
-               .groupBy(*[f"_h{i}" for i in range(len(keys))], *[f"_n{i}" for i in range(len(keys))])
-               .agg(F.min_by("_row", F.col(f"_row.{order_col}")).alias("_row")))
-    return grouped.select("_row.*")
+    hashes = [f"_h{i}" for i in range(len(keys))]
+    keyed = df.select(F.col(order_col).alias("_id"), *[
+        F.coalesce(F.sha2(F.col(k).cast("string"), 256), F.lit("")).alias(h) for k, h in zip(keys, hashes)])
+    repeated = (keyed.groupBy(*hashes).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                .where("_n > 1").drop("_n"))
+    later = keyed.join(repeated, hashes).where("_id > _first").select(F.col("_id").alias(order_col))
+    return df.join(later, order_col, "left_anti").select(*df.columns)
 
 
 def add_derived_columns(df: DataFrame) -> DataFrame:

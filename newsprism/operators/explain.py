@@ -1,20 +1,23 @@
 """Explanations of linear text models: coefficient tables and per-row contributions.
 
 Contributions are computed for every row at once: the long-form TF-IDF
-``(row_id, term, tfidf)`` is joined with the coefficient table (bounded by the
-vocabulary size, so broadcast), and the top-n per row uses a window
-partitioned by row id (one document's terms per group).
+``(row_id, term, tfidf)`` is joined with the coefficient table (the planner
+broadcasts it if small), and the top-n per row uses a window partitioned by row
+id (one document's terms per group). Rows without any feature stay.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsprism.operators import terms as tm
+from newsprism.operators.models import TermAnalyzer
+
 
 def coefficient_table(spark: SparkSession, model: PipelineModel) -> tuple[DataFrame, float]:
     """(term, feature_index, coefficient) and the intercept of a fitted text pipeline.
@@ -29,48 +32,85 @@ def coefficient_table(spark: SparkSession, model: PipelineModel) -> tuple[DataFr
     return df, float(lr.intercept)
 
 
+def feature_table(model: PipelineModel, df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """Long-form features (id, term, tfidf) of a fitted text pipeline over any frame with its text column.
+
+    The model's analyzer counts terms in the rows; its idf weights are joined by term.
+    """
+    analyzer = next(s for s in model.stages if isinstance(s, TermAnalyzer))
+    cv = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
+    scale = next(s for s in model.stages if isinstance(s, ElementwiseProduct))
+    weights = scale.getScalingVec().toArray().tolist()
+    idf = df.sparkSession.createDataFrame([(t, i, w) for i, (t, w) in enumerate(zip(cv.vocabulary, weights))],
+                                          "term string, feature_index int, idf double")
+    terms = analyzer.transform(df).select(id_col, F.inline(tm.counted(F.col(analyzer.getOutputCol()))))
+    return tm.weighted(terms, idf, id_col).select(id_col, "term", "tfidf")
+
+
 def feature_coef_join(tfidf: DataFrame, coefficients: DataFrame, id_col: str = "row_id") -> DataFrame:
     """(id, term, tfidf, coefficient, contribution) for every active feature of every row."""
-    coefs = F.broadcast(coefficients.select("term", "coefficient"))
+    coefs = coefficients.select("term", "coefficient")
     return (tfidf.join(coefs, "term", "inner")
             .select(id_col, "term", "tfidf", "coefficient",
                     (F.col("tfidf") * F.col("coefficient")).alias("contribution")))
 
 
-def prediction_contributions(tfidf: DataFrame, coefficients: DataFrame, top_n: int = 15,
-                             id_col: str = "row_id") -> DataFrame:
-    """The ``top_n`` features of each row by |contribution| (ties by term)."""
-    c = feature_coef_join(tfidf, coefficients, id_col)
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), F.asc("term"))
-    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-
-
-def decision_scores(tfidf: DataFrame, coefficients: DataFrame, intercept: float,
+def decision_scores(rows: DataFrame, tfidf: DataFrame, coefficients: DataFrame, intercept: float,
                     id_col: str = "row_id") -> DataFrame:
-    """intercept + sum of contributions per row (equals the model's raw score);
-    rows without any vocabulary term get the intercept alone only if listed in
-    ``tfidf`` — callers left-join their row set when they need every row."""
-    c = feature_coef_join(tfidf, coefficients, id_col)
-    return c.groupBy(id_col).agg(
-        (F.lit(intercept) + F.sum("contribution")).alias("decision_score"),
-        F.count_if(F.col("contribution") > 0).alias("n_toward_real"),
-        F.count_if(F.col("contribution") < 0).alias("n_toward_fake"))
+    """One row for every row of ``rows``: intercept + sum of contributions (the model's raw score), the
+    probability of class 1, the class, and how many features push either way.
+
+    A row without any vocabulary term scores the intercept alone.
+    """
+    c = feature_coef_join(tfidf, coefficients, id_col).groupBy(id_col).agg(
+        F.sum("contribution").alias("_sum"), F.count_if(F.col("contribution") > 0).alias("_real"),
+        F.count_if(F.col("contribution") < 0).alias("_fake"))
+    score = F.lit(float(intercept)) + F.coalesce("_sum", F.lit(0.0))
+    scored = rows.select(id_col).join(c, id_col, "left").withColumn("decision_score", score)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("decision_score")))
+    return scored.select(id_col, "decision_score", p.alias("p_real"), (F.lit(1.0) - p).alias("p_fake"),
+                         (F.col("decision_score") > 0).cast("int").alias("prediction"),
+                         F.coalesce("_real", F.lit(0)).alias("n_toward_real"),
+                         F.coalesce("_fake", F.lit(0)).alias("n_toward_fake"))
+
+
+def prediction_contributions(rows: DataFrame, tfidf: DataFrame, coefficients: DataFrame, intercept: float,
+                             top_n: int = 15, id_col: str = "row_id") -> DataFrame:
+    """For every row its class and both probabilities, and its ``top_n`` features by |contribution| (ties by term).
+
+    A row without features keeps one line, whose rank and feature columns are null.
+    """
+    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), F.asc("term"))
+    c = feature_coef_join(tfidf, coefficients, id_col).withColumn("rank", F.row_number().over(w))
+    scores = decision_scores(rows, tfidf, coefficients, intercept, id_col)
+    return (scores.select(id_col, "prediction", "p_fake", "p_real")
+            .join(c.filter(F.col("rank") <= top_n), id_col, "left"))
 
 
-def explain_decision(tfidf: DataFrame, coefficients: DataFrame, top_n: int = 15,
+def explain_decision(rows: DataFrame, tfidf: DataFrame, coefficients: DataFrame, intercept: float, top_n: int = 15,
                      id_col: str = "row_id") -> DataFrame:
-    """Per row: features pushing toward class 1 (contribution > 0) and toward
-    class 0 (< 0), each ranked by magnitude: (id, direction, rank, term, contribution)."""
+    """Per row its decision score, and the features pushing toward class 1 (contribution > 0) and toward
+    class 0 (< 0), each ranked by magnitude: (id, decision_score, direction, rank, term, contribution).
+
+    A row without features keeps one line, whose direction, rank and feature are null.
+    """
     c = feature_coef_join(tfidf, coefficients, id_col).filter(F.col("contribution") != 0)
     direction = F.when(F.col("contribution") > 0, F.lit("real")).otherwise(F.lit("fake"))
     c = c.withColumn("direction", direction)
     w = Window.partitionBy(id_col, "direction").orderBy(F.desc(F.abs("contribution")), F.asc("term"))
-    return (c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-            .select(id_col, "direction", "rank", "term", "contribution"))
+    c = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    scores = decision_scores(rows, tfidf, coefficients, intercept, id_col).select(id_col, "decision_score")
+    return scores.join(c.select(id_col, "direction", "rank", "term", "contribution"), id_col, "left")
+
+
+def explain_rows(model: PipelineModel, df: DataFrame, top_n: int = 15, id_col: str = "row_id") -> DataFrame:
+    """``prediction_contributions`` of a fitted text pipeline over every row of ``df``."""
+    coefficients, intercept = coefficient_table(df.sparkSession, model)
+    return prediction_contributions(df, feature_table(model, df, id_col), coefficients, intercept, top_n, id_col)
 
 
 def top_terms_global(coefficients: DataFrame, k: int = 15) -> DataFrame:
-    """k most negative (toward class 0) and k most positive (toward class 1) terms."""
+    """k most negative (toward class 0) and k most positive (toward class 1) terms; ``coefficients`` is read twice."""
     fake = (coefficients.orderBy(F.asc("coefficient"), F.asc("term")).limit(k)
             .select(F.lit("fake").alias("direction"), "term", "coefficient"))
     real = (coefficients.orderBy(F.desc("coefficient"), F.asc("term")).limit(k)

@@ -34,11 +34,11 @@ def class_share(df: DataFrame, percent: bool = False) -> DataFrame:
 def counts_reindexed(df: DataFrame, domain: Sequence[int] = LABEL_DOMAIN) -> DataFrame:
     """Label counts forced onto the label domain; a missing label keeps a null count.
 
-    The domain side is a literal of len(domain) rows, so the broadcast is bounded.
+    Both sides hold one row per label.
     """
     spark = df.sparkSession
     dom = spark.createDataFrame([(int(v),) for v in domain], "label int")
-    return F.broadcast(dom).join(class_counts(df), "label", "left")
+    return dom.join(class_counts(df), "label", "left")
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

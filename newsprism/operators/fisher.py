@@ -11,27 +11,20 @@ from newsprism.functions.reshape import rows_from
 
 
 def fisher_numeric(df: DataFrame, features: Sequence[str], label_col: str = "label") -> DataFrame:
-    """One scan with conditional sums per class, then one row per feature.
+    """One scan with conditional means and population variances, then one row per feature.
 
-    Variances come from sums of x and x^2 (exact for integer features),
-    a zero denominator scores 0. Output: (feature, fisher_score).
+    A zero denominator (constant in both classes) scores 0. Output: (feature, fisher_score).
     """
     aggs = []
     for i, f in enumerate(features):
-        x = F.col(f).cast("double")
         for v in (0, 1):
-            sel = F.col(label_col) == v
-            aggs += [F.sum(F.when(sel, x)).alias(f"s{i}_{v}"),
-                     F.sum(F.when(sel, x * x)).alias(f"q{i}_{v}")]
-    aggs += [F.count_if(F.col(label_col) == v).cast("double").alias(f"n_{v}") for v in (0, 1)]
+            own = F.when(F.col(label_col) == v, F.col(f).cast("double"))
+            aggs += [F.avg(own).alias(f"m{i}_{v}"), F.var_pop(own).alias(f"v{i}_{v}")]
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(features):
-        m0 = F.col(f"s{i}_0") / F.col("n_0")
-        m1 = F.col(f"s{i}_1") / F.col("n_1")
-        v0 = F.col(f"q{i}_0") / F.col("n_0") - m0 * m0
-        v1 = F.col(f"q{i}_1") / F.col("n_1") - m1 * m1
-        den = v0 + v1
-        score = F.when(den == 0, F.lit(0.0)).otherwise((m0 - m1) * (m0 - m1) / den)
+        apart = F.col(f"m{i}_0") - F.col(f"m{i}_1")
+        spread = F.col(f"v{i}_0") + F.col(f"v{i}_1")
+        score = F.when(spread == 0, F.lit(0.0)).otherwise(apart * apart / spread)
         rows.append({"feature": F.lit(f), "fisher_score": F.round(score, 6)})
     return rows_from(wide, rows)

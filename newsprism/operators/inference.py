@@ -1,7 +1,7 @@
 """Batch inference with user-supplied encoders and generators.
 
 The model is never part of this package: callers pass a factory that builds it
-once per Python worker. Encoders run through ``predict_batch_udf`` (Arrow
+once per Python worker (later tasks of the worker find it built). Encoders run through ``predict_batch_udf`` (Arrow
 batches of ``batch_size`` rows); generators through ``mapInPandas`` with
 per-row error capture, so a failing article yields an ``error`` row instead of
 failing the job.
@@ -10,6 +10,7 @@ failing the job.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,17 @@ def hashing_encoder_factory(dim: int = 64, seed: int = 42) -> Callable[[], Encod
 GENERATION_SCHEMA = "row_id long, true_label int, answer string, latency_seconds double, error string"
 
 
+_GENERATORS: dict[str, Generator] = {}
+
+
+def _generator(key: str, make_generator: Callable[[], Generator]) -> Generator:
+    """The worker's generator, built by the first task that needs it."""
+    if key not in _GENERATORS:
+        _GENERATORS.clear()
+        _GENERATORS[key] = make_generator()
+    return _GENERATORS[key]
+
+
 def batch_zero_shot(df: DataFrame, make_generator: Callable[[], Generator], *, content_col: str = "content",
                     label_col: str = "label", id_col: str = "row_id") -> DataFrame:
     """Ask the generator for every article; record answer, latency and errors,
@@ -65,8 +77,10 @@ def batch_zero_shot(df: DataFrame, make_generator: Callable[[], Generator], *, c
     prompts = df.select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("true_label"),
                         tx.build_prompt(content_col).alias("messages"))
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = make_generator()
+        generate = _generator(key, make_generator)
         for pdf in batches:
             answers, latencies, errors = [], [], []
             for messages in pdf["messages"]:

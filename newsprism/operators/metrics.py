@@ -20,8 +20,8 @@ from newsprism.session import cut_lineage
 # Fixed value: float64 machine epsilon, the probability clip of the log loss.
 LOG_LOSS_EPS = 2.220446049250313e-16
 
-BASE_METRICS = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "mcc")
-WEIGHTED_METRICS = ("precision_weighted", "recall_weighted", "f1_weighted")
+#: Epochs that one training run may have in ``select_best_run``.
+MAX_EPOCHS = 100_000
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -30,14 +30,18 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 def binary_counts(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
                   group_cols: Sequence[str] = (), prob_col: str | None = None) -> DataFrame:
-    """One row per group: tp, tn, fp, fn (class 1 positive) and optionally the log-loss sum."""
+    """One row per group: tp, tn, fp, fn (class 1 positive) and optionally the log-loss sum.
+
+    Rows whose label lies outside {0, 1} (or is null) count nowhere.
+    """
     y, yhat = F.col(label_col), F.col(pred_col)
     aggs = [F.count_if((y == 1) & (yhat == 1)).alias("tp"), F.count_if((y == 0) & (yhat == 0)).alias("tn"),
             F.count_if((y == 0) & (yhat == 1)).alias("fp"), F.count_if((y == 1) & (yhat == 0)).alias("fn")]
     if prob_col:
         p_true = F.when(y == 1, F.col(prob_col)).otherwise(1.0 - F.col(prob_col))
         clipped = F.greatest(F.least(p_true, F.lit(1.0 - LOG_LOSS_EPS)), F.lit(LOG_LOSS_EPS))
-        aggs += [F.sum(-F.log(clipped)).alias("_ll_sum"), F.count(F.lit(1)).alias("_ll_n")]
+        known = y.isin(0, 1) & F.col(prob_col).isNotNull()
+        aggs += [F.sum(F.when(known, -F.log(clipped))).alias("_ll_sum"), F.count_if(known).alias("_ll_n")]
     gb = df.groupBy(*group_cols) if group_cols else df.groupBy()
     return gb.agg(*aggs)
 
@@ -51,9 +55,21 @@ def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "predicti
     return out.select(*group_cols, F.col("label").cast("int"), F.col("prediction").cast("int"), "count")
 
 
+def _class_columns() -> tuple[Column, ...]:
+    """Counts as doubles, so that products of large counts cannot overflow."""
+    return tuple(F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
+
+
+def _macro(of_0: Column, of_1: Column) -> Column:
+    """Mean over the classes present in truth or prediction."""
+    tp, tn, fp, fn = _class_columns()
+    in_0, in_1 = (tn + fp + fn > 0).cast("int"), (tp + fp + fn > 0).cast("int")
+    return _safe_div(of_0 * in_0 + of_1 * in_1, in_0 + in_1)
+
+
 def metric_columns(weighted: bool = False) -> dict[str, Column]:
     """Closed forms over tp/tn/fp/fn with zero_division = 0."""
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    tp, tn, fp, fn = _class_columns()
     n = tp + tn + fp + fn
     s1, s0 = tp + fn, tn + fp                      # support per true class
     p1, p0 = _safe_div(tp, tp + fp), _safe_div(tn, tn + fn)
@@ -61,15 +77,14 @@ def metric_columns(weighted: bool = False) -> dict[str, Column]:
     f1_1, f1_0 = _safe_div(2 * tp, 2 * tp + fp + fn), _safe_div(2 * tn, 2 * tn + fn + fp)
     present = (s1 > 0).cast("int") + (s0 > 0).cast("int")
     bal = _safe_div(F.when(s1 > 0, r1).otherwise(0.0) + F.when(s0 > 0, r0).otherwise(0.0), present)
-    den = F.sqrt((tp + fp).cast("double") * (tp + fn) * (tn + fp) * (tn + fn))
-    mcc = F.when(den == 0, F.lit(0.0)).otherwise(((tp * tn).cast("double") - (fp * fn).cast("double")) / den)
+    den = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
     cols = {
         "accuracy": _safe_div(tp + tn, n),
         "balanced_accuracy": bal,
-        "precision_macro": (p0 + p1) / 2.0,
-        "recall_macro": (r0 + r1) / 2.0,
-        "f1_macro": (f1_0 + f1_1) / 2.0,
-        "mcc": mcc,
+        "precision_macro": _macro(p0, p1),
+        "recall_macro": _macro(r0, r1),
+        "f1_macro": _macro(f1_0, f1_1),
+        "mcc": _safe_div(tp * tn - fp * fn, den),
     }
     if weighted:
         cols["precision_weighted"] = _safe_div(p0 * s0 + p1 * s1, n)
@@ -85,29 +100,23 @@ def _long(wide: DataFrame, group_cols: Sequence[str], names: Sequence[str]) -> D
 
 
 def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "p",
-            group_cols: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+            group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC (ties count 1/2) per group: (*group, roc_auc); null if a class is absent.
 
     AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N) over distinct scores s.
-    No window spans a whole group: distinct scores are bucketed by approximate
-    quantiles (a bounded edge array per group), bucket totals are prefix-summed
-    on a table of groups x buckets rows, and only the per-bucket remainder is
-    a window. A score shared by a third of all rows is a single row after the
-    first aggregation. That (group, score) table feeds three branches, so it
-    is written once to the shared checkpoint folder instead of re-deriving the
-    input three times.
+    Distinct (group, score) rows are range partitioned, so every partition holds a
+    stretch of scores; its totals are prefix-summed over the partitions (a table of
+    groups x partitions rows) and only the rest is a window inside a partition. A
+    score shared by a third of all rows is a single row after the first aggregation.
+    The range-partitioned table feeds both, so it is written once to the shared folder.
     """
     g = list(group_cols) or ["_g"]
     base = df if group_cols else df.withColumn("_g", F.lit(0))
     y = F.col(label_col)
-    dist = cut_lineage(base.groupBy(*g, score_col).agg(F.count_if(y == 1).alias("_pos"),
-                                                       F.count_if(y == 0).alias("_neg")))
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = dist.groupBy(*g).agg(F.percentile_approx(score_col, probs, 10 * buckets).alias("_edges"))
-    sc = F.col(score_col)
-    binned = (dist.join(F.broadcast(edges), g)
-              .withColumn("_b", F.size(F.filter("_edges", lambda e: e < sc))).drop("_edges"))
-    totals = binned.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"), F.sum("_pos").alias("_bpos"))
+    dist = base.where(F.col(score_col).isNotNull()).groupBy(*g, score_col).agg(
+        F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
+    dist = cut_lineage(dist.repartitionByRange(*g, score_col).withColumn("_b", F.spark_partition_id()))
+    totals = dist.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"), F.sum("_pos").alias("_bpos"))
     by_group = Window.partitionBy(*g)
     offsets = totals.select(
         *g, "_b",
@@ -115,10 +124,13 @@ def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "p",
                    F.lit(0)).alias("_off"),
         F.sum("_bpos").over(by_group).alias("_P"), F.sum("_bneg").over(by_group).alias("_N"))
     within = Window.partitionBy(*g, "_b").orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
-    scored = (binned.join(F.broadcast(offsets), g + ["_b"])
-              .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(within), F.lit(0))))
-    part = F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)
-    out = scored.groupBy(*g).agg(F.sum(part).alias("_s"), F.first("_P").alias("_P"), F.first("_N").alias("_N"))
+    below = F.coalesce(F.sum("_neg").over(within), F.lit(0))
+    part = F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2.0)
+    inside = (dist.withColumn("_below", below).groupBy(*g, "_b")
+              .agg(F.sum(part).alias("_s"), F.sum("_pos").alias("_here")))
+    out = inside.join(offsets, g + ["_b"]).groupBy(*g).agg(
+        F.sum(F.col("_s") + F.col("_here").cast("double") * F.col("_off")).alias("_s"),
+        F.first("_P").alias("_P"), F.first("_N").alias("_N"))
     auc = F.when((F.col("_P") == 0) | (F.col("_N") == 0), F.lit(None).cast("double")).otherwise(
         F.col("_s") / (F.col("_P").cast("double") * F.col("_N").cast("double")))
     return out.select(*group_cols, F.round(auc, 6).alias("roc_auc"))
@@ -133,7 +145,13 @@ def log_loss(df: DataFrame, label_col: str = "label", prob_col: str = "p",
 def classification_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
                            prob_col: str | None = "p", group_cols: Sequence[str] = (),
                            weighted: bool = False) -> DataFrame:
-    """accuracy, balanced accuracy, macro P/R/F1, MCC (+ weighted), ROC-AUC, log loss."""
+    """accuracy, balanced accuracy, macro P/R/F1, MCC (+ weighted), ROC-AUC, log loss.
+
+    With a probability the four columns needed are written once, as counts and
+    ROC-AUC both read them.
+    """
+    if prob_col:
+        df = cut_lineage(df.select(*group_cols, label_col, pred_col, prob_col))
     counts = binary_counts(df, label_col, pred_col, group_cols, prob_col)
     cols = metric_columns(weighted)
     if prob_col:
@@ -150,7 +168,7 @@ def classification_metrics(df: DataFrame, label_col: str = "label", pred_col: st
 def classification_report(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
     """Per-class precision/recall/f1/support plus accuracy, macro avg and weighted avg rows."""
     c = binary_counts(df, label_col, pred_col)
-    tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
+    tp, tn, fp, fn = _class_columns()
     n = tp + tn + fp + fn
     p1, p0 = _safe_div(tp, tp + fp), _safe_div(tn, tn + fn)
     r1, r0 = _safe_div(tp, tp + fn), _safe_div(tn, tn + fp)
@@ -163,7 +181,7 @@ def classification_report(df: DataFrame, label_col: str = "label", pred_col: str
 
     return rows_from(c, [row("0", p0, r0, f0, s0), row("1", p1, r1, f1, s1),
                          row("accuracy", F.lit(None).cast("double"), F.lit(None).cast("double"), _safe_div(tp + tn, n), n),
-                         row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+                         row("macro avg", _macro(p0, p1), _macro(r0, r1), _macro(f0, f1), n),
                          row("weighted avg", _safe_div(p0 * s0 + p1 * s1, n), _safe_div(r0 * s0 + r1 * s1, n),
                              _safe_div(f0 * s0 + f1 * s1, n), n)])
 
@@ -183,15 +201,46 @@ def train_val_gap(df: DataFrame, label_col: str = "label", pred_col: str = "pred
                   F.round(acc["train"] - acc["validation"], 6).alias("gap"))
 
 
+def value_at_rank(dist: DataFrame, col: str, count_col: str, rank: int, bins: int = 1024, direct: int = 10_000):
+    """The value at 0-based ``rank`` among (value, count) rows with distinct finite values.
+
+    The range that holds the rank is narrowed by one distributed histogram of
+    ``bins`` rows per round, until ``direct`` values or fewer are left to fetch.
+    """
+    inside, below = dist, 0
+    while True:
+        found = inside.agg(F.min(col), F.max(col), F.count(F.lit(1))).first()
+        low, high, n = found
+        if n <= direct:
+            for value, count in sorted(tuple(r) for r in inside.select(col, count_col).collect()):
+                below += count
+                if below > rank:
+                    return value
+            return high
+        at = F.least(F.floor((F.col(col) - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        counts = inside.groupBy(at.alias("b")).agg(F.sum(count_col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: r["b"]):
+            if below + r["n"] > rank:
+                inside = dist.where(F.col(col).between(r["lo"], r["hi"]))
+                break
+            below += r["n"]
+
+
 def latency_stats(df: DataFrame, col: str = "latency_seconds") -> DataFrame:
-    """mean / median / min / max in one aggregate over (value, count) pairs.
+    """mean / exact median / min / max over (value, count) pairs; nulls and NaN take no part.
 
-    The exact median's buffer then grows with distinct values, not rows, and
-    a hot value collapses in the partial aggregation before the shuffle.
+    A hot value collapses before the shuffle. The median is found by narrowing the
+    range of values in distributed rounds, so no task ever holds all of them.
     """
-    dist = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    x = F.col(col).cast("double")
+    dist = cut_lineage(df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias(col)).agg(F.count(F.lit(1)).alias("_n")))
+    total = dist.agg(F.sum("_n")).first()[0] or 0
+    median = None
+    if total:
+        middle = [value_at_rank(dist, col, "_n", k) for k in sorted({(total - 1) // 2, total // 2})]
+        median = sum(middle) / len(middle)
     return dist.agg(F.round(F.sum(F.col(col) * F.col("_n")) / F.sum("_n"), 6).alias("mean"),
-                    F.round(F.percentile(col, 0.5, F.col("_n")), 6).alias("median"),
+                    F.round(F.lit(median).cast("double"), 6).alias("median"),
                     F.min(col).alias("min"), F.max(col).alias("max"))
 
 
@@ -228,28 +277,36 @@ def ms_per_article(df: DataFrame, seconds_col: str = "latency_seconds") -> DataF
 
 def evaluate_zero_shot(details: DataFrame, label_col: str = "true_label", pred_col: str = "prediction",
                        latency_col: str = "latency_seconds") -> DataFrame:
-    """Metrics on parsed answers only, plus mean latency and valid/invalid counts.
+    """Metrics and the fixed-domain confusion on parsed answers only, plus mean latency and valid/invalid counts.
 
-    Raises when no answer could be parsed (one bounded count).
+    One pass over the details; raises when no answer could be parsed.
     """
-    valid = details.filter(F.col(pred_col).isNotNull())
-    if valid.isEmpty():
+    known, answered = F.col(label_col).isin(0, 1), F.col(pred_col).isNotNull()
+    y, yhat = F.col(label_col), F.col(pred_col)
+    wide = details.agg(
+        *[F.count_if(known & (y == a) & (yhat == b)).alias(name) for name, a, b in _CELLS],
+        F.avg(F.when(answered, F.col(latency_col))).alias("average_latency_seconds"),
+        F.count_if(answered).alias("valid_predictions"), F.count_if(~answered).alias("invalid_predictions"))
+    row = wide.first()  # one row
+    if not row["valid_predictions"]:
         raise RuntimeError("no valid generator answer")
-    counts = binary_counts(valid, label_col, pred_col)
+    wide = details.sparkSession.createDataFrame([tuple(row)], wide.schema)
     cols = metric_columns(False)
-    wide = counts.select(*[c.alias(k) for k, c in cols.items()])
-    extra = details.agg(F.avg(F.when(F.col(pred_col).isNotNull(), F.col(latency_col))).alias("average_latency_seconds"),
-                        F.count(pred_col).cast("double").alias("valid_predictions"),
-                        (F.count(F.lit(1)) - F.count(pred_col)).cast("double").alias("invalid_predictions"))
-    return _long(wide, (), list(cols)).unionByName(
-        _long(extra, (), ["average_latency_seconds", "valid_predictions", "invalid_predictions"]))
+    names = ["average_latency_seconds", "valid_predictions", "invalid_predictions"]
+    cells = {f"confusion_{a}_{b}": F.col(name) for name, a, b in _CELLS}
+    out = wide.select(*[c.alias(k) for k, c in (cols | cells).items()], *names)
+    return _long(out, (), [*cols, *cells, *names])
+
+
+# counts of the 2 x 2 domain: name, label, prediction
+_CELLS = (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
 
 
 def select_best_run(history: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch",
                     f1_col: str = "f1", loss_col: str = "loss") -> DataFrame:
     """Best epoch per run, scanned in epoch order: higher F1 wins; an F1 equal within
-    |a - b| <= 1e-8 + 1e-5 * |b| wins only with a lower loss. A run's history is short,
-    so its epochs are folded inside one row."""
+    |a - b| <= 1e-8 + 1e-5 * |b| wins only with a lower loss. A run's epochs are
+    folded inside one row; MAX_EPOCHS bounds them, a longer run raises."""
     hist = history.groupBy(run_col).agg(
         F.sort_array(F.collect_list(F.struct(F.col(epoch_col).alias("epoch"), F.col(f1_col).alias("f1"),
                                              F.col(loss_col).alias("loss")))).alias("_h"))
@@ -258,6 +315,8 @@ def select_best_run(history: DataFrame, run_col: str = "run_id", epoch_col: str
         close = F.abs(x["f1"] - acc["f1"]) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(acc["f1"])
         return F.when((x["f1"] > acc["f1"]) | (close & (x["loss"] < acc["loss"])), x).otherwise(acc)
 
+    too_long = F.raise_error(F.lit(f"a run has more than {MAX_EPOCHS} epochs"))
+    hist = hist.withColumn("_h", F.when(F.size("_h") <= MAX_EPOCHS, F.col("_h")).otherwise(too_long))
     best = F.aggregate(F.slice("_h", 2, F.greatest(F.size("_h") - 1, F.lit(0))), F.element_at("_h", 1), better)
     return hist.select(run_col, best["epoch"].alias("best_epoch"), best["f1"].alias("best_f1"),
                        best["loss"].alias("best_loss"))

@@ -12,6 +12,9 @@ from newsprism.functions import text as tx
 from newsprism.functions.reshape import rows_from
 from newsprism.sources.articles import LABEL_DOMAIN
 
+#: Tasks over which one hot text is spread in joins.
+SALTS = 16
+
 
 def _key_digests(keys: Sequence[str]):
     """Hash + null flag per key: groups like pandas (null is a value) on short keys."""
@@ -22,15 +25,14 @@ def _key_digests(keys: Sequence[str]):
     return cols
 
 
-def source_shape(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """(source, rows, columns) for each named input, as one unioned job."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"))
-               .select(F.lit(name).alias("source"), "rows", F.lit(len(df.columns)).alias("columns"))
-             for name, df in frames.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def source_shape(raw: DataFrame, cleaned: DataFrame, labels: Mapping[str, int]) -> DataFrame:
+    """(source, rows, columns) of each labelled source and of the cleaned articles; the sources in one pass over ``raw``."""
+    sizes = raw.agg(*[F.count_if(F.col("label") == v).alias(f"_{v}") for v in labels.values()])
+    shapes = rows_from(sizes, [{"source": F.lit(name), "rows": F.col(f"_{v}"), "columns": F.lit(len(raw.columns))}
+                               for name, v in labels.items()])
+    whole = cleaned.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit("cleaned").alias("source"), "rows", F.lit(len(cleaned.columns)).alias("columns"))
+    return shapes.unionByName(whole)
 
 
 def blank_rows(df: DataFrame, column: str = "text", null_is_blank: bool = True) -> DataFrame:
@@ -59,34 +61,27 @@ def invalid_dates(df: DataFrame, column: str = "date") -> DataFrame:
 def same_text_diff_title(df: DataFrame, text_col: str = "text", title_col: str = "title") -> DataFrame:
     """Rows whose text occurs under more than one distinct title.
 
-    Groups on text digests (short shuffle keys); the semi join keeps every
-    original row of the offending texts.
+    A text is offending if its least and greatest title digest differ: partial
+    minima and maxima collapse a hot text (blank ones, say) before the shuffle. The
+    rows then join the offending digests with a salt, so that a hot text is spread
+    over SALTS tasks.
     """
-    keyed = df.withColumn("_th", F.sha2(F.col(text_col), 256))
-    offenders = (keyed.filter(F.col(text_col).isNotNull() & F.col(title_col).isNotNull())
-                 .groupBy("_th")
-                 .agg(F.countDistinct(F.sha2(F.col(title_col), 256)).alias("_titles"))
-                 .filter(F.col("_titles") > 1).select("_th"))
-    return keyed.join(offenders, "_th", "left_semi").drop("_th")
+    keyed = df.withColumns({"_th": F.sha2(F.col(text_col), 256),
+                            "_salt": F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")})
+    title = F.sha2(F.col(title_col), 256)
+    offenders = (keyed.filter(F.col("_th").isNotNull()).groupBy("_th")
+                 .agg(F.min(title).alias("_lo"), F.max(title).alias("_hi")).filter("_lo <> _hi")
+                 .select("_th", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")))
+    return keyed.join(offenders, ["_th", "_salt"], "left_semi").drop("_th", "_salt")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Nulls per column plus a 'total' row, all from one scan."""
     columns = list(columns or df.columns)
     agg = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(c) for c in columns])
-    stacked = ", ".join(f"'{c}', coalesce(`{c}`, 0L)" for c in columns)
-    long = agg.selectExpr(f"stack({len(columns)}, {stacked}) AS (column, nulls)")
-    total = agg.select(F.lit("total").alias("column"),
-                       sum(F.coalesce(F.col(c), F.lit(0)) for c in columns).cast("bigint").alias("nulls"))
-    return long.unionByName(total)
-
-
-def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rows - distinct key tuples; nulls are ordinary key values (pandas semantics)."""
-    groups = df.select(*_key_digests(keys)).groupBy(*[f"_h{i}" for i in range(len(keys))],
-                                                    *[f"_n{i}" for i in range(len(keys))]).count()
-    return groups.agg((F.coalesce(F.sum("count"), F.lit(0)) - F.count(F.lit(1))).cast("bigint")
-                      .alias("duplicates"))
+    nulls = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in columns}
+    return rows_from(agg, [{"column": F.lit(c), "nulls": n} for c, n in nulls.items()]
+                     + [{"column": F.lit("total"), "nulls": sum(nulls.values(), F.lit(0).cast("bigint"))}])
 
 
 def duplicate_counts(df: DataFrame, subsets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

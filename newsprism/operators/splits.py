@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsprism.operators.ranks import hash_rank, order_hash
+from newsprism.operators.ranks import hash_rank, order_hash, rank_cuts, within_cut
 from newsprism.sources.articles import LABEL_DOMAIN
 
 
@@ -29,19 +29,21 @@ def stratified_split(df: DataFrame, test_size: float = 0.15, validation_size: fl
 
     Per class of n rows: holdout = ceil(n * (test + validation)), of which
     test = ceil(holdout * test / (test + validation)); rows are taken in hash
-    order. Train share is 1 - test - validation within one row per class.
+    order. Train share is 1 - test - validation within one row per class. Rows
+    with a null label are a class of their own. Two cut keys per class decide;
+    rows are never ranked or shuffled.
     """
-    holdout_frac = float(test_size + validation_size)
-    rel_test = float(test_size / (test_size + validation_size))
-    ranked = hash_rank(df, label_col, id_col, seed)
-    n = F.col("class_size")
-    hold = F.ceil(n * F.lit(holdout_frac))
-    n_train = n - hold
-    n_val = hold - F.ceil(hold * F.lit(rel_test))
-    split = (F.when(F.col("rank") <= n_train, F.lit("train"))
-             .when(F.col("rank") <= n_train + n_val, F.lit("validation"))
+    hold = F.ceil(F.col("n") * F.lit(float(test_size + validation_size)))
+    n_train = F.col("n") - hold
+    n_val = hold - F.ceil(hold * F.lit(float(test_size / (test_size + validation_size))))
+    cuts = rank_cuts(df, {"_train": n_train, "_validation": n_train + n_val}, label_col, id_col, seed)
+    cuts = cuts.withColumnRenamed(label_col, "_label")
+    split = (F.when(within_cut(F.col("_train"), id_col, seed), F.lit("train"))
+             .when(within_cut(F.col("_validation"), id_col, seed), F.lit("validation"))
              .otherwise(F.lit("test")))
-    return ranked.withColumn("split", split).drop("rank", "class_size")
+    # one row per label: the planner broadcasts it, and no text is shuffled
+    return (df.join(cuts, df[label_col].eqNullSafe(cuts["_label"]))
+            .select(*df.columns, split.alias("split")))
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label_col: str = "label",
@@ -65,8 +67,10 @@ def stratified_sample(df: DataFrame, per_class: int = 50, seed: int = 42,
               df.groupBy(label_col).count().filter(F.col(label_col).isin(*domain)).collect()}
     if any(counts.get(v, 0) < per_class for v in domain):
         raise ValueError("not enough articles for the stratified sample")
-    ranked = hash_rank(df.filter(F.col(label_col).isin(*domain)), label_col, id_col, seed)
-    return ranked.filter(F.col("rank") <= per_class).drop("rank", "class_size")
+    wanted = df.filter(F.col(label_col).isin(*domain))
+    cuts = rank_cuts(wanted, {"_last": F.lit(per_class)}, label_col, id_col, seed).withColumnRenamed(label_col, "_label")
+    chosen = wanted.join(cuts, wanted[label_col] == cuts["_label"]).where(within_cut(F.col("_last"), id_col, seed))
+    return chosen.select(*df.columns)
 
 
 def shuffle_key(df: DataFrame, seed: int = 42, id_col: str = "row_id") -> DataFrame:

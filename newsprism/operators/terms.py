@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions.stopwords import ENGLISH_STOP_WORDS
+from newsprism.session import cut_lineage
 from newsprism.sources.articles import LABEL_DOMAIN
 
 # Two or more letters / digits / underscores (Python's \w\w+ on Unicode text).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
+#: Hash slices of a class's terms that are ranked apart before the class as a whole.
+SLICES = 64
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -62,20 +66,27 @@ def analyzed_terms(col, ngram_range: tuple[int, int] = (1, 1),
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def counted(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms: sorted, then run lengths, inside the row."""
+    def of(ordered: Column) -> Column:
+        size = F.size(ordered)
+        starts = F.filter(F.transform(ordered, lambda t, i: F.when(
+            (i == 0) | (t != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size))
+        # an empty row has no start; its lone end pairs with null and is filtered out
+        runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"),
+                                                              (b - a).cast("long").alias("tf")))
+        return F.filter(runs, lambda r: r["term"].isNotNull())
+    return F.transform(F.array(F.sort_array(terms)), of)[0]
+
+
 def term_frequencies(df: DataFrame, text_col: str, id_col: str = "row_id",
                      ngram_range: tuple[int, int] = (1, 1),
                      stop_words: Sequence[str] | None = ENGLISH_STOP_WORDS,
                      keep: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(id, *keep, term, tf)``.
-
-    Documents are hash-partitioned by id once; the per-document term count and
-    every later per-document step (norms) then run without another exchange,
-    because a partitioning on ``id`` satisfies grouping on ``(id, term)``.
-    """
-    docs = df.select(id_col, *keep, analyzed_terms(text_col, ngram_range, stop_words).alias("_terms"))
-    docs = docs.repartition(id_col)
-    return (docs.select(id_col, *keep, F.explode("_terms").alias("term"))
-            .groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """Long form ``(id, *keep, term, tf)``, counted inside each document's row: no exchange."""
+    docs = df.select(id_col, *keep, counted(analyzed_terms(text_col, ngram_range, stop_words)).alias("_terms"))
+    return docs.select(id_col, *keep, F.inline("_terms"))
 
 
 def term_stats(tf_long: DataFrame, rows: Column | None = None) -> DataFrame:
@@ -93,22 +104,38 @@ def term_stats(tf_long: DataFrame, rows: Column | None = None) -> DataFrame:
                                        F.sum(F.when(rows, F.col("tf"))).alias("total_count"))
 
 
-def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int = 20000,
+def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int | None = 20000,
                rows: Column | None = None) -> DataFrame:
-    """(term, feature_index, doc_freq, total_count) of at most ``max_features`` terms.
+    """(term, feature_index, doc_freq, total_count) of the ``max_features`` most counted terms, or of all (None).
 
-    The cut is one TakeOrderedAndProject (per-partition top-k, then a merge of
-    k rows per partition); feature indices are alphabetical, so the final
-    window only ever sees the bounded vocabulary. ``rows`` fits the
-    vocabulary on matching rows only (see ``term_stats``).
+    A histogram of the counts gives the least count that still gets in, so only
+    terms at or above it (the vocabulary and ties) are ordered. Feature indices are
+    alphabetical: terms are range partitioned and numbered within their partition.
+    ``rows`` fits the vocabulary on matching rows only (see ``term_stats``).
     """
-    if not max_features or max_features < 1:
-        raise ValueError("max_features must bound the vocabulary (it is broadcast and indexed)")
-    floor = max(min_df, 1) if rows is not None else min_df
-    stats = (term_stats(tf_long, rows).filter(F.col("doc_freq") >= floor)
-             .orderBy(F.desc("total_count"), F.asc("term")).limit(max_features))
-    idx = F.row_number().over(Window.orderBy("term")) - 1
-    return stats.select("term", idx.cast("int").alias("feature_index"), "doc_freq", "total_count")
+    if max_features is not None and max_features < 1:
+        raise ValueError("max_features must be at least 1, or None for all terms")
+    stats = term_stats(tf_long, rows).filter(F.col("doc_freq") >= (max(min_df, 1) if rows is not None else min_df))
+    if max_features is not None:
+        tally = stats.groupBy("total_count").agg(F.count(F.lit(1)).alias("_n"))
+        # one row per distinct count: at most the square root of twice the tokens
+        above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("total_count"))
+                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        least = tally.withColumn("_above", above).where(F.col("_above") < max_features).agg(F.min("total_count").alias("_least"))
+        stats = (stats.join(F.broadcast(least), F.col("total_count") >= F.col("_least")).drop("_least")
+                 .orderBy(F.desc("total_count"), F.asc("term")).limit(max_features))
+    return _numbered(stats).select("term", "feature_index", "doc_freq", "total_count")
+
+
+def _numbered(terms: DataFrame) -> DataFrame:
+    """Add ``feature_index``, the place in the order of the distinct ``term``."""
+    dealt = cut_lineage(terms.repartitionByRange("term").sortWithinPartitions("term")
+                        .withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = (dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+               .select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    index = F.col("_off") + F.col("_at") - F.col("_first")
+    return dealt.join(offsets, "_p").withColumn("feature_index", index.cast("int"))
 
 
 def smooth_idf(doc_freq: Column, n_docs: int) -> Column:
@@ -117,15 +144,19 @@ def smooth_idf(doc_freq: Column, n_docs: int) -> Column:
 
 def tfidf_long(tf_long: DataFrame, vocab: DataFrame, n_docs: int, id_col: str = "row_id",
                keep: Sequence[str] = ()) -> DataFrame:
-    """(id, term, feature_index, tfidf) for vocabulary terms, rows L2-normalised.
+    """(id, term, feature_index, tfidf) for vocabulary terms, rows L2-normalised."""
+    return weighted(tf_long, vocab.select("term", "feature_index", smooth_idf(F.col("doc_freq"), n_docs).alias("idf")),
+                    id_col, keep)
+
+
+def weighted(tf_long: DataFrame, idf: DataFrame, id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, *keep, term, feature_index, tfidf) from counts and an idf table (term, feature_index, idf).
 
-    ``vocab`` is bounded by max_features, so broadcasting it is safe; the norm
-    window is partitioned by document id (already the data's partitioning).
+    The planner broadcasts the table if it is small; the norm window is partitioned by document id.
     """
-    v = F.broadcast(vocab.select("term", "feature_index", smooth_idf(F.col("doc_freq"), n_docs).alias("idf")))
-    weighted = tf_long.join(v, "term", "inner").withColumn("_w", F.col("tf") * F.col("idf"))
+    w = tf_long.join(idf, "term", "inner").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return weighted.select(id_col, *keep, "term", "feature_index", (F.col("_w") / norm).alias("tfidf"))
+    return w.select(id_col, *keep, "term", "feature_index", (F.col("_w") / norm).alias("tfidf"))
 
 
 def top_terms_per_class(df: DataFrame, text_col: str, k: int = 20, ngram_range: tuple[int, int] = (1, 1),
@@ -133,40 +164,45 @@ def top_terms_per_class(df: DataFrame, text_col: str, k: int = 20, ngram_range:
                         domain: Sequence[int] = LABEL_DOMAIN) -> DataFrame:
     """(label, term, frequency): the k most frequent terms of every class.
 
-    One count per (label, term), then ``row_number`` per label with a limit.
-    Spark plans a partial WindowGroupLimit before the shuffle by label, so
-    every map task sends at most k rows per label: no task ever receives a
-    class's whole vocabulary, and the corpus is scanned and de-duplicated once
-    for all classes.
+    One count per (label, term), in the rows and before the shuffle, then the k
+    best of each hash slice of a label, then the k best of these: no task ever
+    receives a class's whole vocabulary, whatever ``k`` is.
     """
     terms = (df.filter(F.col("label").isin(*domain))
-             .select("label", F.explode(analyzed_terms(text_col, ngram_range, stop_words)).alias("term")))
-    counts = terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("frequency"))
-    w = Window.partitionBy("label").orderBy(F.desc("frequency"), F.asc("term"))
-    return counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+             .select("label", F.inline(counted(analyzed_terms(text_col, ngram_range, stop_words)))))
+    counts = terms.groupBy("label", "term").agg(F.sum("tf").alias("frequency"))
+    counts = counts.withColumn("_slice", F.pmod(F.xxhash64("term"), F.lit(SLICES)))
+    for keys in (("label", "_slice"), ("label",)):
+        w = Window.partitionBy(*keys).orderBy(F.desc("frequency"), F.asc("term"))
+        counts = counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return counts.drop("_slice")
 
 
 def fisher_terms(df: DataFrame, text_col: str, min_df: int = 5, max_features: int = 20000,
                  top_n: int = 30, id_col: str = "row_id") -> DataFrame:
     """Per-term Fisher score on TF-IDF values fitted on ``df``; the top ``top_n``.
 
-    mean/variance per class include rows where the term is absent (value 0):
-    sums over present rows divided by the class size. Output columns: term,
-    fisher_score, mean_fake, mean_real.
+    Mean and population variance per class include rows where the term is absent
+    (value 0): the variance of the present values and the two groups' distances
+    from the mean, which cannot go negative. Output columns: term, fisher_score,
+    mean_fake, mean_real.
     """
-    tf = term_frequencies(df, text_col, id_col, keep=("label",))
+    tf = cut_lineage(term_frequencies(df, text_col, id_col, keep=("label",)))
     n_docs, sizes = _class_sizes(df)
     vocab = vocabulary(tf, min_df, max_features)
     x = tfidf_long(tf, vocab, n_docs, id_col, keep=("label",))
-    per = x.groupBy("term").agg(
-        *[F.sum(F.when(F.col("label") == v, F.col("tfidf"))).alias(f"s{v}") for v in (0, 1)],
-        *[F.sum(F.when(F.col("label") == v, F.col("tfidf") * F.col("tfidf"))).alias(f"q{v}") for v in (0, 1)])
-    m0 = F.coalesce(F.col("s0"), F.lit(0.0)) / F.lit(float(sizes.get(0, 0)))
-    m1 = F.coalesce(F.col("s1"), F.lit(0.0)) / F.lit(float(sizes.get(1, 0)))
-    v0 = F.coalesce(F.col("q0"), F.lit(0.0)) / F.lit(float(sizes.get(0, 0))) - m0 * m0
-    v1 = F.coalesce(F.col("q1"), F.lit(0.0)) / F.lit(float(sizes.get(1, 0))) - m1 * m1
-    score = (m0 - m1) * (m0 - m1) / (v0 + v1 + F.lit(1e-10))
-    scored = per.select("term", score.alias("fisher_score"), m0.alias("mean_fake"), m1.alias("mean_real"))
+    own = {v: F.when(F.col("label") == v, F.col("tfidf")) for v in LABEL_DOMAIN}
+    per = x.groupBy("term").agg(*[f(own[v]).alias(f"{name}{v}") for v in LABEL_DOMAIN
+                                  for name, f in (("k", F.count), ("a", F.avg), ("v", F.var_pop))])
+    mean, spread = {}, {}
+    for v in LABEL_DOMAIN:
+        n, k = F.lit(float(sizes.get(v, 0))), F.col(f"k{v}")
+        there = F.coalesce(F.col(f"a{v}"), F.lit(0.0))
+        mean[v] = there * k / n
+        inner = F.coalesce(F.col(f"v{v}"), F.lit(0.0)) + (there - mean[v]) * (there - mean[v])
+        spread[v] = (k * inner + (n - k) * mean[v] * mean[v]) / n
+    score = (mean[0] - mean[1]) * (mean[0] - mean[1]) / (spread[0] + spread[1] + F.lit(1e-10))
+    scored = per.select("term", score.alias("fisher_score"), mean[0].alias("mean_fake"), mean[1].alias("mean_real"))
     top = scored.orderBy(F.desc("fisher_score"), F.asc("term")).limit(top_n)
     return top.select("term", *[F.round(c, 6).alias(c) for c in ("fisher_score", "mean_fake", "mean_real")])
 

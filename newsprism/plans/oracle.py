@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from newsprism.functions.text import MARKERS
+from newsprism.functions.text import MARKERS, SYSTEM_PROMPT, USER_PROMPT_PREFIX
+from newsprism.operators.models import EXPERIMENT_GRID
 from newsprism.plans.sqlparts import parse_date, strip, with_, word_count, words
 
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,10 @@ def _count_char(x: str, ch: str) -> str:
     return f"CAST(len(regexp_extract_all({x}, '{pat}')) AS BIGINT)"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 STYLE_SQL = f"""styled AS (
   SELECT *, {_count_char('title', '!')} AS exclamation_count,
             {_count_char('title', '?')} AS question_count,
@@ -33,6 +38,9 @@ STYLE_SQL = f"""styled AS (
   FROM cleaned)"""
 
 
+STYLE_LABELED = STYLE_SQL.replace("FROM cleaned", "FROM labeled")
+
+
 def _parse_answer(x: str) -> str:
     n = f"upper({strip(x)})"
     return (f"CASE WHEN starts_with({n}, 'FAKE') THEN 0 WHEN starts_with({n}, 'REAL') THEN 1 "
@@ -40,7 +48,10 @@ def _parse_answer(x: str) -> str:
 
 
 # ---- 2.1 sources -----------------------------------------------------------
-sql("load_labeled", with_("articles") + "SELECT * FROM articles")
+sql("load_labeled", with_("labeled_articles") + "SELECT * FROM labeled_articles")
+sql("load_labeled_csv", with_("labeled_articles") + """
+SELECT nullif(title, '') AS title, nullif(text, '') AS text, nullif(subject, '') AS subject, label FROM labeled_articles""")
+sql("source_files", "SELECT 'documents.parquet' AS file_name, count(*) AS count FROM documents")
 sql("source_shape", with_("cleaned") + """
 SELECT 'fake' AS source, count(*) AS rows, 6 AS columns FROM articles WHERE label = 0
 UNION ALL SELECT 'real', count(*), 6 FROM articles WHERE label = 1
@@ -60,19 +71,13 @@ sql("marker_flags", with_("cleaned") + "SELECT row_id, " + ", ".join(
 sql("parse_dates", with_("dated") + f"SELECT row_id, date, {parse_date('date')} AS date_clean FROM dated")
 sql("date_year", with_("dated") + f"""
 SELECT row_id, year(d) AS year FROM (SELECT row_id, {parse_date('date')} AS d FROM dated) WHERE d IS NOT NULL""")
-sql("decode_label", with_("cleaned") + """
-SELECT row_id, label, CASE label WHEN 0 THEN 'Fake' WHEN 1 THEN 'Real' END AS label_name FROM cleaned""")
+sql("decode_label", with_("labeled") + """
+SELECT row_id, label, CASE label WHEN 0 THEN 'Fake' WHEN 1 THEN 'Real' END AS label_name FROM labeled""")
 sql("parse_binary_answer", with_("answers") + f"SELECT row_id, answer, {_parse_answer('answer')} AS prediction FROM answers")
 sql("build_prompt", with_("cleaned") + """
-SELECT row_id, CAST(0 AS BIGINT) AS turn, 'system' AS role,
-       'You are a binary news classification system.' || chr(10) ||
-       'Classify the news article as FAKE or REAL.' || chr(10) ||
-       'Return ONLY one word: FAKE or REAL.' || chr(10) ||
-       'Do not explain your answer and do not add punctuation.' AS content FROM cleaned
+SELECT row_id, CAST(0 AS BIGINT) AS turn, 'system' AS role, """ + _literal(SYSTEM_PROMPT) + """ AS content FROM cleaned
 UNION ALL
-SELECT row_id, CAST(1 AS BIGINT), 'user',
-       'Classify the following news article.' || chr(10) || chr(10) || 'ARTICLE:' || chr(10) || content
-FROM cleaned""")
+SELECT row_id, CAST(1 AS BIGINT), 'user', """ + _literal(USER_PROMPT_PREFIX) + """ || content FROM cleaned""")
 sql("content_preview", with_("cleaned") + "SELECT row_id, substr(content, 1, 500) AS preview FROM cleaned")
 sql("correct_flag", with_("answers") + f"""
 SELECT row_id, true_label, prediction, coalesce(prediction = true_label, false) AS correct
@@ -88,7 +93,7 @@ sql("blank_label_dist", with_("articles") + f"""
 SELECT label, count, round(100.0 * count / sum(count) OVER (), 6) AS pct FROM (
   SELECT label, count(*) AS count FROM articles WHERE {strip("coalesce(text, '')")} = '' GROUP BY label)""")
 sql("invalid_dates", with_("dated") + f"SELECT row_id, date, label FROM dated WHERE {parse_date('date')} IS NULL")
-sql("class_subset", with_("cleaned") + "SELECT row_id, title FROM cleaned WHERE label = 0")
+sql("class_subset", with_("labeled") + "SELECT row_id, title FROM labeled WHERE label = 0")
 sql("misclassified", with_("predictions") + """
 SELECT row_id, split, label, prediction, p FROM predictions
 WHERE NOT coalesce(prediction = label, false) ORDER BY row_id LIMIT 20""")
@@ -106,19 +111,19 @@ FROM (SELECT split, label, round(n / sum(n) OVER (PARTITION BY split), 4) AS sha
       FROM (SELECT split, label, count(*) AS n FROM splitted GROUP BY split, label))
 GROUP BY label""")
 sql("select_split_rows", with_("splitted") + "SELECT row_id, label, title FROM splitted WHERE split = 'test'")
-sql("counts_reindexed", with_("cleaned") + """
+sql("counts_reindexed", with_("labeled") + """
 SELECT d.label, c.count FROM (VALUES (0), (1)) d(label)
-LEFT JOIN (SELECT label, count(*) AS count FROM cleaned GROUP BY label) c ON c.label = d.label""")
+LEFT JOIN (SELECT label, count(*) AS count FROM labeled GROUP BY label) c ON c.label = d.label""")
 sql("same_text_diff_title", with_("articles") + """
 SELECT row_id, title, label FROM articles WHERE text IN (
   SELECT text FROM articles WHERE text IS NOT NULL AND title IS NOT NULL
   GROUP BY text HAVING count(DISTINCT title) > 1)""")
 
 # ---- 2.5 aggregations --------------------------------------------------------
-sql("class_counts", with_("cleaned") + "SELECT label, count(*) AS count FROM cleaned GROUP BY label")
-sql("class_share", with_("cleaned") + """
+sql("class_counts", with_("labeled") + "SELECT label, count(*) AS count FROM labeled GROUP BY label")
+sql("class_share", with_("labeled") + """
 SELECT label, count, round(count / sum(count) OVER (), 6) AS share
-FROM (SELECT label, count(*) AS count FROM cleaned GROUP BY label)""")
+FROM (SELECT label, count(*) AS count FROM labeled GROUP BY label)""")
 sql("split_sizes", with_("splitted") + "SELECT split, count(*) AS rows FROM splitted GROUP BY split")
 sql("null_counts", with_("articles") + """
 SELECT 'row_id' AS column, count(*) FILTER (WHERE row_id IS NULL) AS nulls FROM articles
@@ -143,57 +148,51 @@ UNION ALL SELECT 'title+text', count(*) - (SELECT count(*) FROM (SELECT DISTINCT
 sql("label_conflicts", with_("articles") + """
 SELECT count(*) FILTER (WHERE n > 1) AS conflicting_groups FROM (
   SELECT count(DISTINCT label) AS n FROM articles WHERE title IS NOT NULL AND text IS NOT NULL GROUP BY title, text)""")
-sql("length_summary", with_("cleaned") + """
+sql("length_summary", with_("labeled") + """
 SELECT label,
        round(avg(title_words), 6) AS title_words_mean, median(title_words) AS title_words_median,
        min(title_words) AS title_words_min, max(title_words) AS title_words_max,
        round(avg(text_words), 6) AS text_words_mean, median(text_words) AS text_words_median,
        min(text_words) AS text_words_min, max(text_words) AS text_words_max
-FROM cleaned GROUP BY label""")
+FROM labeled GROUP BY label""")
 _DESC = """SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
        CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont({c}, 0.25), 6) AS p25,
        round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75,
        CAST(max({c}) AS DOUBLE) AS max FROM cleaned"""
 sql("describe_lengths", with_("cleaned") + _DESC.format(c="title_words") + "\nUNION ALL\n"
     + _DESC.format(c="text_words"))
-sql("subject_crosstab", with_("cleaned") + """
+sql("subject_crosstab", with_("labeled") + """
 SELECT subject, count(*) FILTER (WHERE label = 0) AS fake, count(*) FILTER (WHERE label = 1) AS real
-FROM cleaned GROUP BY subject""")
+FROM labeled GROUP BY subject""")
 sql("year_crosstab", with_("dated") + f"""
 SELECT year, count(*) FILTER (WHERE label = 0) AS fake, count(*) FILTER (WHERE label = 1) AS real
 FROM (SELECT CAST(year({parse_date('date')}) AS INTEGER) AS year, label FROM dated)
 WHERE year IS NOT NULL GROUP BY year""")
-sql("marker_prevalence", with_("cleaned") + "\nUNION ALL\n".join(
+sql("marker_prevalence", with_("labeled") + "\nUNION ALL\n".join(
     f"""SELECT '{m}' AS marker,
        round(100.0 * avg(CASE WHEN label = 0 THEN CAST(coalesce(strpos(lower(content), '{m}') > 0, false) AS DOUBLE) END), 6) AS fake_pct,
        round(100.0 * avg(CASE WHEN label = 1 THEN CAST(coalesce(strpos(lower(content), '{m}') > 0, false) AS DOUBLE) END), 6) AS real_pct
-FROM cleaned""" for m in MARKERS))
-sql("term_prevalence", with_("cleaned") + """
+FROM labeled""" for m in MARKERS))
+sql("term_prevalence", with_("labeled") + """
 SELECT label, matches, round(100.0 * matches / rows, 6) AS pct FROM (
   SELECT label, CAST(sum(CAST(coalesce(regexp_matches(text, '(?i)reuters'), false) AS BIGINT)) AS BIGINT) AS matches,
-         count(*) AS rows FROM cleaned GROUP BY label)""")
-sql("style_means", with_("cleaned") + f""", {STYLE_SQL}
+         count(*) AS rows FROM labeled GROUP BY label)""")
+sql("style_means", with_("labeled") + f""", {STYLE_LABELED}
 SELECT label, round(avg(exclamation_count), 6) AS exclamation_count, round(avg(question_count), 6) AS question_count,
        round(avg(uppercase_words), 6) AS uppercase_words, round(avg(title_words), 6) AS title_words
 FROM styled GROUP BY label""")
-_FISH = """SELECT '{f}' AS feature, round(CASE WHEN v0 + v1 = 0 THEN 0.0 ELSE (m0 - m1) * (m0 - m1) / (v0 + v1) END, 6) AS fisher_score
-FROM (SELECT m0, m1, q0 / n0 - m0 * m0 AS v0, q1 / n1 - m1 * m1 AS v1 FROM (
-  SELECT s0 / n0 AS m0, s1 / n1 AS m1, q0, q1, n0, n1 FROM (
-    SELECT sum(CASE WHEN label = 0 THEN CAST({f} AS DOUBLE) END) AS s0,
-           sum(CASE WHEN label = 1 THEN CAST({f} AS DOUBLE) END) AS s1,
-           sum(CASE WHEN label = 0 THEN CAST({f} AS DOUBLE) * CAST({f} AS DOUBLE) END) AS q0,
-           sum(CASE WHEN label = 1 THEN CAST({f} AS DOUBLE) * CAST({f} AS DOUBLE) END) AS q1,
-           CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS n0,
-           CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1 FROM styled)))"""
-sql("fisher_numeric", with_("cleaned") + f", {STYLE_SQL}\n" + "\nUNION ALL\n".join(
+_FISH = """SELECT '{f}' AS feature, round(CASE WHEN v = 0 THEN 0.0 ELSE m * m / v END, 6) AS fisher_score
+FROM (SELECT avg({f}) FILTER (WHERE label = 0) - avg({f}) FILTER (WHERE label = 1) AS m,
+             var_pop({f}) FILTER (WHERE label = 0) + var_pop({f}) FILTER (WHERE label = 1) AS v FROM styled)"""
+sql("fisher_numeric", with_("labeled") + f", {STYLE_LABELED}\n" + "\nUNION ALL\n".join(
     _FISH.format(f=f) for f in ("exclamation_count", "question_count", "uppercase_words", "title_words",
                                 "text_words")))
 
 # ---- 2.7 dedup / union -----------------------------------------------------
 sql("dedup_articles", with_("cleaned") + "SELECT row_id, title, text, subject, date, label FROM cleaned")
-sql("union_sources", with_("articles") + """
-SELECT row_id, label, 'Fake' AS source_name FROM articles WHERE label = 0
-UNION ALL SELECT row_id, label, 'True' FROM articles WHERE label = 1""")
+sql("union_sources", with_("labeled_articles") + """
+SELECT row_id, label, 'Fake' AS source_name FROM labeled_articles WHERE label = 0
+UNION ALL SELECT row_id, label, 'True' FROM labeled_articles WHERE label = 1""")
 
 # ---- 2.8 sampling / splitting ----------------------------------------------
 sql("stratified_split", with_("splitted") + "SELECT row_id, label, split FROM splitted")
@@ -238,11 +237,11 @@ SELECT split, count(*) AS rows, (SELECT count(*) FROM vocab) AS terms FROM split
 
 
 def _top(col: str, n: int) -> str:
-    return with_("cleaned") + f"""
+    return with_("labeled") + f"""
 SELECT label, term, frequency FROM (
   SELECT label, term, frequency, row_number() OVER (PARTITION BY label ORDER BY frequency DESC, term) AS r FROM (
     SELECT label, term, count(*) AS frequency FROM (
-      SELECT label, unnest({ngrams(tokens(col), n)}) AS term FROM cleaned WHERE label IN (0, 1))
+      SELECT label, unnest({ngrams(tokens(col), n)}) AS term FROM labeled WHERE label IN (0, 1))
     GROUP BY label, term))
 WHERE r <= 20"""
 
@@ -253,12 +252,12 @@ sql("top_title_words", _top("title", 1))
 
 
 def _fisher_terms(col: str, min_df: int, max_features: int, top_n: int) -> str:
-    return with_("cleaned") + f""", tf AS ({_tf('cleaned', col, 1, 'label')}),
+    return with_("labeled") + f""", tf AS ({_tf('labeled', col, 1, 'label')}),
 vocab AS (SELECT term, count(*) AS doc_freq, sum(tf) AS total_count FROM tf GROUP BY term
           HAVING count(*) >= {min_df} ORDER BY total_count DESC, term LIMIT {max_features}),
 sizes AS (SELECT CAST(count(*) AS DOUBLE) AS n,
                  CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS n0,
-                 CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1 FROM cleaned),
+                 CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1 FROM labeled),
 w AS (SELECT tf.row_id, tf.label, tf.term, tf.tf * (ln((1 + n) / (doc_freq + 1.0)) + 1.0) AS w
       FROM tf JOIN vocab USING (term), sizes),
 x AS (SELECT row_id, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS v FROM w),
@@ -275,7 +274,7 @@ FROM scored ORDER BY s DESC, term LIMIT {top_n}"""
 
 sql("fisher_terms_text", _fisher_terms("text", 5, 20000, 30))
 sql("fisher_terms_title", _fisher_terms("title", 5, 10000, 30))
-sql("sorted_topk", "SELECT * FROM (" + ORACLE["fisher_numeric"] + ") ORDER BY fisher_score DESC, feature LIMIT 3")
+sql("sorted_topk", "SELECT * FROM (" + ORACLE["fisher_numeric"] + ") ORDER BY fisher_score DESC, feature LIMIT 5")
 
 # ---- 2.5 metrics -----------------------------------------------------------
 _COUNTS = """SELECT {g} count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
@@ -283,7 +282,7 @@ _COUNTS = """SELECT {g} count(*) FILTER (WHERE label = 1 AND prediction = 1) AS
        count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
        count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
        sum(-ln(greatest(least(CASE WHEN label = 1 THEN p ELSE 1.0 - p END, 1.0 - 2.220446049250313e-16),
-                        2.220446049250313e-16))) / count(*) AS log_loss
+                        2.220446049250313e-16))) FILTER (WHERE label IN (0, 1)) / count(*) FILTER (WHERE label IN (0, 1)) AS log_loss
 FROM {src} {where} {groupby}"""
 
 
@@ -298,10 +297,18 @@ _N = "(tp + tn + fp + fn)"
 _BAL = _div("(CASE WHEN tp + fn > 0 THEN " + _R1 + " ELSE 0.0 END) + (CASE WHEN tn + fp > 0 THEN " + _R0
             + " ELSE 0.0 END)", "CAST(tp + fn > 0 AS INTEGER) + CAST(tn + fp > 0 AS INTEGER)")
 _MCC = ("(CASE WHEN sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) = 0 THEN 0.0 ELSE "
-        "(CAST(tp * tn AS DOUBLE) - CAST(fp * fn AS DOUBLE)) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) END)")
+        "(CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) END)")
+_IN1, _IN0 = "CAST(tp + fp + fn > 0 AS INTEGER)", "CAST(tn + fp + fn > 0 AS INTEGER)"
+
+
+def _mean_present(of_0: str, of_1: str) -> str:
+    """Mean over the classes that occur in truth or prediction."""
+    return _div(f"{of_0} * {_IN0} + {of_1} * {_IN1}", f"{_IN0} + {_IN1}")
+
+
 _BASE = {"accuracy": _div("tp + tn", _N), "balanced_accuracy": _BAL,
-         "precision_macro": f"({_P0} + {_P1}) / 2.0", "recall_macro": f"({_R0} + {_R1}) / 2.0",
-         "f1_macro": f"({_F0} + {_F1}) / 2.0", "mcc": _MCC}
+         "precision_macro": _mean_present(_P0, _P1), "recall_macro": _mean_present(_R0, _R1),
+         "f1_macro": _mean_present(_F0, _F1), "mcc": _MCC}
 _WEIGHTED = {"precision_weighted": _div(f"{_P0} * (tn + fp) + {_P1} * (tp + fn)", _N),
              "recall_weighted": _div(f"{_R0} * (tn + fp) + {_R1} * (tp + fn)", _N),
              "f1_weighted": _div(f"{_F0} * (tn + fp) + {_F1} * (tp + fn)", _N)}
@@ -338,7 +345,7 @@ sql("classification_report", with_("predictions") + ", counts AS ("
         _REPORT_ROW.format(name="0", p=_P0, r=_R0, f=_F0, s="tn + fp"),
         _REPORT_ROW.format(name="1", p=_P1, r=_R1, f=_F1, s="tp + fn"),
         _REPORT_ROW.format(name="accuracy", p="CAST(NULL AS DOUBLE)", r="CAST(NULL AS DOUBLE)", f=_div("tp + tn", _N), s=_N),
-        _REPORT_ROW.format(name="macro avg", p=f"({_P0} + {_P1}) / 2", r=f"({_R0} + {_R1}) / 2", f=f"({_F0} + {_F1}) / 2", s=_N),
+        _REPORT_ROW.format(name="macro avg", p=_BASE["precision_macro"], r=_BASE["recall_macro"], f=_BASE["f1_macro"], s=_N),
         _REPORT_ROW.format(name="weighted avg", p=_WEIGHTED["precision_weighted"], r=_WEIGHTED["recall_weighted"],
                            f=_WEIGHTED["f1_weighted"], s=_N)]))
 sql("error_rates", with_("predictions") + """
@@ -378,6 +385,8 @@ counts AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
                   count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn FROM parsed WHERE prediction IS NOT NULL)
 """ + "\nUNION ALL\n".join(f"SELECT '{k}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value FROM counts"
                            for k, v in _BASE.items()) + """
+UNION ALL SELECT 'confusion_' || a || '_' || b, CAST(count(prediction) AS DOUBLE)
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(a, b) LEFT JOIN parsed ON label = a AND prediction = b GROUP BY a, b
 UNION ALL SELECT 'average_latency_seconds', round(avg(latency_seconds) FILTER (WHERE prediction IS NOT NULL), 6) FROM parsed
 UNION ALL SELECT 'valid_predictions', CAST(count(prediction) AS DOUBLE) FROM parsed
 UNION ALL SELECT 'invalid_predictions', CAST(count(*) - count(prediction) AS DOUBLE) FROM parsed""")
@@ -408,19 +417,31 @@ coefs AS (SELECT term, ln((df1 + 1.0) / (n1 + 2.0)) - ln((df0 + 1.0) / (n0 + 2.0
           FROM (SELECT term, count(*) FILTER (WHERE label = 0) AS df0, count(*) FILTER (WHERE label = 1) AS df1
                 FROM tf JOIN vocab USING (term) WHERE split = 'train' GROUP BY term), sizes),
 j AS (SELECT row_id, term, tfidf, coefficient, tfidf * coefficient AS contribution
-      FROM x JOIN coefs USING (term) WHERE split = 'test')
+      FROM x JOIN coefs USING (term)),
+scores AS (SELECT row_id, s AS decision_score, 1.0 / (1.0 + exp(-s)) AS p_real, 1.0 - 1.0 / (1.0 + exp(-s)) AS p_fake,
+                  CAST(s > 0 AS INTEGER) AS prediction, n_toward_real, n_toward_fake
+           FROM (SELECT row_id, any_value(ln(n1 / n0)) + coalesce(sum(contribution), 0.0) AS s,
+                        count(*) FILTER (WHERE contribution > 0) AS n_toward_real,
+                        count(*) FILTER (WHERE contribution < 0) AS n_toward_fake
+                 FROM splitted LEFT JOIN j USING (row_id), sizes GROUP BY row_id))
 """
 sql("feature_coef_join", _SPLIT_TFIDF + """
 SELECT row_id, term, round(tfidf, 6) AS tfidf, round(coefficient, 6) AS coefficient, round(contribution, 6) AS contribution FROM j""")
 sql("prediction_contributions", _SPLIT_TFIDF + """
-SELECT row_id, rank, term, round(contribution, 6) AS contribution FROM (
-  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, term) AS rank FROM j)
-WHERE rank <= 15""")
+SELECT s.row_id, prediction, round(p_fake, 6) AS p_fake, round(p_real, 6) AS p_real, rank, term, round(tfidf, 6) AS tfidf,
+       round(coefficient, 6) AS coefficient, round(contribution, 6) AS contribution
+FROM scores s LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, term) AS rank FROM j) r
+  ON r.row_id = s.row_id AND rank <= 15""")
 sql("explain_decision", _SPLIT_TFIDF + """
-SELECT row_id, direction, rank, term, round(contribution, 6) AS contribution FROM (
+SELECT s.row_id, round(decision_score, 6) AS decision_score, direction, rank, term, round(contribution, 6) AS contribution
+FROM scores s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY row_id, direction ORDER BY abs(contribution) DESC, term) AS rank
-  FROM (SELECT *, CASE WHEN contribution > 0 THEN 'real' ELSE 'fake' END AS direction FROM j WHERE contribution <> 0))
-WHERE rank <= 15""")
+  FROM (SELECT *, CASE WHEN contribution > 0 THEN 'real' ELSE 'fake' END AS direction FROM j WHERE contribution <> 0)) r
+  ON r.row_id = s.row_id AND rank <= 15""")
+sql("decision_scores", _SPLIT_TFIDF + """
+SELECT row_id, round(decision_score, 6) AS decision_score, round(p_fake, 6) AS p_fake, round(p_real, 6) AS p_real,
+       prediction, n_toward_real, n_toward_fake FROM scores""")
 sql("top_terms_global", _SPLIT_TFIDF + """
 SELECT * FROM (SELECT 'fake' AS direction, term, round(coefficient, 6) AS coefficient FROM coefs ORDER BY coefs.coefficient, term LIMIT 15)
 UNION ALL
@@ -431,3 +452,38 @@ SELECT group_id, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS value FRO
          CAST(u.i - 1 AS BIGINT) AS dim, CAST(embedding[u.i] AS DOUBLE) AS x
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u)
 GROUP BY group_id, dim""")
+
+# ---- 2.10 models: rows, group sizes and agreement of class, probability and score --------
+sql("logistic_regression", with_("splitted") + """
+SELECT count(*) AS train_rows, round(avg(label), 3) AS mean_probability FROM splitted WHERE split = 'train'""")
+sql("build_pipeline", with_("splitted") + "SELECT row_id, label, true AS consistent FROM splitted WHERE split = 'test'")
+sql("predict", with_("splitted") + "SELECT row_id, split, label, true AS consistent FROM splitted")
+sql("score_new_articles", """
+SELECT doc_id AS row_id, true AS consistent FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+sql("fit_experiment", with_("splitted") + """
+SELECT split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives,
+       CASE WHEN split = 'test' THEN count(*) END AS confusion_total FROM splitted GROUP BY split""")
+sql("compare_experiments", with_("splitted") + """
+SELECT experiment, test_rows, test_positives, true AS ranked
+FROM (VALUES """ + ", ".join(f"('{name}')" for name, _, _ in EXPERIMENT_GRID) + """) e(experiment),
+     (SELECT count(*) AS test_rows, CAST(sum(label) AS BIGINT) AS test_positives FROM splitted WHERE split = 'test')""")
+sql("summary_table", "SELECT metric, true AS in_range FROM (VALUES " + ", ".join(f"('{m}')" for m in (
+    *_BASE, *_WEIGHTED, "log_loss", "roc_auc", "train_val_gap", "vectorizer_seconds", "training_seconds")) + ") m(metric)")
+sql("learning_curve", with_("splitted") + """, folds AS (
+  SELECT (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) - 1) % 5 AS fold
+  FROM splitted WHERE split = 'train'),
+sizes AS (SELECT fold, count(*) AS n, sum(count(*)) OVER () AS total FROM folds GROUP BY fold)
+SELECT CAST(size AS DOUBLE) AS size, min(CAST(floor(CAST(size AS DOUBLE) * (total - n)) AS BIGINT)) AS train_size, true AS in_range
+FROM sizes, (VALUES (0.1), (0.28), (0.46), (0.64), (0.82), (1.0)) s(size) GROUP BY size""")
+sql("embedding_classifier", """
+WITH ranked AS (
+  SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label,
+         row_number() OVER (PARTITION BY label >= 5 ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) AS r,
+         count(*) OVER (PARTITION BY label >= 5) AS n FROM embeddings),
+held AS (SELECT *, ceil(n * CAST(0.3 AS DOUBLE)) AS h FROM ranked),
+splitted AS (SELECT label, CASE WHEN r <= n - h THEN 'train' WHEN r <= n - ceil(h * CAST(0.5 AS DOUBLE)) THEN 'validation'
+                                ELSE 'test' END AS split FROM held)
+SELECT split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, true AS consistent FROM splitted GROUP BY split""")
+sql("save_model", with_("splitted") + "SELECT count(*) AS test_rows FROM splitted WHERE split = 'test'")
+sql("load_model", with_("splitted") + """
+SELECT count(*) AS test_rows, CAST(0 AS DOUBLE) AS max_difference FROM splitted WHERE split = 'test'""")

@@ -35,10 +35,14 @@ def ngrams(toks: str, n: int) -> str:
             f"lambda i: array_to_string({toks}[i:i + {n - 1}], ' ')) ELSE [] END")
 
 
+# strptime forms of the accepted layouts, in their order
+_LAYOUTS = ("%B %d, %Y", "%b %d, %Y", "%d-%b-%y", "%Y-%m-%d", "%m/%d/%Y", "%d %B %Y", "%d %b %Y", "%d-%b-%Y",
+            "%Y/%m/%d", "%Y-%m-%d %H:%M:%S")
+
+
 def parse_date(x: str) -> str:
     s = strip(x)
-    two = f"try_strptime({s}, '%d-%b-%y')"
-    return (f"CAST(coalesce(try_strptime({s}, '%B %d, %Y'), try_strptime({s}, '%b %d, %Y'), {two}) AS DATE)")
+    return "CAST(coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in _LAYOUTS) + ") AS DATE)"
 
 
 CTES = {
@@ -51,7 +55,8 @@ CTES = {
          d.source AS subject,
          CAST(NULL AS VARCHAR) AS date,
          CAST(l.quality AS INTEGER) AS label
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
+    "labeled_articles": "labeled_articles AS (SELECT * FROM articles WHERE label IS NOT NULL)",
     "normed": f"""normed AS (
   SELECT row_id,
          {strip("coalesce(title, '')")} AS title,
@@ -66,11 +71,17 @@ CTES = {
          {word_count("title")} AS title_words,
          {word_count("text")} AS text_words
   FROM (SELECT *, row_number() OVER (PARTITION BY title, text ORDER BY row_id) AS _rn FROM normed)
+  WHERE _rn = 1)""",
+    "labeled": f"""labeled AS (
+  SELECT row_id, title, text, subject, date, label, {strip("title || ' ' || text")} AS content,
+         {word_count("title")} AS title_words, {word_count("text")} AS text_words
+  FROM (SELECT *, row_number() OVER (PARTITION BY title, text ORDER BY row_id) AS _rn
+        FROM normed WHERE label IS NOT NULL)
   WHERE _rn = 1)""",
     "ranked": """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) AS _r,
          count(*) OVER (PARTITION BY label) AS _n
-  FROM cleaned)""",
+  FROM labeled)""",
     "splitted": """splitted AS (
   SELECT * EXCLUDE (_r, _n, _hold),
          CASE WHEN _r <= _n - _hold THEN 'train'
@@ -82,10 +93,14 @@ CTES = {
   FROM (SELECT *, CAST(least(length(text), 9999) AS DOUBLE) / 10000.0 AS p FROM splitted))""",
     "dated": """dated AS (
   SELECT o_orderkey AS row_id,
-         CASE o_orderkey % 4
+         CASE o_orderkey % 8
               WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y')
               WHEN 1 THEN strftime(o_orderdate, '%b %-d, %Y') || ' '
               WHEN 2 THEN strftime(o_orderdate, '%-d-%b-%y')
+              WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d')
+              WHEN 5 THEN strftime(o_orderdate, '%-m/%-d/%Y')
+              WHEN 6 THEN strftime(o_orderdate, '%-d %B %Y')
+              WHEN 7 THEN strftime(o_orderdate, '%-d %b %Y')
               ELSE o_orderpriority END AS date,
          CAST(o_orderkey % 2 AS INTEGER) AS label
   FROM orders)""",
@@ -96,11 +111,12 @@ CTES = {
                                    WHEN 3 THEN 'Real news' ELSE 'unknown' END END AS answer,
          CASE WHEN row_id % 7 = 0 THEN NULL ELSE CAST(length(text) AS DOUBLE) / 1000.0 END AS latency_seconds,
          CASE WHEN row_id % 7 = 0 THEN 'generation failed' ELSE NULL END AS error
-  FROM articles)""",
+  FROM labeled_articles)""",
 }
 DEPENDS = {
-    "articles": [], "normed": ["articles"], "cleaned": ["normed"], "ranked": ["cleaned"],
-    "splitted": ["ranked"], "predictions": ["splitted"], "dated": [], "answers": ["articles"],
+    "articles": [], "labeled_articles": ["articles"], "normed": ["articles"], "cleaned": ["normed"],
+    "labeled": ["normed"], "ranked": ["labeled"], "splitted": ["ranked"], "predictions": ["splitted"], "dated": [],
+    "answers": ["labeled_articles"],
 }
 
 

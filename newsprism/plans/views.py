@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsprism.operators import terms as tm
 from newsprism.operators.clean import clean_articles
-from newsprism.session import cut_lineage
 from newsprism.operators.splits import stratified_split
+from newsprism.session import cut_lineage
 from newsprism.sources.articles import articles_from_tables, dated_from_orders
 from newsprism.sources.tables import read_table
 
 
 def raw_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document; the label is null where there is none."""
     return articles_from_tables(spark, sf)
 
 
-def cleaned(spark: SparkSession, sf: str, materialize: bool = False) -> DataFrame:
-    """Cleaned, de-duplicated articles. ``materialize`` writes them once to the
-    shared checkpoint folder for queries that run several jobs over them."""
-    df = clean_articles(articles_from_tables(spark, sf))
-    return cut_lineage(df) if materialize else df
+def labeled_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a label: the input of everything that learns or counts labels."""
+    return articles_from_tables(spark, sf).where(F.col("label").isNotNull())
+
+
+def cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned, de-duplicated articles, labelled or not."""
+    return clean_articles(raw_articles(spark, sf))
+
+
+def labeled(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned, de-duplicated labelled articles."""
+    return clean_articles(labeled_articles(spark, sf))
 
 
 def split_articles(spark: SparkSession, sf: str, materialize: bool = False) -> DataFrame:
-    df = stratified_split(cleaned(spark, sf))
+    """Labelled articles with their split. ``materialize`` writes them once to the
+    shared checkpoint folder for queries that run several jobs over them."""
+    df = stratified_split(labeled(spark, sf))
     return cut_lineage(df) if materialize else df
 
 
@@ -34,18 +48,18 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Closed-form scores for metric checks: p = min(length(text), 9999) / 10000,
-    prediction = p >= 0.5; ties occur for equal lengths. Built on the
-    materialised split, since metric queries read it several times."""
-    s = split_articles(spark, sf, materialize=True)
-    p = F.least(F.length("text"), F.lit(9999)).cast("double") / F.lit(10000.0)
-    return s.select("row_id", "split", "label", p.alias("p"),
-                    (p >= 0.5).cast("int").alias("prediction"))
+    prediction = p >= 0.5; ties occur for equal lengths. Narrow: the text stays
+    behind before the split."""
+    rows = labeled(spark, sf).select("row_id", "label", F.least(F.length("text"), F.lit(9999)).alias("_len"))
+    p = F.col("_len").cast("double") / F.lit(10000.0)
+    return stratified_split(rows).select("row_id", "split", "label", p.alias("p"),
+                                         (p >= 0.5).cast("int").alias("prediction"))
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Generator answers chosen by doc_id % 5 from the answer fixtures, with a
     recorded latency and an error for every 7th row (prediction then missing)."""
-    a = articles_from_tables(spark, sf)
+    a = labeled_articles(spark, sf)
     k = F.col("row_id") % 5
     answer = (F.when(k == 0, "FAKE").when(k == 1, "fake.").when(k == 2, "REAL")
               .when(k == 3, "Real news").otherwise("unknown"))
@@ -77,9 +91,8 @@ def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int
     """Split articles, their long-form TF (with split and label), the train
     vocabulary, the long-form TF-IDF of every row (fitted on train) and the
     train rows per label (one bounded collect)."""
-    from newsprism.operators import terms as tm
     s = split_articles(spark, sf, materialize=True)
-    tf = tm.term_frequencies(s, "content", keep=("split", "label"))
+    tf = cut_lineage(tm.term_frequencies(s, "content", keep=("split", "label")))
     vocab = tm.vocabulary(tf, min_df, max_features, rows=F.col("split") == "train")
     sizes = {r["label"]: r["count"] for r in
              s.filter(F.col("split") == "train").groupBy("label").count().collect()}
@@ -91,16 +104,13 @@ def log_odds_coefficients(spark: SparkSession, sf: str):
     """Closed-form linear coefficients over the train vocabulary, so explanation
     operators have a SQL oracle: coef = ln((df1+1)/(n1+2)) - ln((df0+1)/(n0+2))
     with df_k the class-k train documents containing the term; intercept =
-    ln(n1/n0). Returns (coefficients, intercept, tfidf_long)."""
+    ln(n1/n0). Returns (split articles, coefficients, intercept, tfidf_long)."""
     s, tf, vocab, x, sizes = train_tfidf(spark, sf)
     n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    # conditional counts keep the tf subtree identical to the TF-IDF branch (one tokenisation)
     train = F.col("split") == "train"
-    per = (tf.join(F.broadcast(vocab.select("term", "feature_index")), "term")
-           .groupBy("term", "feature_index")
-           .agg(F.count_if(train & (F.col("label") == 0)).alias("df0"),
-                F.count_if(train & (F.col("label") == 1)).alias("df1")))
+    per = (tf.where(train).groupBy("term")
+           .agg(F.count_if(F.col("label") == 0).alias("df0"), F.count_if(F.col("label") == 1).alias("df1"))
+           .join(vocab.select("term", "feature_index"), "term"))
     coef = (F.log((F.col("df1") + 1.0) / F.lit(n1 + 2.0)) - F.log((F.col("df0") + 1.0) / F.lit(n0 + 2.0)))
-    import math
     intercept = math.log(n1 / n0) if n0 > 0 and n1 > 0 else 0.0
-    return per.select("term", "feature_index", coef.alias("coefficient")), intercept, x
+    return s, cut_lineage(per.select("term", "feature_index", coef.alias("coefficient"))), intercept, x

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +47,9 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is configured (local
-    tests) a scratch folder is created so ``DataFrame.checkpoint`` works.
+    The cluster's setting always wins. Only a ``local[...]`` master (tests) may go
+    without one and gets a scratch folder; elsewhere executors would write to their
+    own disks, so an unset folder raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="newsprism-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -76,8 +84,52 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     blocks), is written by a single job (``checkpoint()`` re-runs the last
     stage to write), and later reads get column pruning and pushed filters.
     Iterative fits and multi-job queries re-read it instead of re-tokenising.
+
+    Tables go when their consumer says so (``drop_cut``, ``scratch``), and at the
+    latest when the application ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    home = f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_delete, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    cut = spark.read.parquet(path)
+    _CUTS.append((cut, path))
+    if getattr(_LOCAL, "cuts", None) is not None:
+        _LOCAL.cuts.append(cut)
+    return cut
+
+
+_HOMES: set[str] = set()
+_CUTS: list[tuple[DataFrame, str]] = []
+_LOCAL = threading.local()  # cuts made inside this thread's innermost scratch block
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Hadoop's file system; nothing to do once the context has stopped."""
+    if spark.sparkContext._jsc is None:
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def drop_cut(cut: DataFrame) -> None:
+    """Delete the table behind ``cut_lineage``'s result; frames still built on it can no longer run."""
+    for entry in [e for e in _CUTS if e[0] is cut]:
+        _delete(cut.sparkSession, entry[1])
+        _CUTS.remove(entry)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, every table cut inside it: for work whose result no longer reads them."""
+    outer, mine = _LOCAL.__dict__.get("cuts"), []
+    _LOCAL.cuts = mine
+    try:
+        yield
+    finally:
+        _LOCAL.cuts = outer
+        for cut in mine:
+            drop_cut(cut)

@@ -42,3 +42,8 @@ def test_zero_shot_errors_are_rows(spark):
     assert out[1]["prediction"] == 1 and out[1]["correct"] is True
     assert out[2]["prediction"] is None and out[2]["error"] == "boom" and out[2]["correct"] is False
     assert out[2]["latency_seconds"] is None
+
+
+def test_mean_pool_of_no_tokens(spark):
+    df = spark.createDataFrame([([], [])], "hidden array<array<double>>, mask array<int>")
+    assert df.select(vx.mean_pool("hidden", "mask")).first()[0] == []

@@ -27,11 +27,11 @@ def _frame(spark, n=400, seed=7):
 
 def test_auc_matches_brute_force_with_ties(spark):
     rows, df = _frame(spark)
-    got = {r["g"]: r["roc_auc"] for r in mt.roc_auc(df, group_cols=("g",), buckets=16).collect()}
+    got = {r["g"]: r["roc_auc"] for r in mt.roc_auc(df, group_cols=("g",)).collect()}
     for g in ("a", "b"):
         sub = [r for r in rows if r[1] == g]
         assert abs(got[g] - _brute_auc([r[2] for r in sub], [r[3] for r in sub])) < 1e-6
-    total = mt.roc_auc(df, buckets=4).first()["roc_auc"]
+    total = mt.roc_auc(df).first()["roc_auc"]
     assert abs(total - _brute_auc([r[2] for r in rows], [r[3] for r in rows])) < 1e-6
 
 
@@ -88,3 +88,51 @@ def test_histogram_has_all_bins(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 1, 10]], "latency_seconds double")
     h = mt.latency_histogram(df).orderBy("bin").collect()
     assert len(h) == 20 and sum(r["count"] for r in h) == 4 and h[-1]["count"] == 1
+
+
+def _counts(spark, tp, tn, fp, fn):
+    wide = spark.createDataFrame([(tp, tn, fp, fn)], "tp long, tn long, fp long, fn long")
+    return wide.select(*[c.alias(k) for k, c in mt.metric_columns(True).items()]).first().asDict()
+
+
+def test_metrics_do_not_overflow(spark):
+    n = 5 * 10 ** 9
+    m = _counts(spark, n, n, 0, 0)
+    assert abs(m["mcc"] - 1.0) < 1e-12 and m["f1_macro"] == 1.0
+    assert abs(_counts(spark, n, n, n, n)["mcc"]) < 1e-12
+
+
+def test_macro_means_take_present_classes_only(spark):
+    m = _counts(spark, 7, 0, 0, 0)
+    assert m["precision_macro"] == m["recall_macro"] == m["f1_macro"] == 1.0
+    m = _counts(spark, 3, 0, 0, 1)  # class 0 is only predicted
+    assert m["recall_macro"] == (0.75 + 0.0) / 2
+    report = {r["row"]: r for r in mt.classification_report(
+        spark.createDataFrame([(1, 1)] * 3, "label int, prediction int")).collect()}
+    assert report["macro avg"]["f1_score"] == 1.0 and report["0"]["support"] == 0
+
+
+def test_log_loss_ignores_labels_outside_the_domain(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (None, 0.99), (2, 0.01)], "label int, p double")
+    want = -(math.log(0.9) + math.log(0.8)) / 2
+    assert abs(mt.log_loss(df).first()["log_loss"] - want) < 1e-6
+
+
+def test_median_is_found_by_narrowing(spark):
+    rnd = random.Random(3)
+    values = [rnd.expovariate(1.0) for _ in range(3001)] + [0.5] * 2000
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    dist = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ordered = sorted(values)
+    for rank in (0, 1, 2500, 4000, 5000):
+        assert mt.value_at_rank(dist, "v", "n", rank, bins=8, direct=20) == ordered[rank]
+    got = mt.latency_stats(df.unionByName(spark.createDataFrame([(None,), (float("nan"),)], "v double")), "v").first()
+    assert abs(got["median"] - ordered[2500]) < 1e-6 and got["min"] == ordered[0]
+
+
+def test_zero_shot_result_holds_the_confusion(spark):
+    df = spark.createDataFrame([(1, 1, 0.1), (0, 1, 0.3), (0, None, None)],
+                               "true_label int, prediction int, latency_seconds double")
+    got = {r["metric"]: r["value"] for r in mt.evaluate_zero_shot(df).collect()}
+    assert (got["confusion_1_1"], got["confusion_0_1"], got["confusion_0_0"], got["confusion_1_0"]) == (1.0, 1.0, 0.0, 0.0)
+    assert got["accuracy"] == 0.5 and got["invalid_predictions"] == 1.0 and got["average_latency_seconds"] == 0.2

@@ -1,9 +1,12 @@
 """Reference model test re-created, plus explanation and persistence invariants."""
 
+import math
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from newsprism import session
 from newsprism.operators import explain as ex
 from newsprism.operators import models as md
 from newsprism.operators import terms as tm
@@ -25,7 +28,7 @@ def toy_result(toy):
     return md.fit_experiment("smoke", toy, text_column="content", ngram_range=(1, 1), max_iter=100)
 
 
-def test_small_training_pipeline(spark, toy_result):
+def test_toy_articles_are_told_apart(spark, toy_result):
     m = {(r["split"], r["metric"]): r["value"] for r in toy_result.metrics.collect()}
     assert m[("test", "accuracy")] == 1.0
     probe = spark.createDataFrame([(99, "verified official report")], "row_id long, content string")
@@ -37,20 +40,64 @@ def test_small_training_pipeline(spark, toy_result):
 def test_contributions_reconstruct_decision(spark, toy_result):
     model = toy_result.model
     coefs, intercept = ex.coefficient_table(spark, model)
-    probe = spark.createDataFrame([(99, "verified official report"), (98, "fake rumor rumor")],
+    probe = spark.createDataFrame([(99, "verified official report"), (98, "fake rumor rumor"), (97, "unseen words")],
                                   "row_id long, content string")
-    # long-form TF-IDF with the model's own vocabulary and idf
-    feats = model.transform(probe).select("row_id", vector_to_array("features").alias("f"),
-                                          vector_to_array("rawPrediction")[1].alias("raw"))
-    vocab = model.stages[1].vocabulary
-    long = feats.select("row_id", F.posexplode("f").alias("feature_index", "tfidf")).filter("tfidf != 0")
-    vdf = spark.createDataFrame(list(enumerate(vocab)), "feature_index int, term string")
-    long = long.join(vdf, "feature_index")
-    expl = ex.prediction_contributions(long, coefs, top_n=15)
-    assert expl.filter(F.col("row_id") == 99).count() > 0
-    scores = {r["row_id"]: r["decision_score"] for r in ex.decision_scores(long, coefs, intercept).collect()}
-    for r in feats.collect():
-        assert abs(scores[r["row_id"]] - r["raw"]) < 1e-9
+    want = {r["row_id"]: r for r in md.predict(model, probe).collect()}
+    scores = {r["row_id"]: r for r in ex.decision_scores(probe, ex.feature_table(model, probe), coefs, intercept).collect()}
+    assert scores.keys() == want.keys()
+    for i, r in want.items():
+        assert abs(scores[i]["decision_score"] - r["score"]) < 1e-9 and abs(scores[i]["p_real"] - r["p"]) < 1e-9
+        assert scores[i]["prediction"] == r["prediction"]
+    lines = ex.explain_rows(model, probe).collect()
+    probe_lines = [r for r in lines if r["row_id"] == 99]
+    assert probe_lines[0]["prediction"] == 1 and {r["term"] for r in probe_lines} == {"verified", "official", "report"}
+    assert all(abs(r["tfidf"] * r["coefficient"] - r["contribution"]) < 1e-12 for r in probe_lines)
+    alone = [r for r in lines if r["row_id"] == 97]
+    assert len(alone) == 1 and alone[0]["term"] is None and abs(alone[0]["p_real"] - want[97]["p"]) < 1e-9
+    total = intercept + sum(r["contribution"] for r in probe_lines)
+    assert abs(total - want[99]["score"]) < 1e-9
+
+
+def test_coefficients_are_the_optimum(spark, toy, toy_result):
+    """Against plain gradient descent on the same penalised loss."""
+    train = toy.filter("split = 'train'")
+    feats = [(r["label"], r["f"]) for r in toy_result.model.transform(train).select(
+        "label", vector_to_array("features").alias("f")).collect()]
+    n, width = len(feats), len(feats[0][1])
+    w, b = [0.0] * width, 0.0
+    for _ in range(20_000):
+        gw, gb = [x / n for x in w], 0.0
+        for y, f in feats:
+            e = 1 / (1 + math.exp(-(b + sum(a * c for a, c in zip(w, f))))) - y
+            gb += e / n
+            for k, c in enumerate(f):
+                gw[k] += e * c / n
+        w, b = [a - 0.5 * g for a, g in zip(w, gw)], b - 0.5 * gb
+    coefs, intercept = ex.coefficient_table(spark, toy_result.model)
+    got = [r["coefficient"] for r in coefs.orderBy("feature_index").collect()]
+    assert abs(intercept - b) < 1e-3 and max(abs(x - y) for x, y in zip(got, w)) < 1e-3
+
+
+def test_experiments_are_ranked_and_summed_up(spark, toy, toy_result):
+    other = md.fit_experiment("another", toy, text_column="title", ngram_range=(1, 1), max_iter=100)
+    table = md.compare_experiments([toy_result, other]).orderBy("rank").collect()
+    assert [r["experiment"] for r in table] == ["another", "smoke"] and [r["best"] for r in table] == [True, False]
+    assert md.best_experiment([toy_result, other]) is other
+    curve = spark.createDataFrame([(0.5, 0.9, 0.7), (1.0, 1.0, 0.75)], "size double, train_mean double, val_mean double")
+    got = {r["metric"]: r["value"] for r in md.summary_table(toy_result, curve).collect()}
+    assert got["cross_validated_gap"] == 0.25 and got["train_val_gap"] == 0.0 and got["f1_weighted"] == 1.0
+    assert got["vectorizer_seconds"] > 0 and got["training_seconds"] > 0
+
+
+def test_an_empty_vocabulary_is_an_error(spark, toy):
+    with pytest.raises(ValueError, match="vocabulary is empty"):
+        md.build_pipeline((1, 1), min_df=100).fit(toy)
+
+
+def test_cuts_of_a_fit_are_gone_afterwards(spark, toy):
+    before = len(session._CUTS)
+    md.build_pipeline((1, 1), max_iter=5).fit(toy)
+    assert len(session._CUTS) == before
 
 
 def test_vector_tfidf_equals_long_form(spark, sf):

@@ -1,12 +1,15 @@
 """Plan-shape helpers: one-aggregate reshaping, shared tf subtrees, parquet lineage cuts."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from newsprism.functions.reshape import rows_from
 from newsprism.operators import fisher, metrics, quality
 from newsprism.operators import terms as tm
 from newsprism.plans import views as V
-from newsprism.session import checkpoint_dir, cut_lineage
+from newsprism import session
+from newsprism.session import checkpoint_dir, cut_lineage, drop_cut
 
 SCHEMA = "row_id long, title string, text string, subject string, date string, label int"
 
@@ -66,5 +69,39 @@ def test_cut_lineage_writes_under_checkpoint_dir(spark):
     cut = cut_lineage(df)
     files = cut.inputFiles()
     assert files and all("/tables/" in f for f in files)
+    drop_later = cut
     assert checkpoint_dir(spark).split(":")[-1].rstrip("/") in files[0]
     assert sorted(tuple(r) for r in cut.collect()) == [(i, i * i) for i in range(10)]
+    drop_cut(drop_later)
+    assert not os.path.exists(files[0].removeprefix("file://"))
+
+
+def test_term_counts_inside_the_row(spark):
+    rows = [(1, "b a b c b"), (2, ""), (3, None), (4, "x"), (5, "Zz zz é É é")]
+    df = spark.createDataFrame(rows, "row_id long, content string").withColumn("t", F.split(F.lower("content"), " "))
+    got = {(r["row_id"], r["term"]): r["tf"] for r in df.select("row_id", F.inline(tm.counted(F.col("t")))).collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (2, ""): 1, (4, "x"): 1, (5, "zz"): 2, (5, "é"): 3}
+    empty = df.select(tm.counted(F.array().cast("array<string>")).alias("c")).first()["c"]
+    assert empty == []
+
+
+def test_unlimited_and_limited_vocabulary(spark):
+    rows = [(i, f"t{i % 7:02d} t{i % 3:02d} u{i:03d}") for i in range(200)]
+    tf = tm.term_frequencies(spark.createDataFrame(rows, "row_id long, content string"), "content")
+    every = tm.vocabulary(tf, 1, None).orderBy("term").collect()
+    assert [r["feature_index"] for r in every] == list(range(207)) and every == sorted(every, key=lambda r: r["term"])
+    some = tm.vocabulary(tf, 1, 10).orderBy("term").collect()
+    want = sorted(sorted(every, key=lambda r: (-r["total_count"], r["term"]))[:10], key=lambda r: r["term"])
+    assert [(r["term"], r["total_count"], r["feature_index"]) for r in some] == [
+        (r["term"], r["total_count"], i) for i, r in enumerate(want)]
+
+
+def test_constant_feature_scores_zero(spark):
+    df = spark.createDataFrame([(0, 0.1), (0, 0.1), (0, 0.1), (1, 0.3), (1, 0.3), (1, 0.3)], "label int, x double")
+    assert fisher.fisher_numeric(df, ["x"]).first()["fisher_score"] == 0.0
+
+
+def test_the_table_written_for_metrics_is_narrow(spark, sf):
+    before = len(session._CUTS)
+    metrics.classification_metrics(V.predictions(spark, sf), group_cols=("split",))
+    assert max(len(cut.columns) for cut, _ in session._CUTS[before:]) <= 5

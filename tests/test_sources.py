@@ -38,6 +38,37 @@ def test_missing_column_is_reported(spark):
         src.read_article_csv(spark, bad)
 
 
+def test_columns_are_read_by_name(spark):
+    d = tempfile.mkdtemp(prefix="np-csv-")
+    odd, real = os.path.join(d, "odd.csv"), os.path.join(d, "real.csv")
+    _write(odd, 'date,extra,text,title,subject\n"Dec 1, 2017",9,body,head,News\n')
+    _write(real, "title,text,subject,date\na,b,c,d\n")
+    rows = {r["label"]: r for r in src.load_labeled(spark, odd, real).collect()}
+    assert (rows[0]["title"], rows[0]["text"], rows[0]["subject"], rows[0]["date"]) == ("head", "body", "News", "Dec 1, 2017")
+    assert set(rows[0].asDict()) == {"title", "text", "subject", "date", "label", "row_id"}
+
+
+def test_ids_depend_on_the_files_alone(spark):
+    d = tempfile.mkdtemp(prefix="np-csv-")
+    for side in ("fake", "real"):
+        os.mkdir(os.path.join(d, side))
+        for k in range(5):
+            body = "".join(f"{side}{k}_{i},x,s,d\n" for i in range(20))
+            _write(os.path.join(d, side, f"{k}.csv"), "title,text,subject,date\n" + body)
+    load = lambda: {r["title"]: r["row_id"] for r in src.load_labeled(
+        spark, os.path.join(d, "fake"), os.path.join(d, "real")).collect()}
+    first = load()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert load() == first
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(set(first.values())) == 200
+
+
 def test_source_files(spark, sf):
     files = src.source_files(read_table(spark, sf, "documents")).collect()
     assert len(files) == 1 and files[0]["file_path"].endswith("documents.parquet") and files[0]["count"] == 1000
@@ -45,6 +76,7 @@ def test_source_files(spark, sf):
 
 def test_articles_adapter(spark, sf):
     a = src.articles_from_tables(spark, sf)
-    assert a.count() == read_table(spark, sf, "labels").count()
+    assert a.count() == read_table(spark, sf, "documents").count()
+    assert a.where("label is not null").count() == read_table(spark, sf, "labels").count()
     assert set(a.columns) == {"row_id", "title", "text", "subject", "date", "label"}
     assert a.filter(F.col("title").contains("\n")).count() == 0

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.operators import splits
-from newsprism.operators.ranks import hash_rank, order_hash
+from newsprism.operators.ranks import hash_rank, order_hash, rank_cuts
 from newsprism.plans import views as V
 
 
 def test_hash_rank_equals_naive_row_number(spark, sf):
-    c = V.cleaned(spark, sf)
+    c = V.labeled(spark, sf)
     fast = hash_rank(c, "label", bucket_digits=2).select("row_id", "rank")
     w = Window.partitionBy("label").orderBy(order_hash(), "row_id")
     naive = c.select("row_id", F.row_number().over(w).alias("naive"))
@@ -18,7 +18,7 @@ def test_hash_rank_equals_naive_row_number(spark, sf):
 
 
 def test_split_is_exhaustive_disjoint_and_stratified(spark, sf):
-    c = V.cleaned(spark, sf)
+    c = V.labeled(spark, sf)
     s = splits.stratified_split(c)
     assert s.count() == c.count() == s.select("row_id").distinct().count()
     n = c.count()
@@ -31,13 +31,13 @@ def test_split_is_exhaustive_disjoint_and_stratified(spark, sf):
 
 
 def test_split_is_deterministic(spark, sf):
-    a = splits.stratified_split(V.cleaned(spark, sf)).select("row_id", "split")
-    b = splits.stratified_split(V.cleaned(spark, sf)).select("row_id", "split")
+    a = splits.stratified_split(V.labeled(spark, sf)).select("row_id", "split")
+    b = splits.stratified_split(V.labeled(spark, sf)).select("row_id", "split")
     assert a.exceptAll(b).count() == 0
 
 
 def test_kfold_balanced(spark, sf):
-    k = splits.stratified_kfold(V.cleaned(spark, sf), k=5)
+    k = splits.stratified_kfold(V.labeled(spark, sf), k=5)
     per = k.groupBy("label", "fold").count().groupBy("label").agg(F.max("count").alias("mx"),
                                                                  F.min("count").alias("mn")).collect()
     assert all(r["mx"] - r["mn"] <= 1 for r in per)
@@ -56,3 +56,27 @@ def test_stratified_sample_too_small(spark):
     df = spark.createDataFrame([(i, 0 if i < 2 else 1) for i in range(12)], "row_id long, label int")
     with pytest.raises(ValueError):
         splits.stratified_sample(df, per_class=3)
+
+
+def test_null_labels_are_a_class_and_never_lost(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, label int")
+    s = splits.stratified_split(df)
+    assert s.count() == 30 and s.where("label is null").count() == 10
+    assert splits.stratified_kfold(df, k=3).count() == 30
+
+
+def test_cuts_are_the_keys_at_the_ranks(spark):
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"))
+    w = Window.partitionBy("label").orderBy(order_hash(), "row_id")
+    ranked = {(r["label"], r["n"]): r["row_id"] for r in df.withColumn("n", F.row_number().over(w)).collect()}
+    cuts = rank_cuts(df, {"a": F.lit(1), "b": F.col("n"), "c": F.lit(0), "d": F.lit(100)}, bucket_digits=1).collect()
+    for r in cuts:
+        assert r["n"] == 250 and r["c"] is None
+        assert [r[x]["id"] for x in "abd"] == [ranked[r["label"], k] for k in (1, 250, 100)]
+
+
+def test_split_moves_no_text(spark, sf):
+    plan = splits.stratified_split(V.labeled(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    sort_aggregates = [line for line in plan.splitlines() if "SortAggregate" in line and "content" in line]
+    assert not sort_aggregates

@@ -35,6 +35,7 @@ def test_uppercase_words_match_isupper(spark):
     assert got == [sum(w.isupper() for w in v.split()) for v in vals]
 
 
+# Answers and the labels they stand for.
 @pytest.mark.parametrize(("answer", "expected"),
                          [("FAKE", 0), ("fake.", 0), ("REAL", 1), ("Real news", 1), ("unknown", None)])
 def test_parse_binary_answer(spark, answer, expected):
@@ -47,6 +48,14 @@ def test_parse_date_layouts(spark):
     assert got == ["2017-12-31", "2017-12-31", "2017-12-31", "1995-01-15", None, None, None]
 
 
+def test_parse_date_mixed_layouts(spark):
+    vals = ["2017-12-31", "12/31/2017", "1/2/2017", "31 December 2017", "3 Dec 2017", "31-Dec-2017", "2017/1/2",
+            "2017-12-31 10:11:12", "31/12/2017", "2017-13-01", "Monday"]
+    got = [None if d is None else d.isoformat() for d in _col(spark, vals, tx.parse_date)]
+    assert got == ["2017-12-31", "2017-12-31", "2017-01-02", "2017-12-31", "2017-12-03", "2017-12-31", "2017-01-02",
+                   "2017-12-31", None, None, None]
+
+
 def test_contains_marker_is_literal_and_case_insensitive(spark):
     vals = ["Via TWITTER.COM today", "twitterXcom", None]
     assert _col(spark, vals, lambda c: tx.contains_ci(c, "twitter.com")) == [True, False, False]
