@@ -55,7 +55,9 @@ class Model:
 
 
 def letters(word: str) -> str:
-    return _NO_LETTER.sub("", word)
+    """The letters of a word; figures that are no digits (fractions, numerals) go too."""
+    core = _NO_LETTER.sub("", word)
+    return core if core.isalpha() else "".join(filter(str.isalpha, core))
 
 
 def _keys(words: list[str], lexicon: dict[str, int]) -> tuple[list[str], list[str], np.ndarray]:

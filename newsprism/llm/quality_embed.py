@@ -32,7 +32,7 @@ SHOWN, EPOCHS = 12_000, 5
 BATCH = 16
 RATE = 20.0
 #: Bounds of the training sample: rows per class, and tokens per row (evenly spread stretches).
-ROWS_PER_CLASS = 1500
+ROWS_PER_CLASS = 1000
 STRETCH, STRETCHES_PER_ROW = 64, 8
 THRESHOLD = 0.7
 #: Buckets of their own: a token that repeats the one before it.
@@ -64,12 +64,14 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
     return np.where(left == right, AGAIN, _bucket(mixed))
 
 
-def _bag(tokens: list[str], known: dict[str, list[int]]) -> np.ndarray:
+def _bag(tokens: list[str], known: dict[str, np.ndarray]) -> np.ndarray:
     """Bucket of every feature of a training text."""
-    found = [known[t] if t in known else known.setdefault(t, _token_features(t)) for t in tokens]
-    single = np.array([h for hashes in found for h in hashes], dtype=np.uint64)
+    for t in tokens:
+        if t not in known:
+            known[t] = np.array(_token_features(t), dtype=np.uint64)
+    found = [known[t] for t in tokens]
     own = np.array([hashes[0] for hashes in found], dtype=np.uint64)
-    return np.concatenate([_bucket(single), _pairs(own)])
+    return np.concatenate([_bucket(np.concatenate(found)), _pairs(own)])
 
 
 def train(samples: list[tuple[int, list[list[str]]]], odds: float = 1.0) -> Model | None:
@@ -81,12 +83,13 @@ def train(samples: list[tuple[int, list[list[str]]]], odds: float = 1.0) -> Mode
     samples = sorted((label, rows) for label, rows in samples if rows)
     if not samples:
         return None
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     bags, labels = [], []
     for label, rows in samples:
         feature, count = np.unique(np.concatenate([_bag(r, known) for r in rows]), return_counts=True)
-        bags.append((feature, count / count.sum()))
+        bags.append((feature.astype(np.int32), (count / count.sum()).astype(np.float32)))
         labels.append(label)
+    known.clear()
     labels = np.array(labels)
     share = np.bincount(labels, minlength=2) / len(labels)
     weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0.0)[labels]

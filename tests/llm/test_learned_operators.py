@@ -89,7 +89,7 @@ def test_score_of_a_text_is_the_average_of_its_vectors():
     model = quality_embed.Model(np.random.default_rng(6).normal(size=quality_embed.BUCKETS), 0.25)
     text = "The the the river | river %% über"
     tokens = text.split()
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     logit = model.logits[quality_embed._bag(tokens, known)].mean() + 0.25
     assert math.isclose(quality_embed.Scorer(model).score(text), 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
     assert quality_embed.Scorer(model).score(None) == quality_embed.Scorer(model).score("") == 1 / (1 + math.exp(-0.25))
