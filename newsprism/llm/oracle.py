@@ -1,7 +1,15 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
-from newsprism.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, STOP_WORDS
+from newsprism.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS
 
+
+def _ratio(measure: str) -> str:
+    top, bottom = (x.strip() for x in measure.split("/"))
+    return f"CASE WHEN {bottom} > 0 THEN CAST({top} AS DOUBLE) / {bottom} ELSE 0.0 END"
+
+
+_PASSED = " AND ".join(f"{_ratio(r.measure)} {sign} {bound}" for r in RULES
+                       for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None)
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
 OP1 = """
@@ -42,8 +50,7 @@ m AS (
 b AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND word_chars BETWEEN 1.5 * n_words AND 25 * n_words AND n_symbols <= 0.2 * n_words
-       AND n_stop_words >= 0.04 * n_words AND n_dup_lines <= 0.5 * n_lines AS kept
+       NOT base_failed AND {_PASSED} AS kept
 FROM b
 """
 

@@ -39,7 +39,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("word_length", "word_chars / n_words", 1.5, 25.0),
     Rule("symbol_ratio", "n_symbols / n_words", None, 0.20),
-    Rule("stop_word_ratio", "n_stop_words / n_words", 0.04, None),
+    Rule("stop_word_ratio", "n_stop_words / n_words", 0.02, None),
     Rule("duplicate_line_ratio", "n_dup_lines / n_lines", None, 0.50),
 )
 
