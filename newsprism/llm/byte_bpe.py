@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.llm.common import pick
+from newsprism.llm.common import pick, worker_state
 
 #: Pre-tokens that one Python worker remembers with their ids; beyond it the memory starts anew.
 REMEMBERED = 300_000
@@ -112,16 +112,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
 def _codec(model: bytes, pattern: str) -> Codec:
     """The worker's codec: later tasks of the same worker find it warm."""
-    key = (hash(model), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(model, pattern)
-    return _CODECS[key]
+    return worker_state(("byte_bpe", model, pattern), lambda: Codec(model, pattern))
 
 
 def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Hashable, Sequence
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +56,23 @@ def crc_remainder(column: Column, modulus: int) -> Column:
 def hash_fraction(columns: Sequence[Column], salt: int) -> Column:
     """A repeatable value in [0, 1) drawn from the columns."""
     return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 30)) / float(1 << 30)
+
+
+T = TypeVar("T")
+_STATE: dict[Hashable, object] = {}
+
+
+def worker_state(key: Hashable, build: Callable[[], T]) -> T:
+    """What one Python worker keeps between tasks (a model, words met so far): that of the last key only.
+
+    A worker that turns to another operator or model first gives back the memory of the one before.
+    """
+    if key not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                ctypes.CDLL(None).malloc_trim(0)
+        _STATE[key] = build()
+    return _STATE[key]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprism.llm.common import by_place, crc_remainder, pick, place
+from newsprism.llm.common import by_place, crc_remainder, pick, place, worker_state
 from newsprism.llm.words import WordRows, balanced_sample, stretches
 
 CHAIN = 64
@@ -253,16 +253,6 @@ class Tagger:
             total[:, k] += np.bincount(doc, marginal[time, k, chain], len(total))
 
 
-_TAGGERS: dict[str, Tagger] = {}
-
-
-def _tagger(model: Model) -> Tagger:
-    if model.key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[model.key] = Tagger(model)
-    return _TAGGERS[model.key]
-
-
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
     """Learn from text and non-null language of rows whose crc32(id as text) mod 3 is not 1.
@@ -296,7 +286,7 @@ def predict_column(model: Model | None, df: DataFrame, text: Column) -> Column:
             if learned is None:
                 yield pd.DataFrame({"lang_pred": np.full(len(batch), UNDETERMINED, dtype=object), "score": 0.0})
                 continue
-            means = _tagger(learned).means(list(batch))
+            means = worker_state(learned.key, lambda: Tagger(learned)).means(list(batch))
             best = means.argmax(axis=1)
             top = np.clip(means.max(axis=1), 0.0, 1.0)
             names = [learned.langs[b] if s > 0 else UNDETERMINED for b, s in zip(best, top)]

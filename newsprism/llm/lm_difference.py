@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprism.llm.common import pick
+from newsprism.llm.common import pick, worker_state
 
 #: Model parameters: words of the shared vocabulary (with the unknown word), buckets of bigrams, smoothing mass.
 VOCABULARY = 1 << 15
@@ -162,16 +162,6 @@ class Scorer:
         out[owners, 0] = sizes
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
-
-
 def loss_column(model: Model, df: DataFrame, text: Column) -> Column:
     """struct(n_tokens, target_loss, background_loss) of each text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -179,7 +169,7 @@ def loss_column(model: Model, df: DataFrame, text: Column) -> Column:
     @F.pandas_udf("n_tokens long, target_loss double, background_loss double")
     def losses(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = _scorer(shared.value).losses(list(batch))
+            out = worker_state(shared.value.key, lambda: Scorer(shared.value)).losses(list(batch))
             yield pd.DataFrame({"n_tokens": out[:, 0].astype(np.int64), "target_loss": out[:, 1],
                                 "background_loss": out[:, 2]})
     return losses(text)

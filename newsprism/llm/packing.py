@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from newsprism.llm.common import pick
+from newsprism.llm.common import pick, worker_state
 
 MAX_TOKENS = 2048
 END_ID = 1
 #: Tokens of rests that one buffer gathers before it is packed.
 BUFFER_TOKENS = 1 << 20
 #: Words whose ids one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -67,13 +67,9 @@ class WordTokens:
                 for t, words in zip(texts, split)]
 
 
-_TOKENS: dict[str, WordTokens] = {}
-
-
 def _tokens(path: str) -> WordTokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    """The worker's tokenizer: later tasks of the same worker find its words."""
+    return worker_state(("packing", path), lambda: WordTokens(path))
 
 
 def piece_cost(length, max_tokens: int = MAX_TOKENS):

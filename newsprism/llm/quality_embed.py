@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprism.llm.common import crc_remainder, pick
+from newsprism.llm.common import crc_remainder, pick, worker_state
 from newsprism.llm.words import WordRows, balanced_sample, stretches
 
 BUCKETS = 1 << 17
@@ -158,16 +158,6 @@ class Scorer:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500))))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
-
-
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
         label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Model | None:
     """Learn from rows whose crc32(id as text) mod 4 is not 2.
@@ -203,7 +193,11 @@ def score_column(model: Model | None, df: DataFrame, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         learned = shared.value
         for batch in batches:
-            yield pd.Series([0.5 if learned is None else _scorer(learned).score(t) for t in batch], dtype="float64")
+            if learned is None:
+                yield pd.Series(np.full(len(batch), 0.5))
+                continue
+            scorer = worker_state(learned.key, lambda: Scorer(learned))
+            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
     return score(text)
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprism.llm.common import by_place, pick, place, position
+from newsprism.llm.common import by_place, pick, place, position, worker_state
 
 # The kinds, their patterns and their least lengths; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "forge", "registry", "xprv")
@@ -92,14 +92,9 @@ def build_automaton() -> ahocorasick.Automaton:
     return words
 
 
-_AUTOMATON: list[ahocorasick.Automaton] = []
-
-
 def _automaton() -> ahocorasick.Automaton:
     """The worker's automaton, built once."""
-    if not _AUTOMATON:
-        _AUTOMATON.append(build_automaton())
-    return _AUTOMATON[0]
+    return worker_state("secret_scan", build_automaton)
 
 
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[Span]:

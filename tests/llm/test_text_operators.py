@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsprism.llm import byte_bpe, packing, quality_rules, queries, secret_scan
+from newsprism.llm.common import pick
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +53,13 @@ def test_byte_bpe_is_tiktoken(spark, docs, awkward):
     assert collections.Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in rows) == want
 
 
+def test_encode_and_decode_alone(spark, awkward):
+    path = P.path("byte_bpe_50k.tiktoken")
+    ids = pick(awkward, t="text").select("t", byte_bpe.encode_column(spark, F.col("t"), path, P.PATTERN).alias("ids"))
+    back = ids.select("t", byte_bpe.decode_column(spark, F.col("ids"), path, P.PATTERN).alias("b")).collect()
+    assert all(bytes(r["b"]) == (r["t"] or "").encode() for r in back)
+
+
 def test_every_code_point_splits_as_tiktoken():
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
