@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsprism.llm.common import by_place, pick, place
+from newsprism.llm.common import by_place, pick, place, worker_state
 from newsprism.llm.components import stars
 from newsprism.session import cut_lineage
 
@@ -64,6 +64,7 @@ def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Colu
     """64-bit fingerprint (signed long) of each text; never null."""
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_state("simhash_dedup", dict)  # nothing to keep; frees what another operator kept
         for batch in batches:
             yield pd.Series([_fingerprint(t, shingle_words) for t in batch], dtype="int64")
     return of(text)
