@@ -20,10 +20,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.llm.common import pick, worker_state
+from newsprism.session import cut_lineage, drop_cut
 
 #: Model parameters: words of the shared vocabulary (with the unknown word), buckets of bigrams, smoothing mass.
 VOCABULARY = 1 << 15
@@ -65,16 +66,38 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def learn_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """Numbers from 1 of the ``size - 1`` most frequent words, ties by word; that many reach the driver."""
-    top = (word_counts(texts).where(F.length("word") <= LONGEST_WORD)
-           .orderBy(F.desc("n"), "word").limit(size - 1).select("word").collect())
+    """Numbers from 1 of the ``size - 1`` most frequent words, ties by word; that many reach the driver.
+
+    A histogram of the counts gives the least count that gets in, so that tasks send
+    only words at or above it.
+    """
+    counted = cut_lineage(word_counts(texts).where(F.length("word") <= LONGEST_WORD))
+    tally = counted.groupBy("n").agg(F.count("*").alias("words"))
+    # one row per distinct count: at most the square root of twice the tokens
+    above = F.coalesce(F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = tally.withColumn("above", above).where(F.col("above") < size - 1).agg(F.min("n")).first()[0]
+    top = (counted.where(F.col("n") >= (least or 0)).orderBy(F.desc("n"), "word").limit(size - 1).select("word").collect())
+    drop_cut(counted)
     return {r["word"]: i for i, r in enumerate(top, 1)}
 
 
 def _numbers(words: dict[str, int], text: str) -> np.ndarray:
     tokens = text.lower().split()
     get = words.get
-    return np.fromiter((get(t, UNKNOWN) for t in tokens), dtype=np.int64, count=len(tokens))
+    return np.fromiter((get(t, UNKNOWN) for t in tokens), dtype=np.uint16, count=len(tokens))
+
+
+def numbered(df: DataFrame, words: dict[str, int], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids) of every row: the numbers of its words, two bytes each; null text has none."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids = [_numbers(known, t or "").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    rows = pick(df, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return rows.mapInArrow(number, "doc_id long, ids binary")
 
 
 def _buckets(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -84,41 +107,36 @@ def _buckets(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
 
-def counts(texts: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(words by number, bigrams by bucket) over all texts.
+def counts(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words by number, bigrams by bucket) over the ids of all rows.
 
     Each task sums into arrays of fixed size and hands on what it counted; the sums
     over all tasks, bounded by the model's parameters, reach the driver.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-    size = len(words) + 1
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         single, pair = np.zeros(size, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                ids = _numbers(known, text.as_py())
+            for packed in batch.column(0).to_pylist():
+                ids = np.frombuffer(packed, dtype=np.uint16).astype(np.int64)
                 np.add.at(single, ids, 1)
                 if len(ids) > 1:
                     np.add.at(pair, _buckets(ids[:-1], ids[1:]), 1)
         both = np.concatenate([single, pair])
         at = np.flatnonzero(both)
         yield pa.record_batch({"at": pa.array(at), "n": pa.array(both[at])})
-    found = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("ids").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     both = np.zeros(size + BUCKETS, dtype=np.float64)
     both[found["at"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
     return both[:size], both[size:]
 
 
-def fit(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        vocabulary: int = VOCABULARY) -> Model:
-    """Background model over every row of ``df``, target model over the rows whose id is in ``target_ids`` (column id)."""
-    texts = _texts(df, text_col)
-    words = learn_vocabulary(texts, vocabulary)
-    rows = pick(df, id=id_col, text=text_col)
-    chosen = rows.join(target_ids.select("id").where("id is not null").distinct(), "id", "left_semi")
-    of = [counts(_texts(chosen, "text"), words), counts(texts, words)]
+def fit(rows: DataFrame, target_ids: DataFrame, words: dict[str, int]) -> Model:
+    """Background model over every row of ``numbered``, target model over those whose doc_id is in ``target_ids`` (id).
+
+    The two-byte word numbers, not the texts, are what the join shuffles.
+    """
+    ids = target_ids.select(F.col("id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    of = [counts(r, len(words) + 1) for r in (rows.join(ids.hint("merge"), "doc_id", "left_semi"), rows)]
     return Model(words, np.stack([s for s, _ in of]), np.stack([p for _, p in of]))
 
 
@@ -126,17 +144,16 @@ class Scorer:
     """The model inside one worker."""
 
     def __init__(self, model: Model):
-        self.words = model.words
         total = model.singles.sum(axis=1, keepdims=True)
         self.unigram = (model.singles + 1) / (total + model.singles.shape[1])
         self.context, self.pairs = model.singles, model.pairs
 
-    def losses(self, texts: list[str | None]) -> np.ndarray:
-        """(words, target loss, background loss) of each text, the losses per word; zeros without words."""
-        out = np.zeros((len(texts), 3))
+    def losses(self, documents: list[bytes]) -> np.ndarray:
+        """(words, target loss, background loss) of each text's word numbers, the losses per word; zeros without words."""
+        out = np.zeros((len(documents), 3))
         held, sizes, owners, waiting = [], [], [], 0
-        for i, text in enumerate(texts):
-            ids = _numbers(self.words, text or "")
+        for i, packed in enumerate(documents):
+            ids = np.frombuffer(packed, dtype=np.uint16).astype(np.int64)
             if len(ids):
                 held.append(ids)
                 sizes.append(len(ids))
@@ -162,8 +179,8 @@ class Scorer:
         out[owners, 0] = sizes
 
 
-def loss_column(model: Model, df: DataFrame, text: Column) -> Column:
-    """struct(n_tokens, target_loss, background_loss) of each text."""
+def loss_column(model: Model, df: DataFrame, ids: Column) -> Column:
+    """struct(n_tokens, target_loss, background_loss) of each row's word numbers."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_tokens long, target_loss double, background_loss double")
@@ -172,7 +189,7 @@ def loss_column(model: Model, df: DataFrame, text: Column) -> Column:
             out = worker_state(shared.value.key, lambda: Scorer(shared.value)).losses(list(batch))
             yield pd.DataFrame({"n_tokens": out[:, 0].astype(np.int64), "target_loss": out[:, 1],
                                 "background_loss": out[:, 2]})
-    return losses(text)
+    return losses(ids)
 
 
 def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -181,10 +198,15 @@ def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
 
     Null and empty texts have no words: losses and score 0. Null ids are scored but
     never in the target. Repeated rows count and return each. Without a target its
-    model is the smoothing alone; an empty table gives an empty result.
+    model is the smoothing alone; an empty table gives an empty result. Texts are cut
+    into words twice (vocabulary, numbers); the numbers are written once and feed
+    both models and the scores.
     """
-    model = fit(df, target_ids, id_col, text_col, vocabulary)
-    rows = pick(df, doc_id=id_col, text=text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"), loss_column(model, df, F.col("text").cast("string")).alias("l"))
-    return rows.select("doc_id", "l.n_tokens", "l.target_loss", "l.background_loss",
-                       (F.col("l.target_loss") - F.col("l.background_loss")).alias("score"))
+    if vocabulary > 1 << 16:
+        raise ValueError("word numbers have two bytes: the vocabulary holds at most 65536 words")
+    words = learn_vocabulary(_texts(df, text_col), vocabulary)
+    rows = cut_lineage(numbered(df, words, id_col, text_col))
+    model = fit(rows, target_ids, words)
+    scored = rows.select("doc_id", loss_column(model, df, F.col("ids")).alias("l"))
+    return scored.select("doc_id", "l.n_tokens", "l.target_loss", "l.background_loss",
+                         (F.col("l.target_loss") - F.col("l.background_loss")).alias("score"))
