@@ -312,7 +312,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    least: float = 0.35) -> DataFrame:
+                    least: float = 0.25) -> DataFrame:
     """The rows of ``df``, all columns as they are, whose language is found with a score of at least ``least``."""
     model = fit(df, id_col, text_col, lang_col)
     flat = by_place(df).withColumn("_p", predict_column(model, df, place(df, text_col).cast("string")))
