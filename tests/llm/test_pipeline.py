@@ -1,7 +1,6 @@
 """The corpus pipeline, stage by stage, against brute force over the same rows."""
 
 import collections
-import re
 
 import public_tokenizers as P
 from llm_rows import DOCS
@@ -68,4 +67,4 @@ def test_stages_take_awkward_and_empty_tables(spark, awkward, empty):
 
 def test_the_language_stage_rejects_what_has_no_letters(awkward):
     ids = {r[1] for r in language_crf.keep_identified(awkward).collect()}
-    assert all(i in ids or not re.search(r"[^\W\d_]", t or "") for i, t, *_ in DOCS)
+    assert all(i in ids or not any(map(str.isalpha, t or "")) for i, t, *_ in DOCS)
