@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.llm import (byte_bpe, language_crf, lm_difference, packing, quality_embed, quality_rules, secret_scan,
-                           simhash_dedup, topk_threshold, warc_derivatives)
+from newsprism.llm import (byte_bpe, collocations, language_crf, lm_difference, packing, quality_embed, quality_rules,
+                           secret_scan, shared_queries, simhash_dedup, topk_threshold, url_filter, warc_derivatives)
 from newsprism.llm.common import pick, read_table
 
 
@@ -71,6 +71,23 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Rules of the URL filter: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+def op12_shared_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_queries.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_topk_threshold": op1_topk_threshold,
     "op2_byte_bpe": op2_byte_bpe,
@@ -82,4 +99,7 @@ REGISTRY = {
     "op8_cost_packing": op8_cost_packing,
     "op9_lm_difference": op9_lm_difference,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_shared_queries": op12_shared_queries,
+    "op13_collocations": op13_collocations,
 }
