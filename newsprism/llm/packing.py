@@ -17,7 +17,6 @@ in the same order when read again, as a table scan does.
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,34 +33,58 @@ END_ID = 1
 BUFFER_TOKENS = 1 << 20
 #: Words whose ids one Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 800_000
+#: New words are tokenised so many at a time, parted by a word of a single token.
+GROUP, PARTING = 64, "\x01"
+#: What every special token's string holds: such texts go to the tokenizer whole.
+SPECIAL = "<|"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer whose words never span white space."""
+    """Ids of whole texts by a tokenizer whose words never span white space, as its plain call gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        parting = self._ids([PARTING])[0]
+        self.parting = parting[0] if len(parting) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: tokenised in groups, whose ids are cut where the parting token stands."""
+        plain = [w for w in words if PARTING not in w and self.parting is not None]
+        alone = [w for w in words if PARTING in w or self.parting is None]
+        groups = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
+        for group, ids in zip(groups, self._ids([f" {PARTING} ".join(g) for g in groups])):
+            packed = np.array(ids, dtype="<u4")
+            cuts = np.flatnonzero(packed == self.parting)
+            if len(cuts) != len(group) - 1:
+                alone += group
+                continue
+            begin, data = 0, packed.tobytes()
+            for word, end in zip(group, [*(4 * cuts).tolist(), len(data)]):
+                self.known[word] = data[begin:end]
+                begin = end + 4
+        for word, ids in zip(alone, self._ids(alone)):
+            self.known[word] = np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        # \x1c-\x1f split in Python but not in the tokenizer: such texts go there whole
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        # \x1c-\x1f split in Python but not in the tokenizer, special tokens may hold any part of a text: whole texts
+        split = [None if SPECIAL in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         new = {w for words in split if words for w in words if w not in known}
         if new:
             new = list(new)
             for i in range(0, len(new), 50_000):
-                part = new[i:i + 50_000]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                self._learn(new[i:i + 50_000])
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 if words is None else b"".join(map(known.__getitem__, words))
                 for t, words in zip(texts, split)]

@@ -49,7 +49,6 @@ def test_every_stage_does_its_whole_job(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in kept["secret_scans"].values() if secret_scan.REPLACEMENT in r["text"])
 
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     whole = corpus_pipeline.run(spark, SF).collect()
     assert check_packing(whole, [(i, r["text"]) for i, r in kept["secret_scans"].items()], tokenizer) == 0
 

@@ -219,7 +219,6 @@ def check_packing(pieces, docs, tokenizer):
 
 def test_packing_holds_every_token_once(spark, docs, awkward):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     path = P.path("word_bpe_49k.json")
     whole = packing.pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), path).collect()
     assert check_packing(whole, docs, tokenizer) == 0
