@@ -15,21 +15,19 @@ from newsprism.llm import components, queries, simhash_dedup, topk_threshold
 SF = "/root/testdata/sf0.001"
 
 
-def brute_top_k(vectors, asked, k):
-    """vectors: id -> list of integers."""
-    out = {}
-    for q in asked:
-        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items()
-                        if i != q and len(v) == len(vectors[q]))[:k]
-        out[q] = [(rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
-    return {q: rows for q, rows in out.items() if rows}
+def brute_top_k(rows, k):
+    """rows: (id, list of integers); every row whose id is divisible by 50 asks all other rows."""
+    out = collections.Counter()
+    for at, (q, vector) in enumerate(rows):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(vector, v)), i) for n, (i, v) in enumerate(rows)
+                            if n != at and len(v) == len(vector))[:k]
+            out.update((q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1))
+    return out
 
 
 def got_top_k(df):
-    out = collections.defaultdict(list)
-    for r in df.collect():
-        out[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    return {q: sorted(rows) for q, rows in out.items()}
+    return collections.Counter(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
 
 
 def whole(vector):
@@ -38,8 +36,8 @@ def whole(vector):
 
 def test_top_k_of_the_table(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
-    vectors = {r["vec_id"]: whole(r["embedding"]) for r in rows}
-    assert got_top_k(queries.op1_topk_threshold(spark, SF)) == brute_top_k(vectors, [i for i in vectors if i % 50 == 0], 5)
+    vectors = [(r["vec_id"], whole(r["embedding"])) for r in rows]
+    assert got_top_k(queries.op1_topk_threshold(spark, SF)) == brute_top_k(vectors, 5)
 
 
 SCHEMA = T.StructType([T.StructField("score", T.StringType()), T.StructField("vec_id", T.LongType()),
@@ -53,20 +51,22 @@ def test_top_k_with_ties_and_bad_rows(spark, block_rows, block_queries):
     good[50], good[100] = [0.0] * 4, good[3]
     good[101], good[150] = [1.0, 2.0], [2.0, -1.0]
     rows = [("s", i, v, 1) for i, v in good.items()]
-    rows += [("s", 3, good[3], 1), ("s", 0, good[0], 2)]  # repeated
+    rows += [("s", 3, good[3], 1), ("s", 0, good[0], 2), ("s", 0, good[0], 3)]  # copies
+    rows += [("s", 50, good[7], 1), ("s", 2, [1.0] * 4, 1), ("s", 2, [1.0] * 4, 2), ("s", 2, [1.0, 2.0], 1),  # one id, other vectors
+             ("s", 200, [0.75] * 4, 1), ("s", 200, [0.75, 0.5, 0.75, 0.75], 1)]
+    taking_part = [(r[1], whole(r[2])) for r in rows]
     rows += [("s", 200, None, 1), ("s", 250, [1.0, None, 0.0, 0.0], 1), ("s", 300, [float("nan"), 0.0, 0.0, 0.0], 1),
              ("s", 350, [float("inf"), 0.0, 0.0, 0.0], 1), ("s", 400, [], 1), ("s", None, [1.0, 1.0, 1.0, 1.0], 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = got_top_k(topk_threshold.top_k(df, F.col("id") % 50 == 0, block_rows=block_rows, block_queries=block_queries))
-    vectors = {i: whole(v) for i, v in good.items()}
-    assert got == brute_top_k(vectors, [0, 50, 100, 150], 5)
+    assert got == brute_top_k(taking_part, 5)
 
 
 def test_the_walk_stops_early_and_right():
     random = np.random.default_rng(2)
     rows = np.zeros((4000, 8), dtype=np.int64)
     rows[:, 0] = random.permutation(4000)
-    lists = topk_threshold.Lists(np.arange(4000), rows)
+    lists = topk_threshold.Lists(np.arange(4000), rows, np.ones(4000, dtype=np.int64))
     read = []
     lists.order = type("Counted", (), {"__getitem__": lambda self, at, o=lists.order: read.append(o[at].size) or o[at]})()
     ids, scores = lists.best(-1, np.array([3, 0, 0, 0, 0, 0, 0, 0]), 5)
@@ -75,8 +75,10 @@ def test_the_walk_stops_early_and_right():
 
 def test_large_components_stay_exact():
     rows = np.array([[2 ** 30, 1], [2 ** 30, 0], [0, 5]], dtype=np.int64)
-    ids, scores = topk_threshold.Lists(np.array([7, 8, 9]), rows).best(1, np.array([2 ** 30, 1]), 2)
+    ids, scores = topk_threshold.Lists(np.array([7, 8, 9]), rows, np.ones(3, dtype=np.int64)).best(1, np.array([2 ** 30, 1]), 2)
     assert ids.tolist() == [7, 8] and scores.tolist() == [2 ** 60 + 1, 2 ** 60]
+    with pytest.raises(OverflowError):
+        topk_threshold.Lists(np.array([7]), rows[:1] * 4, np.ones(1, dtype=np.int64)).best(1, np.array([2 ** 31, 1]), 2)
 
 
 def test_top_k_of_nothing(spark):
