@@ -29,10 +29,13 @@ BREAKING = frozenset(("address article aside blockquote br dd div dl dt fieldset
                       "head header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul").split())
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
+_HEADER = "sourceHeader-"
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
 _UNPRINTABLE = re.compile(r"[\x00-\x1f\x7f]+")
+_STATUS = re.compile(rb"HTTP/\d+(\.\d+)? +\d{3}\b")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 def digest(block: bytes) -> str:
@@ -97,13 +100,31 @@ def read_page(page: str) -> tuple[str, str, list[str]]:
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """(status line, headers in order, payload) of an HTTP response block; without a blank line all is payload."""
-    head, blank, payload = block.partition(b"\r\n\r\n")
-    if not blank:
+    """(status line, headers in order, payload) of an HTTP response block.
+
+    A head begins with an HTTP status line and ends at the first empty line, or with the
+    block; its lines end in CRLF or LF. Without a status line all is payload. Headers keep
+    empty values, folded lines are joined to their header by a space, and bytes that are
+    not UTF-8 are read as Latin-1.
+    """
+    if not _STATUS.match(block):
         return "", [], block
-    status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    pairs = (line.partition(":") for line in lines if line.strip())
-    return status, [(name.strip(), value.strip()) for name, _, value in pairs], payload
+    blank = _HEAD_END.search(block)
+    head, payload = (block[:blank.start()], block[blank.end():]) if blank else (block, b"")
+    try:
+        text = head.decode("utf-8")
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    status, *lines = re.split("\r?\n", text)
+    headers: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and headers:
+            name, value = headers[-1]
+            headers[-1] = (name, f"{value} {line.strip()}".strip())
+        elif line.strip():
+            name, _, value = line.partition(":")
+            headers.append((name.strip(), value.strip()))
+    return status, headers, payload
 
 
 def _charset(headers: list[tuple[str, str]]) -> str:
@@ -117,10 +138,10 @@ def _charset(headers: list[tuple[str, str]]) -> str:
     return "utf-8"
 
 
-def _record(kind: str, source_id: str, uri: str, date: str, content_type: str, block: str) -> dict:
+def _record(kind: str, own: str, source_id: str, uri: str, date: str, content_type: str, block: str) -> dict:
     """One derived record, with its WARC header and block as text."""
     raw = block.encode("utf-8", "replace")
-    own, block_digest = record_id(source_id, kind), digest(raw)
+    block_digest = digest(raw)
     fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id), ("WARC-Target-URI", uri),
               ("WARC-Date", date), ("WARC-Block-Digest", block_digest), ("Content-Type", content_type),
               ("Content-Length", str(len(raw)))]
@@ -131,18 +152,24 @@ def _record(kind: str, source_id: str, uri: str, date: str, content_type: str, b
 
 
 def derive(source_id: str, uri: str, date: str, block: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response, linked to it."""
+    """The metadata and the conversion record of one response, linked to it.
+
+    A response without a record id is named by its URI, date and block digest instead.
+    """
     status, headers, payload = split_http(block)
     text, title, links = read_page(payload.decode(_charset(headers), "replace"))
     source = {"source_block_digest": digest(block), "source_payload_digest": digest(payload)}
-    fields = [("sourceStatus", status), *((f"sourceHeader-{name}", value) for name, value in headers),
+    named = source_id or f"{uri} {date} {source['source_block_digest']}"
+    own = {kind: record_id(named, kind) for kind in ("metadata", "conversion")}
+    fields = [("sourceStatus", status), *((f"{_HEADER}{name}", value) for name, value in headers),
               ("sourceBlockDigest", source["source_block_digest"]),
               ("sourcePayloadDigest", source["source_payload_digest"]), ("title", title),
-              ("conversion", record_id(source_id, "conversion")), *(("outlink", link) for link in links)]
-    meta = "".join(f"{_one_line(name)}: {_one_line(value)}\r\n" for name, value in fields if value)
+              ("conversion", own["conversion"]), *(("outlink", link) for link in links)]
+    meta = "".join(f"{_one_line(name)}: {_one_line(value)}\r\n" for name, value in fields
+                   if value or name.startswith(_HEADER))
     return [r | source for r in (
-        _record("metadata", source_id, uri, date, "application/warc-fields", meta),
-        _record("conversion", source_id, uri, date, "text/plain; charset=utf-8", text))]
+        _record("metadata", own["metadata"], source_id, uri, date, "application/warc-fields", meta),
+        _record("conversion", own["conversion"], source_id, uri, date, "text/plain; charset=utf-8", text))]
 
 
 RECORDS = ("array<struct<record_type: string, record_id: string, refers_to: string, target_uri: string, date: string, "
@@ -154,8 +181,9 @@ def derivatives(df: DataFrame, key_col: str, id_col: str, uri_col: str, date_col
     """Two rows per response row: ``key`` and the fields of the metadata and of the conversion record.
 
     ``block_col`` is the response's HTTP block (binary). A null block counts as
-    empty, a null record id, URI or date as empty text (its header is left out);
-    responses that repeat give the same records again. An empty table gives an empty
+    empty, a null record id, URI or date as empty text (its header is left out; the
+    derived ids then follow from URI, date and block); responses that repeat give the
+    same records again. Source headers stay, those with empty values too. An empty table gives an empty
     result. Scan and projection only, no shuffle.
     """
     @F.pandas_udf(RECORDS)

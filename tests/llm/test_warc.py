@@ -76,6 +76,21 @@ def test_awkward_responses(spark):
     assert warc_derivatives.derivatives(responses(spark, []), "k", "id", "uri", "date", "block").count() == 0
 
 
+def test_source_headers_stay(spark):
+    folded = b"HTTP/1.1 200 OK\r\nX-Empty:\r\nX-Fold: a\r\n  b\r\n\tc\r\nX-Last: \xe9\r\n\r\nbody"
+    assert warc_derivatives.split_http(folded) == (
+        "HTTP/1.1 200 OK", [("X-Empty", ""), ("X-Fold", "a b c"), ("X-Last", "\xe9")], b"body")
+    assert warc_derivatives.split_http(folded.replace(b"\r\n", b"\n"))[1:] == warc_derivatives.split_http(folded)[1:]
+    assert warc_derivatives.split_http(b"HTTP/1.1 204 No Content\r\nX-A: 1\r\n") == ("HTTP/1.1 204 No Content", [("X-A", "1")], b"")
+    assert warc_derivatives.split_http(b"<p>HTTP/1.1 200 OK\r\n\r\n") == ("", [], b"<p>HTTP/1.1 200 OK\r\n\r\n")
+    rows = [(1, None, "http://a/", "d", folded), (2, None, "http://a/", "d", folded + b"!"), (3, "", "http://b/", "d", folded),
+            (4, None, None, None, None)]
+    found = warc_derivatives.derivatives(responses(spark, rows), "k", "id", "uri", "date", "block").collect()
+    assert len({r["record_id"] for r in found}) == 8
+    meta = next(r["block"] for r in found if r["key"] == 1 and r["record_type"] == "metadata")
+    assert "sourceHeader-X-Empty: \r\nsourceHeader-X-Fold: a b c\r\nsourceHeader-X-Last: \xe9\r\n" in meta
+
+
 def read_warc(data):
     out = []
     while data:
