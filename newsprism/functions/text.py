@@ -37,9 +37,34 @@ SYSTEM_PROMPT = (
 )
 USER_PROMPT_PREFIX = "Classify the following news article.\n\nARTICLE:\n"
 LABEL_NAMES = {0: "Fake", 1: "Real"}
-# Accepted date layouts, tried in order; numeric dates are month first.
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d-MMM-yy", "yyyy-MM-dd", "M/d/yyyy", "d MMMM yyyy", "d MMM yyyy",
-                "d-MMM-yyyy", "yyyy/M/d", "yyyy-MM-dd HH:mm:ss")
+# Month and weekday names, whole or as their first letters.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def _named(names: tuple[str, ...], shortest: int = 3) -> str:
+    """Alternatives for names that may be cut after ``shortest`` letters or one more (sept, tues, thurs)."""
+    return "|".join(f"{n[:shortest]}(?:{n[shortest]}(?:{n[shortest + 1:]})?)?" if len(n) > shortest + 1 else n[:shortest] + (
+        f"(?:{n[shortest:]})?" if n[shortest:] else "") for n in names)
+
+
+# The parts of a date string, lower-cased; patterns are valid in both Java regex and RE2.
+_MONTH = f"(?:{_named(MONTHS)})"
+_DAY, _YEAR, _TH = r"\d{1,2}", r"\d{4}|\d{2}", r"(?:st|nd|rd|th)?"
+#: What is cut off a date: a weekday before it, a time of day with its zone after it.
+WEEKDAY_PATTERN = rf"^(?:{_named(WEEKDAYS)}|thurs)\.?,?\s+"
+TIME_PATTERN = r"(?:t|,?\s+(?:at\s+)?)\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:am|pm)?\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+#: Orders of day (d), month number (m), month name (n) and year (y), each with the pattern of its groups.
+DATE_PATTERNS = (
+    ("ndy", rf"^({_MONTH})\.?[\s-]+({_DAY}){_TH},?[\s-]+({_YEAR})$"),
+    ("dny", rf"^({_DAY}){_TH}(?:\s+of)?[\s-]*({_MONTH})\.?,?[\s-]*({_YEAR})$"),
+    ("ynd", rf"^(\d{{4}})[\s-]+({_MONTH})\.?[\s-]+({_DAY})$"),
+    ("ymd", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"),
+    ("ymd", r"^(\d{4})(\d{2})(\d{2})$"),
+    ("mdy", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"),
+)
+#: Two-digit years from here on belong to the last century (POSIX).
+PIVOT = 69
 
 
 def _c(col) -> Column:
@@ -97,18 +122,35 @@ def build_content(title, text) -> Column:
 
 
 def parse_date(col) -> Column:
-    """Strip, then try each accepted layout; anything else becomes null.
+    """The date that a string names; null for anything else and for days that do not exist.
 
-    Two-digit years follow the POSIX pivot: 69-99 -> 19xx, 00-68 -> 20xx.
+    A small grammar: a weekday before the date and a time of day with its zone after it
+    are cut off; the rest is cut into numbers and names by DATE_PATTERNS. In numeric dates
+    the month comes first, unless the first number cannot be one (``31/12/2017``). Names
+    may be short and in any case, days may be ordinals, two-digit years follow the POSIX
+    pivot (69-99 -> 19xx, 00-68 -> 20xx). The zone does not move the date.
     """
-    s = strip(_c(col))
-    tried = []
-    for layout in DATE_FORMATS:
-        day = F.to_date(F.try_to_timestamp(s, F.lit(layout)))
-        if "yyyy" not in layout:
-            day = F.when(F.year(day) >= 2069, F.make_date(F.year(day) - 100, F.month(day), F.dayofmonth(day))).otherwise(day)
-        tried.append(day)
-    return F.coalesce(*tried)
+    def parts_of(s: Column) -> Column:
+        """year|month|day, then m for a month that stands first and may be a day; null where no pattern fits."""
+        out = F.lit(None).cast("string")
+        for order, pattern in reversed(DATE_PATTERNS):
+            fields = "|".join(f"${order.index(k) + 1}" for k in ("y", "n" if "n" in order else "m", "d"))
+            out = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, fields + ("|m" if order == "mdy" else ""))).otherwise(out)
+        return F.split(out, "[|]")
+
+    def date_of(p: Column) -> Column:
+        year, first, second = p[0].try_cast("int"), p[1].try_cast("int"), p[2].try_cast("int")
+        year = F.when(F.length(p[0]) == 2, year + F.when(year >= PIVOT, 1900).otherwise(2000)).otherwise(year)
+        swapped = (F.size(p) > 3) & (first > 12)
+        named = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(p[1], 1, 3)).cast("int")
+        month = F.when(first.isNull(), named).when(swapped, second).otherwise(first)
+        text = F.format_string("%04d-%02d-%02d", year, month, F.when(swapped, first).otherwise(second))
+        return F.when(year > 0, text.try_cast("date"))
+
+    s = F.lower(strip(_c(col)))
+    s = F.regexp_replace(F.regexp_replace(s, TIME_PATTERN, ""), WEEKDAY_PATTERN, "")
+    parts = F.transform(F.array(s), parts_of)
+    return F.get(F.transform(F.filter(parts, lambda p: p.isNotNull()), date_of), F.lit(0))
 
 
 def decode_label(col) -> Column:

@@ -1,22 +1,18 @@
 """Explanations of linear text models: coefficient tables and per-row contributions.
 
-Contributions are computed for every row at once: the long-form TF-IDF
-``(row_id, term, tfidf)`` is joined with the coefficient table (the planner
-broadcasts it if small), and the top-n per row uses a window partitioned by row
-id (one document's terms per group). Rows without any feature stay.
+Contributions are worked out inside each document's row (``terms.weighted_rows`` with
+coefficients): its features, their sum and the top n of them need no exchange. Rows
+without any feature stay.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from newsprism.operators import terms as tm
-from newsprism.operators.models import TermAnalyzer
+from newsprism.operators.models import parts_of
 
 
 def coefficient_table(spark: SparkSession, model: PipelineModel) -> tuple[DataFrame, float]:
@@ -24,89 +20,85 @@ def coefficient_table(spark: SparkSession, model: PipelineModel) -> tuple[DataFr
 
     Both come from the model object (size = vocabulary <= max_features).
     """
-    cv = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
-    lr = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    vec, lr = parts_of(model)
     coefs = lr.coefficients.toArray().tolist()
-    rows = [(t, i, float(c)) for i, (t, c) in enumerate(zip(cv.vocabulary, coefs))]
+    rows = [(t, i, float(c)) for i, (t, c) in enumerate(zip(vec.terms(), coefs))]
     df = spark.createDataFrame(rows, "term string, feature_index int, coefficient double")
     return df, float(lr.intercept)
 
 
-def feature_table(model: PipelineModel, df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Long-form features (id, term, tfidf) of a fitted text pipeline over any frame with its text column.
-
-    The model's analyzer counts terms in the rows; its idf weights are joined by term.
-    """
-    analyzer = next(s for s in model.stages if isinstance(s, TermAnalyzer))
-    cv = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
-    scale = next(s for s in model.stages if isinstance(s, ElementwiseProduct))
-    weights = scale.getScalingVec().toArray().tolist()
-    idf = df.sparkSession.createDataFrame([(t, i, w) for i, (t, w) in enumerate(zip(cv.vocabulary, weights))],
-                                          "term string, feature_index int, idf double")
-    terms = analyzer.transform(df).select(id_col, F.inline(tm.counted(F.col(analyzer.getOutputCol()))))
-    return tm.weighted(terms, idf, id_col).select(id_col, "term", "tfidf")
+def explained(model: PipelineModel, df: DataFrame, id_col: str = "row_id") -> tuple[DataFrame, float]:
+    """(id, parts, contribution_sum) of every row by a fitted text pipeline, and its intercept."""
+    vec, lr = parts_of(model)
+    analyzer = vec.analyzer()
+    rows = analyzer.transform(df).select(id_col, tm.counted(F.col(analyzer.getOutputCol())).alias("terms"))
+    return tm.weighted_rows(rows, vec.terms(), vec.weights(), lr.coefficients.toArray()), float(lr.intercept)
 
 
-def feature_coef_join(tfidf: DataFrame, coefficients: DataFrame, id_col: str = "row_id") -> DataFrame:
+def feature_coef_join(parts: DataFrame, id_col: str = "row_id") -> DataFrame:
     """(id, term, tfidf, coefficient, contribution) for every active feature of every row."""
-    coefs = coefficients.select("term", "coefficient")
-    return (tfidf.join(coefs, "term", "inner")
-            .select(id_col, "term", "tfidf", "coefficient",
-                    (F.col("tfidf") * F.col("coefficient")).alias("contribution")))
+    return parts.select(id_col, F.inline("parts")).drop("feature_index")
+
+
+def _score(intercept: float) -> Column:
+    return F.lit(float(intercept)) + F.col("contribution_sum")
 
 
-def decision_scores(rows: DataFrame, tfidf: DataFrame, coefficients: DataFrame, intercept: float,
-                    id_col: str = "row_id") -> DataFrame:
-    """One row for every row of ``rows``: intercept + sum of contributions (the model's raw score), the
+def _p_real(score: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
+
+
+def decision_scores(parts: DataFrame, intercept: float, id_col: str = "row_id") -> DataFrame:
+    """One row per document: intercept + sum of contributions (the model's raw score), the
     probability of class 1, the class, and how many features push either way.
 
     A row without any vocabulary term scores the intercept alone.
     """
-    c = feature_coef_join(tfidf, coefficients, id_col).groupBy(id_col).agg(
-        F.sum("contribution").alias("_sum"), F.count_if(F.col("contribution") > 0).alias("_real"),
-        F.count_if(F.col("contribution") < 0).alias("_fake"))
-    score = F.lit(float(intercept)) + F.coalesce("_sum", F.lit(0.0))
-    scored = rows.select(id_col).join(c, id_col, "left").withColumn("decision_score", score)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("decision_score")))
+    towards = lambda sign: F.size(F.filter("parts", lambda f: f["contribution"] * sign > 0)).cast("long")
+    scored = parts.select(id_col, _score(intercept).alias("decision_score"), towards(1).alias("n_toward_real"),
+                          towards(-1).alias("n_toward_fake"))
+    p = _p_real(F.col("decision_score"))
     return scored.select(id_col, "decision_score", p.alias("p_real"), (F.lit(1.0) - p).alias("p_fake"),
-                         (F.col("decision_score") > 0).cast("int").alias("prediction"),
-                         F.coalesce("_real", F.lit(0)).alias("n_toward_real"),
-                         F.coalesce("_fake", F.lit(0)).alias("n_toward_fake"))
+                         (F.col("decision_score") > 0).cast("int").alias("prediction"), "n_toward_real", "n_toward_fake")
+
+
+def _strongest(features: Column, top_n: int) -> Column:
+    """The ``top_n`` features by |contribution|, ties by term."""
+    keyed = F.transform(features, lambda f: F.struct((-F.abs(f["contribution"])).alias("k"), f["term"].alias("term"), f.alias("f")))
+    return F.transform(F.slice(F.sort_array(keyed), 1, top_n), lambda x: x["f"])
 
 
-def prediction_contributions(rows: DataFrame, tfidf: DataFrame, coefficients: DataFrame, intercept: float,
-                             top_n: int = 15, id_col: str = "row_id") -> DataFrame:
+def prediction_contributions(parts: DataFrame, intercept: float, top_n: int = 15, id_col: str = "row_id") -> DataFrame:
     """For every row its class and both probabilities, and its ``top_n`` features by |contribution| (ties by term).
 
     A row without features keeps one line, whose rank and feature columns are null.
     """
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), F.asc("term"))
-    c = feature_coef_join(tfidf, coefficients, id_col).withColumn("rank", F.row_number().over(w))
-    scores = decision_scores(rows, tfidf, coefficients, intercept, id_col)
-    return (scores.select(id_col, "prediction", "p_fake", "p_real")
-            .join(c.filter(F.col("rank") <= top_n), id_col, "left"))
+    score = _score(intercept)
+    p = _p_real(score)
+    top = parts.select(id_col, (score > 0).cast("int").alias("prediction"), (F.lit(1.0) - p).alias("p_fake"), p.alias("p_real"),
+                       F.posexplode_outer(_strongest(F.col("parts"), top_n)).alias("at", "f"))
+    return top.select(id_col, "prediction", "p_fake", "p_real", (F.col("at") + 1).alias("rank"), "f.term", "f.tfidf",
+                      "f.coefficient", "f.contribution")
 
 
-def explain_decision(rows: DataFrame, tfidf: DataFrame, coefficients: DataFrame, intercept: float, top_n: int = 15,
-                     id_col: str = "row_id") -> DataFrame:
+def explain_decision(parts: DataFrame, intercept: float, top_n: int = 15, id_col: str = "row_id") -> DataFrame:
     """Per row its decision score, and the features pushing toward class 1 (contribution > 0) and toward
     class 0 (< 0), each ranked by magnitude: (id, decision_score, direction, rank, term, contribution).
 
     A row without features keeps one line, whose direction, rank and feature are null.
     """
-    c = feature_coef_join(tfidf, coefficients, id_col).filter(F.col("contribution") != 0)
-    direction = F.when(F.col("contribution") > 0, F.lit("real")).otherwise(F.lit("fake"))
-    c = c.withColumn("direction", direction)
-    w = Window.partitionBy(id_col, "direction").orderBy(F.desc(F.abs("contribution")), F.asc("term"))
-    c = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-    scores = decision_scores(rows, tfidf, coefficients, intercept, id_col).select(id_col, "decision_score")
-    return scores.join(c.select(id_col, "direction", "rank", "term", "contribution"), id_col, "left")
+    def side(name: str, sign: int) -> Column:
+        strongest = _strongest(F.filter("parts", lambda f: f["contribution"] * sign > 0), top_n)
+        return F.transform(strongest, lambda f, i: F.struct(
+            F.lit(name).alias("direction"), (i + 1).alias("rank"), f["term"].alias("term"), f["contribution"].alias("contribution")))
+    return parts.select(id_col, _score(intercept).alias("decision_score"),
+                        F.inline_outer(F.concat(side("real", 1), side("fake", -1))))
 
 
 def explain_rows(model: PipelineModel, df: DataFrame, top_n: int = 15, id_col: str = "row_id") -> DataFrame:
     """``prediction_contributions`` of a fitted text pipeline over every row of ``df``."""
-    coefficients, intercept = coefficient_table(df.sparkSession, model)
-    return prediction_contributions(df, feature_table(model, df, id_col), coefficients, intercept, top_n, id_col)
+    parts, intercept = explained(model, df, id_col)
+    return prediction_contributions(parts, intercept, top_n, id_col)
 
 
 def top_terms_global(coefficients: DataFrame, k: int = 15) -> DataFrame:

@@ -32,7 +32,8 @@ def binary_counts(df: DataFrame, label_col: str = "label", pred_col: str = "pred
                   group_cols: Sequence[str] = (), prob_col: str | None = None) -> DataFrame:
     """One row per group: tp, tn, fp, fn (class 1 positive) and optionally the log-loss sum.
 
-    Rows whose label lies outside {0, 1} (or is null) count nowhere.
+    Rows whose label lies outside {0, 1} (or is null) count nowhere; those whose
+    probability is null or NaN are left out of the log loss.
     """
     y, yhat = F.col(label_col), F.col(pred_col)
     aggs = [F.count_if((y == 1) & (yhat == 1)).alias("tp"), F.count_if((y == 0) & (yhat == 0)).alias("tn"),
@@ -40,7 +41,7 @@ def binary_counts(df: DataFrame, label_col: str = "label", pred_col: str = "pred
     if prob_col:
         p_true = F.when(y == 1, F.col(prob_col)).otherwise(1.0 - F.col(prob_col))
         clipped = F.greatest(F.least(p_true, F.lit(1.0 - LOG_LOSS_EPS)), F.lit(LOG_LOSS_EPS))
-        known = y.isin(0, 1) & F.col(prob_col).isNotNull()
+        known = y.isin(0, 1) & F.col(prob_col).isNotNull() & ~F.isnan(F.col(prob_col).cast("double"))
         aggs += [F.sum(F.when(known, -F.log(clipped))).alias("_ll_sum"), F.count_if(known).alias("_ll_n")]
     gb = df.groupBy(*group_cols) if group_cols else df.groupBy()
     return gb.agg(*aggs)
@@ -103,6 +104,7 @@ def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "p",
             group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC (ties count 1/2) per group: (*group, roc_auc); null if a class is absent.
 
+    Rows with a null or NaN score take no part; infinite scores are the extremes they are.
     AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N) over distinct scores s.
     Distinct (group, score) rows are range partitioned, so every partition holds a
     stretch of scores; its totals are prefix-summed over the partitions (a table of
@@ -113,7 +115,8 @@ def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "p",
     g = list(group_cols) or ["_g"]
     base = df if group_cols else df.withColumn("_g", F.lit(0))
     y = F.col(label_col)
-    dist = base.where(F.col(score_col).isNotNull()).groupBy(*g, score_col).agg(
+    there = F.col(score_col).isNotNull() & ~F.isnan(F.col(score_col).cast("double"))
+    dist = base.where(there).groupBy(*g, score_col).agg(
         F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
     dist = cut_lineage(dist.repartitionByRange(*g, score_col).withColumn("_b", F.spark_partition_id()))
     totals = dist.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"), F.sum("_pos").alias("_bpos"))
@@ -201,63 +204,94 @@ def train_val_gap(df: DataFrame, label_col: str = "label", pred_col: str = "pred
                   F.round(acc["train"] - acc["validation"], 6).alias("gap"))
 
 
-def value_at_rank(dist: DataFrame, col: str, count_col: str, rank: int, bins: int = 1024, direct: int = 10_000):
-    """The value at 0-based ``rank`` among (value, count) rows with distinct finite values.
+#: Values that one selection may fetch, and the points that bracket a rank.
+FETCHED, PIVOTS = 100_000, 4096
 
-    The range that holds the rank is narrowed by one distributed histogram of
-    ``bins`` rows per round, until ``direct`` values or fewer are left to fetch.
+
+def bracket(dist: DataFrame, col: str, count_col: str, ranks: Sequence[int], pivots: int = PIVOTS) -> list[tuple]:
+    """(low, high, rows below low) around each 0-based rank of (value, count) rows, by one job.
+
+    The rows are range partitioned by value; partitions are cut into stretches of equal
+    numbers of rows, whose first value, last value and count are all that reaches the driver.
     """
-    inside, below = dist, 0
-    while True:
-        found = inside.agg(F.min(col), F.max(col), F.count(F.lit(1))).first()
-        low, high, n = found
-        if n <= direct:
-            for value, count in sorted(tuple(r) for r in inside.select(col, count_col).collect()):
-                below += count
-                if below > rank:
-                    return value
-            return high
-        at = F.least(F.floor((F.col(col) - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
-        counts = inside.groupBy(at.alias("b")).agg(F.sum(count_col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-        for r in sorted(counts.collect(), key=lambda r: r["b"]):
-            if below + r["n"] > rank:
-                inside = dist.where(F.col(col).between(r["lo"], r["hi"]))
+    spark = dist.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stretch = F.floor(F.row_number().over(Window.partitionBy("_p").orderBy(col)) * F.lit(max(1, pivots // parts))
+                      / F.count(F.lit(1)).over(Window.partitionBy("_p")))
+    dealt = dist.repartitionByRange(parts, col).withColumn("_p", F.spark_partition_id()).withColumn("_s", stretch)
+    table = dealt.groupBy("_p", "_s").agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.sum(count_col).alias("n")).collect()
+    out, below = [], 0
+    asked = sorted(ranks)
+    for r in sorted(table, key=lambda r: (r["lo"], r["hi"])):
+        while len(out) < len(asked) and asked[len(out)] < below + r["n"]:
+            out.append((r["lo"], r["hi"], below))
+        below += r["n"]
+    return out
+
+
+def values_at_ranks(dist: DataFrame, col: str, count_col: str, ranks: Sequence[int], fetched: int = FETCHED) -> list:
+    """The values at 0-based ``ranks`` (sorted) among (value, count) rows with distinct values other than NaN.
+
+    One job brackets the ranks, a second fetches the brackets; a bracket that holds more
+    than ``fetched`` distinct values is bracketed again, which shrinks it by the number
+    of pivots each time, whatever the values are (infinities too).
+    """
+    out = []
+    for rank, (low, high, below) in zip(sorted(ranks), bracket(dist, col, count_col, ranks)):
+        inside = dist.where(F.col(col).between(low, high))
+        while inside.count() > fetched:
+            low, high, more = bracket(inside, col, count_col, [rank - below])[0]
+            below += more
+            inside = dist.where(F.col(col).between(low, high))
+        for value, count in sorted(tuple(r) for r in inside.select(col, count_col).collect()):
+            below += count
+            if below > rank:
+                out.append(value)
                 break
-            below += r["n"]
+    return out
 
 
 def latency_stats(df: DataFrame, col: str = "latency_seconds") -> DataFrame:
-    """mean / exact median / min / max over (value, count) pairs; nulls and NaN take no part.
+    """mean / exact median / min / max; null, NaN and infinite values take no part.
 
-    A hot value collapses before the shuffle. The median is found by narrowing the
-    range of values in distributed rounds, so no task ever holds all of them.
+    A hot value collapses before the shuffle. The median is selected by pivots that
+    bracket its rank and a fetch of the bracket, so no task ever holds all values.
     """
     x = F.col(col).cast("double")
-    dist = cut_lineage(df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias(col)).agg(F.count(F.lit(1)).alias("_n")))
+    dist = cut_lineage(_finite(df, col).groupBy(x.alias(col)).agg(F.count(F.lit(1)).alias("_n")))
     total = dist.agg(F.sum("_n")).first()[0] or 0
     median = None
     if total:
-        middle = [value_at_rank(dist, col, "_n", k) for k in sorted({(total - 1) // 2, total // 2})]
+        middle = values_at_ranks(dist, col, "_n", sorted({(total - 1) // 2, total // 2}))
         median = sum(middle) / len(middle)
     return dist.agg(F.round(F.sum(F.col(col) * F.col("_n")) / F.sum("_n"), 6).alias("mean"),
                     F.round(F.lit(median).cast("double"), 6).alias("median"),
                     F.min(col).alias("min"), F.max(col).alias("max"))
 
 
+def _finite(df: DataFrame, col: str) -> DataFrame:
+    x = F.col(col).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
 def latency_histogram(df: DataFrame, col: str = "latency_seconds", bins: int = 20) -> DataFrame:
     """Equal-width bins between min and max (last bin closed); empty bins kept.
 
-    The range is one bounded collect; the bin domain is ``spark.range(bins)``.
+    Null, NaN and infinite values take no part, as in ``latency_stats``. The range is one
+    bounded collect; the bin domain is ``spark.range(bins)``.
     """
-    x = df.filter(F.col(col).isNotNull())
+    x = _finite(df, col)
     row = x.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     lo, hi = row["lo"], row["hi"]
     if lo is None:
         lo, hi = 0.0, 1.0
+    lo, hi = float(lo), float(hi)
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
-    width = (hi - lo) / bins
-    b = F.least(F.floor((F.col(col) - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)), F.lit(bins - 1))
+    part = 0.5 ** (bins.bit_length() + 2)  # scaled down by a power of two: exact, and no range overflows
+    span = hi * part - lo * part
+    width = span / bins / part
+    b = F.least(F.floor((F.col(col) * F.lit(part) - F.lit(lo * part)) * F.lit(float(bins)) / F.lit(span)), F.lit(bins - 1))
     counts = x.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     domain = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (domain.join(F.broadcast(counts), "bin", "left")

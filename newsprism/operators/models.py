@@ -1,21 +1,26 @@
 """Linear text classifiers on Spark ML: TF-IDF (+1 smooth IDF) and logistic regression.
 
-``TextClassifier.fit`` returns a plain ``PipelineModel`` of standard stages
-(plus one small persistable analyzer), so models save and load with the ML
-writers. Vocabularies are computed relationally (deterministic ties) and are
-the only thing, together with the coefficients, that reaches the driver.
+``build_pipeline`` gives an unfitted ``Pipeline`` of ``TfIdfVectorizer`` and
+``NewtonLogisticRegression``; both it and what it fits save and load with the ML
+writers. Vocabularies are computed relationally (deterministic ties) and are the only
+thing, together with the coefficients, that reaches the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import time
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel, keyword_only
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.functions.stopwords import ENGLISH_STOP_WORDS
+from newsprism.operators import linear
 from newsprism.operators import metrics as mt
 from newsprism.operators import terms as tm
+from newsprism.operators.linear import NewtonLogisticRegression
 from newsprism.operators.ranks import hash_rank
 from newsprism.operators.splits import stratified_kfold
-from newsprism.session import cut_lineage, drop_cut, scratch
+from newsprism.session import cut_lineage, drop_cut, reach_workers, scratch
 
 TERMS_COL = "_terms"
 FEATURES_COL = "features"
@@ -58,103 +65,101 @@ class TermAnalyzer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
         return dataset.withColumn(self.getOutputCol(), expr)
 
 
-@dataclass
-class TextClassifier:
-    """``build_pipeline``: TF-IDF (min_df, max_features, n-grams) + L2 logistic regression.
+class _Analysis(HasInputCol, HasOutputCol):
+    """Params that the vectorizer and its model share."""
 
-    The penalty matches an unscaled C = 1 objective (see ``logistic_regression``).
-    """
+    ngramMin = Param(Params._dummy(), "ngramMin", "smallest n-gram", TypeConverters.toInt)
+    ngramMax = Param(Params._dummy(), "ngramMax", "largest n-gram", TypeConverters.toInt)
+    stopWords = Param(Params._dummy(), "stopWords", "words removed before n-grams", TypeConverters.toListString)
 
-    ngram_range: tuple[int, int] = (1, 1)
-    text_col: str = "content"
-    label_col: str = "label"
-    min_df: int = 2
-    max_features: int = 20000
-    max_iter: int = 1000
-    # Spark bounds the relative gain in loss per iteration, not the gradient; at this
-    # value the intercept's gradient falls below 1e-4 (see the README for the iterations)
-    tol: float = 1e-8
-    stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
+    def _defaults(self) -> None:
+        self._setDefault(inputCol="content", outputCol=FEATURES_COL, ngramMin=1, ngramMax=1, stopWords=list(ENGLISH_STOP_WORDS))
 
     def analyzer(self) -> TermAnalyzer:
-        return TermAnalyzer(inputCol=self.text_col, outputCol=TERMS_COL, ngramMin=self.ngram_range[0],
-                            ngramMax=self.ngram_range[1], stopWords=list(self.stop_words))
-
-    def fit_vectorizer(self, train: DataFrame) -> tuple[PipelineModel, int]:
-        """Relational vocabulary + smooth IDF on the training rows only."""
-        analyzer = self.analyzer()
-        with scratch(train.sparkSession):
-            tf = train.select(F.inline(tm.counted(tm.analyzed_terms(
-                F.coalesce(F.col(self.text_col), F.lit("")), self.ngram_range, self.stop_words))))
-            vocab = tm.vocabulary(tf, self.min_df, self.max_features)
-            rows = vocab.select("term", "doc_freq").orderBy("term").collect()  # <= max_features rows
-        if not rows:
-            raise ValueError(f"no term occurs in {self.min_df} training documents: the vocabulary is empty")
-        n_docs = train.count()
-        terms = [r["term"] for r in rows]
-        idf = [math.log((1 + n_docs) / (1 + r["doc_freq"])) + 1.0 for r in rows]
-        cv = CountVectorizerModel.from_vocabulary(terms, inputCol=TERMS_COL, outputCol="_tf")
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
-        norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=FEATURES_COL)
-        return PipelineModel([analyzer, cv, scale, norm]), n_docs
+        return TermAnalyzer(inputCol=self.getInputCol(), outputCol=TERMS_COL, ngramMin=self.getOrDefault(self.ngramMin),
+                            ngramMax=self.getOrDefault(self.ngramMax), stopWords=self.getOrDefault(self.stopWords))
 
-    def fit(self, train: DataFrame) -> PipelineModel:
-        vec, n = self.fit_vectorizer(train)
-        return self.fit_classifier(vec, vec.transform(train), n)
 
-    def fit_classifier(self, vec: PipelineModel, featured: DataFrame, n: int) -> PipelineModel:
-        """The whole pipeline, from a fitted vectorizer and the training rows it has transformed."""
-        feats = featured.select(FEATURES_COL, F.col(self.label_col).cast("double").alias("label"))
-        return PipelineModel(vec.stages + [logistic_regression(feats, n, self.max_iter, self.tol)])
+class TfIdfVectorizer(Estimator, _Analysis, DefaultParamsReadable, DefaultParamsWritable):
+    """Vocabulary and smooth IDF + 1 of a text column, in two passes over the rows.
 
+    Terms of ``minDF`` documents or more, the ``maxFeatures`` most counted of them (ties by
+    term), numbered alphabetically. Null texts are empty. No such term raises ValueError.
+    """
 
-ROWS_PER_PARTITION = 50_000
+    minDF = Param(Params._dummy(), "minDF", "least number of documents of a term", TypeConverters.toInt)
+    maxFeatures = Param(Params._dummy(), "maxFeatures", "most terms kept", TypeConverters.toInt)
 
+    @keyword_only
+    def __init__(self, *, inputCol="content", outputCol=FEATURES_COL, ngramMin=1, ngramMax=1, stopWords=None, minDF=2,
+                 maxFeatures=20000):
+        super().__init__()
+        self._defaults()
+        self._setDefault(minDF=2, maxFeatures=20000)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> TfIdfVectorizerModel:
+        terms = self.analyzer().transform(dataset).select(F.inline(tm.counted(F.col(TERMS_COL))))
+        with scratch(dataset.sparkSession):
+            vocab = tm.vocabulary(terms, self.getOrDefault(self.minDF), self.getOrDefault(self.maxFeatures))
+            rows = vocab.select("term", "doc_freq").orderBy("term").collect()  # <= maxFeatures rows
+        if not rows:
+            raise ValueError(f"no term occurs in {self.getOrDefault(self.minDF)} training documents: the vocabulary is empty")
+        n_docs = dataset.count()
+        shared = {p.name: self.getOrDefault(p) for p in (self.inputCol, self.outputCol, self.ngramMin, self.ngramMax, self.stopWords)}
+        return TfIdfVectorizerModel()._set(**shared, vocabulary=[r["term"] for r in rows], idf=[
+            math.log((1 + n_docs) / (1 + r["doc_freq"])) + 1.0 for r in rows])
 
-def training_frame(feats: DataFrame, n_rows: int) -> DataFrame:
-    """Features for an iterative fit: sized partitions, lineage cut, cached.
 
-    L-BFGS runs one Spark job per iteration. Partitions are sized by row count
-    (tiny training sets are not scattered over many tasks; large ones use the
-    whole cluster), the rows are written to the shared checkpoint folder so a
-    lost executor costs a re-read rather than re-tokenising the corpus, and the
-    checkpointed data is cached for the iterations.
-    """
-    parallelism = feats.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(4 * parallelism, math.ceil(n_rows / ROWS_PER_PARTITION)))
-    frame = cut_lineage(feats.repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK)
-    frame.count()
-    return frame
+class TfIdfVectorizerModel(Model, _Analysis, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts times IDF over the vocabulary, rows of length 1; JVM stages only."""
 
+    vocabulary = Param(Params._dummy(), "vocabulary", "terms in order of their index", TypeConverters.toListString)
+    idf = Param(Params._dummy(), "idf", "weights of the terms", TypeConverters.toListFloat)
 
-def logistic_regression(features: DataFrame, n_train: int, max_iter: int = 1000, tol: float = 1e-8):
-    """L2 logistic regression of (features, label) with the C = 1 equivalent penalty.
+    def __init__(self):
+        super().__init__()
+        self._defaults()
 
-    Spark averages the loss, so regParam = 1 / n_train; the intercept is not penalised.
-    The iterations read a cached cut that is deleted afterwards.
-    """
-    with scratch(features.sparkSession):
-        frame = training_frame(features, n_train)
-        try:
-            return LogisticRegression(featuresCol=FEATURES_COL, labelCol="label", maxIter=max_iter,
-                                      regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
-                                      fitIntercept=True, family="binomial", tol=tol).fit(frame)
-        finally:
-            frame.unpersist(blocking=True)
+    def terms(self) -> list[str]:
+        return self.getOrDefault(self.vocabulary)
+
+    def weights(self) -> list[float]:
+        return self.getOrDefault(self.idf)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counts = CountVectorizerModel.from_vocabulary(self.terms(), inputCol=TERMS_COL, outputCol="_tf")
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(self.weights()), inputCol="_tf", outputCol="_tfidf")
+        norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=self.getOutputCol())
+        stages = PipelineModel([self.analyzer(), counts, scale, norm])
+        return stages.transform(dataset).drop(TERMS_COL, "_tf", "_tfidf")
 
 
 def build_pipeline(ngram_range: tuple[int, int] = (1, 1), *, max_features: int = 20000, min_df: int = 2,
-                   text_col: str = "content", max_iter: int = 1000) -> TextClassifier:
-    return TextClassifier(ngram_range=ngram_range, text_col=text_col, min_df=min_df,
-                          max_features=max_features, max_iter=max_iter)
+                   text_col: str = "content", label_col: str = "label", max_iter: int = 100) -> Pipeline:
+    """Unfitted pipeline: TF-IDF (min_df, max_features, n-grams) and L2 logistic regression with C = 1."""
+    return Pipeline(stages=[
+        TfIdfVectorizer(inputCol=text_col, ngramMin=ngram_range[0], ngramMax=ngram_range[1], minDF=min_df, maxFeatures=max_features),
+        NewtonLogisticRegression(labelCol=label_col, maxIter=max_iter)])
+
+
+def parts_of(model: PipelineModel) -> tuple[TfIdfVectorizerModel, LogisticRegressionModel]:
+    """The vectorizer and the classifier of a fitted text pipeline."""
+    return (next(s for s in model.stages if isinstance(s, TfIdfVectorizerModel)),
+            next(s for s in model.stages if isinstance(s, LogisticRegressionModel)))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Class, P(class 1) and the raw decision score for every row."""
-    scored = model.transform(df)
-    return scored.select(*keep, F.col("prediction").cast("int").alias("prediction"),
-                         vector_to_array("probability")[1].alias("p"),
-                         vector_to_array("rawPrediction")[1].alias("score"))
+    return scored(model, df, keep)
+
+
+def scored(model: Model, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, prediction, p, score) by a fitted pipeline, or by its classifier over features."""
+    out = model.transform(df)
+    return out.select(*keep, F.col("prediction").cast("int").alias("prediction"),
+                      vector_to_array("probability")[1].alias("p"),
+                      vector_to_array("rawPrediction")[1].alias("score"))
 
 
 @dataclass
@@ -172,20 +177,32 @@ class ExperimentResult:
 
 
 def fit_experiment(name: str, df: DataFrame, *, text_column: str, ngram_range: tuple[int, int],
-                   split_col: str = "split", max_iter: int = 1000, max_features: int = 20000) -> ExperimentResult:
-    """Fit on the train split only; score all splits in one transform; metrics per split."""
-    clf = build_pipeline(ngram_range, max_features=max_features, text_col=text_column, max_iter=max_iter)
-    train = df.filter(F.col(split_col) == "train")
+                   split_col: str = "split", max_iter: int = 100, max_features: int = 20000) -> ExperimentResult:
+    """Fit on the train split only; metrics per split.
+
+    Texts are tokenised for the vocabulary and once more for the features of all splits,
+    which the fit and the predictions share.
+    """
+    vectorizer, classifier = build_pipeline(ngram_range, max_features=max_features, text_col=text_column,
+                                            max_iter=max_iter).getStages()
     started = time.perf_counter()
-    vec, n = clf.fit_vectorizer(train)
+    vec = vectorizer.fit(df.filter(F.col(split_col) == "train"))
+    featured = cut_lineage(vec.transform(df).select("row_id", split_col, "label", FEATURES_COL))
     fitted = time.perf_counter()
-    model = clf.fit_classifier(vec, vec.transform(train), n)
+    found = classifier.fit(featured.filter(F.col(split_col) == "train"))
     ended = time.perf_counter()
-    preds = cut_lineage(predict(model, df, keep=("row_id", split_col, "label")))  # narrow: read by every metric
+    model = PipelineModel([vec, found])
+    preds = cut_lineage(scored(found, featured, ("row_id", split_col, "label")))  # narrow: read by every metric
     metrics = cut_lineage(mt.classification_metrics(preds, group_cols=(split_col,), weighted=True).coalesce(1))
     confusion = mt.confusion(preds.filter(F.col(split_col) == "test"))
     return ExperimentResult(name, model, preds, metrics, confusion, fitted - started, ended - fitted,
-                            text_column, ngram_range)
+                            text_column, ngram_range, {"features": featured})
+
+
+def run_experiments(df: DataFrame, grid=None, parallelism: int = 3) -> list[ExperimentResult]:
+    """``fit_experiment`` for every (name, text column, n-gram range) of the grid, some at a time."""
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda e: fit_experiment(e[0], df, text_column=e[1], ngram_range=e[2]), grid or EXPERIMENT_GRID))
 
 
 # The experiment grid of the reference notebook.
@@ -246,46 +263,159 @@ def final_gap(curve: DataFrame) -> DataFrame:
     return last.select(F.round(F.col("tr") - F.col("va"), 6).alias("gap"))
 
 
+@dataclass(frozen=True)
+class Cells:
+    """The cells of a learning curve: fold left out, size and number of training rows, fold by fold."""
+    folds: tuple[int, ...]
+    sizes: tuple[float, ...]
+    n_train: tuple[tuple[int, ...], ...]  # per fold, per size
+
+    def flat(self) -> list[tuple[int, float, int]]:
+        return [(f, s, n) for f, ns in zip(self.folds, self.n_train) for s, n in zip(self.sizes, ns)]
+
+
+def _curve_rows(df: DataFrame, text_column: str, ngram_range: tuple[int, int], folds: int, seed: int) -> DataFrame:
+    """label, fold, the row's rank among the training rows of every fold left out (0: none), its counted terms."""
+    narrow = stratified_kfold(df.select("row_id", "label"), k=folds, seed=seed)
+    ranks = narrow.select("row_id", "label", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_out"))
+    ranks = hash_rank(ranks.where("fold <> _out"), "_out", seed=seed + 1, rank_col="_tr", size_col="_n")
+    ranks = ranks.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("_out", "_tr"))).alias("_rank"))
+    at = F.array(*[F.coalesce(F.try_element_at("_rank", F.lit(f)), F.lit(0)).cast("int") for f in range(folds)])
+    terms = tm.counted(tm.analyzed_terms(F.coalesce(F.col(text_column), F.lit("")), ngram_range))
+    return cut_lineage(df.select("row_id", "label", terms.alias("terms")).join(narrow.select("row_id", "fold"), "row_id")
+                       .join(ranks.select("row_id", at.alias("ranks")), "row_id"))
+
+
+def nested_vocabularies(rows: DataFrame, cells: Cells, min_df: int, max_features: int) -> DataFrame:
+    """(cell, term, doc_freq) of the vocabularies of all cells, from one count of the corpus.
+
+    A row counts where it first comes in: per term, fold left out and first size that
+    holds the row. Sums over the smaller sizes then give every cell's counts.
+    """
+    steps = []
+    for i, (f, ns) in enumerate(zip(cells.folds, cells.n_train)):
+        rank = F.col("ranks")[f]
+        steps.append(F.struct(F.lit(i).alias("f"), F.when(rank > 0, functools.reduce(
+            lambda a, b: a + b, [(rank > n).cast("int") for n in ns])).alias("step")))
+    first = rows.select(F.inline(F.array(*steps)), "terms").where(F.col("step") < len(cells.sizes))
+    counts = (first.select("f", "step", F.inline("terms")).groupBy("f", "step", "term")
+              .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
+    upto = [F.struct((F.col("f") * len(cells.sizes) + k).alias("cell"), F.col(f"df{k}").alias("doc_freq"), F.col(f"tf{k}").alias("tf"))
+            for k in range(len(cells.sizes))]
+    nested = counts.groupBy("f", "term").agg(*[
+        F.sum(F.when(F.col("step") <= k, F.col(c))).alias(f"{c}{k}") for k in range(len(cells.sizes)) for c in ("df", "tf")])
+    vocab = (nested.select("term", F.inline(F.array(*upto))).where(F.col("doc_freq") >= min_df)
+             .withColumn("_slice", F.pmod(F.xxhash64("term"), F.lit(tm.SLICES))))
+    for keys in (("cell", "_slice"), ("cell",)):  # no task receives a cell's whole vocabulary
+        order = Window.partitionBy(*keys).orderBy(F.desc("tf"), F.asc("term"))
+        vocab = vocab.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_features)
+    return vocab.select("cell", "term", "doc_freq")
+
+
+def _of_packed(batch: pa.RecordBatch) -> linear.Rows:
+    """Rows of all cells from their packed columns."""
+    read = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind)
+    sizes = np.array([len(x) // 4 for x in batch.column("index").to_pylist()], dtype=np.int64)
+    n = batch.num_rows
+    return linear.Rows(batch.column("label").to_numpy(), np.cumsum(sizes) - sizes, read("index", "<i4").astype(np.int64),
+                       read("tf", "<f8"), read("norm", "<f8").reshape(n, -1), read("member", "u1").reshape(n, -1) == 1)
+
+
+def _packed(rows: DataFrame, terms: list[str], idf: np.ndarray, cells: Cells) -> DataFrame:
+    """Per row its label, the union vocabulary's indices and counts, and per cell its norm, membership and use for validation."""
+    shared = rows.sparkSession.sparkContext.broadcast((terms, idf))  # at most max_features terms per cell
+    flat = cells.flat()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight = shared.value
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            entries = batch.column("terms")
+            at = pc.index_in(entries.flatten().field("term"), value_set=known)
+            there = at.is_valid().to_numpy(zero_copy_only=False)
+            index = at.fill_null(0).to_numpy(zero_copy_only=False)[there].astype("<i4")
+            tf = entries.flatten().field("tf").to_numpy(zero_copy_only=False)[there].astype("<f8")
+            offsets = entries.offsets.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]]
+            fold = batch.column("fold").to_numpy()
+            ranks = np.array(batch.column("ranks").to_pylist(), dtype=np.int64).reshape(len(fold), -1)
+            member = np.stack([(ranks[:, f] > 0) & (ranks[:, f] <= n) for f, _, n in flat], axis=1)
+            held = np.stack([fold == f for f, _, _ in flat], axis=1)
+            out = {"index": [], "tf": [], "norm": []}
+            for a, b in zip(ends[:-1], ends[1:]):
+                norm = np.sqrt(((weight[index[a:b]] * tf[a:b, None]) ** 2).sum(axis=0))
+                for name, x in (("index", index[a:b]), ("tf", tf[a:b]), ("norm", np.where(norm > 0, norm, 1.0))):
+                    out[name].append(x.tobytes())
+            binary = [out["index"], out["tf"], out["norm"], [x.tobytes() for x in member], [x.tobytes() for x in held]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label").cast(pa.float64()), *[pa.array(x, pa.binary()) for x in binary]],
+                ["label", "index", "tf", "norm", "member", "held"])
+    reach_workers(rows.sparkSession)
+    return rows.select("label", "fold", "ranks", "terms").mapInArrow(
+        pack, "label double, index binary, tf binary, norm binary, member binary, held binary")
+
+
+def _hits(frame: DataFrame, idf: np.ndarray, found: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
+    """Per cell: training rows, those told right, validation rows, those told right."""
+    weights, bias = np.zeros(idf.shape), np.array([x[-1] for x in found])
+    for c, (x, terms) in enumerate(zip(found, own)):
+        weights[terms, c] = x[:-1] * idf[terms, c]
+    shared = frame.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, idf_width), dtype=np.int64)
+        for batch in batches:
+            rows = _of_packed(batch)
+            held = np.frombuffer(b"".join(batch.column("held").to_pylist()), dtype="u1").reshape(len(rows), -1) == 1
+            right = np.concatenate([(p.dot(shared.value[0]) + shared.value[1] > 0) == (p.label[:, None] == 1)
+                                    for p in rows.pieces(idf_width)] or [held])
+            total += np.stack([x.sum(axis=0) for x in (rows.member, rows.member & right, held, held & right)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(idf_width)), *map(pa.array, total)], ["cell", "a", "b", "c", "d"])
+
+    idf_width = idf.shape[1]
+    sums = frame.mapInArrow(score, "cell long, a long, b long, c long, d long").groupBy("cell").agg(*[F.sum(x).alias(x) for x in "abcd"])
+    return np.array([tuple(r) for r in sums.orderBy("cell").collect()])[:, 1:]
+
+
 def learning_curve(df: DataFrame, *, text_column: str = "content", ngram_range: tuple[int, int] = (1, 1),
                    sizes: tuple[float, ...] = (0.1, 0.28, 0.46, 0.64, 0.82, 1.0), folds: int = 5,
-                   seed: int = 42, max_iter: int = 1000, max_features: int = 20000,
-                   parallelism: int = 4, tol: float = 1e-5) -> DataFrame:
+                   seed: int = 42, max_iter: int = 100, max_features: int = 20000, min_df: int = 2,
+                   tol: float = 1e-8) -> DataFrame:
     """Accuracy on growing, nested training subsets under stratified k-fold.
 
-    The rows are written once with their fold and, for every fold, their rank by hash
-    among that fold's training rows; size s keeps the first int(s * n). Each cell
-    refits the whole pipeline (vocabulary included; a looser ``tol`` than a final
-    model's, as accuracies settle early) and scores training subset and fold in one
-    pass; cells run as concurrent Spark jobs from a driver thread pool.
-    Output per size: train and validation mean / population std of accuracy and the
-    error rates.
+    Rows are tokenised once and written with their fold and, for every fold left out,
+    their rank by hash among its training rows; size s keeps the first int(s * n). The
+    vocabularies of all cells come from one count, and all cells are fitted together:
+    each pass over the rows serves every model that is still being fitted. Output per
+    size: train and validation mean / population std of accuracy and the error rates.
+    A cell whose training rows share no term fits its intercept alone.
     """
     spark = df.sparkSession
-    narrow = stratified_kfold(df.select("row_id", "label"), k=folds, seed=seed)
-    ranks = narrow.select("row_id", "label", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_out"))
-    ranks = hash_rank(ranks.where("fold <> _out"), "_out", seed=seed + 1, rank_col="_tr", size_col="_n")
-    ranks = ranks.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("_out", "_tr"))).alias("_rank"))
-    rows = cut_lineage(df.select("row_id", "label", text_column).join(narrow.select("row_id", "fold"), "row_id")
-                       .join(ranks, "row_id"))
-    fold_sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
-    total = sum(fold_sizes.values())
-    clf = TextClassifier(ngram_range, text_column, max_features=max_features, max_iter=max_iter, tol=tol)
-
-    def cell(args):
-        f, s = args
-        n_sub = max(int(s * (total - fold_sizes[f])), 1)
-        inside = F.coalesce(F.try_element_at("_rank", F.lit(f)) <= n_sub, F.lit(False))
-        model = clf.fit(rows.filter(inside))
-        scored = predict(model, rows.filter(inside | (F.col("fold") == f)).withColumn("_in", inside), keep=("label", "_in"))
-        right = (F.col("prediction") == F.col("label")).cast("double")
-        acc = scored.agg(F.avg(F.when(F.col("_in"), right)), F.avg(F.when(~F.col("_in"), right))).first()
-        return (float(s), int(n_sub), int(f), float(acc[0]), float(acc[1]))
-
-    cells = [(f, s) for s in sizes for f in sorted(fold_sizes)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(cell, cells))
-    drop_cut(rows)
-    scores = spark.createDataFrame(scores, "size double, n_train int, fold int, train_acc double, val_acc double")
+    sizes = tuple(sorted(sizes))
+    with scratch(spark):
+        rows = _curve_rows(df, text_column, ngram_range, folds, seed)
+        in_fold = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+        total = sum(in_fold.values())
+        cells = Cells(tuple(sorted(in_fold)), sizes, tuple(
+            tuple(max(int(s * (total - in_fold[f])), 1) for s in sizes) for f in sorted(in_fold)))
+        flat = cells.flat()
+        vocab = nested_vocabularies(rows, cells, min_df, max_features).toPandas()  # max_features rows per cell at most
+        terms = sorted(vocab["term"].unique().tolist())
+        idf = np.zeros((len(terms), len(flat)))
+        n_docs = np.array([n for *_, n in flat])[vocab["cell"].to_numpy(dtype=int)]
+        idf[np.searchsorted(np.array(terms, dtype=object), vocab["term"].to_numpy()), vocab["cell"].to_numpy(dtype=int)] = (
+            np.log((1 + n_docs) / (1 + vocab["doc_freq"].to_numpy(dtype=float))) + 1.0)
+        frame, parts = linear.partitioned(_packed(rows, terms, idf, cells), total,
+                                          max(50, 4 * linear.ROWS_PER_PARTITION // max(1, len(flat))))
+        try:
+            fitter = linear.Fitter(frame, _of_packed, idf, parts)
+            found = fitter.solve([n for *_, n in flat], tol, max_iter)
+            hits = _hits(frame, idf, found, fitter.terms)
+        finally:
+            frame.unpersist(blocking=True)
+    scores = [(float(s), int(n), float(right / max(rows_in, 1)), float(told / max(held, 1)))
+              for (_, s, n), (rows_in, right, held, told) in zip(flat, hits.tolist())]
+    scores = spark.createDataFrame(scores, "size double, n_train int, train_acc double, val_acc double")
     return (scores.groupBy("size").agg(
         F.min("n_train").alias("train_size"),
         F.round(F.avg("train_acc"), 6).alias("train_mean"), F.round(F.stddev_pop("train_acc"), 6).alias("train_std"),
@@ -295,17 +425,37 @@ def learning_curve(df: DataFrame, *, text_column: str = "content", ngram_range:
 
 
 def embedding_classifier(df: DataFrame, *, vector_col: str = "embedding", label_col: str = "label",
-                         split_col: str = "split", max_iter: int = 2000) -> tuple:
-    """Logistic regression on dense embeddings (array<float> -> vector)."""
-    data = df.withColumn(FEATURES_COL, array_to_vector(F.col(vector_col).cast("array<double>")))
-    train = data.filter(F.col(split_col) == "train")
-    n = train.count()
-    model = logistic_regression(train.select(FEATURES_COL, F.col(label_col).cast("double").alias("label")), n, max_iter)
-    scored = model.transform(data.withColumn(label_col, F.col(label_col).cast("double")))
-    preds = scored.select("row_id", split_col, F.col(label_col).cast("int").alias("label"),
-                          F.col("prediction").cast("int").alias("prediction"),
-                          vector_to_array("probability")[1].alias("p"))
-    return model, preds
+                         split_col: str = "split", max_iter: int = 100) -> tuple:
+    """Logistic regression on dense embeddings (array<float> -> vector): the model, and every row's class and probability."""
+    data = df.select("row_id", split_col, F.col(label_col).cast("int").alias("label"),
+                     array_to_vector(F.col(vector_col).cast("array<double>")).alias(FEATURES_COL))
+    model = NewtonLogisticRegression(maxIter=max_iter).fit(data.filter(F.col(split_col) == "train"))
+    return model, scored(model, data, ("row_id", split_col, "label"))
+
+
+def cross_validate(df: DataFrame, grid: list[dict], *, folds: int = 5, seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Mean and population std of fold accuracies for every setting of the grid, best first.
+
+    Spark's CrossValidator over ``build_pipeline``, with the folds of ``stratified_kfold``.
+    A setting maps names of the vectorizer's params (and text_col) to values.
+    """
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    columns = sorted({setting.get("inputCol", "content") for setting in grid})
+    data = cut_lineage(stratified_kfold(df, k=folds, seed=seed).select("label", "fold", *columns))
+    pipeline = build_pipeline()
+    vectorizer = pipeline.getStages()[0]
+    maps = [{vectorizer.getParam(name): value for name, value in setting.items()} for setting in grid]
+    check = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=check, foldCol="fold", numFolds=folds,
+                        parallelism=parallelism)
+    fitted = cv.fit(data)
+    drop_cut(data)
+    rows = [(i, float(mean), float(std)) for i, (mean, std) in enumerate(zip(fitted.avgMetrics, fitted.stdMetrics))]
+    table = df.sparkSession.createDataFrame(rows, "setting int, mean_accuracy double, std_accuracy double")
+    rank = F.row_number().over(Window.orderBy(F.desc("mean_accuracy"), F.asc("setting")))  # one row per setting
+    return table.withColumn("rank", rank)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

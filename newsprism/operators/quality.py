@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions import text as tx
 from newsprism.functions.reshape import rows_from
-from newsprism.sources.articles import LABEL_DOMAIN
+from newsprism.sources.articles import CORRUPT, LABEL_DOMAIN
 
 #: Tasks over which one hot text is spread in joins.
 SALTS = 16
@@ -146,6 +146,31 @@ def label_domain_check(df: DataFrame, domain: Sequence[int] = LABEL_DOMAIN) -> D
     )
 
 
+def quarantine(df: DataFrame, path: str, domain: Sequence[int] = LABEL_DOMAIN, corrupt_col: str = CORRUPT
+               ) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Route rows in one pass: (good rows, bad rows with their ``reason``, observed counts of both).
+
+    A row is bad if its line was malformed (``corrupt_col``, where there is one), if its
+    title and text are both blank or null, or if it has a label column whose value lies
+    outside the domain; the first of these is its reason. Both outputs are written by a
+    single job, as two partitions of a table under ``path`` (a folder that all executors
+    share), which counts them on the way.
+    """
+    rules = [("blank", tx.clean_field("title").eqNullSafe("") & tx.clean_field("text").eqNullSafe(""))]
+    if corrupt_col in df.columns:
+        rules.insert(0, ("malformed", F.col(corrupt_col).isNotNull()))
+    if "label" in df.columns:
+        rules.append(("label", ~F.coalesce(F.col("label").isin(*domain), F.lit(False))))
+    reason = F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules])
+    routed = df.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    seen = Observation()
+    routed = routed.observe(seen, F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
+    routed.write.mode("errorifexists").partitionBy("accepted").parquet(path)
+    written = df.sparkSession.read.schema(routed.schema).parquet(path)
+    return (written.where("accepted").drop("reason", "accepted"), written.where("not accepted").drop("accepted"),
+            {name: int(seen.get[name]) for name in ("good", "bad")})
+
+
 def assert_label_domain(df: DataFrame, domain: Sequence[int] = LABEL_DOMAIN) -> None:
     """Raise when any label lies outside ``domain``; stops at the first offender."""
     if not df.filter(~F.coalesce(F.col("label").isin(*domain), F.lit(False))).isEmpty():

@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsprism.operators.ranks import hash_rank, order_hash, rank_cuts, within_cut
+from newsprism.operators.ranks import hash_rank, rank_cuts, within_cut
+from newsprism.session import cut_lineage
 from newsprism.sources.articles import LABEL_DOMAIN
 
 
@@ -73,7 +74,53 @@ def stratified_sample(df: DataFrame, per_class: int = 50, seed: int = 42,
     return chosen.select(*df.columns)
 
 
-def shuffle_key(df: DataFrame, seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Seeded shuffle as a sort key. Relations are unordered, so order only
-    where an ordered result is emitted: ``orderBy("shuffle_key")``."""
-    return df.withColumn("shuffle_key", order_hash(id_col, seed))
+#: Rounds of the permutation, and steps after which a walk back into the domain is given up (chance below 2^-128 per row).
+ROUNDS, WALK = 4, 128
+
+
+def dense_ids(df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(id, place): 0-based place of each row in the order of ``id_col`` (repeated ids: some order), by range partitions."""
+    dealt = cut_lineage(df.select(id_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+                        .withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = (dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+               .select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return dealt.join(offsets, "_p").select(id_col, (F.col("_off") + F.col("_at") - F.col("_first")).alias("place"))
+
+
+def permuted(place: Column, n: int, seed: int = 42) -> Column:
+    """Place of ``place`` under a keyed permutation of 0 ... n - 1, a Feistel network that walks back into the domain.
+
+    The numbers below the next power of two are permuted in rounds: their two halves of
+    bits swap, one of them xored with a hash of the other. Results of n or more are
+    permuted again until they are smaller.
+    """
+    bits = max(2, (n - 1).bit_length())
+
+    def once(value: Column, step: int = 0) -> Column:
+        left, right = (bits // 2, bits - bits // 2) if step % 2 == 0 else (bits - bits // 2, bits // 2)
+
+        def swapped(v: Column) -> Column:
+            high, low = F.shiftright(v, right), v.bitwiseAND(F.lit((1 << right) - 1))
+            hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), low.cast("string")))
+            mixed = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long").bitwiseAND(F.lit((1 << left) - 1))
+            return F.shiftleft(low, left).bitwiseOR(high.bitwiseXOR(mixed))
+
+        value = F.transform(F.array(value), swapped)[0]  # bound once per round
+        return value if step == ROUNDS - 1 else once(value, step + 1)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(place.cast("long")),
+                         lambda value, _: F.when(value >= n, once(value)).otherwise(value))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk did not return")))
+
+
+def shuffle_rows(df: DataFrame, seed: int = 42, id_col: str = "row_id") -> DataFrame:
+    """Every row with its new ``position``, a permutation of 0 ... n - 1 that depends on the ids and the seed alone.
+
+    No total sort: ids are numbered by range partitions and the position is computed in
+    the row. Relations are unordered, so sort by it only where ordered rows are emitted.
+    Ids are taken to be distinct.
+    """
+    places = dense_ids(df, id_col)
+    n = places.count()
+    return df.join(places.select(id_col, permuted(F.col("place"), n, seed).alias("position")), id_col)

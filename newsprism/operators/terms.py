@@ -9,14 +9,17 @@ ln((1+n)/(1+df)) + 1, raw counts times IDF, rows L2-normalised.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions.stopwords import ENGLISH_STOP_WORDS
-from newsprism.session import cut_lineage
+from newsprism.session import cut_lineage, reach_workers
 from newsprism.sources.articles import LABEL_DOMAIN
 
 # Two or more letters / digits / underscores (Python's \w\w+ on Unicode text).
@@ -80,13 +83,19 @@ def counted(terms: Column) -> Column:
     return F.transform(F.array(F.sort_array(terms)), of)[0]
 
 
+def term_rows(df: DataFrame, text_col: str, keep: Sequence[str] = ("row_id",), ngram_range: tuple[int, int] = (1, 1),
+              stop_words: Sequence[str] | None = ENGLISH_STOP_WORDS) -> DataFrame:
+    """(*keep, terms): one row per document with its array of (term, tf), sorted by term; no exchange."""
+    text = F.coalesce(_c(text_col), F.lit(""))
+    return df.select(*keep, counted(analyzed_terms(text, ngram_range, stop_words)).alias("terms"))
+
+
 def term_frequencies(df: DataFrame, text_col: str, id_col: str = "row_id",
                      ngram_range: tuple[int, int] = (1, 1),
                      stop_words: Sequence[str] | None = ENGLISH_STOP_WORDS,
                      keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(id, *keep, term, tf)``, counted inside each document's row: no exchange."""
-    docs = df.select(id_col, *keep, counted(analyzed_terms(text_col, ngram_range, stop_words)).alias("_terms"))
-    return docs.select(id_col, *keep, F.inline("_terms"))
+    return term_rows(df, text_col, (id_col, *keep), ngram_range, stop_words).select(id_col, *keep, F.inline("terms"))
 
 
 def term_stats(tf_long: DataFrame, rows: Column | None = None) -> DataFrame:
@@ -142,21 +151,64 @@ def smooth_idf(doc_freq: Column, n_docs: int) -> Column:
     return F.log(F.lit(float(1 + n_docs)) / (doc_freq + F.lit(1.0))) + F.lit(1.0)
 
 
-def tfidf_long(tf_long: DataFrame, vocab: DataFrame, n_docs: int, id_col: str = "row_id",
-               keep: Sequence[str] = ()) -> DataFrame:
-    """(id, term, feature_index, tfidf) for vocabulary terms, rows L2-normalised."""
-    return weighted(tf_long, vocab.select("term", "feature_index", smooth_idf(F.col("doc_freq"), n_docs).alias("idf")),
-                    id_col, keep)
+FEATURES = "array<struct<term: string, feature_index: int, tfidf: double>>"
+PARTS = "array<struct<term: string, feature_index: int, tfidf: double, coefficient: double, contribution: double>>"
 
 
-def weighted(tf_long: DataFrame, idf: DataFrame, id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, *keep, term, feature_index, tfidf) from counts and an idf table (term, feature_index, idf).
+def weighted_rows(rows: DataFrame, terms: Sequence[str], idf: Sequence[float],
+                  coefficients: Sequence[float] | None = None) -> DataFrame:
+    """``term_rows`` with ``features`` in place of ``terms``: per document its (term, feature_index, tfidf), L2-normalised.
 
-    The planner broadcasts the table if it is small; the norm window is partitioned by document id.
+    The vocabulary, at most its ``max_features`` terms with their weights, goes to the
+    workers; look-up, weight and norm stay inside the row, so nothing is exchanged. With
+    coefficients the column is ``parts`` and holds each feature's coefficient and
+    contribution as well, and ``contribution_sum`` their sum.
     """
-    w = tf_long.join(idf, "term", "inner").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, *keep, "term", "feature_index", (F.col("_w") / norm).alias("tfidf"))
+    reach_workers(rows.sparkSession)
+    keep = [c for c in rows.columns if c != "terms"]
+    shared = rows.sparkSession.sparkContext.broadcast((list(terms), np.asarray(idf, dtype=float),
+                                                       None if coefficients is None else np.asarray(coefficients, dtype=float)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight, slope = shared.value
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            column = batch.column("terms")
+            entries, offsets = column.flatten(), column.offsets.to_numpy()
+            at = pc.index_in(entries.field("term"), value_set=known)
+            there = at.is_valid().to_numpy(zero_copy_only=False)
+            index = at.fill_null(0).to_numpy(zero_copy_only=False)[there].astype(np.int32)
+            value = entries.field("tf").to_numpy(zero_copy_only=False)[there] * weight[index]
+            ends = np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]]
+            filled = np.flatnonzero(np.diff(ends))
+            norm = np.ones(len(ends) - 1)
+            if len(filled):
+                norm[filled] = np.sqrt(np.add.reduceat(value * value, ends[:-1][filled]))
+            value = value / np.repeat(norm, np.diff(ends))
+            fields = {"term": known.take(pa.array(index)), "feature_index": pa.array(index), "tfidf": pa.array(value)}
+            extra = []
+            if slope is not None:
+                pushed = value * slope[index]
+                fields |= {"coefficient": pa.array(slope[index]), "contribution": pa.array(pushed)}
+                sums = np.zeros(len(norm))
+                if len(filled):
+                    sums[filled] = np.add.reduceat(pushed, ends[:-1][filled])
+                extra = [pa.array(sums)]
+            structs = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), structs)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists, *extra], out_names)
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "terms"]
+    added = [f"features {FEATURES}"] if coefficients is None else [f"parts {PARTS}", "contribution_sum double"]
+    out_names = keep + [x.split()[0] for x in added]
+    return rows.select(*keep, "terms").mapInArrow(weigh, ", ".join(kept + added))
+
+
+def collected(vocab: DataFrame, n_docs: int) -> tuple[list[str], list[float]]:
+    """Terms in order of their index, and their idf; at most ``max_features`` of them reach the driver."""
+    rows = vocab.select("term", "feature_index", smooth_idf(F.col("doc_freq"), n_docs).alias("idf")).collect()
+    rows = sorted(rows, key=lambda r: r["feature_index"])
+    return [r["term"] for r in rows], [r["idf"] for r in rows]
 
 
 def top_terms_per_class(df: DataFrame, text_col: str, k: int = 20, ngram_range: tuple[int, int] = (1, 1),
@@ -164,13 +216,13 @@ def top_terms_per_class(df: DataFrame, text_col: str, k: int = 20, ngram_range:
                         domain: Sequence[int] = LABEL_DOMAIN) -> DataFrame:
     """(label, term, frequency): the k most frequent terms of every class.
 
-    One count per (label, term), in the rows and before the shuffle, then the k
-    best of each hash slice of a label, then the k best of these: no task ever
-    receives a class's whole vocabulary, whatever ``k`` is.
+    One count per (label, term) before the shuffle, then the k best of each hash slice
+    of a label, then the k best of these: no task ever receives a class's whole
+    vocabulary, whatever ``k`` is.
     """
     terms = (df.filter(F.col("label").isin(*domain))
-             .select("label", F.inline(counted(analyzed_terms(text_col, ngram_range, stop_words)))))
-    counts = terms.groupBy("label", "term").agg(F.sum("tf").alias("frequency"))
+             .select("label", F.explode(analyzed_terms(text_col, ngram_range, stop_words)).alias("term")))
+    counts = terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("frequency"))
     counts = counts.withColumn("_slice", F.pmod(F.xxhash64("term"), F.lit(SLICES)))
     for keys in (("label", "_slice"), ("label",)):
         w = Window.partitionBy(*keys).orderBy(F.desc("frequency"), F.asc("term"))
@@ -179,7 +231,7 @@ def top_terms_per_class(df: DataFrame, text_col: str, k: int = 20, ngram_range:
 
 
 def fisher_terms(df: DataFrame, text_col: str, min_df: int = 5, max_features: int = 20000,
-                 top_n: int = 30, id_col: str = "row_id") -> DataFrame:
+                 top_n: int = 30) -> DataFrame:
     """Per-term Fisher score on TF-IDF values fitted on ``df``; the top ``top_n``.
 
     Mean and population variance per class include rows where the term is absent
@@ -187,10 +239,10 @@ def fisher_terms(df: DataFrame, text_col: str, min_df: int = 5, max_features: in
     from the mean, which cannot go negative. Output columns: term, fisher_score,
     mean_fake, mean_real.
     """
-    tf = cut_lineage(term_frequencies(df, text_col, id_col, keep=("label",)))
+    rows = cut_lineage(term_rows(df, text_col, ("label",)))
     n_docs, sizes = _class_sizes(df)
-    vocab = vocabulary(tf, min_df, max_features)
-    x = tfidf_long(tf, vocab, n_docs, id_col, keep=("label",))
+    vocab = vocabulary(rows.select(F.inline("terms")), min_df, max_features)
+    x = weighted_rows(rows, *collected(vocab, n_docs)).select("label", F.inline("features"))
     own = {v: F.when(F.col("label") == v, F.col("tfidf")) for v in LABEL_DOMAIN}
     per = x.groupBy("term").agg(*[f(own[v]).alias(f"{name}{v}") for v in LABEL_DOMAIN
                                   for name, f in (("k", F.count), ("a", F.avg), ("v", F.var_pop))])

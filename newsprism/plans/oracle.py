@@ -82,10 +82,12 @@ sql("content_preview", with_("cleaned") + "SELECT row_id, substr(content, 1, 500
 sql("correct_flag", with_("answers") + f"""
 SELECT row_id, true_label, prediction, coalesce(prediction = true_label, false) AS correct
 FROM (SELECT *, {_parse_answer('answer')} AS prediction FROM answers)""")
-sql("softmax_predict", """
+_HALVES = ", ".join(f"list_sum(list_transform(embedding[{part}], lambda v: CAST(v AS DOUBLE))) AS {name}"
+                    for part, name in (("1:len(embedding) // 2", "a"), ("len(embedding) // 2 + 1:", "b")))
+sql("softmax_predict", f"""
 SELECT vec_id, CASE WHEN b > a THEN 1 ELSE 0 END AS prediction,
        round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS p_real
-FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)""")
+FROM (SELECT vec_id, {_HALVES} FROM embeddings)""")
 
 # ---- 2.3 filters -----------------------------------------------------------
 sql("blank_rows", with_("articles") + f"SELECT row_id, title, label FROM articles WHERE {strip("coalesce(text, '')")} = ''")
@@ -93,6 +95,11 @@ sql("blank_label_dist", with_("articles") + f"""
 SELECT label, count, round(100.0 * count / sum(count) OVER (), 6) AS pct FROM (
   SELECT label, count(*) AS count FROM articles WHERE {strip("coalesce(text, '')")} = '' GROUP BY label)""")
 sql("invalid_dates", with_("dated") + f"SELECT row_id, date, label FROM dated WHERE {parse_date('date')} IS NULL")
+sql("quarantine", with_("articles") + f""", routed AS (
+  SELECT CASE WHEN {strip("coalesce(title, '')")} = '' AND {strip("coalesce(text, '')")} = '' THEN 'blank'
+              WHEN NOT coalesce(label IN (0, 1), false) THEN 'label' END AS reason FROM articles)
+SELECT CASE WHEN reason IS NULL THEN 'good' ELSE 'bad' END AS output, reason, count(*) AS rows,
+       CAST(sum(count(*)) OVER (PARTITION BY reason IS NULL) AS BIGINT) AS observed FROM routed GROUP BY reason""")
 sql("class_subset", with_("labeled") + "SELECT row_id, title FROM labeled WHERE label = 0")
 sql("misclassified", with_("predictions") + """
 SELECT row_id, split, label, prediction, p FROM predictions
@@ -196,7 +203,26 @@ UNION ALL SELECT row_id, label, 'True' FROM labeled_articles WHERE label = 1""")
 
 # ---- 2.8 sampling / splitting ----------------------------------------------
 sql("stratified_split", with_("splitted") + "SELECT row_id, label, split FROM splitted")
-sql("shuffle_rows", with_("cleaned") + "SELECT row_id, md5(CAST(row_id AS VARCHAR) || ':42') AS shuffle_key FROM cleaned")
+
+
+def _feistel(value: str) -> str:
+    """One application of the keyed permutation of numbers below 2 ** bits, as nested rounds over (value, bits)."""
+    left, right = "(bits // 2)", "(bits - bits // 2)"
+    for step in range(4):
+        low, high = f"({value} % (1 << {right}))", f"({value} >> {right})"
+        hashed = f"CAST('0x' || substr(md5('42:{step}:' || {low}), 1, 12) AS BIGINT)"
+        value = f"(({low} << {left}) + xor({high}, {hashed} % (1 << {left})))"
+        left, right = right, left
+    return value
+
+
+sql("shuffle_rows", with_("cleaned").replace("WITH ", "WITH RECURSIVE ", 1) + f""", placed AS (
+  SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place, count(*) OVER () AS n,
+         greatest(2, CAST(ceil(log2(count(*) OVER ())) AS BIGINT)) AS bits FROM cleaned),
+walk AS (
+  SELECT row_id, n, bits, {_feistel("place")} AS v FROM placed
+  UNION ALL SELECT row_id, n, bits, {_feistel("v")} FROM walk WHERE v >= n)
+SELECT row_id, CAST(v AS BIGINT) AS position FROM walk WHERE v < n""")
 sql("stratified_sample", with_("ranked") + "SELECT row_id, label FROM ranked WHERE label IN (0, 1) AND _r <= 50")
 sql("stratified_kfold", with_("ranked") + "SELECT row_id, label, CAST((_r - 1) % 5 AS INTEGER) AS fold FROM ranked")
 
@@ -282,7 +308,7 @@ _COUNTS = """SELECT {g} count(*) FILTER (WHERE label = 1 AND prediction = 1) AS
        count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
        count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
        sum(-ln(greatest(least(CASE WHEN label = 1 THEN p ELSE 1.0 - p END, 1.0 - 2.220446049250313e-16),
-                        2.220446049250313e-16))) FILTER (WHERE label IN (0, 1)) / count(*) FILTER (WHERE label IN (0, 1)) AS log_loss
+                        2.220446049250313e-16))) FILTER (WHERE label IN (0, 1) AND NOT isnan(p)) / count(*) FILTER (WHERE label IN (0, 1) AND NOT isnan(p)) AS log_loss
 FROM {src} {where} {groupby}"""
 
 
@@ -317,7 +343,7 @@ _AUC = """SELECT split, round(CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN NULL
 FROM (SELECT split, p, pos, neg,
              coalesce(sum(neg) OVER (PARTITION BY split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
       FROM (SELECT split, p, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
-            FROM predictions GROUP BY split, p))
+            FROM predictions WHERE NOT isnan(p) GROUP BY split, p))
 GROUP BY split"""
 
 
@@ -358,25 +384,24 @@ SELECT round(tr, 6) AS train_accuracy, round(va, 6) AS validation_accuracy, roun
   FROM predictions)""")
 sql("latency_stats", """
 SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max
-FROM events WHERE value IS NOT NULL""")
+FROM events WHERE isfinite(value)""")
 sql("latency_histogram", """
 WITH r AS (SELECT CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
                   CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
-           FROM events WHERE value IS NOT NULL),
+           FROM events WHERE isfinite(value)),
 c AS (SELECT CAST(least(floor((value - lo) * 20.0 / (hi - lo)), 19) AS INTEGER) AS bin, count(*) AS count
-      FROM events, r WHERE value IS NOT NULL GROUP BY 1)
+      FROM events, r WHERE isfinite(value) GROUP BY 1)
 SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * ((hi - lo) / 20), 6) AS lower,
        round(lo + (b.bin + 1) * ((hi - lo) / 20), 6) AS upper, coalesce(c.count, 0) AS count
 FROM range(20) b(bin) CROSS JOIN r LEFT JOIN c ON c.bin = b.bin""")
 sql("valid_invalid_counts", with_("answers") + f"""
 SELECT count(prediction) AS valid_predictions, count(*) - count(prediction) AS invalid_predictions
 FROM (SELECT {_parse_answer('answer')} AS prediction FROM answers)""")
-sql("smoothed_cross_entropy", """
+sql("smoothed_cross_entropy", f"""
 SELECT round(avg(-((CASE WHEN y = 0 THEN 0.975 ELSE 0.025 END) * (a - lse)
                  + (CASE WHEN y = 1 THEN 0.975 ELSE 0.025 END) * (b - lse))), 6) AS smoothed_cross_entropy
 FROM (SELECT a, b, y, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS lse
-      FROM (SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-                   CAST(label >= 5 AS INTEGER) AS y FROM embeddings))""")
+      FROM (SELECT {_HALVES}, CAST(label >= 5 AS INTEGER) AS y FROM embeddings))""")
 sql("evaluate_zero_shot", with_("answers") + f""", parsed AS (
   SELECT true_label AS label, {_parse_answer('answer')} AS prediction, latency_seconds FROM answers),
 counts AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
@@ -453,37 +478,162 @@ SELECT group_id, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS value FRO
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u)
 GROUP BY group_id, dim""")
 
-# ---- 2.10 models: rows, group sizes and agreement of class, probability and score --------
-sql("logistic_regression", with_("splitted") + """
-SELECT count(*) AS train_rows, round(avg(label), 3) AS mean_probability FROM splitted WHERE split = 'train'""")
-sql("build_pipeline", with_("splitted") + "SELECT row_id, label, true AS consistent FROM splitted WHERE split = 'test'")
-sql("predict", with_("splitted") + "SELECT row_id, split, label, true AS consistent FROM splitted")
-sql("score_new_articles", """
-SELECT doc_id AS row_id, true AS consistent FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
-sql("fit_experiment", with_("splitted") + """
-SELECT split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives,
-       CASE WHEN split = 'test' THEN count(*) END AS confusion_total FROM splitted GROUP BY split""")
-sql("compare_experiments", with_("splitted") + """
-SELECT experiment, test_rows, test_positives, true AS ranked
-FROM (VALUES """ + ", ".join(f"('{name}')" for name, _, _ in EXPERIMENT_GRID) + """) e(experiment),
-     (SELECT count(*) AS test_rows, CAST(sum(label) AS BIGINT) AS test_positives FROM splitted WHERE split = 'test')""")
-sql("summary_table", "SELECT metric, true AS in_range FROM (VALUES " + ", ".join(f"('{m}')" for m in (
-    *_BASE, *_WEIGHTED, "log_loss", "roc_auc", "train_val_gap", "vectorizer_seconds", "training_seconds")) + ") m(metric)")
-sql("learning_curve", with_("splitted") + """, folds AS (
-  SELECT (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) - 1) % 5 AS fold
+# ---- 2.10 models: the fit itself, in SQL -------------------------------------------------------
+# L2 logistic regression in its dual form: with f = K a + b over the training rows' inner products K,
+# the optimum is a = y - p and sum(y - p) = 0; damped steps towards it converge to the one solution.
+_STEP, _STEPS = 0.1, 3000
+
+_NEW_ROWS = f"""
+  SELECT doc_id AS row_id, 'new' AS split, CAST(NULL AS INTEGER) AS label, {strip("title || ' ' || text")} AS content
+  FROM (SELECT doc_id, {strip("coalesce(split_part(text, chr(10), 1), '')")} AS title,
+               {strip("coalesce(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) END, '')")} AS text
+        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+
+_DUAL = f"""
+it AS (
+  SELECT cell, 0 AS step, list_transform(y, lambda v: CAST(0 AS DOUBLE)) AS a, CAST(0 AS DOUBLE) AS b FROM gram
+  UNION ALL
+  SELECT cell, step + 1, list_transform(list_zip(a, y, p), lambda z: z[1] + {_STEP} * (z[2] - z[3] - z[1])),
+         b + {_STEP} * 4 / len(y) * (list_sum(y) - list_sum(p))
+  FROM (SELECT it.cell, step, a, b, y,
+               list_transform(g, lambda r: 1.0 / (1.0 + exp(-(list_dot_product(r, a) + b)))) AS p
+        FROM it JOIN gram ON gram.cell = it.cell WHERE step < {_STEPS})),
+model AS MATERIALIZED (SELECT cell, a, b FROM it WHERE step = {_STEPS}),
+fitted AS MATERIALIZED (
+  SELECT cell, row_id, score, 1.0 / (1.0 + exp(-score)) AS p, CAST(score > 0 AS INTEGER) AS prediction
+  FROM (SELECT cell, row_id, list_dot_product(k, a) + b AS score FROM kern JOIN model USING (cell)))"""
+
+
+def _fit(col: str = "content", n: int = 1, new_rows: bool = False) -> str:
+    """CTEs up to ``fitted`` (row_id, score, p, prediction) of the model over one text column, and ``every`` row."""
+    every = f"SELECT row_id, split, label, {col} AS content FROM splitted" + (f" UNION ALL {_NEW_ROWS}" if new_rows else "")
+    return (with_("splitted").replace("WITH ", "WITH RECURSIVE ", 1) + f""", every AS MATERIALIZED ({every}),
+tokens AS MATERIALIZED (SELECT row_id, split, {tokens('content')} AS t FROM every),
+tf AS MATERIALIZED (SELECT row_id, split, term, count(*) AS tf FROM (SELECT row_id, split, unnest({ngrams('t', n)}) AS term FROM tokens)
+                    GROUP BY ALL),
+vocab AS (
+  SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_count FROM tf WHERE split = 'train'
+  GROUP BY term HAVING count(*) >= 2 ORDER BY total_count DESC, term LIMIT 20000),
+w AS (SELECT tf.row_id, tf.term, tf.tf * (ln(CAST(1 + n AS DOUBLE) / (doc_freq + 1.0)) + 1.0) AS w
+      FROM tf JOIN vocab USING (term), (SELECT count(*) AS n FROM splitted WHERE split = 'train')),
+x AS MATERIALIZED (SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS v FROM w),
+tr AS MATERIALIZED (SELECT row_id, label, row_number() OVER (ORDER BY row_id) AS i FROM splitted WHERE split = 'train'),
+pairs AS (SELECT x.row_id, i, sum(x.v * t.v) AS k FROM x JOIN (SELECT i, term, v FROM x JOIN tr USING (row_id)) t USING (term)
+          GROUP BY x.row_id, i),
+kern AS MATERIALIZED (
+  SELECT 0 AS cell, e.row_id, list(coalesce(k, 0.0) ORDER BY tr.i) AS k
+  FROM every e CROSS JOIN tr LEFT JOIN pairs ON pairs.row_id = e.row_id AND pairs.i = tr.i GROUP BY e.row_id),
+gram AS MATERIALIZED (
+  SELECT 0 AS cell, list(k ORDER BY i) AS g, list(CAST(label AS DOUBLE) ORDER BY i) AS y FROM kern JOIN tr USING (row_id)),
+{_DUAL}""")
+
+
+_FIT = _fit()
+_FITTED_PREDICTIONS = ", predictions AS (SELECT row_id, split, label, round(p, 12) AS p, prediction FROM every JOIN fitted USING (row_id))"
+
+
+def _metrics_of(ctes: str, metrics: dict, auc: str = _AUC) -> str:
+    """CTE ``scores`` (split, metric, value) over the predictions of a fit."""
+    c = _COUNTS.format(g="split,", src="predictions", where="", groupby="GROUP BY split")
+    rows = "\nUNION ALL\n".join(f"SELECT split, '{k}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value FROM counts"
+                                for k, v in metrics.items())
+    return f"{ctes}{_FITTED_PREDICTIONS}, counts AS ({c}), auc AS ({auc}), scores AS ({rows}\nUNION ALL SELECT split, 'roc_auc', roc_auc FROM auc)"
+
+
+_ALL_METRICS = {**_BASE, **_WEIGHTED, "log_loss": "log_loss"}
+_EXPERIMENT = _metrics_of(_FIT, _ALL_METRICS)
+
+sql("logistic_regression", _FIT + """
+SELECT count(*) AS train_rows, (SELECT count(*) FROM vocab) AS terms, round(any_value(b), 5) AS intercept,
+       round(avg(p), 6) AS mean_probability, round(avg(label), 6) AS label_mean,
+       round((sum(-ln(CASE WHEN label = 1 THEN p ELSE 1.0 - p END)) + 0.5 * any_value(penalty)) / count(*), 6) AS loss,
+       round(ln(2.0), 6) AS zero_loss, true AS optimal
+FROM tr JOIN fitted USING (row_id),
+     (SELECT b, list_dot_product(a, list_transform(g, lambda r: list_dot_product(r, a))) AS penalty FROM model JOIN gram USING (cell))""")
+sql("build_pipeline", _FIT + """
+SELECT row_id, label, prediction, round(p, 6) AS p FROM splitted JOIN fitted USING (row_id) WHERE split = 'test'""")
+sql("predict", _FIT + """
+SELECT row_id, split, label, prediction, round(p, 6) AS p, round(score, 6) AS score FROM splitted JOIN fitted USING (row_id)""")
+sql("score_new_articles", _fit(new_rows=True) + """
+SELECT row_id, prediction, round(p, 6) AS p FROM every JOIN fitted USING (row_id) WHERE split = 'new'""")
+sql("fit_experiment", _EXPERIMENT + """
+SELECT split, metric, value FROM scores
+UNION ALL SELECT 'test', 'confusion_' || a || '_' || b, CAST(count(p.row_id) AS DOUBLE)
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(a, b)
+LEFT JOIN (SELECT * FROM predictions WHERE split = 'test') p ON label = a AND prediction = b GROUP BY a, b""")
+sql("compare_experiments", "SELECT *, CAST(row_number() OVER (ORDER BY validation_accuracy DESC, experiment) AS INTEGER) AS rank, "
+    "row_number() OVER (ORDER BY validation_accuracy DESC, experiment) = 1 AS best FROM (\n" + "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS experiment, * FROM (" + _metrics_of(_fit(col, lo), _ALL_METRICS) + """
+SELECT max(value) FILTER (WHERE split = 'validation' AND metric = 'accuracy') AS validation_accuracy,
+       max(value) FILTER (WHERE split = 'test' AND metric = 'accuracy') AS test_accuracy,
+       max(value) FILTER (WHERE split = 'test' AND metric = 'f1_macro') AS test_f1_macro,
+       max(value) FILTER (WHERE split = 'test' AND metric = 'roc_auc') AS test_roc_auc FROM scores)"""
+        for name, col, (lo, _) in EXPERIMENT_GRID) + ")")
+sql("summary_table", _EXPERIMENT + """
+SELECT metric, round(value, 4) AS value FROM scores WHERE split = 'test'
+UNION ALL SELECT 'train_val_gap', round(max(value) FILTER (WHERE split = 'train') - max(value) FILTER (WHERE split = 'validation'), 4)
+FROM scores WHERE metric = 'accuracy'""")
+sql("save_model", _FIT + """
+SELECT row_id, prediction, round(p, 6) AS p FROM splitted JOIN fitted USING (row_id) WHERE split = 'test'""")
+sql("load_model", with_("splitted") + """
+SELECT count(*) AS test_rows, CAST(0 AS DOUBLE) AS max_difference FROM splitted WHERE split = 'test'""")
+
+_SIZES = (0.1, 0.28, 0.46, 0.64, 0.82, 1.0)
+sql("learning_curve", with_("splitted").replace("WITH ", "WITH RECURSIVE ", 1) + f""", base AS MATERIALIZED (
+  SELECT row_id, label, content,
+         CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) - 1) % 5 AS INTEGER) AS fold
   FROM splitted WHERE split = 'train'),
-sizes AS (SELECT fold, count(*) AS n, sum(count(*)) OVER () AS total FROM folds GROUP BY fold)
-SELECT CAST(size AS DOUBLE) AS size, min(CAST(floor(CAST(size AS DOUBLE) * (total - n)) AS BIGINT)) AS train_size, true AS in_range
-FROM sizes, (VALUES (0.1), (0.28), (0.46), (0.64), (0.82), (1.0)) s(size) GROUP BY size""")
+placed AS (
+  SELECT o.f, row_id, label, fold,
+         CASE WHEN fold <> o.f THEN row_number() OVER (PARTITION BY o.f, fold = o.f ORDER BY md5(CAST(row_id AS VARCHAR) || ':43'), row_id) END AS r,
+         count(*) FILTER (WHERE fold <> o.f) OVER (PARTITION BY o.f) AS n
+  FROM base, (SELECT unnest(range(5)) AS f) o),
+members AS MATERIALIZED (
+  SELECT f * 6 + s.k AS cell, s.size, row_id, label, fold = f AS held, coalesce(r <= greatest(CAST(floor(s.size * n) AS BIGINT), 1), false) AS inside,
+         greatest(CAST(floor(s.size * n) AS BIGINT), 1) AS n_train
+  FROM placed, (VALUES {", ".join(f"({k}, CAST({x} AS DOUBLE))" for k, x in enumerate(_SIZES))}) s(k, size)),
+tf AS MATERIALIZED ({_tf('base', 'content', 1)}),
+vocab AS (
+  SELECT cell, term, doc_freq FROM (
+    SELECT *, row_number() OVER (PARTITION BY cell ORDER BY total DESC, term) AS r FROM (
+      SELECT cell, term, count(*) AS doc_freq, sum(tf) AS total FROM members JOIN tf USING (row_id) WHERE inside
+      GROUP BY cell, term HAVING count(*) >= 2))
+  WHERE r <= 20000),
+w AS (SELECT cell, row_id, term, inside, tf * (ln(CAST(1 + n_train AS DOUBLE) / (doc_freq + 1.0)) + 1.0) AS w
+      FROM members JOIN tf USING (row_id) JOIN vocab USING (cell, term) WHERE inside OR held),
+x AS MATERIALIZED (SELECT cell, row_id, term, inside, w / sqrt(sum(w * w) OVER (PARTITION BY cell, row_id)) AS v FROM w),
+tr AS MATERIALIZED (SELECT cell, row_id, label, row_number() OVER (PARTITION BY cell ORDER BY row_id) AS i FROM members WHERE inside),
+pairs AS MATERIALIZED (
+  SELECT x.cell, x.row_id, t.row_id AS other, sum(x.v * t.v) AS k
+  FROM x JOIN x t ON t.cell = x.cell AND t.term = x.term AND t.inside GROUP BY x.cell, x.row_id, t.row_id),
+kern AS MATERIALIZED (
+  SELECT e.cell, e.row_id, list(coalesce(k, 0.0) ORDER BY tr.i) AS k
+  FROM (SELECT cell, row_id FROM members WHERE inside OR held) e JOIN tr ON tr.cell = e.cell
+  LEFT JOIN pairs ON pairs.cell = e.cell AND pairs.row_id = e.row_id AND pairs.other = tr.row_id GROUP BY e.cell, e.row_id),
+gram AS MATERIALIZED (
+  SELECT cell, list(k ORDER BY i) AS g, list(CAST(label AS DOUBLE) ORDER BY i) AS y FROM kern JOIN tr USING (cell, row_id) GROUP BY cell),
+{_DUAL},
+acc AS (
+  SELECT size, cell, any_value(n_train) AS n_train, avg(CAST(prediction = label AS DOUBLE)) FILTER (WHERE inside) AS train_acc,
+         avg(CAST(prediction = label AS DOUBLE)) FILTER (WHERE held) AS val_acc
+  FROM members JOIN fitted USING (cell, row_id) GROUP BY size, cell)
+SELECT size, min(n_train) AS train_size, round(avg(train_acc), 6) AS train_mean, round(stddev_pop(train_acc), 6) AS train_std,
+       round(avg(val_acc), 6) AS val_mean, round(stddev_pop(val_acc), 6) AS val_std,
+       round(1 - round(avg(train_acc), 6), 6) AS train_error, round(1 - round(avg(val_acc), 6), 6) AS val_error
+FROM acc GROUP BY size""")
 sql("embedding_classifier", """
-WITH ranked AS (
-  SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label,
+WITH RECURSIVE ranked AS (
+  SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e,
          row_number() OVER (PARTITION BY label >= 5 ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) AS r,
          count(*) OVER (PARTITION BY label >= 5) AS n FROM embeddings),
 held AS (SELECT *, ceil(n * CAST(0.3 AS DOUBLE)) AS h FROM ranked),
-splitted AS (SELECT label, CASE WHEN r <= n - h THEN 'train' WHEN r <= n - ceil(h * CAST(0.5 AS DOUBLE)) THEN 'validation'
-                                ELSE 'test' END AS split FROM held)
-SELECT split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, true AS consistent FROM splitted GROUP BY split""")
-sql("save_model", with_("splitted") + "SELECT count(*) AS test_rows FROM splitted WHERE split = 'test'")
-sql("load_model", with_("splitted") + """
-SELECT count(*) AS test_rows, CAST(0 AS DOUBLE) AS max_difference FROM splitted WHERE split = 'test'""")
+splitted AS MATERIALIZED (
+  SELECT row_id, label, e, CASE WHEN r <= n - h THEN 'train' WHEN r <= n - ceil(h * CAST(0.5 AS DOUBLE)) THEN 'validation'
+                                ELSE 'test' END AS split FROM held),
+tr AS MATERIALIZED (SELECT row_id, label, e, row_number() OVER (ORDER BY row_id) AS i FROM splitted WHERE split = 'train'),
+kern AS MATERIALIZED (
+  SELECT 0 AS cell, s.row_id, list(list_dot_product(s.e, tr.e) ORDER BY tr.i) AS k FROM splitted s CROSS JOIN tr GROUP BY s.row_id),
+gram AS MATERIALIZED (
+  SELECT 0 AS cell, list(k ORDER BY i) AS g, list(CAST(label AS DOUBLE) ORDER BY i) AS y FROM kern JOIN tr USING (row_id)),
+""" + _DUAL + """
+SELECT row_id, split, label, prediction, round(p, 6) AS p FROM splitted JOIN fitted USING (row_id)""")

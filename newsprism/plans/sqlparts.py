@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsprism.functions.stopwords import ENGLISH_STOP_WORDS
-from newsprism.functions.text import WHITESPACE_CHARS, WORD_RUN
+from newsprism.functions.text import DATE_PATTERNS, MONTHS, PIVOT, TIME_PATTERN, WEEKDAY_PATTERN, WHITESPACE_CHARS, WORD_RUN
 
 WS_SQL = "||".join(f"chr({ord(c)})" for c in WHITESPACE_CHARS)
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -35,14 +35,24 @@ def ngrams(toks: str, n: int) -> str:
             f"lambda i: array_to_string({toks}[i:i + {n - 1}], ' ')) ELSE [] END")
 
 
-# strptime forms of the accepted layouts, in their order
-_LAYOUTS = ("%B %d, %Y", "%b %d, %Y", "%d-%b-%y", "%Y-%m-%d", "%m/%d/%Y", "%d %B %Y", "%d %b %Y", "%d-%b-%Y",
-            "%Y/%m/%d", "%Y-%m-%d %H:%M:%S")
-
-
 def parse_date(x: str) -> str:
-    s = strip(x)
-    return "CAST(coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in _LAYOUTS) + ") AS DATE)"
+    s = f"regexp_replace(regexp_replace(lower({strip(x)}), '{TIME_PATTERN}', ''), '{WEEKDAY_PATTERN}', '')"
+    tried = []
+    for order, pattern in DATE_PATTERNS:
+        part = {kind: f"regexp_extract({s}, '{pattern}', {at})" for at, kind in enumerate(order, 1)}
+        number = lambda k: f"TRY_CAST({part[k]} AS INTEGER)"  # noqa: E731, B023
+        if "n" in part:
+            names = ", ".join(f"'{m[:3]}'" for m in MONTHS)
+            month, day = f"list_position([{names}], substr({part['n']}, 1, 3))", number("d")
+        else:
+            month, day = number("m"), number("d")
+        if order == "mdy":
+            month, day = (f"CASE WHEN {month} > 12 THEN {day} ELSE {month} END", f"CASE WHEN {month} > 12 THEN {month} ELSE {day} END")
+        year = (f"CASE WHEN length({part['y']}) = 2 THEN {number('y')} + CASE WHEN {number('y')} >= {PIVOT} THEN 1900 ELSE 2000 END "
+                f"ELSE {number('y')} END")
+        tried.append(f"CASE WHEN regexp_matches({s}, '{pattern}') AND {year} > 0 "
+                     f"THEN TRY_CAST(printf('%04d-%02d-%02d', {year}, {month}, {day}) AS DATE) END")
+    return f"coalesce({', '.join(tried)})"
 
 
 CTES = {
@@ -90,10 +100,10 @@ CTES = {
   FROM (SELECT *, ceil(_n * CAST(0.3 AS DOUBLE)) AS _hold FROM ranked))""",
     "predictions": """predictions AS (
   SELECT row_id, split, label, p, CAST(p >= 0.5 AS INTEGER) AS prediction
-  FROM (SELECT *, CAST(least(length(text), 9999) AS DOUBLE) / 10000.0 AS p FROM splitted))""",
+  FROM (SELECT *, CAST(length(text) AS DOUBLE) / (length(text) + 1000) AS p FROM splitted))""",
     "dated": """dated AS (
   SELECT o_orderkey AS row_id,
-         CASE o_orderkey % 8
+         CASE o_orderkey % 16
               WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y')
               WHEN 1 THEN strftime(o_orderdate, '%b %-d, %Y') || ' '
               WHEN 2 THEN strftime(o_orderdate, '%-d-%b-%y')
@@ -101,6 +111,13 @@ CTES = {
               WHEN 5 THEN strftime(o_orderdate, '%-m/%-d/%Y')
               WHEN 6 THEN strftime(o_orderdate, '%-d %B %Y')
               WHEN 7 THEN strftime(o_orderdate, '%-d %b %Y')
+              WHEN 8 THEN strftime(o_orderdate, '%b. %-d, %Y')
+              WHEN 9 THEN strftime(o_orderdate, '%Y-%m-%dT10:00:00Z')
+              WHEN 10 THEN strftime(o_orderdate, '%-d/%-m/%Y')
+              WHEN 11 THEN strftime(o_orderdate, '%Y%m%d')
+              WHEN 12 THEN upper(strftime(o_orderdate, '%b %-d %Y'))
+              WHEN 13 THEN strftime(o_orderdate, '%A, %B %-d, %Y')
+              WHEN 14 THEN strftime(o_orderdate, '%-m/%-d/%y')
               ELSE o_orderpriority END AS date,
          CAST(o_orderkey % 2 AS INTEGER) AS label
   FROM orders)""",

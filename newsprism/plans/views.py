@@ -47,11 +47,11 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed-form scores for metric checks: p = min(length(text), 9999) / 10000,
+    """Closed-form scores for metric checks: p = n / (n + 1000) for a text of n characters,
     prediction = p >= 0.5; ties occur for equal lengths. Narrow: the text stays
     behind before the split."""
-    rows = labeled(spark, sf).select("row_id", "label", F.least(F.length("text"), F.lit(9999)).alias("_len"))
-    p = F.col("_len").cast("double") / F.lit(10000.0)
+    rows = labeled(spark, sf).select("row_id", "label", F.length("text").alias("_len"))
+    p = F.col("_len").cast("double") / (F.col("_len") + 1000)
     return stratified_split(rows).select("row_id", "split", "label", p.alias("p"),
                                          (p >= 0.5).cast("int").alias("prediction"))
 
@@ -87,30 +87,37 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
                     ((F.col("event_id") * 7 % 11).cast("double") / F.lit(10.0)).alias("loss"))
 
 
-def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int = 20000):
-    """Split articles, their long-form TF (with split and label), the train
-    vocabulary, the long-form TF-IDF of every row (fitted on train) and the
-    train rows per label (one bounded collect)."""
+def train_terms(spark: SparkSession, sf: str, min_df: int = 2, max_features: int = 20000):
+    """Split articles, their term rows (with split and label), the train
+    vocabulary and the train rows per label (one bounded collect)."""
     s = split_articles(spark, sf, materialize=True)
-    tf = cut_lineage(tm.term_frequencies(s, "content", keep=("split", "label")))
-    vocab = tm.vocabulary(tf, min_df, max_features, rows=F.col("split") == "train")
-    sizes = {r["label"]: r["count"] for r in
-             s.filter(F.col("split") == "train").groupBy("label").count().collect()}
-    x = tm.tfidf_long(tf, vocab, sum(sizes.values()), keep=("split", "label"))
-    return s, tf, vocab, x, sizes
+    rows = cut_lineage(tm.term_rows(s, "content", ("row_id", "split", "label")))
+    train = F.col("split") == "train"
+    vocab = tm.vocabulary(rows.where(train).select(F.inline("terms")), min_df, max_features)
+    sizes = {r["label"]: r["count"] for r in s.filter(train).groupBy("label").count().collect()}
+    return s, rows, vocab, sizes
+
+
+def train_tfidf(spark: SparkSession, sf: str, min_df: int = 2, max_features: int = 20000) -> DataFrame:
+    """Long-form TF-IDF of every row, fitted on train."""
+    _, rows, vocab, sizes = train_terms(spark, sf, min_df, max_features)
+    weighted = tm.weighted_rows(rows, *tm.collected(vocab, sum(sizes.values())))
+    return weighted.select("row_id", "split", "label", F.inline("features"))
 
 
 def log_odds_coefficients(spark: SparkSession, sf: str):
     """Closed-form linear coefficients over the train vocabulary, so explanation
     operators have a SQL oracle: coef = ln((df1+1)/(n1+2)) - ln((df0+1)/(n0+2))
     with df_k the class-k train documents containing the term; intercept =
-    ln(n1/n0). Returns (split articles, coefficients, intercept, tfidf_long)."""
-    s, tf, vocab, x, sizes = train_tfidf(spark, sf)
+    ln(n1/n0). Returns (coefficients, intercept, every row's parts)."""
+    _, rows, vocab, sizes = train_terms(spark, sf)
     n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    train = F.col("split") == "train"
-    per = (tf.where(train).groupBy("term")
+    per = (rows.where(F.col("split") == "train").select("label", F.inline("terms")).groupBy("term")
            .agg(F.count_if(F.col("label") == 0).alias("df0"), F.count_if(F.col("label") == 1).alias("df1"))
            .join(vocab.select("term", "feature_index"), "term"))
     coef = (F.log((F.col("df1") + 1.0) / F.lit(n1 + 2.0)) - F.log((F.col("df0") + 1.0) / F.lit(n0 + 2.0)))
     intercept = math.log(n1 / n0) if n0 > 0 and n1 > 0 else 0.0
-    return s, cut_lineage(per.select("term", "feature_index", coef.alias("coefficient"))), intercept, x
+    coefs = cut_lineage(per.select("term", "feature_index", coef.alias("coefficient")))
+    terms, idf = tm.collected(vocab, sum(sizes.values()))
+    slope = {r["term"]: r["coefficient"] for r in coefs.collect()}  # max_features rows at most
+    return coefs, intercept, tm.weighted_rows(rows.select("row_id", "terms"), terms, idf, [slope[t] for t in terms])

@@ -41,6 +41,24 @@ def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
             .csv(path).select(*REQUIRED_COLUMNS, "_metadata.file_path"))
 
 
+#: Column of a malformed line's text in ``read_checked_csv``.
+CORRUPT = "corrupt_line"
+
+
+def read_checked_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The required columns as strings, and ``corrupt_line``: the text of a line with too few or too many fields, else null.
+
+    One record per line, so that a broken quote spoils its own line only.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    validate_columns(header, path)
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*header, CORRUPT]])
+    rows = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+            .option("columnPruning", False)  # else fields of columns that nobody reads are not counted
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return rows.select(*REQUIRED_COLUMNS, CORRUPT)
+
+
 # A file's rows are numbered below this; the file's own number stands above it.
 _ROWS_PER_FILE = 1 << 40
 
@@ -118,12 +136,14 @@ def unlabeled_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dated_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date strings in mixed layouts, derived from ``orders``.
 
-    Layout by o_orderkey % 8: 'MMMM d, yyyy', 'MMM d, yyyy ' (trailing space),
+    Layout by o_orderkey % 16: 'MMMM d, yyyy', 'MMM d, yyyy ' (trailing space),
     'd-MMM-yy', a junk value (the order priority), 'yyyy-MM-dd', 'M/d/yyyy',
-    'd MMMM yyyy', 'd MMM yyyy'. label = o_orderkey % 2.
+    'd MMMM yyyy', 'd MMM yyyy', 'MMM. d, yyyy', an ISO time stamp, 'd/M/yyyy',
+    'yyyyMMdd', 'MMM d yyyy' in capitals, one with the weekday, 'M/d/yy', junk
+    again. label = o_orderkey % 2.
     """
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    k = F.col("o_orderkey") % 8
+    k = F.col("o_orderkey") % 16
     d = F.col("o_orderdate")
     date = (F.when(k == 0, F.date_format(d, "MMMM d, yyyy"))
             .when(k == 1, F.concat(F.date_format(d, "MMM d, yyyy"), F.lit(" ")))
@@ -132,6 +152,13 @@ def dated_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 5, F.date_format(d, "M/d/yyyy"))
             .when(k == 6, F.date_format(d, "d MMMM yyyy"))
             .when(k == 7, F.date_format(d, "d MMM yyyy"))
+            .when(k == 8, F.date_format(d, "MMM. d, yyyy"))
+            .when(k == 9, F.date_format(d, "yyyy-MM-dd'T10:00:00Z'"))
+            .when(k == 10, F.date_format(d, "d/M/yyyy"))
+            .when(k == 11, F.date_format(d, "yyyyMMdd"))
+            .when(k == 12, F.upper(F.date_format(d, "MMM d yyyy")))
+            .when(k == 13, F.date_format(d, "EEEE, MMMM d, yyyy"))
+            .when(k == 14, F.date_format(d, "M/d/yy"))
             .otherwise(F.col("o_orderpriority")))
     return o.select(F.col("o_orderkey").alias("row_id"), date.alias("date"),
                     (F.col("o_orderkey") % 2).cast("int").alias("label"))

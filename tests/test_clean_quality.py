@@ -57,3 +57,23 @@ def test_label_domain(spark):
         pass
     else:
         raise AssertionError("expected ValueError")
+
+
+def test_quarantine_routes_every_row_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('subject,title,text,date,extra\ns,t1,x1,d,e\ns,t2,"x2,""q""",d,e\ntoo,few\ns,,  ,d,e\ns,t3,x3,d,e,f,g\ns,t4,,d,e\n')
+    rows = src.read_checked_csv(spark, str(folder / "a.csv"))
+    good, bad, seen = quality.quarantine(rows, str(tmp_path / "out"))
+    assert sorted(r["title"] for r in good.collect()) == ["t1", "t2", "t4"]
+    assert sorted((r["reason"], r["corrupt_line"]) for r in bad.collect() if r["reason"] == "malformed") == [
+        ("malformed", "s,t3,x3,d,e,f,g"), ("malformed", "too,few")]
+    assert [r["reason"] for r in bad.collect()].count("blank") == 1
+    assert seen == {"good": 3, "bad": 3} and good.columns == rows.columns
+    labelled = spark.createDataFrame([(1, "a", "b", 1), (2, None, None, 0), (3, "c", "", 5), (4, "c", "d", None)],
+                                     "row_id long, title string, text string, label int")
+    good, bad, seen = quality.quarantine(labelled, str(tmp_path / "labels"))
+    assert [r["row_id"] for r in good.collect()] == [1] and seen == {"good": 1, "bad": 3}
+    assert {r["row_id"]: r["reason"] for r in bad.collect()} == {2: "blank", 3: "label", 4: "label"}
+    good, bad, seen = quality.quarantine(labelled.limit(0), str(tmp_path / "none"))
+    assert seen == {"good": 0, "bad": 0}

@@ -118,16 +118,40 @@ def test_log_loss_ignores_labels_outside_the_domain(spark):
     assert abs(mt.log_loss(df).first()["log_loss"] - want) < 1e-6
 
 
-def test_median_is_found_by_narrowing(spark):
+def test_values_are_selected_by_rank(spark):
     rnd = random.Random(3)
-    values = [rnd.expovariate(1.0) for _ in range(3001)] + [0.5] * 2000
+    values = [rnd.expovariate(1.0) ** 9 for _ in range(3001)] + [0.5] * 2000 + [float("inf")] * 3 + [-float("inf"), 1e308, -1e308]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    dist = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    dist = df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).cache()
     ordered = sorted(values)
-    for rank in (0, 1, 2500, 4000, 5000):
-        assert mt.value_at_rank(dist, "v", "n", rank, bins=8, direct=20) == ordered[rank]
+    ranks = [0, 1, 2500, 4000, len(values) - 4, len(values) - 1]
+    for fetched in (100_000, 20):
+        assert mt.values_at_ranks(dist, "v", "n", ranks, fetched) == [ordered[r] for r in ranks]
+    finite = sorted(v for v in values if math.isfinite(v))
     got = mt.latency_stats(df.unionByName(spark.createDataFrame([(None,), (float("nan"),)], "v double")), "v").first()
-    assert abs(got["median"] - ordered[2500]) < 1e-6 and got["min"] == ordered[0]
+    assert abs(got["median"] - finite[len(finite) // 2]) < 1e-6 and got["min"] == -1e308 and got["max"] == 1e308
+
+
+def test_scores_that_are_no_number_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0, 0.1), (1, nan), (1, 0.9), (0, None), (0, 0.95)], "label int, p double").withColumn("prediction", F.col("label"))
+    assert mt.roc_auc(df).first()["roc_auc"] == 0.5
+    want = -(math.log(0.9) + math.log(0.9) + math.log(0.05)) / 3
+    assert abs(mt.log_loss(df).first()["log_loss"] - want) < 1e-6
+    m = {r["metric"]: r["value"] for r in mt.classification_metrics(df).collect()}
+    assert m["roc_auc"] == 0.5 and abs(m["log_loss"] - want) < 1e-6 and m["accuracy"] == 1.0
+    assert mt.roc_auc(spark.createDataFrame([(1, inf), (0, -inf), (1, 3.0)], "label int, p double")).first()["roc_auc"] == 1.0
+
+
+def test_histogram_of_finite_values_only(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(x,) for x in [0.0, 5.0, 10.0, nan, inf, -inf, None]], "latency_seconds double")
+    h = {r["bin"]: r for r in mt.latency_histogram(df, bins=2).collect()}
+    assert [h[0]["count"], h[1]["count"]] == [1, 2] and (h[0]["lower"], h[1]["upper"]) == (0.0, 10.0)
+    wide = spark.createDataFrame([(x,) for x in [-1.7e308, 0.0, 1.7e308]], "latency_seconds double")
+    assert sorted(r["count"] for r in mt.latency_histogram(wide, bins=4).collect()) == [0, 1, 1, 1]
+    none = mt.latency_histogram(spark.createDataFrame([(nan,)], "latency_seconds double")).collect()
+    assert len(none) == 20 and not any(r["count"] for r in none)
 
 
 def test_zero_shot_result_holds_the_confusion(spark):

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from newsprism import session
 from newsprism.operators import explain as ex
 from newsprism.operators import models as md
 from newsprism.operators import terms as tm
+from newsprism.operators.splits import stratified_kfold
 
 
 @pytest.fixture(scope="module")
@@ -39,11 +41,11 @@ def test_toy_articles_are_told_apart(spark, toy_result):
 
 def test_contributions_reconstruct_decision(spark, toy_result):
     model = toy_result.model
-    coefs, intercept = ex.coefficient_table(spark, model)
-    probe = spark.createDataFrame([(99, "verified official report"), (98, "fake rumor rumor"), (97, "unseen words")],
+    probe = spark.createDataFrame([(99, "verified official report"), (98, "fake rumor rumor"), (97, "unseen words"), (96, None)],
                                   "row_id long, content string")
     want = {r["row_id"]: r for r in md.predict(model, probe).collect()}
-    scores = {r["row_id"]: r for r in ex.decision_scores(probe, ex.feature_table(model, probe), coefs, intercept).collect()}
+    parts, intercept = ex.explained(model, probe)
+    scores = {r["row_id"]: r for r in ex.decision_scores(parts, intercept).collect()}
     assert scores.keys() == want.keys()
     for i, r in want.items():
         assert abs(scores[i]["decision_score"] - r["score"]) < 1e-9 and abs(scores[i]["p_real"] - r["p"]) < 1e-9
@@ -51,11 +53,20 @@ def test_contributions_reconstruct_decision(spark, toy_result):
     lines = ex.explain_rows(model, probe).collect()
     probe_lines = [r for r in lines if r["row_id"] == 99]
     assert probe_lines[0]["prediction"] == 1 and {r["term"] for r in probe_lines} == {"verified", "official", "report"}
+    assert [r["rank"] for r in probe_lines] == [1, 2, 3]
     assert all(abs(r["tfidf"] * r["coefficient"] - r["contribution"]) < 1e-12 for r in probe_lines)
     alone = [r for r in lines if r["row_id"] == 97]
     assert len(alone) == 1 and alone[0]["term"] is None and abs(alone[0]["p_real"] - want[97]["p"]) < 1e-9
     total = intercept + sum(r["contribution"] for r in probe_lines)
     assert abs(total - want[99]["score"]) < 1e-9
+    sides = {(r["direction"], r["rank"]) for r in ex.explain_decision(parts, intercept, 2).where("row_id = 99").collect()}
+    assert sides == {("real", 1), ("real", 2)}
+
+
+def test_explanations_exchange_nothing_by_row(spark, toy_result, toy, capsys):
+    parts, intercept = ex.explained(toy_result.model, toy)
+    ex.explain_decision(parts, intercept).explain()
+    assert "Exchange" not in capsys.readouterr().out
 
 
 def test_coefficients_are_the_optimum(spark, toy, toy_result):
@@ -75,7 +86,7 @@ def test_coefficients_are_the_optimum(spark, toy, toy_result):
         w, b = [a - 0.5 * g for a, g in zip(w, gw)], b - 0.5 * gb
     coefs, intercept = ex.coefficient_table(spark, toy_result.model)
     got = [r["coefficient"] for r in coefs.orderBy("feature_index").collect()]
-    assert abs(intercept - b) < 1e-3 and max(abs(x - y) for x, y in zip(got, w)) < 1e-3
+    assert abs(intercept - b) < 1e-6 and max(abs(x - y) for x, y in zip(got, w)) < 1e-6
 
 
 def test_experiments_are_ranked_and_summed_up(spark, toy, toy_result):
@@ -104,11 +115,12 @@ def test_vector_tfidf_equals_long_form(spark, sf):
     from newsprism.plans import views as V
     s = V.split_articles(spark, sf)
     train = s.filter(F.col("split") == "train")
-    clf = md.build_pipeline((1, 2), max_features=500)
-    vec, n = clf.fit_vectorizer(train)
-    tf = tm.term_frequencies(train, "content", ngram_range=(1, 2))
-    vocab = tm.vocabulary(tf, 2, 500)
-    long = tm.tfidf_long(tf, vocab, n).select("row_id", "feature_index", "tfidf")
+    vec = md.TfIdfVectorizer(ngramMin=1, ngramMax=2, maxFeatures=500).fit(train)
+    rows = tm.term_rows(train, "content", ngram_range=(1, 2))
+    vocab = tm.vocabulary(rows.select(F.inline("terms")), 2, 500)
+    terms, idf = tm.collected(vocab, train.count())
+    assert terms == vec.terms() and max(abs(a - b) for a, b in zip(idf, vec.weights())) < 1e-12
+    long = tm.weighted_rows(rows, terms, idf).select("row_id", F.inline("features")).select("row_id", "feature_index", "tfidf")
     dense = vec.transform(train).select("row_id", F.posexplode(vector_to_array("features")).alias("feature_index", "v"))
     joined = long.join(dense, ["row_id", "feature_index"])
     assert joined.count() == long.count()
@@ -116,6 +128,39 @@ def test_vector_tfidf_equals_long_form(spark, sf):
     assert dense.filter("v != 0").count() == long.count()
 
 
+def test_the_pipeline_saves_unfitted_and_fitted(spark, toy, tmp_path):
+    train = toy.where("split = 'train'")
+    unfitted = md.build_pipeline((1, 2), max_features=7, min_df=1, max_iter=50)
+    unfitted.write().overwrite().save(str(tmp_path / "unfitted"))
+    again = Pipeline.load(str(tmp_path / "unfitted"))
+    vectorizer, classifier = again.getStages()
+    assert isinstance(vectorizer, md.TfIdfVectorizer) and vectorizer.getOrDefault("maxFeatures") == 7
+    assert vectorizer.getOrDefault("ngramMax") == 2 and classifier.getMaxIter() == 50
+    fitted, other = unfitted.fit(train), again.fit(train)
+    fitted.write().overwrite().save(str(tmp_path / "fitted"))
+    loaded = PipelineModel.load(str(tmp_path / "fitted"))
+    assert md.parts_of(loaded)[0].terms() == md.parts_of(fitted)[0].terms()
+    want = [r["p"] for r in md.predict(fitted, toy).orderBy("row_id").collect()]
+    for model in (other, loaded):
+        assert [r["p"] for r in md.predict(model, toy).orderBy("row_id").collect()] == pytest.approx(want, abs=1e-9)
+    assert set(fitted.transform(toy).columns) == {*toy.columns, "features", "rawPrediction", "probability", "prediction"}
+
+
+def test_cross_validation_uses_the_folds(spark, toy):
+    rows = [(i, f"w{i % 3} {'fake rumor' if i % 2 else 'real report'} w{i % 5}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, content string, label int")
+    grid = [{"ngramMax": 1}, {"ngramMin": 2, "ngramMax": 2, "minDF": 1}, {"maxFeatures": 1}]
+    table = {r["setting"]: r for r in md.cross_validate(df, grid, folds=4).collect()}
+    assert sorted(r["rank"] for r in table.values()) == [1, 2, 3] and table[0]["mean_accuracy"] == 1.0
+    folds = stratified_kfold(df, k=4)
+    accuracies = []
+    for f in range(4):
+        model = md.build_pipeline((2, 2), min_df=1).fit(folds.where(F.col("fold") != f))
+        held = md.predict(model, folds.where(F.col("fold") == f), ("label",))
+        accuracies.append(held.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
+    assert table[1]["mean_accuracy"] == pytest.approx(sum(accuracies) / 4)
+
+
 def test_save_and_load(spark, toy, toy_result, tmp_path):
     path = str(tmp_path / "model")
     md.save_model(toy_result.model, path)
@@ -132,12 +177,38 @@ def test_top_terms_global(spark, toy_result):
     assert set(real) <= {"verified", "report", "official"}
 
 
-def test_learning_curve_small(spark, toy):
-    rows = []
-    for i in range(40):
-        fake = i % 2 == 0
-        rows.append((i, ("fake rumor clickbait " if fake else "verified report official ") + f"w{i % 7}",
-                     0 if fake else 1))
-    df = spark.createDataFrame(rows, "row_id long, content string, label int")
-    lc = md.learning_curve(df, sizes=(0.5, 1.0), folds=2, max_iter=50, parallelism=2).collect()
-    assert len(lc) == 2 and all(0.0 <= r["val_mean"] <= 1.0 for r in lc)
+def test_learning_curve_equals_single_fits(spark, sf):
+    """Every cell of the joint fit against a pipeline of its own over the same rows."""
+    from newsprism.plans import views as V
+    df = V.labeled(spark, "/root/testdata/sf0.001").select("row_id", "label", "text")
+    sizes, folds = (0.3, 1.0), 3
+    got = {r["size"]: r for r in md.learning_curve(df, text_column="text", sizes=sizes, folds=folds, max_features=300).collect()}
+    rows = md._curve_rows(df, "text", (1, 1), folds, 42).join(df, ["row_id", "label"]).cache()
+    total = rows.count()
+    for size in sizes:
+        train, held, sizes_in = [], [], []
+        for f in range(folds):
+            n = max(int(size * (total - rows.where(F.col("fold") == f).count())), 1)
+            own = rows.where((F.col("ranks")[f] > 0) & (F.col("ranks")[f] <= n))
+            assert own.count() == n
+            model = md.build_pipeline((1, 1), max_features=300, text_col="text").fit(own)
+            right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+            train.append(md.predict(model, own, ("label",)).agg(right).first()[0])
+            held.append(md.predict(model, rows.where(F.col("fold") == f), ("label",)).agg(right).first()[0])
+            sizes_in.append(n)
+        r = got[size]
+        assert r["train_size"] == min(sizes_in)
+        assert r["train_mean"] == pytest.approx(sum(train) / folds, abs=1e-6)
+        assert r["val_mean"] == pytest.approx(sum(held) / folds, abs=1e-6)
+        assert r["val_error"] == pytest.approx(1 - r["val_mean"])
+
+
+def test_nested_vocabularies_are_those_of_the_cells(spark):
+    rows = spark.createDataFrame([
+        (0, [0, 1], [("a", 1), ("b", 2)]), (0, [0, 2], [("a", 3)]), (1, [1, 0], [("b", 1), ("c", 1)]), (1, [2, 0], [("b", 5), ("d", 1)])],
+        "fold int, ranks array<int>, terms array<struct<term: string, tf: long>>")
+    cells = md.Cells((0, 1), (0.5, 1.0), ((1, 2), (1, 2)))
+    got = {}
+    for r in md.nested_vocabularies(rows, cells, 1, 2).collect():
+        got.setdefault(r["cell"], {})[r["term"]] = r["doc_freq"]
+    assert got == {0: {"b": 1, "c": 1}, 1: {"b": 2, "c": 1}, 2: {"a": 1, "b": 1}, 3: {"a": 2, "b": 1}}

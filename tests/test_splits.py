@@ -80,3 +80,23 @@ def test_split_moves_no_text(spark, sf):
     plan = splits.stratified_split(V.labeled(spark, sf))._jdf.queryExecution().executedPlan().toString()
     sort_aggregates = [line for line in plan.splitlines() if "SortAggregate" in line and "content" in line]
     assert not sort_aggregates
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 257, 1000])
+def test_shuffled_positions_are_a_permutation(spark, n):
+    df = spark.createDataFrame([(10 * i,) for i in range(n)], "row_id long").repartition(5)
+    first = {r["row_id"]: r["position"] for r in splits.shuffle_rows(df).collect()}
+    assert sorted(first.values()) == list(range(n)) and len(first) == n
+    assert {r["row_id"]: r["position"] for r in splits.shuffle_rows(df.repartition(2)).collect()} == first
+    if n > 60:
+        other = {r["row_id"]: r["position"] for r in splits.shuffle_rows(df, seed=7).collect()}
+        assert other != first and sorted(other.values()) == list(range(n))
+        moved = sum(abs(p - i // 10) for i, p in first.items()) / n
+        assert n / 4 < moved < n / 2.4  # a third of n on average for a random order
+
+
+def test_shuffle_keeps_columns_and_takes_nothing(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(9)], "row_id long, title string")
+    assert [r["title"] for r in splits.shuffle_rows(df).orderBy("position").collect()] != [str(i) for i in range(9)]
+    assert splits.shuffle_rows(df).columns == ["row_id", "title", "position"]
+    assert splits.shuffle_rows(df.limit(0)).count() == 0

@@ -53,7 +53,7 @@ def test_parse_date_mixed_layouts(spark):
             "2017-12-31 10:11:12", "31/12/2017", "2017-13-01", "Monday"]
     got = [None if d is None else d.isoformat() for d in _col(spark, vals, tx.parse_date)]
     assert got == ["2017-12-31", "2017-12-31", "2017-01-02", "2017-12-31", "2017-12-03", "2017-12-31", "2017-01-02",
-                   "2017-12-31", None, None, None]
+                   "2017-12-31", "2017-12-31", None, None]  # the month is never 31
 
 
 def test_contains_marker_is_literal_and_case_insensitive(spark):
@@ -73,3 +73,17 @@ def test_prompt_shape(spark):
     assert [m["role"] for m in msgs] == ["system", "user"]
     assert msgs[1]["content"].endswith("ARTICLE:\nsome article")
     assert msgs[0]["content"].startswith("You are a binary news classification system.")
+
+
+def test_dates_in_many_forms(spark):
+    same = ["Dec. 31, 2017", "2017-12-31T10:00:00Z", "31/12/2017", "20171231", "Dec 31 2017", "Sunday, December 31, 2017", "12/31/17",
+            " 31st of December, 2017\u00a0", "2017-Dec-31", "31-DEC-17", "december 31, 2017 at 10:30 pm", "2017/12/31 10:00",
+            "2017.12.31 23:59:59.123+02:00", "Sun Dec 31st 2017", "12-31-2017", "31dec2017"]
+    other = {"1-Jan-70": "1970-01-01", "1-Jan-68": "2068-01-01", "29 Feb 2016": "2016-02-29", "Sept 5, 2016": "2016-09-05",
+             "5/6/2016": "2016-05-06", "May 5, 17": "2017-05-05"}
+    none = ["", "junk", None, "Feb 30, 2017", "29 Feb 2017", "13/13/2017", "0000-01-01", "00/10/2017", "https://x.com/2017",
+            "December 2017", "31", "2017", "Decembers 31, 2017", "Dec 31, 2017 was a day", "99999999", "1/2/3/2017"]
+    rows = [(d, "2017-12-31") for d in same] + list(other.items()) + [(d, None) for d in none]
+    df = spark.createDataFrame(rows, "d string, want string")
+    wrong = df.select("*", tx.parse_date("d").cast("string").alias("got")).where(~F.col("want").eqNullSafe(F.col("got")))
+    assert wrong.collect() == []
