@@ -38,6 +38,14 @@ ROWS_PER_PARTITION, PARTITIONS_PER_CORE, PARTIALS = 2_000, 4, 16
 #: Numbers that a task holds in one intermediate table.
 CELLS = 1 << 22
 GRADIENT, HESSIAN = "gradient", "hessian"
+#: Bytes of coefficients up to which they travel with the task instead of as a broadcast.
+WITH_THE_TASK = 1 << 19
+
+
+@dataclass
+class Carried:
+    """Stands for a broadcast of something small."""
+    value: tuple
 
 
 @dataclass
@@ -146,12 +154,15 @@ class Fitter:
                 direction[own, i], tilt[i] = asked[c][2][:-1] * scale, asked[c][2][-1]
         if gradient.all():
             direction = direction[:0]
-        read, shared = self.read, self.frame.sparkSession.sparkContext.broadcast(
-            (models, gradient, weights, bias, direction, tilt))
-        try:
-            total = self._add_up(read, shared, n_terms, len(models))
-        finally:
-            shared.destroy()
+        arrays = (models, gradient, weights, bias, direction, tilt)
+        if sum(a.nbytes for a in arrays) < WITH_THE_TASK:
+            total = self._add_up(self.read, Carried(arrays), n_terms, len(models))
+        else:
+            shared = self.frame.sparkSession.sparkContext.broadcast(arrays)
+            try:
+                total = self._add_up(self.read, shared, n_terms, len(models))
+            finally:
+                shared.destroy()
         sums, curves, tops, top_curves, loss = total
         out = {}
         for i, c in enumerate(models.tolist()):

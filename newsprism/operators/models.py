@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -356,24 +358,26 @@ def _packed(rows: DataFrame, terms: list[str], idf: np.ndarray, cells: Cells) ->
 
 
 def _hits(frame: DataFrame, idf: np.ndarray, found: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
-    """Per cell: training rows, those told right, validation rows, those told right."""
+    """Per cell: training rows, those told right, their log loss, then the same of the validation rows."""
+    width = idf.shape[1]
     weights, bias = np.zeros(idf.shape), np.array([x[-1] for x in found])
     for c, (x, terms) in enumerate(zip(found, own)):
         weights[terms, c] = x[:-1] * idf[terms, c]
     shared = frame.sparkSession.sparkContext.broadcast((weights, bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, idf_width), dtype=np.int64)
+        total = np.zeros((6, width))
         for batch in batches:
             rows = _of_packed(batch)
             held = np.frombuffer(b"".join(batch.column("held").to_pylist()), dtype="u1").reshape(len(rows), -1) == 1
-            right = np.concatenate([(p.dot(shared.value[0]) + shared.value[1] > 0) == (p.label[:, None] == 1)
-                                    for p in rows.pieces(idf_width)] or [held])
-            total += np.stack([x.sum(axis=0) for x in (rows.member, rows.member & right, held, held & right)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(idf_width)), *map(pa.array, total)], ["cell", "a", "b", "c", "d"])
-
-    idf_width = idf.shape[1]
-    sums = frame.mapInArrow(score, "cell long, a long, b long, c long, d long").groupBy("cell").agg(*[F.sum(x).alias(x) for x in "abcd"])
+            z = np.concatenate([np.zeros((0, width)), *[p.dot(shared.value[0]) for p in rows.pieces(width)]]) + shared.value[1]
+            y = rows.label[:, None]
+            right, loss = (z > 0) == (y == 1), np.logaddexp(0.0, z) - y * z
+            total += np.stack([(use * x).sum(axis=0) for use in (rows.member, held) for x in (1.0, right, loss)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *map(pa.array, total)], ["cell", *"abcdef"])
+
+    sums = frame.mapInArrow(score, "cell long, " + ", ".join(f"{x} double" for x in "abcdef"))
+    sums = sums.groupBy("cell").agg(*[F.sum(x).alias(x) for x in "abcdef"])
     return np.array([tuple(r) for r in sums.orderBy("cell").collect()])[:, 1:]
 
 
@@ -387,7 +391,7 @@ def learning_curve(df: DataFrame, *, text_column: str = "content", ngram_range:
     their rank by hash among its training rows; size s keeps the first int(s * n). The
     vocabularies of all cells come from one count, and all cells are fitted together:
     each pass over the rows serves every model that is still being fitted. Output per
-    size: train and validation mean / population std of accuracy and the error rates.
+    size: train and validation mean / population std of accuracy, the error rates and mean log losses.
     A cell whose training rows share no term fits its intercept alone.
     """
     spark = df.sparkSession
@@ -413,13 +417,14 @@ def learning_curve(df: DataFrame, *, text_column: str = "content", ngram_range:
             hits = _hits(frame, idf, found, fitter.terms)
         finally:
             frame.unpersist(blocking=True)
-    scores = [(float(s), int(n), float(right / max(rows_in, 1)), float(told / max(held, 1)))
-              for (_, s, n), (rows_in, right, held, told) in zip(flat, hits.tolist())]
-    scores = spark.createDataFrame(scores, "size double, n_train int, train_acc double, val_acc double")
+    scores = [(float(s), int(n), right / max(rows_in, 1), loss / max(rows_in, 1), told / max(held, 1), held_loss / max(held, 1))
+              for (_, s, n), (rows_in, right, loss, held, told, held_loss) in zip(flat, hits.tolist())]
+    scores = spark.createDataFrame(scores, "size double, n_train int, train_acc double, train_loss double, val_acc double, val_loss double")
     return (scores.groupBy("size").agg(
         F.min("n_train").alias("train_size"),
         F.round(F.avg("train_acc"), 6).alias("train_mean"), F.round(F.stddev_pop("train_acc"), 6).alias("train_std"),
-        F.round(F.avg("val_acc"), 6).alias("val_mean"), F.round(F.stddev_pop("val_acc"), 6).alias("val_std"))
+        F.round(F.avg("val_acc"), 6).alias("val_mean"), F.round(F.stddev_pop("val_acc"), 6).alias("val_std"),
+        F.round(F.avg("train_loss"), 6).alias("train_loss"), F.round(F.avg("val_loss"), 6).alias("val_loss"))
         .withColumn("train_error", F.round(1 - F.col("train_mean"), 6))
         .withColumn("val_error", F.round(1 - F.col("val_mean"), 6)))
 
@@ -433,28 +438,28 @@ def embedding_classifier(df: DataFrame, *, vector_col: str = "embedding", label_
     return model, scored(model, data, ("row_id", split_col, "label"))
 
 
-def cross_validate(df: DataFrame, grid: list[dict], *, folds: int = 5, seed: int = 42, parallelism: int = 2) -> DataFrame:
-    """Mean and population std of fold accuracies for every setting of the grid, best first.
+def cross_validate(df: DataFrame, grid: list[dict], *, metric: str = "accuracy", folds: int = 5, seed: int = 42,
+                   parallelism: int = 2) -> DataFrame:
+    """(setting, rank, mean, std) of the folds' metric for every setting of the grid; rank 1 is the best.
 
     Spark's CrossValidator over ``build_pipeline``, with the folds of ``stratified_kfold``.
-    A setting maps names of the vectorizer's params (and text_col) to values.
+    A setting maps names of the vectorizer's params to values; ``metric`` is one of
+    MulticlassClassificationEvaluator.
     """
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
     columns = sorted({setting.get("inputCol", "content") for setting in grid})
     data = cut_lineage(stratified_kfold(df, k=folds, seed=seed).select("label", "fold", *columns))
     pipeline = build_pipeline()
     vectorizer = pipeline.getStages()[0]
     maps = [{vectorizer.getParam(name): value for name, value in setting.items()} for setting in grid]
-    check = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    check = MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=check, foldCol="fold", numFolds=folds,
                         parallelism=parallelism)
     fitted = cv.fit(data)
     drop_cut(data)
     rows = [(i, float(mean), float(std)) for i, (mean, std) in enumerate(zip(fitted.avgMetrics, fitted.stdMetrics))]
-    table = df.sparkSession.createDataFrame(rows, "setting int, mean_accuracy double, std_accuracy double")
-    rank = F.row_number().over(Window.orderBy(F.desc("mean_accuracy"), F.asc("setting")))  # one row per setting
+    table = df.sparkSession.createDataFrame(rows, "setting int, mean double, std double")
+    best = F.desc("mean") if check.isLargerBetter() else F.asc("mean")
+    rank = F.row_number().over(Window.orderBy(best, F.asc("setting")))  # one row per setting
     return table.withColumn("rank", rank)
 
 

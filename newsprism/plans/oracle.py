@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from newsprism.functions.text import MARKERS, SYSTEM_PROMPT, USER_PROMPT_PREFIX
+from newsprism.operators.inference import MAX_INPUT_TOKENS, prompt_tokens
 from newsprism.operators.models import EXPERIMENT_GRID
 from newsprism.plans.sqlparts import parse_date, strip, with_, word_count, words
 
@@ -578,9 +579,33 @@ SELECT row_id, prediction, round(p, 6) AS p FROM splitted JOIN fitted USING (row
 sql("load_model", with_("splitted") + """
 SELECT count(*) AS test_rows, CAST(0 AS DOUBLE) AS max_difference FROM splitted WHERE split = 'test'""")
 
+_HEAD_TOKENS = len(prompt_tokens([{"content": SYSTEM_PROMPT}, {"content": USER_PROMPT_PREFIX}])[0])
+sql("batch_zero_shot", _TRAIN_VOCAB + f""", ranked_test AS (
+  SELECT row_id, label, content, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) AS r,
+         least(50, (SELECT min(c) FROM (SELECT count(*) AS c FROM splitted WHERE split = 'test' GROUP BY label))) AS most
+  FROM splitted WHERE split = 'test'),
+sampled AS (SELECT row_id, label, content FROM ranked_test WHERE r <= most),
+counts AS (
+  SELECT term, sum(CASE WHEN label = 0 THEN tf ELSE 0 END) AS c0, sum(CASE WHEN label = 1 THEN tf ELSE 0 END) AS c1
+  FROM tf JOIN vocab USING (term) JOIN splitted USING (row_id) WHERE tf.split = 'train' GROUP BY term),
+model AS (
+  SELECT term, ln((c1 + 1) / (sum(c1) OVER () + count(*) OVER ())) - ln((c0 + 1) / (sum(c0) OVER () + count(*) OVER ())) AS d FROM counts),
+prior AS (
+  SELECT ln(CAST(count(*) FILTER (WHERE label = 1) + 1 AS DOUBLE)) - ln(CAST(count(*) FILTER (WHERE label = 0) + 1 AS DOUBLE)) AS d
+  FROM splitted WHERE split = 'train'),
+words AS (SELECT row_id, unnest((regexp_extract_all(lower(content), '{TOKEN_RE}'))[1:{MAX_INPUT_TOKENS - _HEAD_TOKENS}]) AS term FROM sampled),
+scored AS (
+  SELECT s.row_id, s.label, any_value(prior.d) + coalesce(sum(model.d), 0.0) AS score
+  FROM sampled s CROSS JOIN prior LEFT JOIN words USING (row_id) LEFT JOIN model USING (term) GROUP BY s.row_id, s.label)
+SELECT row_id, label AS true_label, CASE WHEN failed THEN '' WHEN score > 0 THEN 'REAL' ELSE 'FAKE' END AS answer,
+       CASE WHEN failed THEN NULL ELSE CAST(score > 0 AS INTEGER) END AS prediction,
+       coalesce(CASE WHEN failed THEN NULL ELSE CAST(score > 0 AS INTEGER) END = label, false) AS correct, failed
+FROM (SELECT *, row_id % 11 = 0 AS failed FROM scored)""")
 _SIZES = (0.1, 0.28, 0.46, 0.64, 0.82, 1.0)
-sql("learning_curve", with_("splitted").replace("WITH ", "WITH RECURSIVE ", 1) + f""", base AS MATERIALIZED (
-  SELECT row_id, label, content,
+def _folds(col: str = "content", n: int = 1, max_features: int = 20000, sizes: tuple = _SIZES) -> str:
+    """CTEs up to ``acc`` (size, cell, n_train, train_acc, val_acc): a fit for every fold and size of the train split."""
+    return with_("splitted").replace("WITH ", "WITH RECURSIVE ", 1) + f""", base AS MATERIALIZED (
+  SELECT row_id, label, {col} AS content,
          CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) - 1) % 5 AS INTEGER) AS fold
   FROM splitted WHERE split = 'train'),
 placed AS (
@@ -589,16 +614,17 @@ placed AS (
          count(*) FILTER (WHERE fold <> o.f) OVER (PARTITION BY o.f) AS n
   FROM base, (SELECT unnest(range(5)) AS f) o),
 members AS MATERIALIZED (
-  SELECT f * 6 + s.k AS cell, s.size, row_id, label, fold = f AS held, coalesce(r <= greatest(CAST(floor(s.size * n) AS BIGINT), 1), false) AS inside,
+  SELECT f * {len(sizes)} + s.k AS cell, s.size, row_id, label, fold = f AS held, coalesce(r <= greatest(CAST(floor(s.size * n) AS BIGINT), 1), false) AS inside,
          greatest(CAST(floor(s.size * n) AS BIGINT), 1) AS n_train
-  FROM placed, (VALUES {", ".join(f"({k}, CAST({x} AS DOUBLE))" for k, x in enumerate(_SIZES))}) s(k, size)),
-tf AS MATERIALIZED ({_tf('base', 'content', 1)}),
+  FROM placed, (VALUES {", ".join(f"({k}, CAST({x} AS DOUBLE))" for k, x in enumerate(sizes))}) s(k, size)),
+tokens AS MATERIALIZED (SELECT row_id, {tokens('content')} AS t FROM base),
+tf AS MATERIALIZED (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({ngrams('t', n)}) AS term FROM tokens) GROUP BY ALL),
 vocab AS (
   SELECT cell, term, doc_freq FROM (
     SELECT *, row_number() OVER (PARTITION BY cell ORDER BY total DESC, term) AS r FROM (
       SELECT cell, term, count(*) AS doc_freq, sum(tf) AS total FROM members JOIN tf USING (row_id) WHERE inside
       GROUP BY cell, term HAVING count(*) >= 2))
-  WHERE r <= 20000),
+  WHERE r <= {max_features}),
 w AS (SELECT cell, row_id, term, inside, tf * (ln(CAST(1 + n_train AS DOUBLE) / (doc_freq + 1.0)) + 1.0) AS w
       FROM members JOIN tf USING (row_id) JOIN vocab USING (cell, term) WHERE inside OR held),
 x AS MATERIALIZED (SELECT cell, row_id, term, inside, w / sqrt(sum(w * w) OVER (PARTITION BY cell, row_id)) AS v FROM w),
@@ -615,12 +641,22 @@ gram AS MATERIALIZED (
 {_DUAL},
 acc AS (
   SELECT size, cell, any_value(n_train) AS n_train, avg(CAST(prediction = label AS DOUBLE)) FILTER (WHERE inside) AS train_acc,
-         avg(CAST(prediction = label AS DOUBLE)) FILTER (WHERE held) AS val_acc
+         avg(CAST(prediction = label AS DOUBLE)) FILTER (WHERE held) AS val_acc,
+         avg(-ln(CASE WHEN label = 1 THEN p ELSE 1.0 - p END)) FILTER (WHERE inside) AS train_loss,
+         avg(-ln(CASE WHEN label = 1 THEN p ELSE 1.0 - p END)) FILTER (WHERE held) AS val_loss
   FROM members JOIN fitted USING (cell, row_id) GROUP BY size, cell)
+"""
+
+
+sql("learning_curve", _folds() + """
 SELECT size, min(n_train) AS train_size, round(avg(train_acc), 6) AS train_mean, round(stddev_pop(train_acc), 6) AS train_std,
        round(avg(val_acc), 6) AS val_mean, round(stddev_pop(val_acc), 6) AS val_std,
+       round(avg(train_loss), 6) AS train_loss, round(avg(val_loss), 6) AS val_loss,
        round(1 - round(avg(train_acc), 6), 6) AS train_error, round(1 - round(avg(val_acc), 6), 6) AS val_error
 FROM acc GROUP BY size""")
+sql("cross_validate", "SELECT setting, CAST(row_number() OVER (ORDER BY loss, setting) AS INTEGER) AS rank, round(loss, 6) AS mean_log_loss FROM (\n"
+    + "\nUNION ALL\n".join(f"SELECT {i} AS setting, loss FROM (" + _folds(col, n, most, (1.0,)) + "SELECT avg(val_loss) AS loss FROM acc)"
+                            for i, (col, n, most) in enumerate((("content", 1, 20000), ("content", 2, 20000), ("content", 1, 500)))) + ")")
 sql("embedding_classifier", """
 WITH RECURSIVE ranked AS (
   SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e,

@@ -151,14 +151,14 @@ def test_cross_validation_uses_the_folds(spark, toy):
     df = spark.createDataFrame(rows, "row_id long, content string, label int")
     grid = [{"ngramMax": 1}, {"ngramMin": 2, "ngramMax": 2, "minDF": 1}, {"maxFeatures": 1}]
     table = {r["setting"]: r for r in md.cross_validate(df, grid, folds=4).collect()}
-    assert sorted(r["rank"] for r in table.values()) == [1, 2, 3] and table[0]["mean_accuracy"] == 1.0
+    assert sorted(r["rank"] for r in table.values()) == [1, 2, 3] and table[0]["mean"] == 1.0
     folds = stratified_kfold(df, k=4)
     accuracies = []
     for f in range(4):
         model = md.build_pipeline((2, 2), min_df=1).fit(folds.where(F.col("fold") != f))
         held = md.predict(model, folds.where(F.col("fold") == f), ("label",))
         accuracies.append(held.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
-    assert table[1]["mean_accuracy"] == pytest.approx(sum(accuracies) / 4)
+    assert table[1]["mean"] == pytest.approx(sum(accuracies) / 4)
 
 
 def test_save_and_load(spark, toy, toy_result, tmp_path):
