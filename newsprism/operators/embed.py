@@ -179,8 +179,8 @@ def learn_word_vectors(df: DataFrame, text_col: str = "content", *, dim: int = 6
     any word, or any pair, all vectors are 0.
     """
     with scratch(df.sparkSession):
-        terms = tm.term_rows(df, text_col, (), stop_words=None).select(F.inline("terms"))
-        vocab = tm.vocabulary(terms, min_df, max_features)
+        tokens = df.select(tm.tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+        vocab = tm.vocabulary_of(tm.stats_of(tokens, "t"), min_df, max_features)
         words = [r["term"] for r in vocab.select("term").orderBy("term").collect()]  # <= max_features rows
         vectors = np.zeros((len(words), dim))
         if words:

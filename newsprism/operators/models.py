@@ -101,9 +101,9 @@ class TfIdfVectorizer(Estimator, _Analysis, DefaultParamsReadable, DefaultParams
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset: DataFrame) -> TfIdfVectorizerModel:
-        terms = self.analyzer().transform(dataset).select(F.inline(tm.counted(F.col(TERMS_COL))))
+        stats = tm.stats_of(self.analyzer().transform(dataset), TERMS_COL)
         with scratch(dataset.sparkSession):
-            vocab = tm.vocabulary(terms, self.getOrDefault(self.minDF), self.getOrDefault(self.maxFeatures))
+            vocab = tm.vocabulary_of(stats, self.getOrDefault(self.minDF), self.getOrDefault(self.maxFeatures))
             rows = vocab.select("term", "doc_freq").orderBy("term").collect()  # <= maxFeatures rows
         if not rows:
             raise ValueError(f"no term occurs in {self.getOrDefault(self.minDF)} training documents: the vocabulary is empty")

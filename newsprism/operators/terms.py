@@ -113,18 +113,34 @@ def term_stats(tf_long: DataFrame, rows: Column | None = None) -> DataFrame:
                                        F.sum(F.when(rows, F.col("tf"))).alias("total_count"))
 
 
+def stats_of(df: DataFrame, terms_col: str) -> DataFrame:
+    """(term, doc_freq, total_count) straight from rows with an array of terms.
+
+    Each row gives its distinct terms and all its terms; the partial aggregation collapses
+    both before the one shuffle, so no row is sorted and counted by itself.
+    """
+    both = df.select(F.posexplode(F.array(F.array_distinct(terms_col), F.col(terms_col))).alias("_kind", "_terms"))
+    every = both.select("_kind", F.explode("_terms").alias("term"))
+    return every.groupBy("term").agg(F.count_if(F.col("_kind") == 0).alias("doc_freq"),
+                                     F.count_if(F.col("_kind") == 1).alias("total_count"))
+
+
 def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int | None = 20000,
                rows: Column | None = None) -> DataFrame:
+    """``vocabulary_of`` the counts of ``(term, tf)`` rows; ``rows`` fits it on matching rows only (see ``term_stats``)."""
+    return vocabulary_of(term_stats(tf_long, rows), max(min_df, 1) if rows is not None else min_df, max_features)
+
+
+def vocabulary_of(stats: DataFrame, min_df: int = 2, max_features: int | None = 20000) -> DataFrame:
     """(term, feature_index, doc_freq, total_count) of the ``max_features`` most counted terms, or of all (None).
 
     A histogram of the counts gives the least count that still gets in, so only
     terms at or above it (the vocabulary and ties) are ordered. Feature indices are
     alphabetical: terms are range partitioned and numbered within their partition.
-    ``rows`` fits the vocabulary on matching rows only (see ``term_stats``).
     """
     if max_features is not None and max_features < 1:
         raise ValueError("max_features must be at least 1, or None for all terms")
-    stats = term_stats(tf_long, rows).filter(F.col("doc_freq") >= (max(min_df, 1) if rows is not None else min_df))
+    stats = stats.filter(F.col("doc_freq") >= min_df)
     if max_features is not None:
         tally = stats.groupBy("total_count").agg(F.count(F.lit(1)).alias("_n"))
         # one row per distinct count: at most the square root of twice the tokens

@@ -378,7 +378,7 @@ def q_ngrams(spark, sf):
 
 @register("term_counts")
 def q_term_counts(spark, sf):
-    return tm.term_stats(tm.term_frequencies(V.cleaned(spark, sf), "content"))
+    return tm.stats_of(V.cleaned(spark, sf).select(tm.analyzed_terms("content").alias("t")), "t")
 
 
 @register("vocabulary")

@@ -233,8 +233,8 @@ from newsprism.plans.sqlparts import TOKEN_RE, ngrams, tokens  # noqa: E402
 
 def _tf(source: str, col: str, n: int = 1, keep: str = "") -> str:
     k = f"{keep}, " if keep else ""
-    return (f"SELECT row_id, {k}term, count(*) AS tf FROM (SELECT row_id, {k}unnest({ngrams(tokens(col), n)}) AS term "
-            f"FROM {source}) GROUP BY ALL")
+    return (f"SELECT row_id, {k}term, count(*) AS tf FROM (SELECT row_id, {k}unnest({ngrams('_t', n)}) AS term "
+            f"FROM (SELECT row_id, {k}{tokens(col)} AS _t FROM {source})) GROUP BY ALL")
 
 
 sql("tokenize", with_("cleaned") + f"""
@@ -245,7 +245,7 @@ SELECT row_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS ter
 FROM (SELECT row_id, {tokens('content')} AS t FROM cleaned)""")
 sql("ngrams", with_("cleaned") + f"""
 SELECT row_id, CAST(len(t) AS BIGINT) AS n_bigrams, array_to_string(t, '|') AS bigrams
-FROM (SELECT row_id, {ngrams(tokens('content'), 2)} AS t FROM cleaned)""")
+FROM (SELECT row_id, {ngrams('_t', 2)} AS t FROM (SELECT row_id, {tokens('content')} AS _t FROM cleaned))""")
 sql("term_counts", with_("cleaned") + f"""
 SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_count FROM ({_tf('cleaned', 'content')}) GROUP BY term""")
 _TRAIN_VOCAB = with_("splitted") + f""", tf AS ({_tf('splitted', 'content', 1, 'split')}),
@@ -268,7 +268,7 @@ def _top(col: str, n: int) -> str:
 SELECT label, term, frequency FROM (
   SELECT label, term, frequency, row_number() OVER (PARTITION BY label ORDER BY frequency DESC, term) AS r FROM (
     SELECT label, term, count(*) AS frequency FROM (
-      SELECT label, unnest({ngrams(tokens(col), n)}) AS term FROM labeled WHERE label IN (0, 1))
+      SELECT label, unnest({ngrams('_t', n)}) AS term FROM (SELECT label, {tokens(col)} AS _t FROM labeled WHERE label IN (0, 1)))
     GROUP BY label, term))
 WHERE r <= 20"""
 

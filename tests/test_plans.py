@@ -105,3 +105,12 @@ def test_the_table_written_for_metrics_is_narrow(spark, sf):
     before = len(session._CUTS)
     metrics.classification_metrics(V.predictions(spark, sf), group_cols=("split",))
     assert max(len(cut.columns) for cut, _ in session._CUTS[before:]) <= 5
+
+
+def test_terms_counted_without_row_counts(spark, sf):
+    """One explode of distinct and of all terms against counts made in the rows."""
+    rows = V.cleaned(spark, sf).select("row_id", "content").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "same same same other")], "row_id long, content string"))
+    straight = tm.stats_of(rows.select(tm.analyzed_terms(F.coalesce("content", F.lit("")), (1, 2)).alias("t")), "t")
+    counted = tm.term_stats(tm.term_frequencies(rows, "content", ngram_range=(1, 2)))
+    assert straight.exceptAll(counted).count() == 0 and counted.exceptAll(straight).count() == 0
