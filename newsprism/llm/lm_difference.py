@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ PAIRED = 1 << 9
 HELD_WORDS = 300_000
 HELD_TOKENS = 1 << 20
 REMEMBERED = 300_000
-BUCKET_TOKENS = 1 << 22
+BUCKET_TOKENS = 1 << 21
 UNKNOWN = 0
 #: Hashed words have the top bit; START stands for the context of a text's first word.
 RARE = np.uint64(1 << 63)
@@ -168,8 +169,12 @@ def numbered(df: DataFrame, numbering: Numbering, target_ids: DataFrame, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     rows = pick(df, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     ids = target_ids.select(F.col("id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    flags = ids.withColumn("target", F.lit(True)).hint("merge")
-    return rows.mapInArrow(number, "doc_id long, ids binary").join(flags, "doc_id", "left").select(
+    # rows without an id get a key of their own, which meets none, so that they are spread
+    flags = ids.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_named"), F.lit(True).alias("target")).hint("merge")
+    named = F.col("doc_id").isNotNull()
+    keyed = rows.mapInArrow(number, "doc_id long, ids binary").withColumns(
+        {"_key": F.when(named, F.col("doc_id")).otherwise(F.monotonically_increasing_id()), "_named": named})
+    return keyed.join(flags, ["_key", "_named"], "left").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "ids")
 
 
@@ -257,8 +262,8 @@ def _buckets(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return before.astype(np.int64) << 32 | after.astype(np.int64)
 
 
-def _blocks(held: list[tuple[int, bool, np.ndarray]], keys: np.ndarray, paired: int) -> pa.RecordBatch:
-    """One packed block per bucket of the words that ``near_losses`` leaves: word, word before, and 4 * row + 2 * target + not last."""
+def _blocks(held: list[tuple[int, bool, np.ndarray]], stretch: int, keys: np.ndarray, paired: int) -> pa.RecordBatch:
+    """One packed block per bucket and ``stretch`` of texts of the words that ``near_losses`` leaves: word, word before, and 4 * row + 2 * target + not last."""
     sizes = np.array([len(ids) for *_, ids in held])
     word = np.concatenate([ids for *_, ids in held])
     last = np.cumsum(sizes) - 1
@@ -275,7 +280,8 @@ def _blocks(held: list[tuple[int, bool, np.ndarray]], keys: np.ndarray, paired:
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
     ends = np.r_[cuts[1:], len(bucket)]
     packed = [_pack(word[a:b], before[a:b], text[a:b]) for a, b in zip(cuts, ends)]
-    return pa.record_batch({"bucket": pa.array(keys[bucket[cuts].astype(np.int64)], pa.int32()), "block": pa.array(packed, pa.binary())})
+    return pa.record_batch({"bucket": pa.array(keys[bucket[cuts].astype(np.int64)], pa.int32()),
+                            "stretch": pa.array(np.full(len(packed), stretch), pa.int64()), "block": pa.array(packed, pa.binary())})
 
 
 def _score_bucket(model: Model, word: np.ndarray, before: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,13 +313,18 @@ def _even_keys(spark: SparkSession, n: int) -> np.ndarray:
 
 
 def far_losses(rows: DataFrame, model: Model, tokens: int) -> DataFrame:
-    """(row, target, background): sums of the losses that need counts beyond the model's, per bucket and text."""
+    """(row, target, background): sums of the losses that need counts beyond the model's, one row per text.
+
+    A task deals its texts in stretches of HELD_TOKENS words; a bucket returns one packed
+    array per stretch, and the arrays of a stretch, which hold no more numbers than it
+    has words, are added up together.
+    """
     spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+    buckets = max(1, -(-tokens // BUCKET_TOKENS))
     keys, shared, paired = _even_keys(spark, buckets), spark.sparkContext.broadcast(model), model.pairs.shape[1]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
+        held, waiting, stretch = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for row, target, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = _unpack(packed)[0]
@@ -321,18 +332,39 @@ def far_losses(rows: DataFrame, model: Model, tokens: int) -> DataFrame:
                     held.append((row, target, ids))
                     waiting += len(ids)
                 if waiting >= HELD_TOKENS:
-                    yield _blocks(held, keys, paired)
-                    held, waiting = [], 0
+                    yield _blocks(held, stretch, keys, paired)
+                    held, waiting, stretch = [], 0, stretch + 1
         if held:
-            yield _blocks(held, keys, paired)
+            yield _blocks(held, stretch, keys, paired)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(block, 3) for batch in batches for block in batch.column(0).to_pylist()]
-        if parts:
-            found, sums = _score_bucket(shared.value, *(np.concatenate(c) for c in zip(*parts)))
-            yield pa.record_batch({"row": pa.array(found), "target": pa.array(sums[0]), "background": pa.array(sums[1])})
-    dealt = rows.select("row", "target", "ids").mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
-    return dealt.select("block").mapInArrow(add, "row long, target double, background double")
+        parts, stretches, owners = [], [], []
+        for batch in batches:
+            for stretch, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.append(_unpack(block, 3))
+                own = np.unique(parts[-1][2] >> np.uint64(2)).astype(np.int64)
+                owners.append(own)
+                stretches.append(np.full(len(own), stretch))
+        if not parts:
+            return
+        found, sums = _score_bucket(shared.value, *(np.concatenate(c) for c in zip(*parts)))
+        owner, first = np.unique(np.concatenate(owners), return_index=True)  # the same rows as ``found``
+        of = np.concatenate(stretches)[first]
+        order = np.argsort(of, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            if len(at):
+                yield pa.record_batch({"stretch": pa.array([int(of[at[0]])], pa.int64()), "sums": pa.array(
+                    [_pack(found[at].view(np.uint64), sums[0][at].view(np.uint64), sums[1][at].view(np.uint64))], pa.binary())})
+
+    def per_text(table: pa.Table) -> pa.Table:
+        row, target, background = (np.concatenate(c) for c in zip(*[_unpack(x, 3) for x in table.column("sums").to_pylist()]))
+        texts, owner = np.unique(row.view(np.int64), return_inverse=True)
+        return pa.table({"row": pa.array(texts), "target": pa.array(np.bincount(owner, target.view(np.float64), len(texts))),
+                         "background": pa.array(np.bincount(owner, background.view(np.float64), len(texts)))})
+
+    dealt = rows.select("row", "target", "ids").mapInArrow(deal, "bucket int, stretch long, block binary").repartition(buckets, "bucket")
+    sums = dealt.select("stretch", "block").mapInArrow(add, "stretch long, sums binary")
+    return sums.groupBy("stretch").applyInArrow(per_text, "row long, target double, background double")
 
 
 def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -34,7 +34,9 @@ def test_every_word_and_bigram_counts(spark, awkward, monkeypatch):
     want = exact_losses(docs, target)
     rows = table(spark, [(i, t, "en", "a", 1) for i, t in docs]).repartition(3)
     ids = spark.createDataFrame([(i,) for i in target], "id long")
-    for hot, paired in ((lm_difference.HOT, lm_difference.PAIRED), (12, 3)):
+    for hot, paired, bucket, held in ((lm_difference.HOT, lm_difference.PAIRED, 1 << 21, 1 << 20), (12, 3, 9000, 20_000), (12, 3, 2000, 10)):
+        monkeypatch.setattr(lm_difference, "BUCKET_TOKENS", bucket)
+        monkeypatch.setattr(lm_difference, "HELD_TOKENS", held)
         monkeypatch.setattr(lm_difference, "HOT", hot)
         monkeypatch.setattr(lm_difference, "PAIRED", paired)
         got = {r["doc_id"]: r for r in lm_difference.score(rows, ids).collect()}
@@ -46,3 +48,14 @@ def test_every_word_and_bigram_counts(spark, awkward, monkeypatch):
 def test_a_clash_of_numbers_is_found(spark, awkward):
     assert lm_difference._clash(spark.createDataFrame([("a",), ("b",), ("a",)], "word string"), 0)
     assert not lm_difference._clash(spark.createDataFrame([("a",), ("b",), ("ab",)], "word string"), 0)
+
+
+def test_rows_without_an_id_are_spread_and_scored(spark):
+    docs = [(None, f"no name {i % 3}") for i in range(60)] + [(0, "named text"), (1, "no name 1"), (1, "other text")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = lm_difference.score(rows, spark.createDataFrame([(1,), (None,)], "id long")).collect()
+    assert len(got) == len(docs) and sum(r["doc_id"] is None for r in got) == 60
+    named = {i: t for i, t in enumerate(t for _, t in docs)}
+    want = exact_losses(list(named.items()), {61, 62})
+    by_doc = {(docs[i][0], round(x, 9), round(y, 9)) for i, (_, x, y) in want.items()}
+    assert {(r["doc_id"], round(r["target_loss"], 9), round(r["background_loss"], 9)) for r in got} == by_doc
