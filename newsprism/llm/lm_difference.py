@@ -10,11 +10,13 @@ document.
 
 What is counted grows with the corpus and stays distributed. The HOT most frequent words
 have small numbers, all others a 63-bit hash that is checked to tell all words apart.
-The counts of hot words, and of bigrams of the PAIRED most frequent ones, are exact and
-reach the driver; their part of a loss needs no shuffle. All other words of a text go
-once to the bucket of their word (of their bigram, where the word is hot): a bucket then
-holds every occurrence of its bigrams and of its rare words, so it counts and scores them
-in one go, and only sums per text come back.
+The counts of hot words, of bigrams of the PAIRED most frequent ones, and of the other
+bigrams that are frequent, are exact and reach the driver; their part of a loss needs no
+shuffle. All other words of a text go once to the bucket of their word (of their bigram,
+where the word is hot): a bucket then holds every occurrence of its bigrams and of its
+rare words, so it counts and scores them in one go, and only sums per text come back.
+No key of a bucket is hot: a rare word has at most 1 / HOT of all tokens, a bigram that
+is not counted apart at most 1 / FREQUENT of them or an eighth of a bucket.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ MIX = 50.0
 #: Words with small numbers, and those whose bigrams are counted densely (results do not depend on either).
 HOT = (1 << 16) - 1
 PAIRED = 1 << 9
+#: Bigrams with a larger share of the tokens than 1 / FREQUENT are counted apart (results do not depend on it).
+FREQUENT = 1 << 16
 #: Distinct words counted, words held for one round of blocks, rare words remembered, words per bucket.
 HELD_WORDS = 300_000
 HELD_TOKENS = 1 << 20
@@ -178,26 +182,84 @@ def numbered(df: DataFrame, numbering: Numbering, target_ids: DataFrame, id_col:
         F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "ids")
 
 
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A number of its own for each bigram of hot words."""
+    return before.astype(np.int64) << 32 | after.astype(np.int64)
+
+
+def _places(frequent: np.ndarray, paired: int, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where each bigram is counted: in the square of the PAIRED words, then by its place in ``frequent``; -1 for all others."""
+    place = np.full(len(before), -1, dtype=np.int64)
+    near = (before < paired) & (after < paired)
+    place[near] = before[near].astype(np.int64) * paired + after[near].astype(np.int64)
+    if len(frequent):
+        other = np.flatnonzero(~near & (before <= HOT) & (after <= HOT))
+        key = _pair_keys(before[other], after[other])
+        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
+        hit = frequent[at] == key
+        place[other[hit]] = paired * paired + at[hit]
+    return place
+
+
+def frequent_pairs(rows: DataFrame, tokens: int) -> np.ndarray:
+    """Sorted keys of the bigrams of hot words, outside the PAIRED square, that are counted apart.
+
+    All bigrams that occur ``least`` times or more are among them. A task hands on those
+    that reach their share of ``least`` / 2 within a stretch of HELD_TOKENS words, so less
+    than ``least`` / 2 of any bigram stays behind; sums below ``least`` / 2 are no
+    candidates. That leaves 2 * FREQUENT keys at most, however large the corpus is.
+    """
+    paired, least = PAIRED, max(tokens / FREQUENT, BUCKET_TOKENS / 8)
+
+    def found(held: list[np.ndarray], size: int) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        enough = n * 2.0 * tokens >= least * size
+        return pa.record_batch({"key": pa.array(keys[enough]), "n": pa.array(n[enough].astype(np.int64))})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                ids = _unpack(packed)[0]
+                before, after = ids[:-1], ids[1:]
+                far = (before <= HOT) & (after <= HOT) & ((before >= paired) | (after >= paired))
+                held.append(_pair_keys(before[far], after[far]))
+                size += len(ids)
+                if size >= HELD_TOKENS:
+                    yield found(held, size)
+                    held, size = [], 0
+        if held:
+            yield found(held, size)
+    sums = rows.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["key"] for r in sums.where(F.col("n") >= least / 2).collect()), dtype=np.int64)
+
+
 @dataclass
 class Model:
-    """Per model (target, background): all words, hot words by number, bigrams of the PAIRED most frequent."""
+    """Per model (target, background): all words, hot words by number, bigrams by their place (``_places``)."""
     size: int
     totals: np.ndarray
     singles: np.ndarray = field(repr=False)
     pairs: np.ndarray = field(repr=False)
+    paired: int
+    frequent: np.ndarray = field(repr=False)
+
+    def places(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return _places(self.frequent, self.paired, before, after)
 
     def chance(self, m: int, count: np.ndarray) -> np.ndarray:
         """p(w) of words that model ``m`` counted so often."""
         return (count + 1) / (self.totals[m] + self.size)
 
 
-def fit(rows: DataFrame, numbering: Numbering) -> Model:
-    """Counts of hot words and of bigrams among the PAIRED most frequent, over ``numbered`` rows and over the target's.
+def fit(rows: DataFrame, numbering: Numbering, tokens: int) -> Model:
+    """Counts of hot words and of bigrams with a place, over ``numbered`` rows and over the target's.
 
     Each task sums into arrays of fixed size and hands on what it counted.
     """
-    size, paired = len(numbering.hot) + 1, PAIRED
-    width = size + paired * paired + 1
+    size, paired, frequent = len(numbering.hot) + 1, PAIRED, frequent_pairs(rows, tokens)
+    width = size + paired * paired + len(frequent) + 1
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, width), dtype=np.int64)
@@ -205,9 +267,8 @@ def fit(rows: DataFrame, numbering: Numbering) -> Model:
             for target, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = _unpack(packed)[0]
                 hot = ids[ids < RARE].astype(np.int64)
-                before, after = ids[:-1], ids[1:]
-                near = (before < paired) & (after < paired)
-                at = size + before[near].astype(np.int64) * paired + after[near].astype(np.int64)
+                place = _places(shared.value, paired, ids[:-1], ids[1:])
+                at = size + place[place >= 0]
                 for m in (0, 1) if target else (1,):
                     np.add.at(both[m], hot, 1)
                     np.add.at(both[m], at, 1)
@@ -218,13 +279,12 @@ def fit(rows: DataFrame, numbering: Numbering) -> Model:
     both = np.zeros(2 * width)
     both[found["at"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
     both = both.reshape(2, width)
-    return Model(numbering.size, both[:, -1], both[:, :size], both[:, size:-1].reshape(2, paired, paired))
+    return Model(numbering.size, both[:, -1], both[:, :size], both[:, size:-1], paired, frequent)
 
 
 def near_losses(rows: DataFrame, model: Model) -> DataFrame:
     """(row, doc_id, n_tokens, target, background): of each text's summed losses the part that the model alone gives."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    paired = model.pairs.shape[1]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -237,12 +297,12 @@ def near_losses(rows: DataFrame, model: Model) -> DataFrame:
                 if not len(ids):
                     continue
                 context = ids[:-1][ids[:-1] < RARE].astype(np.int64)
-                near = (ids[:-1] < paired) & (ids[1:] < paired)
-                before, after = ids[:-1][near].astype(np.int64), ids[1:][near].astype(np.int64)
+                place = known.places(ids[:-1], ids[1:])
+                after, place = ids[1:][place >= 0].astype(np.int64), place[place >= 0]
                 for m in (0, 1):
                     single = known.singles[m]
                     out[m, i] = (np.log(single[context] + MIX).sum() - np.log(
-                        known.pairs[m][before, after] + MIX * known.chance(m, single[after])).sum())
+                        known.pairs[m][place] + MIX * known.chance(m, single[after])).sum())
                     if ids[0] < RARE:
                         out[m, i] -= np.log(known.chance(m, single[int(ids[0])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(out[0]), pa.array(out[1])],
@@ -257,12 +317,7 @@ def _mixed(numbers: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _buckets(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """A number of its own for each bigram of words with small numbers."""
-    return before.astype(np.int64) << 32 | after.astype(np.int64)
-
-
-def _blocks(held: list[tuple[int, bool, np.ndarray]], stretch: int, keys: np.ndarray, paired: int) -> pa.RecordBatch:
+def _blocks(held: list[tuple[int, bool, np.ndarray]], stretch: int, keys: np.ndarray, model: Model) -> pa.RecordBatch:
     """One packed block per bucket and ``stretch`` of texts of the words that ``near_losses`` leaves: word, word before, and 4 * row + 2 * target + not last."""
     sizes = np.array([len(ids) for *_, ids in held])
     word = np.concatenate([ids for *_, ids in held])
@@ -272,7 +327,7 @@ def _blocks(held: list[tuple[int, bool, np.ndarray]], stretch: int, keys: np.nda
     text = np.repeat(np.array([4 * row + 2 * target for row, target, _ in held], dtype=np.uint64), sizes) + np.uint64(1)
     text[last] -= np.uint64(1)
     rare = word >= RARE
-    far = rare | ((before != START) & ((before >= paired) | (word >= paired)))
+    far = rare | ((before != START) & (model.places(before, word) < 0))
     word, before, text, rare = word[far], before[far], text[far], rare[far]
     bucket = _mixed(np.where(rare, word, word ^ _mixed(before))) % np.uint64(len(keys))
     order = np.lexsort((before, word, bucket))
@@ -321,7 +376,7 @@ def far_losses(rows: DataFrame, model: Model, tokens: int) -> DataFrame:
     """
     spark = rows.sparkSession
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
-    keys, shared, paired = _even_keys(spark, buckets), spark.sparkContext.broadcast(model), model.pairs.shape[1]
+    keys, shared = _even_keys(spark, buckets), spark.sparkContext.broadcast(model)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, stretch = [], 0, TaskContext.get().partitionId() << 32
@@ -332,10 +387,10 @@ def far_losses(rows: DataFrame, model: Model, tokens: int) -> DataFrame:
                     held.append((row, target, ids))
                     waiting += len(ids)
                 if waiting >= HELD_TOKENS:
-                    yield _blocks(held, stretch, keys, paired)
+                    yield _blocks(held, stretch, keys, shared.value)
                     held, waiting, stretch = [], 0, stretch + 1
         if held:
-            yield _blocks(held, stretch, keys, paired)
+            yield _blocks(held, stretch, keys, shared.value)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, stretches, owners = [], [], []
@@ -376,11 +431,12 @@ def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     model is the smoothing alone; an empty table gives an empty result. With a
     ``vocabulary`` smaller than that of the corpus (HOT + 1 at most), all but its
     most frequent words are one unknown word. Texts are cut into words twice (counts,
-    numbers); the numbers are written once and feed the models and the scores.
+    numbers); the numbers are written once and feed the models and the scores. A bigram or
+    word that has a third of all tokens is counted apart and fills no bucket.
     """
     numbering, tokens = learn_numbering(_texts(df, text_col), vocabulary)
     rows = cut_lineage(numbered(df, numbering, target_ids, id_col, text_col))
-    model = fit(rows, numbering)
+    model = fit(rows, numbering, tokens)
     far = far_losses(rows, model, tokens).selectExpr("row", "cast(null as long) doc_id", "0L n_tokens", "target", "background")
     summed = near_losses(rows, model).unionByName(far).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),

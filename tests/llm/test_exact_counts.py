@@ -45,6 +45,38 @@ def test_every_word_and_bigram_counts(spark, awkward, monkeypatch):
             assert got[i]["n_tokens"] == n and np.allclose([got[i]["target_loss"], got[i]["background_loss"]], losses, rtol=1e-9)
 
 
+def test_a_hot_bigram_fills_no_bucket(spark, monkeypatch):
+    """Two words outside the paired ones follow each other in a third of the text; their bigram is counted apart."""
+    monkeypatch.setattr(lm_difference, "BUCKET_TOKENS", 800)
+    monkeypatch.setattr(lm_difference, "PAIRED", 2)
+    texts = [" ".join(f"r{(7 * d + i) % 50} licence text" for i in range(40)) for d in range(30)] + ["text licence", "licence", "", None]
+    docs = list(enumerate(texts))
+    want = exact_losses(docs, {1, 2, 30})
+    rows = table(spark, [(i, t, "en", "a", 1) for i, t in docs]).repartition(5)
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 30)], "id long")
+    for held in (1 << 20, 50, 1):
+        monkeypatch.setattr(lm_difference, "HELD_TOKENS", held)
+        got = {r["doc_id"]: r for r in lm_difference.score(rows, ids).collect()}
+        for i, (n, *losses) in want.items():
+            assert got[i]["n_tokens"] == n and np.allclose([got[i]["target_loss"], got[i]["background_loss"]], losses, rtol=1e-9)
+    numbering, tokens = lm_difference.learn_numbering(lm_difference._texts(rows, "text"))
+    coded = lm_difference.numbered(rows, numbering, ids, "doc_id", "text")
+    model = lm_difference.fit(coded, numbering, tokens)
+    pair = np.array([[numbering.hot[w]] for w in ("licence", "text")], dtype=np.uint64)
+    assert model.pairs[1][model.places(*pair)[0]] == 30 * 40
+    text = np.array([numbering.hot[w] for w in texts[0].split()], dtype=np.uint64)
+    block = lm_difference._blocks([(0, False, text)], 0, np.array([0], dtype=np.int32), model)
+    word, before, _ = lm_difference._unpack(block.column("block")[0].as_py(), 3)
+    assert not ((before == pair[0]) & (word == pair[1])).any()
+    # the bound holds: no bigram left to the buckets reaches the least count, and the keys are few
+    left = collections.Counter(p for t in texts for p in zip((t or "").split(), (t or "").split()[1:]))
+    least = max(tokens / lm_difference.FREQUENT, lm_difference.BUCKET_TOKENS / 8)
+    for (a, b), n in left.items():
+        at = model.places(*np.array([[numbering.hot[a]], [numbering.hot[b]]], dtype=np.uint64))[0]
+        assert at >= 0 or n < least
+    assert len(model.frequent) <= 2 * tokens / least
+
+
 def test_a_clash_of_numbers_is_found(spark, awkward):
     assert lm_difference._clash(spark.createDataFrame([("a",), ("b",), ("a",)], "word string"), 0)
     assert not lm_difference._clash(spark.createDataFrame([("a",), ("b",), ("ab",)], "word string"), 0)
