@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsprism.functions.stopwords import ENGLISH_STOP_WORDS
-from newsprism.session import cut_lineage, reach_workers
+from newsprism.session import cut_lineage, drop_cut, reach_workers
 from newsprism.sources.articles import LABEL_DOMAIN
 
 # Two or more letters / digits / underscores (Python's \w\w+ on Unicode text).
@@ -28,6 +28,9 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 #: Hash slices of a class's terms that are ranked apart before the class as a whole.
 SLICES = 64
 
+#: Cells into which ``heavy_stats`` hashes terms: a bound on the rows that it broadcasts.
+CELLS = 1 << 20
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -119,10 +122,54 @@ def stats_of(df: DataFrame, terms_col: str) -> DataFrame:
     Each row gives its distinct terms and all its terms; the partial aggregation collapses
     both before the one shuffle, so no row is sorted and counted by itself.
     """
+    return _sums(_occurrences(df, terms_col), "term")
+
+
+def _occurrences(df: DataFrame, terms_col: str) -> DataFrame:
+    """(_kind, term): of each row its distinct terms, kind 0, and all its terms, kind 1."""
     both = df.select(F.posexplode(F.array(F.array_distinct(terms_col), F.col(terms_col))).alias("_kind", "_terms"))
-    every = both.select("_kind", F.explode("_terms").alias("term"))
-    return every.groupBy("term").agg(F.count_if(F.col("_kind") == 0).alias("doc_freq"),
-                                     F.count_if(F.col("_kind") == 1).alias("total_count"))
+    return both.select("_kind", F.explode("_terms").alias("term"))
+
+
+def _sums(occurrences: DataFrame, key: str) -> DataFrame:
+    return occurrences.groupBy(key).agg(F.count_if(F.col("_kind") == 0).alias("doc_freq"),
+                                        F.count_if(F.col("_kind") == 1).alias("total_count"))
+
+
+def heavy_stats(df: DataFrame, terms_col: str, min_df: int = 2, max_features: int | None = 20000,
+                cells: int = CELLS) -> DataFrame:
+    """The rows of ``stats_of`` from which ``vocabulary_of`` chooses; terms that cannot get in are not shuffled.
+
+    One pass sums documents and occurrences per hash cell, ``cells`` rows at most whatever
+    the number of terms. A cell's sums are at least those of each of its terms, so terms of
+    cells below ``min_df`` documents, or below a count that ``max_features`` other terms
+    reach, are out. That count is first guessed from the cells and only their terms are
+    counted exactly; where fewer terms than asked for reach the guess, the count that so
+    many do reach is a proven one, and a second pass takes all terms of its cells. Terms
+    equal to the last one's count are kept, so ties are settled as over all terms.
+
+    Rows are read two or three times: give a cut of them. A null array has no terms; an
+    empty table gives no rows.
+    """
+    every = _occurrences(df, terms_col).withColumn("_cell", F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int"))
+    sums = cut_lineage(_sums(every, "_cell").where(F.col("doc_freq") >= min_df))
+
+    def counted_exactly(least: int) -> DataFrame:
+        kept = F.broadcast(sums.where(F.col("total_count") >= least).select("_cell"))
+        return cut_lineage(_sums(every.join(kept, "_cell", "left_semi"), "term").where(F.col("doc_freq") >= min_df))
+
+    def reached_by(counts: DataFrame, n: int) -> int:
+        last = _last_count(counts, n).first()
+        return last["_least"] if last["_all"] and last["_all"] >= n else 0
+    guess = 0 if max_features is None else reached_by(sums, 2 * max_features)
+    stats = counted_exactly(guess)
+    if guess:
+        proven = reached_by(stats, max_features)
+        if proven < guess:
+            drop_cut(stats)
+            stats = counted_exactly(proven)
+    drop_cut(sums)
+    return stats
 
 
 def vocabulary(tf_long: DataFrame, min_df: int = 2, max_features: int | None = 20000,
@@ -142,16 +189,22 @@ def vocabulary_of(stats: DataFrame, min_df: int = 2, max_features: int | None =
         raise ValueError("max_features must be at least 1, or None for all terms")
     stats = stats.filter(F.col("doc_freq") >= min_df)
     if max_features is not None:
-        tally = stats.groupBy("total_count").agg(F.count(F.lit(1)).alias("_n"))
-        # one row per distinct count: at most the square root of twice the tokens
-        above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("total_count"))
-                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        least = tally.withColumn("_above", above).where(F.col("_above") < max_features).agg(F.min("total_count").alias("_least"))
+        least = _last_count(stats, max_features).select("_least")
         stats = (stats.join(F.broadcast(least), F.col("total_count") >= F.col("_least")).drop("_least")
                  .orderBy(F.desc("total_count"), F.asc("term")).limit(max_features))
     return _numbered(stats).select("term", "feature_index", "doc_freq", "total_count")
 
 
+def _last_count(stats: DataFrame, n: int) -> DataFrame:
+    """One row: ``_least``, the total_count of the n-th row in descending order (of the last, if fewer), and ``_all`` rows."""
+    tally = stats.groupBy("total_count").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per distinct count: at most the square root of twice the tokens
+    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("total_count"))
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return tally.withColumn("_above", above).agg(F.min(F.when(F.col("_above") < n, F.col("total_count"))).alias("_least"),
+                                                 F.sum("_n").alias("_all"))
+
+
 def _numbered(terms: DataFrame) -> DataFrame:
     """Add ``feature_index``, the place in the order of the distinct ``term``."""
     dealt = cut_lineage(terms.repartitionByRange("term").sortWithinPartitions("term")

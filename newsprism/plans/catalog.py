@@ -386,6 +386,14 @@ def q_vocabulary(spark, sf):
     return V.train_terms(spark, sf)[2]
 
 
+@register("bigram_vocabulary")
+def q_bigram_vocabulary(spark, sf):
+    """Words and bigrams of all articles; most bigrams occur once and are never shuffled."""
+    words = cut_lineage(V.cleaned(spark, sf).select(tm.remove_stop_words(tm.tokenize("content")).alias("w")))
+    rows = words.select(F.concat("w", tm.ngrams("w", 2)).alias("t"))
+    return tm.vocabulary_of(tm.heavy_stats(rows, "t"))
+
+
 @register("tfidf")
 def q_tfidf(spark, sf):
     return V.train_tfidf(spark, sf).select("row_id", "term", F.round("tfidf", 6).alias("tfidf"))

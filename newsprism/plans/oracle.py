@@ -255,6 +255,11 @@ vocab AS (
     GROUP BY term HAVING count(*) >= 2 ORDER BY total_count DESC, term LIMIT 20000))
 """
 sql("vocabulary", _TRAIN_VOCAB + "SELECT * FROM vocab")
+sql("bigram_vocabulary", with_("cleaned") + f"""
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS feature_index, doc_freq, total_count FROM (
+  SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total_count
+  FROM ({_tf('cleaned', 'content')} UNION ALL {_tf('cleaned', 'content', 2)})
+  GROUP BY term HAVING count(*) >= 2 ORDER BY total_count DESC, term LIMIT 20000)""")
 sql("tfidf", _TRAIN_VOCAB + """, w AS (
   SELECT tf.row_id, tf.term, tf.tf * (ln(CAST(1 + n AS DOUBLE) / (doc_freq + 1.0)) + 1.0) AS w
   FROM tf JOIN vocab USING (term), (SELECT count(*) AS n FROM splitted WHERE split = 'train'))
