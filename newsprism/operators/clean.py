@@ -25,8 +25,8 @@ def dedup_articles(df: DataFrame, keys: Sequence[str] = ("title", "text"),
 
     Only digests of the (possibly very long) keys and row ids are grouped, with
     partial counts and minima, so a key holding a third of all rows collapses before
-    the shuffle. The ids of the later copies are then anti joined: with few copies
-    the planner broadcasts them and no text is shuffled.
+    the shuffle. The ids of the later copies are then anti joined; unless the planner
+    knows beforehand that they are few, that join shuffles the texts once.
     """
     hashes = [f"_h{i}" for i in range(len(keys))]
     keyed = df.select(F.col(order_col).alias("_id"), *[
