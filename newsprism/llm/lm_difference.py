@@ -182,7 +182,7 @@ def numbered(df: DataFrame, numbering: Numbering, target_ids: DataFrame, id_col:
         F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "ids")
 
 
-def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+def _buckets(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """A number of its own for each bigram of hot words."""
     return before.astype(np.int64) << 32 | after.astype(np.int64)
 
@@ -194,7 +194,7 @@ def _places(frequent: np.ndarray, paired: int, before: np.ndarray, after: np.nda
     place[near] = before[near].astype(np.int64) * paired + after[near].astype(np.int64)
     if len(frequent):
         other = np.flatnonzero(~near & (before <= HOT) & (after <= HOT))
-        key = _pair_keys(before[other], after[other])
+        key = _buckets(before[other], after[other])
         at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
         hit = frequent[at] == key
         place[other[hit]] = paired * paired + at[hit]
@@ -223,7 +223,7 @@ def frequent_pairs(rows: DataFrame, tokens: int) -> np.ndarray:
                 ids = _unpack(packed)[0]
                 before, after = ids[:-1], ids[1:]
                 far = (before <= HOT) & (after <= HOT) & ((before >= paired) | (after >= paired))
-                held.append(_pair_keys(before[far], after[far]))
+                held.append(_buckets(before[far], after[far]))
                 size += len(ids)
                 if size >= HELD_TOKENS:
                     yield found(held, size)
