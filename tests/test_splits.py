@@ -100,3 +100,16 @@ def test_shuffle_keeps_columns_and_takes_nothing(spark):
     assert [r["title"] for r in splits.shuffle_rows(df).orderBy("position").collect()] != [str(i) for i in range(9)]
     assert splits.shuffle_rows(df).columns == ["row_id", "title", "position"]
     assert splits.shuffle_rows(df.limit(0)).count() == 0
+
+
+def test_texts_are_not_shuffled_by_label(spark):
+    """The cuts are broadcast whatever the planner knows of their size: no task gets all texts of a label."""
+    rows = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), F.lit("x").alias("text"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, n in ((splits.stratified_split(rows), 300), (splits.stratified_sample(rows, per_class=5), 10)):
+            joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+            assert "BroadcastHashJoin" in joins[0] and out.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
