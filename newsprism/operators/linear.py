@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 
 from newsprism.session import cut_lineage, drop_cut, reach_workers
 
-#: Rows of a partition, at most so many partitions per core, and partial sums that the driver adds up itself.
+#: Rows of a partition, at most so many partitions per core, and tasks that add up partial sums.
 ROWS_PER_PARTITION, PARTITIONS_PER_CORE, PARTIALS = 2_000, 4, 16
+#: Bytes of partial sums that the driver adds up itself, and numbers of a slice of sums that a task adds up.
+DIRECT, SLICE = 1 << 24, 1 << 15
+#: Entries of a stretch of rows that is kept as one row of arrays.
+STRETCH = 1 << 18
 #: Numbers that a task holds in one intermediate table.
 CELLS = 1 << 22
 GRADIENT, HESSIAN = "gradient", "hessian"
@@ -71,9 +75,6 @@ class Rows:
                        self.value[entries], self.norm[at:stop], self.member[at:stop])
             at = stop
 
-    def row_of_entry(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(np.append(self.starts, len(self.index))))
-
     def dot(self, weights: np.ndarray) -> np.ndarray:
         """rows x models: each row's entries times the models' weights, over the row's norm."""
         out = np.zeros((len(self), weights.shape[1]))
@@ -100,37 +101,73 @@ def of_vectors(batch: pa.RecordBatch) -> Rows:
                 index.astype(np.int64), value, np.ones((n, 1)), np.ones((n, 1), dtype=bool))
 
 
+def vectors(batch: pa.RecordBatch) -> Iterator[Rows]:
+    yield of_vectors(batch)
+
+
+def in_stretches(rows: DataFrame) -> DataFrame:
+    """Rows (label, features) as stretches of rows in one row each, packed: passes then read arrays, not rows."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in of_vectors(batch).pieces(max(1, CELLS // STRETCH)):
+                sizes = np.diff(np.append(part.starts, len(part.index)))
+                data = [part.label.astype("<f8"), sizes.astype("<i4"), part.index.astype("<i4"), part.value.astype("<f8")]
+                yield pa.RecordBatch.from_arrays([pa.array([d.tobytes()], pa.binary()) for d in data], names)
+
+    names = ["label", "sizes", "index", "value"]
+    reach_workers(rows.sparkSession)
+    return rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
+
+
+def of_stretches(batch: pa.RecordBatch) -> Iterator[Rows]:
+    """The stretches of ``in_stretches``, for a single model."""
+    for i in range(batch.num_rows):
+        label, sizes, index, value = (np.frombuffer(batch.column(name)[i].as_buffer(), dtype=kind)
+                                      for name, kind in (("label", "<f8"), ("sizes", "<i4"), ("index", "<i4"), ("value", "<f8")))
+        n, ends = len(label), np.cumsum(sizes, dtype=np.int64)
+        yield Rows(label, ends - sizes, index.astype(np.int64), value, np.ones((n, 1)), np.ones((n, 1), dtype=bool))
+
+
 def _sums(rows: Rows, models: np.ndarray, gradient: np.ndarray, weights: np.ndarray, bias: np.ndarray,
           direction: np.ndarray, tilt: np.ndarray) -> tuple[np.ndarray, ...]:
     """(terms met, their sums, their curvatures, sums of the intercepts, their curvatures, losses) of a stretch."""
-    part = Rows(rows.label, rows.starts, rows.index, rows.value, rows.norm[:, models], rows.member[:, models])
-    z = part.dot(weights) + bias
-    p = 0.5 * (1.0 + np.tanh(0.5 * z))
-    spread = np.where(part.member, p * (1.0 - p), 0.0)
-    y = part.label[:, None]
-    pull = np.where(gradient, np.where(part.member, p - y, 0.0), 0.0)
-    if not gradient.all():
-        pull = np.where(gradient, pull, spread * (part.dot(direction) + tilt))
-    loss = np.where(part.member & gradient, np.logaddexp(0.0, z) - y * z, 0.0).sum(axis=0)
-    of, order = part.row_of_entry(), np.argsort(part.index, kind="stable")
-    index, value, of = part.index[order], part.value[order], of[order]
-    first = np.flatnonzero(np.diff(index, prepend=-1))
-    term = index[first]
-    if len(first):
-        sums = np.add.reduceat((pull / part.norm)[of] * value[:, None], first, axis=0)
-        curves = np.zeros_like(sums)
-        if gradient.any():
-            own = np.flatnonzero(gradient)
-            curves[:, own] = np.add.reduceat((spread / part.norm ** 2)[:, own][of] * (value ** 2)[:, None], first, axis=0)
-    else:
-        sums = curves = np.zeros((0, len(models)))
-    return term, sums, curves, pull.sum(axis=0), spread.sum(axis=0), loss
+    sizes = np.diff(np.append(rows.starts, len(rows.index)))
+    term = np.flatnonzero(np.bincount(rows.index))
+    sums, curves = np.zeros((2, len(term), len(models)))
+    tops, top_curves, loss = np.zeros((3, len(models)))
+    for i, c in enumerate(models.tolist()):  # one at a time: a model needs its own rows only, and its vectors stay in the cache
+        own = np.flatnonzero(rows.member[:, c])
+        index, value, size = rows.index, rows.value, sizes
+        if len(own) < len(rows):
+            kept = np.repeat(rows.member[:, c], sizes)
+            index, value, size = index[kept], value[kept], sizes[own]
+        filled, norm, y = np.flatnonzero(size), rows.norm[own, c], rows.label[own]
+        starts = (np.cumsum(size) - size)[filled]
+
+        def dot(w: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(own))
+            if len(filled):
+                out[filled] = np.add.reduceat(w[index] * value, starts)
+            return out / norm
+
+        z = dot(weights[:, i]) + bias[i]
+        p = 0.5 * (1.0 + np.tanh(0.5 * z))
+        spread = p * (1.0 - p)
+        pull = p - y if gradient[i] else spread * (dot(direction[:, i]) + tilt[i])
+        tops[i], top_curves[i] = pull.sum(), spread.sum()
+        if gradient[i]:
+            loss[i] = (np.logaddexp(0.0, z) - y * z).sum()
+        if len(term):
+            sums[:, i] = np.bincount(index, np.repeat(pull / norm, size) * value, term[-1] + 1)[term]
+            if gradient[i]:
+                curves[:, i] = np.bincount(index, np.repeat(spread / norm ** 2, size) * value ** 2, term[-1] + 1)[term]
+    return term, sums, curves, tops, top_curves, loss
 
 
 class Fitter:
     """Rows of M models, read from ``frame`` by ``read``, and the passes over them."""
 
-    def __init__(self, frame: DataFrame, read: Callable[[pa.RecordBatch], Rows], scale: np.ndarray, parts: int | None = None):
+    def __init__(self, frame: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Rows]], scale: np.ndarray, parts: int | None = None):
         """``scale`` (terms x models) multiplies each model's entries; 0 keeps a term out of a model.
         ``parts`` is the number of partitions, where known."""
         reach_workers(frame.sparkSession)
@@ -145,7 +182,7 @@ class Fitter:
         models = np.array(sorted(asked), dtype=np.int64)
         gradient = np.array([asked[c][0] == GRADIENT for c in models.tolist()])
         n_terms = self.scale.shape[0]
-        weights, direction = np.zeros((n_terms, len(models))), np.zeros((n_terms, len(models)))
+        weights, direction = (np.zeros((n_terms, len(models)), order="F") for _ in range(2))  # a model's numbers side by side
         bias, tilt = np.zeros(len(models)), np.zeros(len(models))
         for i, c in enumerate(models.tolist()):
             own, scale = self.terms[c], self.scale[self.terms[c], c]
@@ -172,47 +209,61 @@ class Fitter:
         return out
 
     def _add_up(self, read, shared, n_terms: int, width: int) -> tuple[np.ndarray, ...]:
-        def zero() -> list[np.ndarray]:
-            return [np.zeros((n_terms, width)), np.zeros((n_terms, width)), np.zeros(width), np.zeros(width), np.zeros(width)]
+        """Sums over all rows. Where the partial ones are many, slices of the terms are added up by tasks
+        of their own, so that the driver gets each sum once."""
+        size = max(1, SLICE // width)  # terms of a slice
 
-        def packed(total: list[np.ndarray]) -> pa.RecordBatch:
-            met = np.flatnonzero((total[0] != 0).any(axis=1) | (total[1] != 0).any(axis=1))
-            data = [met.astype("<i8"), total[0][met], total[1][met], *total[2:]]
-            return pa.RecordBatch.from_arrays([pa.array([d.tobytes()], pa.binary()) for d in data], names)
+        def zero(terms: int) -> list[np.ndarray]:
+            return [np.zeros((terms, width)), np.zeros((terms, width)), np.zeros(width), np.zeros(width), np.zeros(width)]
 
-        def add(total: list[np.ndarray], row: dict) -> None:
-            met = np.frombuffer(row["met"], dtype="<i8")
-            for i, name in enumerate(("sums", "curves")):
-                total[i][met] += np.frombuffer(row[name]).reshape(-1, width)
-            for i, name in enumerate(("tops", "top_curves", "loss"), 2):
-                total[i] += np.frombuffer(row[name])
+        def packed(part: int, total: list[np.ndarray]) -> pa.RecordBatch:
+            met = np.flatnonzero((total[0] != 0).any(axis=1) | (total[1] != 0).any(axis=1))
+            curves = total[1][met]
+            data = [met.astype("<i8"), total[0][met], curves if curves.any() else curves[:0], *total[2:]]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()),
+                                               *[pa.array([d.tobytes()], pa.binary()) for d in data]], ["part", *names])
+
+        def add(total: list[np.ndarray], row: list, first: int = 0) -> None:
+            met = np.frombuffer(row[0], dtype="<i8") + first
+            for i in (0, 1):
+                if len(row[1 + i]):
+                    total[i][met] += np.frombuffer(row[1 + i]).reshape(-1, width)
+            for i in (2, 3, 4):
+                total[i] += np.frombuffer(row[1 + i])
 
         def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = zero()
+            total = zero(n_terms)
             for batch in batches:
-                for rows in read(batch).pieces(width):
-                    term, *found = _sums(rows, *shared.value)
-                    total[0][term] += found[0]
-                    total[1][term] += found[1]
-                    for i in (2, 3, 4):
-                        total[i] += found[i]
-            yield packed(total)
+                for stretch in read(batch):
+                    for rows in stretch.pieces(width):
+                        term, *found = _sums(rows, *shared.value)
+                        total[0][term] += found[0]
+                        total[1][term] += found[1]
+                        for i in (2, 3, 4):
+                            total[i] += found[i]
+            for part, at in enumerate(range(0, max(n_terms, 1), size)):  # the intercepts' sums stand in the first slice
+                tops = total[2:] if not part else [np.zeros(width)] * 3
+                yield packed(part, [total[0][at:at + size], total[1][at:at + size], *tops])
 
         def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = zero()
+            totals: dict[int, list[np.ndarray]] = {}
             for batch in batches:
-                for row in batch.to_pylist():
-                    add(total, row)
-            yield packed(total)
+                for i in range(batch.num_rows):
+                    part = batch.column("part")[i].as_py()
+                    if part not in totals:
+                        totals[part] = zero(min(size, n_terms - part * size))
+                    add(totals[part], [batch.column(n)[i].as_buffer() for n in names])
+            for part, total in totals.items():
+                yield packed(part, total)
 
         names = ["met", "sums", "curves", "tops", "top_curves", "loss"]
-        ddl = ", ".join(f"{n} binary" for n in names)
+        ddl = "part int, " + ", ".join(f"{n} binary" for n in names)
         partial = self.frame.mapInArrow(one_pass, ddl)
-        if self.parts is None or self.parts > PARTIALS:  # as a tree: the driver adds up no more than PARTIALS sums
-            partial = partial.repartition(PARTIALS).mapInArrow(gathered, ddl)
-        total = zero()
+        if self.parts is None or self.parts * n_terms * width * 16 > DIRECT:
+            partial = partial.repartition(min(PARTIALS, math.ceil(n_terms / size) or 1), "part").mapInArrow(gathered, ddl)
+        total = zero(n_terms)
         for row in partial.collect():
-            add(total, row.asDict())
+            add(total, list(row)[1:], row["part"] * size)
         return tuple(total)
 
     def solve(self, rows_of: list[int], tol: float, max_iter: int) -> list[np.ndarray]:
@@ -284,14 +335,15 @@ def newton(terms: int, tol: float, max_iter: int) -> Generator[tuple, tuple, np.
     return x
 
 
-def partitioned(rows: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
-    """Rows for repeated passes and their partitions: sized by row count, written to the shared folder, then cached.
+def partitioned(rows: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION,
+                pack: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, int]:
+    """Rows for repeated passes and their partitions: sized by row count, packed, written to the shared folder, then cached.
 
     A lost executor costs a re-read instead of the work that made the rows. ``release`` ends it.
     """
     most = PARTITIONS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
     parts = max(1, min(most, math.ceil(n_rows / rows_per_partition)))
-    return cut_lineage(rows.repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK), parts
+    return cut_lineage(pack(rows.repartition(parts))).persist(StorageLevel.MEMORY_AND_DISK), parts
 
 
 def release(frame: DataFrame) -> None:
@@ -312,7 +364,7 @@ def certificate(features: DataFrame, weights: np.ndarray, intercept: float, feat
     """
     rows = _vector_rows(features, features_col, label_col)
     n = rows.count()
-    fitter = Fitter(rows, of_vectors, np.ones((len(weights), 1)))
+    fitter = Fitter(rows, vectors, np.ones((len(weights), 1)))
     loss, slope, _ = fitter.run({0: (GRADIENT, np.append(weights, intercept))})[0]
     slope = slope + np.append(weights, 0.0)
     return {"rows": n, "gradient": float(np.abs(slope).max()) / max(n, 1), "intercept_gradient": float(abs(slope[-1])) / max(n, 1),
@@ -342,9 +394,9 @@ class NewtonLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIte
         if not size:
             first = rows.select("features").first()
             size = first["features"].size if first else 0
-        frame, parts = partitioned(rows, n)
+        frame, parts = partitioned(rows, n, pack=in_stretches)
         try:
-            found = Fitter(frame, of_vectors, np.ones((size, 1)), parts).solve([n], self.getTol(), self.getMaxIter())[0]
+            found = Fitter(frame, of_stretches, np.ones((size, 1)), parts).solve([n], self.getTol(), self.getMaxIter())[0]
         finally:
             release(frame)
         java = JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LogisticRegressionModel", self.uid,

@@ -91,3 +91,40 @@ def test_one_class_and_rows_without_features(spark):
     rows = [(1, Vectors.sparse(3, [], []))] * 6 + [(1, Vectors.sparse(3, [0], [1.0]))]
     model = linear.NewtonLogisticRegression(tol=1e-6).fit(spark.createDataFrame(rows, ["label", "features"]))
     assert model.intercept > 10 and np.abs(model.coefficients.toArray()).max() < 1e-3
+
+
+def test_sums_reach_the_driver_once(spark):
+    """Slices of the terms are added up by tasks: each number is sent once, however many partitions hold a share of it."""
+    width, models = 700, 30
+    rows = [(i % 2, Vectors.sparse(width, list(range(i % 7, width, 7)), [0.1 * (1 + i % 3)] * len(range(i % 7, width, 7)))) for i in range(84)]
+    frame = spark.createDataFrame(rows, ["label", "features"]).selectExpr("cast(label as double) label", "features").repartition(24)
+
+    def read(batch):
+        r = linear.of_vectors(batch)
+        yield linear.Rows(r.label, r.starts, r.index, r.value, np.ones((len(r), models)), np.arange(models) % 3 != r.label[:, None])
+    asked = {c: (linear.GRADIENT, np.full(width + 1, 0.01 * c)) if c % 2 else
+             (linear.HESSIAN, np.zeros(width + 1), np.full(width + 1, 0.1 * c)) for c in range(models)}
+    fitter = linear.Fitter(frame, read, np.ones((width, models)), 24)
+    whole = linear.Fitter(frame.coalesce(1), read, np.ones((width, models)), 1).run(asked)
+    direct, linear.DIRECT, sent = linear.DIRECT, 0, []
+    collect = type(frame).collect
+    try:
+        type(frame).collect = lambda self: sent.extend(collect(self)) or sent
+        found = fitter.run(asked)
+    finally:
+        linear.DIRECT, type(frame).collect = direct, collect
+    assert sorted(r["part"] for r in sent) == list(range(-(-width // (linear.SLICE // models))))
+    for c in range(models):
+        for a, b in zip(found[c], whole[c], strict=True):
+            assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
+
+
+def test_stretches_hold_the_rows(spark):
+    """Packed rows read back as they were, empty rows and small stretches included."""
+    df = spark.createDataFrame(drawn(3), ["label", "features"]).selectExpr("cast(label as double) label", "features").coalesce(1)
+    packed = linear.in_stretches(df).toArrow().combine_chunks().to_batches()[0]
+    one = linear.of_vectors(df.toArrow().combine_chunks().to_batches()[0])
+    got = list(linear.of_stretches(packed))
+    for name in ("label", "index", "value"):
+        assert np.array_equal(np.concatenate([getattr(g, name) for g in got]), getattr(one, name))
+    assert np.array_equal(got[0].starts, one.starts[:len(got[0])]) and sum(map(len, got)) == len(one)

@@ -212,3 +212,32 @@ def test_nested_vocabularies_are_those_of_the_cells(spark):
     for r in md.nested_vocabularies(rows, cells, 1, 2).collect():
         got.setdefault(r["cell"], {})[r["term"]] = r["doc_freq"]
     assert got == {0: {"b": 1, "c": 1}, 1: {"b": 2, "c": 1}, 2: {"a": 1, "b": 1}, 3: {"a": 2, "b": 1}}
+
+
+def test_cross_validation_tokenises_once(spark, monkeypatch):
+    """Texts are tokenised before the folds and settings, not once or more for each fit; the stages take the tokens."""
+    seen, tokenize = [], tm.tokenize
+    monkeypatch.setattr(tm, "tokenize", lambda col: seen.append(col) or tokenize(col))
+    rows = [(i, "Fake rumor the a" if i % 2 else None if i == 4 else "real report", i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id long, content string, label int")
+    assert md.cross_validate(df, [{"minDF": 1}, {"minDF": 1, "ngramMax": 2}], folds=2, parallelism=2).count() == 2
+    assert len(seen) == 1
+    both = df.withColumn("tokens", tokenize("content"))
+    for rng in ((1, 1), (1, 2)):
+        out = [md.TermAnalyzer(inputCol=c, ngramMin=rng[0], ngramMax=rng[1]).transform(both) for c in ("content", "tokens")]
+        assert [sorted((r["row_id"], r[md.TERMS_COL]) for r in o.collect()) for o in out[:1]] == [
+            sorted((r["row_id"], r[md.TERMS_COL]) for r in o.collect()) for o in out[1:]]
+
+
+def test_documents_are_weighted_in_bounded_pieces():
+    """A batch of long documents is not weighted at once; its rows stay whole and in order, empty ones too."""
+    import pyarrow as pa
+    sizes = [0, 5, 0, tm.ENTRIES + 7, 3, tm.ENTRIES // 2, tm.ENTRIES // 2, 0, 4]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    entry = pa.StructArray.from_arrays([pa.array(["x"] * sum(sizes)), pa.array(range(sum(sizes)))], ["term", "tf"])
+    lists = pa.ListArray.from_arrays(pa.array([sum(sizes[:i]) for i in range(len(sizes) + 1)], pa.int32()), entry).cast(kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), lists], ["row_id", "terms"])
+    pieces = list(tm._pieces(batch))
+    assert [i for p in pieces for i in p.column("row_id").to_pylist()] == list(range(len(sizes)))
+    held = [[sizes[i] for i in p.column("row_id").to_pylist()] for p in pieces]
+    assert max(sum(h) for h in held if sum(1 for n in h if n) > 1) <= tm.ENTRIES and len(pieces) > 2
