@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from newsprism.operators import splits
 from newsprism.operators.ranks import hash_rank, order_hash, rank_cuts
 from newsprism.plans import views as V
+from newsprism.plans.catalog import REGISTRY
 
 
 def test_hash_rank_equals_naive_row_number(spark, sf):
@@ -113,3 +114,39 @@ def test_texts_are_not_shuffled_by_label(spark):
             assert "BroadcastHashJoin" in joins[0] and out.count() == n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+class Planned(Exception):
+    """Holds the first frame that a query materialises."""
+
+
+@pytest.fixture(scope="module")
+def few_labelled(spark, tmp_path_factory):
+    """A folder of documents, all labelled."""
+    home, n = str(tmp_path_factory.mktemp("few")), F.col("id")
+    docs = spark.range(40).select(n.alias("doc_id"), F.concat(F.lit("title\nword"), n).alias("text"), F.lit("s").alias("source"))
+    docs.write.parquet(f"{home}/documents.parquet")
+    spark.range(40).select(n.alias("doc_id"), (n % 2).alias("quality")).write.parquet(f"{home}/labels.parquet")
+    return home
+
+
+@pytest.mark.parametrize("name", [
+    "build_pipeline", "decision_scores", "explain_decision", "feature_coef_join", "feature_matrix_shape", "fit_experiment",
+    "load_model", "logistic_regression", "predict", "prediction_contributions", "save_model", "score_new_articles",
+    "summary_table", "tfidf", "top_terms_global"])
+def test_queries_over_the_split_join_no_texts_by_label(spark, few_labelled, monkeypatch, name):
+    """The split that each of them materialises takes its cuts by broadcast, even if the planner would not."""
+    def planned(df):
+        raise Planned(df)
+    monkeypatch.setattr(V, "cut_lineage", planned)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(Planned) as first:
+            REGISTRY[name](spark, few_labelled)
+        split = first.value.args[0]
+        joins = [line for line in split._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+        assert "split" in split.columns and "content" in split.columns
+        assert "BroadcastHashJoin" in joins[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
