@@ -15,6 +15,7 @@ certifies the fit (``certificate``).
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,8 @@ STRETCH = 1 << 18
 #: Numbers that a task holds in one intermediate table.
 CELLS = 1 << 22
 GRADIENT, HESSIAN = "gradient", "hessian"
+#: Directions that ``newton`` can keep for its preconditioner: 2 * KEPT vectors of a model's terms on the driver.
+KEPT = 24
 #: Bytes of coefficients up to which they travel with the task instead of as a broadcast.
 WITH_THE_TASK = 1 << 19
 
@@ -137,6 +140,8 @@ def _sums(rows: Rows, models: np.ndarray, gradient: np.ndarray, weights: np.ndar
     tops, top_curves, loss = np.zeros((3, len(models)))
     for i, c in enumerate(models.tolist()):  # one at a time: a model needs its own rows only, and its vectors stay in the cache
         own = np.flatnonzero(rows.member[:, c])
+        if not len(own):
+            continue
         index, value, size = rows.index, rows.value, sizes
         if len(own) < len(rows):
             kept = np.repeat(rows.member[:, c], sizes)
@@ -167,11 +172,14 @@ def _sums(rows: Rows, models: np.ndarray, gradient: np.ndarray, weights: np.ndar
 class Fitter:
     """Rows of M models, read from ``frame`` by ``read``, and the passes over them."""
 
-    def __init__(self, frame: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Rows]], scale: np.ndarray, parts: int | None = None):
+    def __init__(self, frame: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Rows]], scale: np.ndarray, parts: int | None = None,
+                 single: bool = False):
         """``scale`` (terms x models) multiplies each model's entries; 0 keeps a term out of a model.
-        ``parts`` is the number of partitions, where known."""
+        ``parts`` is the number of partitions, where known. ``single`` sends the Hessian's products and the
+        curvatures, which only choose the steps, in single precision; losses and gradients stay double."""
         reach_workers(frame.sparkSession)
         self.frame, self.read, self.scale, self.parts = frame, read, scale, parts
+        self.kind = "<f4" if single else "<f8"
         self.terms = [np.flatnonzero(scale[:, c]) for c in range(scale.shape[1])]
 
     def run(self, asked: dict[int, tuple]) -> dict[int, tuple]:
@@ -191,6 +199,7 @@ class Fitter:
                 direction[own, i], tilt[i] = asked[c][2][:-1] * scale, asked[c][2][-1]
         if gradient.all():
             direction = direction[:0]
+        self.pulls = gradient
         arrays = (models, gradient, weights, bias, direction, tilt)
         if sum(a.nbytes for a in arrays) < WITH_THE_TASK:
             total = self._add_up(self.read, Carried(arrays), n_terms, len(models))
@@ -212,24 +221,25 @@ class Fitter:
         """Sums over all rows. Where the partial ones are many, slices of the terms are added up by tasks
         of their own, so that the driver gets each sum once."""
         size = max(1, SLICE // width)  # terms of a slice
+        pulls, kind = self.pulls, self.kind
 
         def zero(terms: int) -> list[np.ndarray]:
             return [np.zeros((terms, width)), np.zeros((terms, width)), np.zeros(width), np.zeros(width), np.zeros(width)]
 
         def packed(part: int, total: list[np.ndarray]) -> pa.RecordBatch:
             met = np.flatnonzero((total[0] != 0).any(axis=1) | (total[1] != 0).any(axis=1))
-            curves = total[1][met]
-            data = [met.astype("<i8"), total[0][met], curves if curves.any() else curves[:0], *total[2:]]
+            sums = total[0][met]
+            data = [met.astype("<i4"), sums[:, pulls], sums[:, ~pulls].astype(kind), total[1][met][:, pulls].astype(kind), *total[2:]]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()),
                                                *[pa.array([d.tobytes()], pa.binary()) for d in data]], ["part", *names])
 
         def add(total: list[np.ndarray], row: list, first: int = 0) -> None:
-            met = np.frombuffer(row[0], dtype="<i8") + first
-            for i in (0, 1):
-                if len(row[1 + i]):
-                    total[i][met] += np.frombuffer(row[1 + i]).reshape(-1, width)
+            met = np.frombuffer(row[0], dtype="<i4").astype(np.int64)[:, None] + first
+            for i, data, columns, held in ((0, row[1], pulls, "<f8"), (0, row[2], ~pulls, kind), (1, row[3], pulls, kind)):
+                if len(data):
+                    total[i][met, np.flatnonzero(columns)] += np.frombuffer(data, dtype=held).reshape(len(met), -1)
             for i in (2, 3, 4):
-                total[i] += np.frombuffer(row[1 + i])
+                total[i] += np.frombuffer(row[2 + i])
 
         def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = zero(n_terms)
@@ -256,7 +266,7 @@ class Fitter:
             for part, total in totals.items():
                 yield packed(part, total)
 
-        names = ["met", "sums", "curves", "tops", "top_curves", "loss"]
+        names = ["met", "sums", "products", "curves", "tops", "top_curves", "loss"]
         ddl = "part int, " + ", ".join(f"{n} binary" for n in names)
         partial = self.frame.mapInArrow(one_pass, ddl)
         if self.parts is None or self.parts * n_terms * width * 16 > DIRECT:
@@ -266,9 +276,10 @@ class Fitter:
             add(total, list(row)[1:], row["part"] * size)
         return tuple(total)
 
-    def solve(self, rows_of: list[int], tol: float, max_iter: int) -> list[np.ndarray]:
-        """Coefficients (terms, then intercept) of every model; ``rows_of`` holds the models' numbers of rows."""
-        steps = {c: newton(len(self.terms[c]), tol * max(rows_of[c], 1), max_iter) for c in range(len(self.terms))}
+    def solve(self, rows_of: list[int], tol: float, max_iter: int, kept: int = 0) -> list[np.ndarray]:
+        """Coefficients (terms, then intercept) of every model; ``rows_of`` holds the models' numbers of rows, ``kept``
+        is that of ``newton``."""
+        steps = {c: newton(len(self.terms[c]), tol * max(rows_of[c], 1), max_iter, kept) for c in range(len(self.terms))}
         asked = {c: next(s) for c, s in steps.items()}
         done: dict[int, np.ndarray] = {}
         while asked:
@@ -282,11 +293,26 @@ class Fitter:
         return [done[c] for c in sorted(done)]
 
 
-def newton(terms: int, tol: float, max_iter: int) -> Generator[tuple, tuple, np.ndarray]:
+def newton(terms: int, tol: float, max_iter: int, kept: int = 0) -> Generator[tuple, tuple, np.ndarray]:
     """Truncated Newton steps for one model: asks for passes, returns the coefficients.
 
-    Stops once no entry of the gradient exceeds ``tol``, or after ``max_iter`` steps.
+    Stops once no entry of the gradient exceeds ``tol``, or after ``max_iter`` steps. The last
+    ``kept`` directions and their products go, in single precision, into the preconditioner of
+    later steps (the two-loop recursion of L-BFGS), which then need fewer passes. The steps'
+    own numbers stay in double precision.
     """
+    met: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=kept)
+
+    def ease(rest: np.ndarray, scale: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+        shares, rest = [], rest.copy()
+        for way, product, bend in reversed(pairs):
+            shares.append(float(way @ rest) / bend)
+            rest -= shares[-1] * product
+        rest *= scale
+        for (way, product, bend), share in zip(pairs, reversed(shares)):
+            rest += (share - float(product @ rest) / bend) * way
+        return rest
+
     penalty = np.append(np.ones(terms), 0.0)
     x = np.zeros(terms + 1)
 
@@ -299,10 +325,10 @@ def newton(terms: int, tol: float, max_iter: int) -> Generator[tuple, tuple, np.
         size = float(np.abs(slope).max(initial=0.0))
         if size <= tol:
             break
-        # conjugate gradients on the Newton system, preconditioned by the curvature's diagonal
+        # conjugate gradients on the Newton system, preconditioned by the curvature's diagonal and what earlier steps met
         scale = 1.0 / np.maximum(curve, 1e-12)
-        step, rest = np.zeros_like(x), -slope
-        eased = scale * rest
+        step, rest, pairs = np.zeros_like(x), -slope, list(met)
+        eased = ease(rest, scale, pairs)
         along, product = eased, float(rest @ eased)
         enough = product * min(0.1, math.sqrt(size / max(tol, 1e-300)) * 1e-3 + 1e-3) ** 2
         for _ in range(200):
@@ -311,9 +337,11 @@ def newton(terms: int, tol: float, max_iter: int) -> Generator[tuple, tuple, np.
             bend = float(along @ pulled)
             if bend <= 0.0:
                 break
+            if kept:
+                met.append((along.astype(np.float32), pulled.astype(np.float32), bend))
             far = product / bend
             step, rest = step + far * along, rest - far * pulled
-            eased = scale * rest
+            eased = ease(rest, scale, pairs)
             product, before = float(rest @ eased), product
             if product <= enough:
                 break
@@ -399,6 +427,10 @@ class NewtonLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIte
             found = Fitter(frame, of_stretches, np.ones((size, 1)), parts).solve([n], self.getTol(), self.getMaxIter())[0]
         finally:
             release(frame)
+        return self.model_of(found)
+
+    def model_of(self, found: np.ndarray) -> LogisticRegressionModel:
+        """Spark's model with the coefficients and, last, the intercept of ``found``."""
         java = JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LogisticRegressionModel", self.uid,
                                          Vectors.dense(found[:-1]), float(found[-1]))
         model = LogisticRegressionModel(java)

@@ -55,3 +55,20 @@ def test_no_rows_give_no_terms(spark):
     for rows in ([], [(None,)], [([],)]):
         df = spark.createDataFrame(rows, "t array<string>")
         assert tm.vocabulary_of(tm.heavy_stats(df, "t")).collect() == []
+
+
+@pytest.mark.parametrize("cells", [13, tm.CELLS])
+def test_vocabularies_without_a_fold_equal_those_of_all_terms(spark, cells):
+    """Counts without each fold hold every term of the vocabularies, also where the guess from the cells is too high."""
+    rows = texts() + [["big"] * 1000, ["large"] * 900, ["one fold", "one fold"]] * 2
+    df = spark.createDataFrame([(i * 7 % 4, r) for i, r in enumerate(rows)], "fold int, t array<string>").repartition(5)
+    choices = [(2, 20), (3, 5000), (1, 3)]
+    for chosen in (choices[2:], choices):
+        stats = tm.left_out_stats(df, "t", "fold", 4, chosen, cells)
+        for min_df, most in chosen:
+            got = {}
+            for r in tm.vocabulary_cells(stats, 5, min_df).collect():
+                got.setdefault(r["cell"], []).append((-r["total_count"], r["term"], r["doc_freq"]))
+            for f in range(5):
+                kept = exact([r for i, r in enumerate(rows) if i * 7 % 4 != f], min_df, most)
+                assert {(t, d, -n) for n, t, d in sorted(got[f])[:most]} == {(t, d, n) for t, _, d, n in kept}, (cells, f)

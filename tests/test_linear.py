@@ -128,3 +128,43 @@ def test_stretches_hold_the_rows(spark):
     for name in ("label", "index", "value"):
         assert np.array_equal(np.concatenate([getattr(g, name) for g in got]), getattr(one, name))
     assert np.array_equal(got[0].starts, one.starts[:len(got[0])]) and sum(map(len, got)) == len(one)
+
+
+def test_kept_directions_need_fewer_passes():
+    """Directions of earlier steps precondition the later ones: the same optimum in fewer products."""
+    draw = np.random.default_rng(7)
+    x = draw.random((300, 80)) * (draw.random((300, 80)) < 0.2) * np.geomspace(30, 0.1, 80)
+    y = (x @ draw.normal(size=80) + draw.normal(size=300) > 0).astype(float)
+    x1 = np.hstack([x, np.ones((300, 1))])
+    found = {}
+    for kept in (0, linear.KEPT):
+        steps, passes = linear.newton(80, 1e-9, 100, kept), 0
+        asked = next(steps)
+        while True:
+            passes += 1
+            z = x1 @ asked[1]
+            p = 1 / (1 + np.exp(-z))
+            d = p * (1 - p)
+            answer = ((np.logaddexp(0, z) - y * z).sum(), x1.T @ (p - y), (x1 ** 2).T @ d) if asked[0] == linear.GRADIENT else (
+                x1.T @ (d * (x1 @ asked[2])),)
+            try:
+                asked = steps.send(answer)
+            except StopIteration as end:
+                found[kept] = end.value, passes
+                break
+    (plain, most), (eased, fewer) = found[0], found[linear.KEPT]
+    assert np.allclose(plain, eased, atol=1e-7) and fewer < 0.8 * most
+
+
+def test_products_in_single_precision(spark):
+    """Gradients stay double whatever else is asked for; only products and curvatures are rounded."""
+    rows = [(i % 2, Vectors.sparse(9, [i % 9, (i + 4) % 9] if i % 9 < (i + 4) % 9 else [(i + 4) % 9, i % 9], [0.3, 0.7])) for i in range(40)]
+    frame = spark.createDataFrame(rows, ["label", "features"]).selectExpr("cast(label as double) label", "features").repartition(3)
+
+    def read(batch):
+        r = linear.of_vectors(batch)
+        yield linear.Rows(r.label, r.starts, r.index, r.value, np.ones((len(r), 2)), np.ones((len(r), 2), dtype=bool))
+    asked = {0: (linear.GRADIENT, np.full(10, 0.1)), 1: (linear.HESSIAN, np.zeros(10), np.full(10, 1 / 3))}
+    double, single = (linear.Fitter(frame, read, np.ones((9, 2)), 3, single=s).run(asked) for s in (False, True))
+    assert single[0][0] == pytest.approx(double[0][0], rel=1e-14) and np.allclose(single[0][1], double[0][1], rtol=1e-13, atol=1e-14)
+    assert np.allclose(single[0][2], double[0][2], rtol=1e-6) and np.allclose(single[1][0], double[1][0], rtol=1e-6)

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -229,6 +230,48 @@ def test_cross_validation_tokenises_once(spark, monkeypatch):
         assert text == tokens
 
 
+def test_cross_validation_fits_a_settings_folds_together(spark, monkeypatch):
+    """One joint fit per setting, not one per setting and fold; each fold's loss is that of a pipeline fitted without it."""
+    solves, solve = [], md.linear.Fitter.solve
+    rows = [(i // 2 if i < 8 else None if i == 9 else i, None if i == 11 else f"w{i % 3} w{i % 7} {'fake' if i % 5 else 'real'} w{i % 2}",
+             int(i % 5 == 0 or i % 7 == 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, content string, label int")
+    grid = [{"ngramMin": 2, "ngramMax": 2}, {"maxFeatures": 3}]
+    want = []
+    for setting in grid:
+        check, losses = MulticlassClassificationEvaluator(labelCol="label", metricName="logLoss"), []
+        folds = stratified_kfold(df, k=2).cache()
+        for f in range(2):
+            model = md.build_pipeline()
+            model.getStages()[0]._set(**setting)
+            losses.append(check.evaluate(model.fit(folds.where(F.col("fold") != f)).transform(folds.where(F.col("fold") == f))))
+        want.append((sum(losses) / 2, (sum((x - sum(losses) / 2) ** 2 for x in losses) / 2) ** 0.5))
+    monkeypatch.setattr(md.linear.Fitter, "solve", lambda self, *a, **k: solves.append(len(self.terms)) or solve(self, *a, **k))
+    got = {r["setting"]: r for r in md.cross_validate(df, grid, metric="logLoss", folds=2, parallelism=2).collect()}
+    assert solves == [3, 3]  # without each fold, and of all rows
+    for i, (mean, std) in enumerate(want):
+        assert got[i]["mean"] == pytest.approx(mean, abs=1e-7) and got[i]["std"] == pytest.approx(std, abs=1e-7)
+    assert [r["rank"] for r in sorted(got.values(), key=lambda r: r["mean"])] == [1, 2]
+
+
+def test_the_best_setting_is_fitted_on_all_rows(spark):
+    rows = [(i % 2, i % 3, f"{'fake' if i % 2 else 'real'} w{i % 4} w{i % 5}") for i in range(30)]
+    df = spark.createDataFrame(rows, "label int, fold int, content string")
+    pipeline = md.build_pipeline()
+    params = [{pipeline.getStages()[0].getParam("maxFeatures"): n} for n in (1, 6)]
+    cv = md.FoldCrossValidator(estimator=pipeline, estimatorParamMaps=params, numFolds=3, foldCol="fold",
+                               evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="logLoss"))
+    fitted = cv.fit(df)
+    best, alone = fitted.bestModel, pipeline.copy(params[fitted.avgMetrics.index(min(fitted.avgMetrics))]).fit(df)
+    assert md.parts_of(best)[0].terms() == md.parts_of(alone)[0].terms()
+    assert md.parts_of(best)[0].weights() == pytest.approx(md.parts_of(alone)[0].weights())
+    assert md.parts_of(best)[1].coefficients.toArray() == pytest.approx(md.parts_of(alone)[1].coefficients.toArray(), abs=1e-7)
+    with pytest.raises(ValueError, match="validation data at fold 3 is empty"):
+        cv.copy({cv.numFolds: 4}).fit(df)
+    with pytest.raises(ValueError, match="the vocabulary is empty"):
+        cv.copy({cv.estimatorParamMaps: [{pipeline.getStages()[0].minDF: 31}]}).fit(df)
+
+
 def test_documents_are_weighted_in_bounded_pieces():
     """A batch of long documents is not weighted at once; its rows stay whole and in order, empty ones too."""
     import pyarrow as pa
